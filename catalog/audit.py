@@ -1 +1,72 @@
-"""Queries."""
+"""Audit chains over events, one log per event type; session logs over conversations."""
+
+from pyspark.sql import functions as F
+
+from codequarry.operators import audit
+
+from .registry import query, table
+
+_RECORDS = """records AS (SELECT event_type AS repo, event_id AS ord, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS t, user_id FROM events),
+ numbered AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ord) AS n FROM records)"""
+_CHAIN = "RECURSIVE " + _RECORDS + """,
+ parts AS (SELECT repo, n, concat('{"bytesAfter":', ord, ',"changeId":"c', ord, '","operation":"write_file","path":"u', user_id, '/', ord, '.txt","prevHash":') AS head,
+   concat(',"seq":', n, ',"timestampUtc":"', t, '"}') AS rest, concat('{"seq":', n, ',"timestampUtc":"', t, '","prevHash":') AS lead_in,
+   concat(',"changeId":"c', ord, '","operation":"write_file","path":"u', user_id, '/', ord, '.txt","bytesAfter":', ord) AS inner_part FROM numbered),
+ chain AS (SELECT repo, n, 'null' AS prev, sha256(concat('GENESIS|', head, 'null', rest)) AS h FROM parts WHERE n = 1
+  UNION ALL SELECT p.repo, p.n, concat('"', c.h, '"'), sha256(concat(c.h, '|', p.head, '"', c.h, '"', p.rest)) FROM chain c JOIN parts p ON p.repo = c.repo AND p.n = c.n + 1),
+ log AS (SELECT repo, n AS pos, concat(lead_in, prev, inner_part, ',"entryHash":"', h, '"}') AS raw FROM chain JOIN parts USING (repo, n))"""
+
+
+def records(spark, sf_dir):
+    e, k = table(spark, sf_dir, "events"), F.col("event_id").cast("string")
+    record = F.concat(F.lit('{"changeId":"c'), k, F.lit('","operation":"write_file","path":"u'), F.col("user_id").cast("string"),
+                      F.lit("/"), k, F.lit('.txt","bytesAfter":'), k, F.lit("}"))
+    return e.select(F.col("event_type").alias("repo"), F.col("event_id").alias("ord"),
+                    F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp_utc"), record.alias("record"))
+
+
+def tampered(spark, sf_dir):
+    """The same log with one digit changed in some entries, one line cut, and stray lines added."""
+    log = audit.append(records(spark, sf_dir))
+    k = F.col("pos")
+    raw = (F.when((k % 97 == 0) & (F.col("repo") != "view"), F.regexp_replace("raw", '"bytesAfter":', '"bytesAfter":1'))
+           .when((k == 50) & (F.col("repo") == "click"), F.left("raw", F.lit(40))).otherwise(F.col("raw")))
+    lines = F.when((k == 10) & (F.col("repo") == "view"), F.array(F.lit("[1]"), F.lit("  "), raw)).otherwise(F.array(raw))
+    return log.select("repo", "pos", F.posexplode(lines).alias("i", "raw")).select("repo", (k * 4 + F.col("i")).alias("pos"), "raw")
+
+
+@query(f"WITH {_CHAIN} SELECT repo, pos, raw FROM log")
+def audit_build(spark, sf_dir):
+    return audit.append(records(spark, sf_dir))
+
+
+@query("SELECT event_type AS repo, count(*) AS entry_count, CAST(NULL AS bigint) AS first_invalid_seq, true AS chain_valid, 'ok' AS status FROM events GROUP BY event_type")
+def audit_verify(spark, sf_dir):
+    return audit.verify(audit.append(records(spark, sf_dir)), chunk=500)
+
+
+@query(f"""WITH {_RECORDS}, n AS (SELECT repo, count(*) AS c FROM numbered GROUP BY repo),
+ first AS (SELECT *, CASE WHEN repo = 'click' AND c >= 50 THEN 50 WHEN repo <> 'view' AND c >= 97 THEN 97 END AS bad FROM n)
+SELECT repo, c AS entry_count, CAST(bad AS bigint) AS first_invalid_seq, bad IS NULL AS chain_valid, CASE WHEN bad IS NULL THEN 'ok' ELSE 'fail' END AS status FROM first""")
+def audit_verify_tampered(spark, sf_dir):
+    return audit.verify(tampered(spark, sf_dir), chunk=1000)
+
+
+@query(f"WITH {_CHAIN}, r AS (SELECT repo, pos, raw, row_number() OVER (PARTITION BY repo ORDER BY pos DESC) AS back FROM log) SELECT * FROM r WHERE back <= 50")
+def audit_tail(spark, sf_dir):
+    return audit.tail(audit.append(records(spark, sf_dir)), 50).drop("corrupt")
+
+
+_SESSIONS = """sessions AS (SELECT concat('src', conv_id % 20) AS repo, conv_id AS session_id, turn AS pos, CASE WHEN role = 'user' THEN 'active' ELSE 'destroyed' END AS status, length(text) AS size FROM conversations)"""
+
+
+def sessions(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.select(F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("repo"), F.col("conv_id").alias("session_id"),
+                    F.col("turn").alias("pos"), F.when(F.col("role") == "user", "active").otherwise("destroyed").alias("status"),
+                    F.length("text").alias("size"))
+
+
+@query(f"WITH {_SESSIONS} SELECT repo, session_id, max(pos) AS pos, arg_max(status, pos) AS status, arg_max(size, pos) AS size FROM sessions GROUP BY repo, session_id")
+def session_latest(spark, sf_dir):
+    return audit.latest_sessions(sessions(spark, sf_dir))
