@@ -28,13 +28,13 @@ _SKIPPED = r"\.(png|jpg|jpeg|gif|bmp|ico|svg|webp|woff|woff2|ttf|eot|pyc|pyo|cla
  regexp_matches(path, '(^|/)(\\.git|\\.sdlc)(/|$)') AS is_protected,
  regexp_matches(lower({_NAME}), '.{_SKIPPED}') AS entropy_skipped FROM files""")
 def path_flags(spark, sf_dir):
-    return inventory.path_flags(files(spark, sf_dir))
+    return inventory.path_flags(files(spark, sf_dir, content=False))
 
 
 @query(f"""WITH {SEEN}, r AS (SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY wk, path) AS pos FROM seen)
 SELECT * FROM r WHERE pos <= 25""")
 def sample_walk_order(spark, sf_dir):
-    return inventory.sample(files(spark, sf_dir), 25)
+    return inventory.sample(files(spark, sf_dir, content=False), 25)
 
 
 _MEMBERS = SEEN + ", tagged AS (" + " UNION ALL ".join(
@@ -45,14 +45,14 @@ _MEMBERS = SEEN + ", tagged AS (" + " UNION ALL ".join(
 
 @query(f"WITH {_MEMBERS} SELECT repo, category, path FROM members")
 def snapshot_members(spark, sf_dir):
-    return inventory.snapshot_members(files(spark, sf_dir))
+    return inventory.snapshot_members(files(spark, sf_dir, content=False))
 
 
 @query(f"""WITH {SEEN} SELECT repo, count(*) AS file_count, count(*) FILTER (WHERE contains(path, chr(65533))) AS non_utf8_paths,
  {', '.join((f"least(count(*) FILTER (WHERE {sql}), {dict(tests=50, infrastructure=50, sensitive=20)[n]})" if n in ('tests', 'infrastructure', 'sensitive') else f"count(*) FILTER (WHERE {sql})") + f" AS {n}_count" for n, sql in _RULES.items())},
  false AS sample_limit_reached FROM seen GROUP BY repo""")
 def repo_snapshot(spark, sf_dir):
-    return inventory.snapshot_counts(files(spark, sf_dir))
+    return inventory.snapshot_counts(files(spark, sf_dir, content=False))
 
 
 @query(f"""WITH {SEEN}, r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY wk, path) AS pos FROM seen),
@@ -60,7 +60,7 @@ def repo_snapshot(spark, sf_dir):
 SELECT repo, count(*) AS file_count, {', '.join(f"coalesce(string_agg(path, '|' ORDER BY wk, path) FILTER (WHERE {sql}), '') AS {n}" for n, sql in _RULES.items())},
  count(*) >= 40 AS sample_limit_reached FROM s GROUP BY repo""")
 def repo_snapshot_sampled(spark, sf_dir):
-    snap = inventory.repo_snapshot(files(spark, sf_dir), max_files=40)
+    snap = inventory.repo_snapshot(files(spark, sf_dir, content=False), max_files=40)
     return snap.select("repo", "file_count", *[F.array_join(n, "|").alias(n) for n in inventory.CATEGORIES],
                        "sample_limit_reached")
 
@@ -99,13 +99,13 @@ _TREE = SEEN + """, parts AS (SELECT repo, path, string_split(path, '/') AS ps F
 
 @query(f"WITH {_TREE.format(d=4)} SELECT * FROM tree")
 def directory_tree(spark, sf_dir):
-    return inventory.directory_tree(files(spark, sf_dir))
+    return inventory.directory_tree(files(spark, sf_dir, content=False))
 
 
 @query(f"""WITH {_TREE.format(d=1)}, r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY depth, replace(lower(path), '/', chr(1)), path) AS pos FROM tree)
 SELECT * FROM r WHERE pos <= 30""")
 def directory_tree_capped(spark, sf_dir):
-    return inventory.directory_tree(files(spark, sf_dir), max_depth=1, max_entries=30)
+    return inventory.directory_tree(files(spark, sf_dir, content=False), max_depth=1, max_entries=30)
 
 
 @query(f"""WITH {PIECES}, kept AS (SELECT repo, path, content, ls FROM arrays)

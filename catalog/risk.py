@@ -55,13 +55,13 @@ def _signal_sql(cap=None):
 
 @query(f"WITH {_signal_sql()} SELECT * FROM checks")
 def release_checks(spark, sf_dir):
-    rows = readiness.signals(files(spark, sf_dir), worktree=worktree(spark, sf_dir))
+    rows = readiness.signals(files(spark, sf_dir, content=False), worktree=worktree(spark, sf_dir))
     return readiness.readiness_checks(rows).select("repo", "pos", "id", "status")
 
 
 @query(f"WITH {_signal_sql()} SELECT repo, readiness_status AS status, passed, warnings, failed, unknown, CASE WHEN readiness_status IN ('blocked', 'needs-review') THEN 1 ELSE 0 END AS gate_exit FROM labelled")
 def release_readiness(spark, sf_dir):
-    rows = readiness.signals(files(spark, sf_dir), worktree=worktree(spark, sf_dir))
+    rows = readiness.signals(files(spark, sf_dir, content=False), worktree=worktree(spark, sf_dir))
     return readiness.release_readiness(rows, strict=True)
 
 

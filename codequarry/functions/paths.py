@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from .regex import extract, let, matches
+from .text import fold_case
 
 
 def base_name(path: Column) -> Column:
@@ -20,11 +21,6 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(base_name(path), r"(?s)^.+(\.[^.]+)$", 1))
 
 
-def fold_case(text: Column) -> Column:
-    """Case folding: upper first, so that letters such as ß fold to two characters."""
-    return F.lower(F.upper(text))
-
-
 def walk_key(path: Column) -> Column:
     """A string whose plain order is the depth-first order: the files of a directory by folded
     name, then each sub-directory. ``\\x01`` marks a file and ``\\x02`` a directory."""

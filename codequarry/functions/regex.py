@@ -8,6 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _EXTRA_SPACE = r"\x1c-\x1f"
+_WORD = r"\p{L}\p{N}_"
+_EDGE = rf"(?:(?<![{_WORD}])(?=[{_WORD}])|(?<=[{_WORD}])(?![{_WORD}]))"
+_OUTSIDE = {r"\s": rf"[\s{_EXTRA_SPACE}]", r"\S": rf"[^\s{_EXTRA_SPACE}]", r"\w": f"[{_WORD}]", r"\W": f"[^{_WORD}]", r"\b": _EDGE}
+_INSIDE = {r"\s": rf"\s{_EXTRA_SPACE}", r"\w": _WORD}
 
 
 def jvm(pattern: str, ignore_case: bool = False, flags: str = "") -> str:
@@ -18,10 +22,7 @@ def jvm(pattern: str, ignore_case: bool = False, flags: str = "") -> str:
         ch = pattern[i]
         if ch == "\\" and i + 1 < len(pattern):
             pair = pattern[i:i + 2]
-            if pair == r"\s":
-                pair = r"\s" + _EXTRA_SPACE if in_class else r"[\s" + _EXTRA_SPACE + "]"
-            elif pair == r"\S" and not in_class:
-                pair = r"[^\s" + _EXTRA_SPACE + "]"
+            pair = (_INSIDE if in_class else _OUTSIDE).get(pair, pair)
             out.append(pair)
             i += 2
             continue

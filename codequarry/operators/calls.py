@@ -40,7 +40,7 @@ def window_openings(calls: DataFrame, window_seconds: float = 60.0, range_window
     us = micros("ts")
     instants = calls.select("key", us.alias("us")).distinct().withColumn("range", bucket(F.col("us"), span))
 
-    def leave(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def leave(key, pdf):
         t = np.sort(pdf["us"].to_numpy())
         after = np.searchsorted(t, t + width)
         last = np.where(after < len(t), after, np.arange(len(t)))  # one step; the last opening stays
@@ -75,7 +75,7 @@ def window_openings(calls: DataFrame, window_seconds: float = 60.0, range_window
     links = ways.repartition("key").sortWithinPartitions("key", "range").mapInPandas(
         link, f"key {kind}, range bigint, open bigint")
 
-    def openings(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def openings(key, pdf):
         t = np.sort(pdf["us"].to_numpy())
         entered = pdf["open"].iloc[0]
         i = 0 if pd.isna(entered) else int(np.searchsorted(t, int(entered) + width))

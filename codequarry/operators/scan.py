@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from .. import params, rules
 from ..functions import paths, text
 from ..functions.regex import let, matches
-from ..plans.corpus import inventory, readable, walk_order, walk_position
+from ..plans.corpus import exploded, inventory, readable, walk_order, walk_position
 from ..plans.topn import top_n, until_nth
+from ..session import materialize
 
 SENSITIVE_NOTE = "File path matches a sensitive-location convention; contents not opened."
 _HIT = "array<struct<line:int,signature:string,preview:string>>"
@@ -48,9 +49,7 @@ def secret_findings(files: DataFrame, max_files: int | None = None, max_file_byt
     params.file_bytes(max_file_bytes)
     params.int_in(max_findings, 1, 5_000, "max_findings")
     scanned = with_secret_hits(inventory(files, max_files), max_file_bytes)
-    found = (scanned.filter(F.size("hits") > 0)
-             .select("repo", "path", "walk_key", F.explode("hits").alias("hit"))
-             .select("repo", "path", "walk_key", "hit.*"))
+    found = exploded(scanned, ["repo", "path", "walk_key"], F.col("hits")).select("repo", "path", "walk_key", "item.*")
     if max_findings is not None:
         found = top_n(found, ["repo"], [*walk_order(), F.col("line")], max_findings, ["path", "line"])
     return found.drop("walk_key").withColumnRenamed("path", "file")
@@ -70,6 +69,7 @@ def secret_scan(files: DataFrame, max_files: int | None = None, max_file_bytes:
 
 def _rollup(per_file: DataFrame, cap: int | None) -> DataFrame:
     if cap is not None:
+        per_file = materialize(per_file)  # a few numbers per file, used twice; contents are scanned once
         stop = until_nth(per_file, "repo", walk_position(), F.col("n_hits"), cap, ["path"])
         per_file = (per_file.join(stop, "repo", "left")
                     .filter(F.col("stop_at").isNull() | (walk_position() <= F.col("stop_at"))))
@@ -90,22 +90,23 @@ def _entropy_files(files: DataFrame, max_files: int | None, max_file_bytes: int)
 
 
 def token_occurrences(files: DataFrame, max_files: int | None = None, max_file_bytes: int = rules.SEARCH_FILE_BYTES,
-                      min_token_length: int = 16) -> DataFrame:
+                      min_token_length: int = 16, keep: list[str] | None = None) -> DataFrame:
     """Every candidate token with its place and measures; the token itself is dropped at once."""
     params.file_bytes(max_file_bytes)
     params.int_in(min_token_length, 8, 128, "min_token_length", optional=False)
     body = text.text_of(F.col("content"))
     opened = _entropy_files(files, max_files, max_file_bytes).filter(F.col("opened"))
-    hinted = opened.filter(matches(body, r"[A-Za-z0-9+/=_\-.~]{16}"))
+    hinted = opened.filter(text.has_token_hint(body))
     per_line = F.filter(
         F.transform(text.lines(body), lambda line, i: F.struct((i + 1).alias("line"), text.tokens(line).alias("tokens"))),
         lambda m: F.size(m["tokens"]) > 0)
     token = F.col("token")
-    return (hinted.select("repo", "path", "walk_key", F.explode(per_line).alias("m"))
-            .select("repo", "path", "walk_key", F.col("m.line").alias("line"),
-                    F.posexplode("m.tokens").alias("token_pos", "token"))
+    base = ["repo", "path", "walk_key", *(keep or [])]
+    return (exploded(hinted, base, per_line)
+            .select(*base, F.col("item.line").alias("line"),
+                    F.posexplode("item.tokens").alias("token_pos", "token"))
             .filter(F.length(token) >= min_token_length)
-            .select("repo", "path", "walk_key", "line", "token_pos",
+            .select(*base, "line", "token_pos",
                     text.token_hash(token).alias("token_hash"), text.token_preview(token).alias("token_preview"),
                     text.shannon_entropy(token).alias("entropy_bits"), F.length(token).alias("length")))
 
@@ -185,9 +186,9 @@ def search_code(files: DataFrame, pattern: str, file_pattern: str | None = None,
     params.int_in(max_results, 1, 500, "max_results")
     params.flag(redact_secrets, "redact_secrets")
     shown = (lambda c: text.redact(text.preview(c))) if redact_secrets else text.preview
-    found = (_searched(files, pattern, file_pattern, max_files, max_file_bytes, context_lines)
-             .select("repo", "path", "walk_key", F.explode("hits").alias("hit"))
-             .select("repo", "path", "walk_key", "hit.*"))
+    base = ["repo", "path", "walk_key"]
+    found = exploded(_searched(files, pattern, file_pattern, max_files, max_file_bytes, context_lines), base,
+                     F.col("hits")).select(*base, "item.*")
     if max_results is not None:
         found = top_n(found, ["repo"], [*walk_order(), F.col("line")], max_results, ["path", "line"])
     rank = ["pos"] if max_results is not None else []

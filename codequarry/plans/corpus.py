@@ -37,5 +37,12 @@ def walk_position() -> Column:
 
 
 def readable(max_file_bytes: int) -> Column:
-    """Small enough and not binary. The size test comes first, as a filter the scan can use."""
-    return (F.col("size_bytes") <= max_file_bytes) & ~text.is_binary(F.col("content"))
+    """Present, small enough and not binary. The size test comes first, as the scan can use it."""
+    return ((F.col("size_bytes") <= max_file_bytes) & F.col("content").isNotNull()
+            & ~text.is_binary(F.col("content")))
+
+
+def exploded(df: DataFrame, keep: list[str], items: Column) -> DataFrame:
+    """One row per array element, as ``item``. The outer form keeps Spark from adding a size filter
+    that would compute the array a second time."""
+    return df.select(*keep, F.explode_outer(items).alias("item")).filter(F.col("item").isNotNull())

@@ -46,4 +46,4 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def materialize(df):
     """Cut lineage through reliable storage, so that a lost executor costs no recomputation."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=False)
+    return df.checkpoint()
