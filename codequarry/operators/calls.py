@@ -70,7 +70,7 @@ def window_openings(calls: DataFrame, window_seconds: float = 60.0, range_window
                 if i < len(row.enter):
                     start = int(row.leave[i])
             yield pd.DataFrame({"key": [r[0] for r in out], "range": [r[1] for r in out],
-                                "open": pd.array([r[2] for r in out], dtype="Int64")})
+                                "open": pd.Series([r[2] for r in out], dtype=object)})
 
     links = ways.repartition("key").sortWithinPartitions("key", "range").mapInPandas(
         link, f"key {kind}, range bigint, open bigint")

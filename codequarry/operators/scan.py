@@ -95,14 +95,13 @@ def token_occurrences(files: DataFrame, max_files: int | None = None, max_file_b
     params.file_bytes(max_file_bytes)
     params.int_in(min_token_length, 8, 128, "min_token_length", optional=False)
     body = text.text_of(F.col("content"))
-    opened = _entropy_files(files, max_files, max_file_bytes).filter(F.col("opened"))
-    hinted = opened.filter(text.has_token_hint(body))
+    seen = _entropy_files(files, max_files, max_file_bytes)
     per_line = F.filter(
         F.transform(text.lines(body), lambda line, i: F.struct((i + 1).alias("line"), text.tokens(line).alias("tokens"))),
         lambda m: F.size(m["tokens"]) > 0)
     token = F.col("token")
     base = ["repo", "path", "walk_key", *(keep or [])]
-    return (exploded(hinted, base, per_line)
+    return (exploded(seen, base, F.when(F.col("opened") & text.has_token_hint(body), per_line))
             .select(*base, F.col("item.line").alias("line"),
                     F.posexplode("item.tokens").alias("token_pos", "token"))
             .filter(F.length(token) >= min_token_length)
@@ -166,7 +165,6 @@ def _searched(files: DataFrame, pattern: str, file_pattern: str | None, max_file
     if file_pattern is not None:
         params.pattern(files.sparkSession, file_pattern, "file_pattern")
         seen = seen.filter(matches(F.col("path"), file_pattern))
-    seen = seen.filter(readable(max_file_bytes))
     k = context_lines
 
     def hits(all_lines):
@@ -176,7 +174,8 @@ def _searched(files: DataFrame, pattern: str, file_pattern: str | None, max_file
             F.slice(all_lines, F.greatest(m["i"] - k, F.lit(0)) + 1, F.least(m["i"], F.lit(k))).alias("before"),
             F.slice(all_lines, m["i"] + 2, F.lit(k)).alias("after")))
 
-    return seen.withColumn("hits", let(text.lines(text.text_of(F.col("content"))), hits))
+    found = let(text.lines(text.text_of(F.col("content"))), hits)
+    return seen.withColumn("opened", readable(max_file_bytes)).withColumn("hits", F.when(F.col("opened"), found))
 
 
 def search_code(files: DataFrame, pattern: str, file_pattern: str | None = None, max_results: int | None = None,
@@ -201,7 +200,8 @@ def search_summary(files: DataFrame, pattern: str, file_pattern: str | None = No
     """Per repo: files_searched, match_count, results_limit_reached."""
     params.int_in(max_results, 1, 500, "max_results")
     per_file = (_searched(files, pattern, file_pattern, max_files, max_file_bytes, 0)
-                .select("repo", "path", "walk_key", F.lit(1).alias("opened"), F.size("hits").alias("n_hits")))
+                .select("repo", "path", "walk_key", F.col("opened").cast("int").alias("opened"),
+                        F.coalesce(F.size("hits"), F.lit(0)).alias("n_hits")))
     return _rollup(per_file, max_results).select(
         "repo", F.col("files_scanned").alias("files_searched"), F.col("finding_count").alias("match_count"),
         F.col("findings_limit_reached").alias("results_limit_reached"))

@@ -34,7 +34,7 @@ def verify(log: DataFrame) -> DataFrame:
             out.append((key[0], n, bool(ok), bad))
         state.update((n, last, bad))
         yield pd.DataFrame({"repo": [o[0] for o in out], "position": [o[1] for o in out], "ok": [o[2] for o in out],
-                            "first_invalid_seq": pd.array([o[3] for o in out], dtype="Int64")})
+                            "first_invalid_seq": pd.Series([o[3] for o in out], dtype=object)})
 
     return e.groupBy("repo").applyInPandasWithState(
         step, "repo string, position bigint, ok boolean, first_invalid_seq bigint",
