@@ -83,7 +83,9 @@ def window_openings(calls: DataFrame, window_seconds: float = 60.0, range_window
         while i < len(t):
             starts.append(int(t[i]))
             i = int(np.searchsorted(t, t[i] + width))
-        return pd.DataFrame({"key": [key[0]] * len(starts), "start": np.array(starts, dtype="int64")})
+        if not starts:  # the range lies inside a window that opened earlier
+            return pd.DataFrame()
+        return pd.DataFrame({"key": [key[0]] * len(starts), "start": starts})
 
     return instants.join(links, ["key", "range"]).groupBy("key", "range").applyInPandas(
         openings, f"key {kind}, start bigint")

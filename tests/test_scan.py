@@ -89,7 +89,8 @@ def test_caps_stop_where_a_sequential_scan_stops(files, seed, cap):
                 for m in token.finditer(line):
                     if m.group(1) not in seen:
                         seen.add(m.group(1))
-                        high.append((path, n))
+                        if len(set(m.group(1))) > 1:  # the planted repeated letter has entropy 0
+                            high.append((path, n))
         got = scan.entropy_findings(df, entropy_threshold=2.0, max_findings=cap).filter(F.col("repo") == repo)
         assert sorted((r.file, r.line) for r in got.collect() if r.entropy >= 2) == sorted(high)
         total = scan.entropy_scan(df, entropy_threshold=2.0, max_findings=cap).filter(F.col("repo") == repo).first()
