@@ -2,9 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from codequarry.operators import audit
+from codequarry.operators import audit, changes
+from codequarry.session import materialize
 
+from .changes import STAMP, _PLAN, _plan, _rollback
 from .registry import query, table
+from .views import FILES
 
 _RECORDS = """records AS (SELECT event_type AS repo, event_id AS ord, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS t, user_id FROM events),
  numbered AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ord) AS n FROM records)"""
@@ -70,3 +73,13 @@ def sessions(spark, sf_dir):
 @query(f"WITH {_SESSIONS} SELECT repo, session_id, max(pos) AS pos, arg_max(status, pos) AS status, arg_max(size, pos) AS size FROM sessions GROUP BY repo, session_id")
 def session_latest(spark, sf_dir):
     return audit.latest_sessions(sessions(spark, sf_dir))
+
+
+@query(f"""WITH {FILES}, {_PLAN}, n AS (SELECT repo, count(*) FILTER (WHERE reject_reason IS NULL) AS c FROM plan GROUP BY repo)
+SELECT repo, 2 * c AS entry_count, CAST(NULL AS bigint) AS first_invalid_seq, true AS chain_valid, 'ok' AS status FROM n WHERE c > 0""")
+def audit_of_changes(spark, sf_dir):
+    """A batch of writes and then its rollback, both logged; the second continues the first."""
+    at = F.lit(STAMP).cast("timestamp")
+    writes = materialize(audit.append(changes.audit_records(_plan(spark, sf_dir)[1], "batch-1", at)))
+    undone = audit.append(changes.rollback_records(_rollback(spark, sf_dir)[1], at), audit.log_state(writes))
+    return audit.verify(writes.unionByName(undone), chunk=100)

@@ -94,6 +94,10 @@ def sbom_components(spark, sf_dir):
     return deps.sbom_components(deps.parsed_manifests(manifests(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH {_EXPECTED} SELECT repo, file AS manifest, 'library' AS type, name, version, coalesce(scope, 'required') AS scope, ecosystem FROM d")
 def sbom_documents(spark, sf_dir):
-    return documents.sbom(deps.sbom_components(deps.parsed_manifests(manifests(spark, sf_dir))))
+    """The documents are written and read back, so that their content is what is compared."""
+    docs = documents.sbom(deps.sbom_components(deps.parsed_manifests(manifests(spark, sf_dir))), per_document=50)
+    item = "type STRING, name STRING, version STRING, scope STRING, ecosystem STRING, manifest STRING"
+    back = F.from_json("document", f"components ARRAY<STRUCT<{item}>>")
+    return docs.select("repo", F.explode(back["components"]).alias("c")).select("repo", "c.*")

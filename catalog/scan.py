@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from codequarry.operators import scan
+from codequarry.sinks import documents
 
 from .registry import query
 from .views import LINES, PIECES, SEEN, SENSITIVE_FILE, TEMPLATES, files, sql_first_rule, sql_matches, sql_redact
@@ -52,6 +53,19 @@ def redacted_files(spark, sf_dir):
     return scan.redacted(files(spark, sf_dir)).select("repo", "path", F.md5("content").alias("content_md5"))
 
 
+@query(f"WITH {_FINDINGS} SELECT repo, file, line, signature, preview FROM findings")
+def sarif_documents(spark, sf_dir):
+    """The documents are written and read back, so that their content is what is compared."""
+    docs = documents.sarif(scan.secret_findings(files(spark, sf_dir)), per_document=20)
+    place = "artifactLocation STRUCT<uri: STRING>, region STRUCT<startLine: INT>"
+    result = f"ruleId STRING, message STRUCT<text: STRING>, locations ARRAY<STRUCT<physicalLocation: STRUCT<{place}>>>"
+    back = F.from_json("document", f"runs ARRAY<STRUCT<results: ARRAY<STRUCT<{result}>>>>")
+    rows = docs.select("repo", F.explode(back["runs"][0]["results"]).alias("r"))
+    at = F.col("r.locations")[0]["physicalLocation"]
+    return rows.select("repo", at["artifactLocation"]["uri"].alias("file"), at["region"]["startLine"].alias("line"),
+                       F.col("r.ruleId").alias("signature"), F.col("r.message.text").alias("preview"))
+
+
 # Tokens without lookaround: every character that is not a token character is doubled, so that
 # neighbouring tokens do not share a delimiter; a leading space stands for the start of a line.
 _C = r"A-Za-z0-9+/=_\-.~"

@@ -134,6 +134,34 @@ def change_log(plan: DataFrame, batch: str, created_at: Column, digits: int = 32
     return ops, backups
 
 
+def audit_records(plan: DataFrame, batch: str, created_at: Column, digits: int = 32) -> DataFrame:
+    """records(repo, ord, timestamp_utc, record) of the accepted edits, ready for ``audit.append``."""
+    c = F.col
+    accepted = plan.filter(c("reject_reason").isNull()).withColumn(
+        "change_id", change_id(created_at, F.lit(batch), c("repo"), c("path"), digits=digits))
+    head = [c("change_id").alias("changeId"), "operation", "path"]
+    sums = [c("sha256_before").alias("sha256Before"), c("sha256_after").alias("sha256After")]
+    sizes = [c("bytes_before").alias("bytesBefore"), c("bytes_after").alias("bytesAfter")]
+    shape = {"ignoreNullFields": "false"}
+    record = F.when(c("operation") == "replace_in_file", F.to_json(F.struct(*head, "occurrences", *sums), shape)).otherwise(
+        F.to_json(F.struct(*head, "mode", *sums, *sizes), shape))
+    return accepted.select("repo", c("path").alias("ord"), _stamp(created_at).alias("timestamp_utc"), record.alias("record"))
+
+
+def rollback_records(plan: DataFrame, at: Column) -> DataFrame:
+    """Audit records of an applied rollback. One record per path, so that none grows with the
+    change set it undoes."""
+    done = plan.filter(F.col("reject_reason").isNull())
+    item = F.struct("path", F.col("applied").alias("action"), F.when(F.col("applied") == "restored", F.col("sha256_before")).alias("sha256"))
+    record = F.to_json(F.struct(F.col("change_id").alias("changeId"), F.lit("rollback").alias("operation"),
+                                F.lit(None).cast("string").alias("path"), F.array(item).alias("applied")), {"ignoreNullFields": "false"})
+    return done.select("repo", F.col("path").alias("ord"), _stamp(at).alias("timestamp_utc"), record.alias("record"))
+
+
+def _stamp(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
 def newest_changes(ops: DataFrame, n: int = 100) -> DataFrame:
     """Per repo, the newest change sets by id, with their operation count."""
     params.int_in(n, 1, 5_000, "n", optional=False)
