@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from codequarry.operators import changes, merge
+from codequarry.session import materialize
 
 from .registry import query
 from .views import FILES, TEMPLATES, files, sql_matches
@@ -39,9 +40,11 @@ _PLAN = _EDITS + f""", named AS (SELECT *, string_split(path, '/')[-1] AS name,
    WHEN before IS NOT NULL AND expected_sha256 <> sha256(before) THEN 'expectedSha256 does not match the current file; refusing to write over unknown changes' END AS reject_reason FROM named)"""
 
 
-def _plan(spark, sf_dir):
+def _plan(spark, sf_dir, reuse=False):
+    """``reuse``: the plan is needed more than once, so it is stored instead of joined again."""
     df = files(spark, sf_dir)
-    return df, changes.write_plan(_edits(df), df)
+    plan = changes.write_plan(_edits(df), df)
+    return df, materialize(plan) if reuse else plan
 
 
 @query(f"""WITH {FILES}, {_PLAN} SELECT repo, path, mode, existed_before, reject_reason, CASE WHEN reject_reason IS NULL THEN 'planned' ELSE 'rejected' END AS status,
@@ -56,7 +59,7 @@ def write_plan(spark, sf_dir):
   LEFT JOIN plan p ON p.repo = f.repo AND p.path = f.path AND p.reject_reason IS NULL
  UNION ALL SELECT repo, path, sha256(after) FROM plan WHERE reject_reason IS NULL AND NOT existed_before""")
 def write_apply(spark, sf_dir):
-    df, plan = _plan(spark, sf_dir)
+    df, plan = _plan(spark, sf_dir, reuse=True)
     return changes.apply_plan(df, plan).select("repo", "path", F.sha2("content", 256).alias("content_sha256"))
 
 
@@ -77,8 +80,8 @@ _LOG = f"""ops AS (SELECT repo, concat('20240501T100000Z-', left(sha256(concat_w
   existed_before, sha256(before) AS sha256_before, strlen(before) AS bytes_before, sha256(after) AS sha256_after, strlen(after) AS bytes_after, before FROM plan WHERE reject_reason IS NULL)"""
 
 
-def _log(spark, sf_dir):
-    df, plan = _plan(spark, sf_dir)
+def _log(spark, sf_dir, reuse=False):
+    df, plan = _plan(spark, sf_dir, reuse)
     return df, plan, *changes.change_log(plan, "batch-1", F.lit(STAMP).cast("timestamp"))
 
 
@@ -107,7 +110,7 @@ def listed_change_paths(spark, sf_dir):
 
 
 def _rollback(spark, sf_dir):
-    df, plan, ops, backups = _log(spark, sf_dir)
+    df, plan, ops, backups = _log(spark, sf_dir, reuse=True)
     after = changes.apply_plan(df, plan)
     # as if created files had meanwhile been removed again in one top-level folder
     after = after.filter(~F.col("path").startswith("new/docs/"))

@@ -44,13 +44,13 @@ def recent_commits(spark, sf_dir):
 
 
 @query(f"""WITH {_CHANGES}, c AS (SELECT repo, file, count(*) AS changes, min((-epoch_us(ts), hash, pos)) AS seen FROM changes GROUP BY repo, file),
- r AS (SELECT repo, file, changes, row_number() OVER (PARTITION BY repo ORDER BY changes DESC, seen) AS pos FROM c) SELECT * FROM r WHERE pos <= 20""")
+ r AS (SELECT repo, file, changes, row_number() OVER (PARTITION BY repo ORDER BY changes DESC, seen, file) AS pos FROM c) SELECT * FROM r WHERE pos <= 20""")
 def churn_top20(spark, sf_dir):
     return history.churn(commits(spark, sf_dir), commit_files(spark, sf_dir))
 
 
 @query(f"""WITH {_CHANGES}, n AS (SELECT repo, hash FROM (SELECT repo, hash, row_number() OVER (PARTITION BY repo ORDER BY ts DESC, hash) AS k FROM commits) WHERE k <= 100),
  c AS (SELECT repo, file, count(*) AS changes, min((-epoch_us(ts), hash, pos)) AS seen FROM changes SEMI JOIN n USING (repo, hash) GROUP BY repo, file),
- r AS (SELECT repo, file, changes, row_number() OVER (PARTITION BY repo ORDER BY changes DESC, seen) AS pos FROM c) SELECT * FROM r WHERE pos <= 20""")
+ r AS (SELECT repo, file, changes, row_number() OVER (PARTITION BY repo ORDER BY changes DESC, seen, file) AS pos FROM c) SELECT * FROM r WHERE pos <= 20""")
 def churn_latest_commits(spark, sf_dir):
     return history.churn(commits(spark, sf_dir), commit_files(spark, sf_dir), max_commits=100)

@@ -32,7 +32,7 @@ def churn(commits: DataFrame, commit_files: DataFrame, max_commits: int | None =
     changes = named.join(chosen.select("repo", "hash", "ts"), ["repo", "hash"])
     seen_at = F.struct((-F.unix_micros(F.col("ts").cast("timestamp"))).alias("newest"), "hash", "pos")
     counts = changes.groupBy("repo", "file").agg(F.count("*").alias("changes"), F.min(seen_at).alias("seen_at"))
-    best = top_n(counts, ["repo"], [F.desc("changes"), F.col("seen_at")], top, ["file"])
+    best = top_n(counts, ["repo"], [F.desc("changes"), F.col("seen_at"), F.col("file")], top, ["file"])
     return best.select("repo", "file", "changes", "pos")
 
 
@@ -40,5 +40,5 @@ def churn_from_names(changes: DataFrame, top: int = 20) -> DataFrame:
     """The same ranking from a plain list of changed names (repo, pos, file), newest first."""
     params.int_in(top, 1, 5_000, "top", optional=False)
     counts = changes.groupBy("repo", "file").agg(F.count("*").alias("changes"), F.min("pos").alias("seen_at"))
-    best = top_n(counts, ["repo"], [F.desc("changes"), F.col("seen_at")], top, ["file"])
+    best = top_n(counts, ["repo"], [F.desc("changes"), F.col("seen_at"), F.col("file")], top, ["file"])
     return best.select("repo", "file", "changes", "pos")
