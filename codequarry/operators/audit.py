@@ -26,42 +26,43 @@ def parse_entries(log: DataFrame) -> DataFrame:
     return parsed.filter(F.col("v").isNull() | is_object).withColumn("corrupt", corrupt)
 
 
-def checked_entries(entries: DataFrame, chunk: int = 100_000) -> DataFrame:
-    """repo, pos, position, bad. Each entry is tested against its position and its predecessor.
-
-    A log may be one repo's and most of the table, so no window spans a repo: rank and predecessor
-    are taken inside position ranges of ``chunk``, and a table with one row per range supplies the
-    offset and the hash that enters each range. Both sides use the same (repo, range) shuffle."""
-    e, c = entries, F.col
-    rows = e.select("repo", "pos", "corrupt", F.floor(c("pos") / chunk).alias("range"),
-                    fa.json_field(c("v"), "seq").alias("seq"), fa.json_field(c("v"), "prevHash").alias("prev_json"),
-                    fa.json_field(c("v"), "entryHash").alias("hash_json"), fa.string_field(c("v"), "entryHash").alias("entry_hash"),
-                    fa.canonical(c("v"), drop="entryHash").alias("body"))
-    slim = rows.select("repo", "range", "pos", "hash_json", "entry_hash")
-    heads = slim.groupBy("repo", "range").agg(
-        F.count("*").alias("n"), F.max(F.struct("pos", "hash_json", "entry_hash")).alias("last"))
-    by_range = Window.partitionBy("repo").orderBy("range")
-    heads = heads.select(
-        "repo", "range", F.coalesce(F.sum("n").over(by_range.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"),
-        F.lag("last").over(by_range).alias("enter"))
-    inside = Window.partitionBy("repo", "range").orderBy("pos")
-    placed = (rows.withColumn("k", F.row_number().over(inside))
-              .withColumn("before", F.lag(F.struct("hash_json", "entry_hash")).over(inside)).join(heads, ["repo", "range"]))
-    first = c("k") == 1
-    prev_json = F.when(first, c("enter.hash_json")).otherwise(c("before.hash_json"))
-    prev_hash = F.when(first, c("enter.entry_hash")).otherwise(c("before.entry_hash"))
-    position = c("k") + c("offset")
-    good = (~c("corrupt") & (c("seq") == position.cast("string")) & c("prev_json").eqNullSafe(prev_json)
-            & c("entry_hash").eqNullSafe(fa.chain_hash(prev_hash, c("body"))))
-    return placed.select("repo", "pos", position.alias("position"), (~F.coalesce(good, F.lit(False))).alias("bad"))
+def _row_checks(entries: DataFrame) -> DataFrame:
+    """What an entry shows by itself: does its hash fit its body and the predecessor it names? The
+    body ends here; only short columns go on."""
+    v = F.col("v")
+    seq = fa.json_field(v, "seq")
+    own = fa.chain_hash(fa.string_field(v, "prevHash"), fa.canonical(v, drop="entryHash"))
+    return entries.select(
+        "repo", "pos", F.when(seq.rlike("^[0-9]+$"), seq.try_cast("bigint")).alias("seq"),
+        fa.json_field(v, "prevHash").alias("names"), fa.json_field(v, "entryHash").alias("hash"),
+        (~F.col("corrupt") & F.coalesce(fa.string_field(v, "entryHash") == own, F.lit(False))).alias("sound"))
 
 
 def verify(log: DataFrame, chunk: int = 100_000) -> DataFrame:
-    """Per repo: entry_count, chain_valid, first_invalid_seq, status."""
-    checked = checked_entries(parse_entries(log), chunk)
-    out = checked.groupBy("repo").agg(F.count("*").alias("entry_count"),
-                                      F.min(F.when(F.col("bad"), F.col("position"))).alias("first_invalid_seq"))
-    valid = F.col("first_invalid_seq").isNull()
+    """Per repo: entry_count, first_invalid_seq, chain_valid, status.
+
+    One log may be most of the table, so no window spans a repo. Ranges of ``chunk`` positions are
+    checked on their own: neighbours must name each other, and ``seq`` must rise by one. A range
+    is then one row, and the rows of a repo are linked: does the first entry name the last of the
+    range before, and does its ``seq`` follow from the number of entries so far? The log is read
+    once and its short columns are shuffled once."""
+    params.int_in(chunk, 1, 10_000_000, "chunk", optional=False)
+    c = F.col
+    inside = Window.partitionBy("repo", "range").orderBy("pos")
+    rows = _row_checks(parse_entries(log)).withColumn("range", F.floor(c("pos") / chunk))
+    rows = (rows.withColumn("k", F.row_number().over(inside)).withColumn("before", F.lag("hash").over(inside))
+            .withColumn("base", c("seq") - c("k")).withColumn("base1", F.first("base").over(inside)))
+    wrong = ~c("sound") | ((c("k") > 1) & ~c("names").eqNullSafe(c("before"))) | c("base").isNull() | ~c("base").eqNullSafe(c("base1"))
+    ranges = rows.groupBy("repo", "range").agg(
+        F.count("*").alias("n"), F.min(F.when(wrong, c("k"))).alias("bad_k"), F.max(F.when(c("k") == 1, c("base1"))).alias("base1"),
+        F.max(F.when(c("k") == 1, c("names"))).alias("names1"), F.max(F.struct("k", "hash")).alias("last"))
+    order = Window.partitionBy("repo").orderBy("range")  # one row per range
+    linked = ranges.withColumn("offset", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    linked = linked.withColumn("enter", F.lag("last.hash").over(order))
+    joint = c("names1").eqNullSafe(c("enter")) & c("base1").eqNullSafe(c("offset"))
+    first_bad = c("offset") + F.when(~joint, F.lit(1)).otherwise(c("bad_k"))
+    out = linked.groupBy("repo").agg(F.sum("n").alias("entry_count"), F.min(first_bad).alias("first_invalid_seq"))
+    valid = c("first_invalid_seq").isNull()
     return out.withColumn("chain_valid", valid).withColumn("status", F.when(valid, "ok").otherwise("fail"))
 
 
