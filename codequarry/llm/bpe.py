@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepared
+from .common import memo, prepared
 
 # White space of Unicode, as the pattern's \s means it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -185,26 +185,24 @@ class Decoder:
         return rest.decode("utf-8", "replace")
 
 
-_encoders: dict[tuple[bytes, str], Encoder] = {}
-_tokens: dict[bytes, list[bytes]] = {}
-
-
 def _encoder(raw: bytes, pattern: str) -> Encoder:
-    if (raw, pattern) not in _encoders:
-        _encoders.clear()
-        _encoders[raw, pattern] = Encoder(read_ranks(raw), pattern)
-    return _encoders[raw, pattern]
+    held = memo("bpe encoder")
+    if (raw, pattern) not in held:
+        held.clear()
+        held[raw, pattern] = Encoder(read_ranks(raw), pattern)
+    return held[raw, pattern]
 
 
 def _token_list(raw: bytes) -> list[bytes]:
-    if raw not in _tokens:
-        _tokens.clear()
+    held = memo("bpe tokens")
+    if raw not in held:
+        held.clear()
         ranks = read_ranks(raw)
         tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             tokens[rank] = token
-        _tokens[raw] = tokens
-    return _tokens[raw]
+        held[raw] = tokens
+    return held[raw]
 
 
 def _vocabulary(path: str, spark):

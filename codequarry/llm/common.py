@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 from pyspark.sql import DataFrame, SparkSession
 
 from codequarry.session import new_path, shared_dir, stored  # noqa: F401
@@ -23,3 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def partitions(spark: SparkSession, units: int, per_task: int) -> int:
     """Tasks for ``units`` of work: at least the session's shuffle partitions, more as the data grows."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-units // per_task))
+
+
+def memo(name: str) -> dict:
+    """A dict of this process, kept from task to task of a reused Python worker; functions reach workers by value, and
+    so their modules' globals do not last."""
+    holder = sys.modules.setdefault("codequarry_memo", types.ModuleType("codequarry_memo"))
+    return holder.__dict__.setdefault(name, {})

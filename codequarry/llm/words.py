@@ -6,11 +6,11 @@ among those, so bytes and characters agree.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 
+from .common import memo
+
 SEGMENT = 1 << 20
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -23,25 +23,26 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
 def _byte_values() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-    lowered = values.copy()
-    lowered[65:91] = values[97:123]
-    space = np.zeros(256, bool)
-    space[[9, 10, 11, 12, 13, 32]] = True
-    return values, lowered, space
-
-
-_powers: dict[int, np.ndarray] = {}
+    """A value for each byte, the same with A-Z as a-z, and which bytes are white space."""
+    held = memo("byte values")
+    if not held:
+        values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+        lowered = values.copy()
+        lowered[65:91] = values[97:123]
+        space = np.zeros(256, bool)
+        space[[9, 10, 11, 12, 13, 32]] = True
+        held["all"] = values, lowered, space
+    return held["all"]
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
+    held = memo("powers")
+    have = held.get(base)
     if have is None or len(have) < n:
         have = np.full(max(n, SEGMENT + 1), np.uint64(base))
         have[0] = 1
-        _powers[base] = have = np.cumprod(have, dtype=np.uint64)
+        held[base] = have = np.cumprod(have, dtype=np.uint64)
     return have[:n]
 
 
