@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_join, token_files
+from . import bpe, mixing, ngram_join, token_files
 from .common import table
 
 QUERIES: dict = {}
@@ -43,3 +43,20 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     back = token_files.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return back.select("doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS w FROM d GROUP BY source),
+ r AS (SELECT *, sum(source_size) OVER () AS total, coalesce(sum(source_size) OVER b, 0) AS stopped, sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS open_w,
+   row_number() OVER (ORDER BY source_size / w, source NULLS LAST) AS place
+   FROM s WINDOW b AS (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ c AS (SELECT *, source_size * 4 * open_w < (3 * total - 4 * stopped) * w AS capped FROM r),
+ f AS (SELECT 3 * total - 4 * stopped AS rest, open_w FROM c WHERE NOT capped ORDER BY place LIMIT 1),
+ g AS (SELECT source, source_size, CASE WHEN capped THEN CAST(source_size * 2 AS DOUBLE) ELSE CAST(w * f.rest AS DOUBLE) / CAST(f.open_w * 2 AS DOUBLE) END AS target FROM c, f),
+ j AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS n,
+   sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE UNBOUNDED PRECEDING) AS upto FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target,
+ CAST(size * (n + CASE WHEN n < 2 AND upto <= target - n * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM j""")
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
