@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, ngram_join, token_files
+from . import bpe, mixing, ngram_join, quality, token_files
 from .common import table
 
 QUERIES: dict = {}
@@ -60,3 +60,8 @@ SELECT doc_id, size, source_size, target,
  CAST(size * (n + CASE WHEN n < 2 AND upto <= target - n * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM j""")
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+@query()
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
