@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import partitions, prepared, stored
 from .words import hashed_words, mix, shingles
 
-HINTS = 1 << 17  # most frequent n-grams that order the columns; the order decides speed only, never a result
+HINTS = 1 << 18  # most frequent n-grams that order the columns; the order decides speed only, never a result
 FILTER_BITS = 1 << 24  # bitmap of classes to fetch; when it fills up, more sets are moved, none is lost
 _BLOCK = 2_000_000
 
@@ -32,47 +32,42 @@ def _class_key(grams: np.ndarray) -> bytes | None:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None
 
 
-def _sets(batches, width):
-    for batch in batches:
-        ids = batch.column(0).to_pylist() if batch.num_columns > 1 else None
-        texts = batch.column(batch.num_columns - 1)
-        for row, words, _, _ in hashed_words(texts, lower=True):
-            grams = shingles(words, width)
-            yield (ids[row] if ids else None), grams
+def _sets(batch, width):
+    for _, words, _, _ in hashed_words(batch.column(batch.num_columns - 1), lower=True):
+        yield shingles(words, width)
 
 
-_SCAN = "doc_id bigint, n bigint, cls binary, gram bigint, seen bigint"
+_SCAN = "doc_id bigint, tag bigint, n bigint, cls binary, gram bigint, seen bigint"
 
 
 def _scan(width):
-    """Per document its set size and class; besides, n-grams that recur within about a million n-grams."""
+    """Per document its set size and class; besides, n-grams that recur within about two million n-grams."""
 
     def run(batches):
         held, size = [], 0
 
         def recurring():
             grams, seen = np.unique(np.concatenate(held), return_counts=True)
-            often = seen >= 3
+            often = seen >= 2
             k = int(often.sum())
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()),
-                 pa.array(grams[often].view(np.int64)), pa.array(seen[often])], ["doc_id", "n", "cls", "gram", "seen"])
+                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()),
+                 pa.array(grams[often].view(np.int64)), pa.array(seen[often])], ["doc_id", "tag", "n", "cls", "gram", "seen"])
 
         for batch in batches:
-            ids, ns, keys = [], [], []
-            for doc_id, grams in _sets([batch], width):
-                ids.append(doc_id)
+            ns, keys = [], []
+            for grams in _sets(batch, width):
                 ns.append(len(grams))
                 keys.append(_class_key(grams))
                 held.append(grams)
                 size += len(grams)
-                if size > 1_000_000:
+                if size > 2_000_000:
                     yield recurring()
                     held, size = [], 0
-            k = len(ids)
+            k = len(ns)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()),
-                 pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], ["doc_id", "n", "cls", "gram", "seen"])
+                [batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()),
+                 pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], ["doc_id", "tag", "n", "cls", "gram", "seen"])
         if held:
             yield recurring()
 
@@ -100,7 +95,7 @@ def _deal(order, width, num, den, blocks):
         for batch in batches:
             out = {"block": [], "cls": [], "n": [], "k": [], "grams": []}
             parts, seen = [], set()
-            for _, grams in _sets([batch], width):
+            for grams in _sets(batch, width):
                 key = _class_key(grams)
                 if key is None or key in seen:
                     continue
@@ -183,7 +178,7 @@ def _fetch(wanted, width):
         bits = wanted.value
         for batch in batches:
             found = {}
-            for _, grams in _sets([batch], width):
+            for grams in _sets(batch, width):
                 key = _class_key(grams)
                 if key is not None and key not in found and bits[(b := _bit(key)) >> 3] >> (b & 7) & 1:
                     found[key] = grams.tobytes()
@@ -225,28 +220,23 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row per input row: ``key``, ``n_shingles`` and ``component_id``, the smallest ``key`` reachable by links.
-
-    Two rows link when den * |A & B| >= num * |A | B| for their sets of distinct ``width``-word runs over words in
-    which A-Z are lower-cased. A text with fewer words has the whole sequence as its only run; a null or blank text
-    has an empty set, links with nothing and is its own component. Repeated rows are rows of one class. A null key
-    is never the smallest; a component of null keys only has a null id. Other columns are not looked at.
-    """
+def _labelled(docs: DataFrame, text: str, key: str, width: int, num: int, den: int) -> DataFrame:
+    """(doc_id, tag, n, cls, label, component_id) of every row; ``tag`` is a hash of the text, ``label`` names the group and is
+    null, like ``component_id``, for an empty set."""
     spark = prepared(docs.sparkSession)
     texts = docs.select(F.col(text).cast("string").alias("text"))
-    scan = stored(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    scan = stored(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("tag"), F.col(text).cast("string").alias("text"))
                   .mapInArrow(_scan(width), _SCAN), "scan")
-    rows = scan.filter("n IS NOT NULL").select("doc_id", "n", "cls")
+    rows = scan.filter("n IS NOT NULL").select("doc_id", "tag", "n", "cls")
     often = (scan.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("seen").alias("seen"))
-             .orderBy(F.desc("seen"), "gram").limit(HINTS).toPandas())
-    hints = often["gram"].to_numpy(np.int64).view(np.uint64)
+             .orderBy(F.desc("seen"), "gram").limit(HINTS).toArrow())
+    hints = often["gram"].to_numpy().astype(np.int64).view(np.uint64)
     by = np.argsort(hints)
-    order = spark.sparkContext.broadcast((hints[by], often["seen"].to_numpy(np.int64)[by]))
+    order = spark.sparkContext.broadcast((hints[by], often["seen"].to_numpy().astype(np.int64)[by]))  # HINTS pairs at most
 
     total = rows.agg(F.sum(F.expr(f"n - ({num} * n) div {den} + 1"))).first()[0] or 0
     blocks = partitions(spark, total, _BLOCK)
-    dealt = texts.mapInArrow(_deal(order, width, num, den, 4 * blocks), "block bigint, cls binary, n binary, k binary, grams binary")
+    dealt = texts.mapInArrow(_deal(order, width, num, den, blocks), "block bigint, cls binary, n binary, k binary, grams binary")
     entries = stored(dealt.repartition(blocks, "block").mapInArrow(_meet(order), "gram bigint, cls binary, n bigint"), "entries")
 
     involved = entries.groupBy("cls").agg(F.lit(1))
@@ -266,7 +256,7 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
 
     fits = F.expr(f"{den} * least(nx, ny) >= {num} * greatest(nx, ny)")
     found, label = None, None
-    for few in (3, 8, None):
+    for few in (1, 6, 8, None):
         lists = entries if label is None else entries.join(label.withColumnRenamed("node", "cls"), "cls", "left")
         lists = lists.withColumn("grp", F.col("cls") if label is None else F.coalesce("label", "cls"))
         # the group with most entries of a column stands in the middle; entries of other groups look for links
@@ -283,10 +273,34 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
     classes = classes.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     classes = stored(classes, "classes")
     smallest = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = classes.select("cls", "label").join(smallest, "label").select("cls", "component_id")
-    return (rows.join(named, "cls", "left")
-            .select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"),
-                    F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+    named = classes.select("cls", "label").join(smallest, "label").select("cls", "label", "component_id")
+    return rows.join(named, "cls", "left").select("doc_id", "tag", "n", "cls", "label", "component_id")
+
+
+def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row per input row: ``key``, ``n_shingles`` and ``component_id``, the smallest ``key`` reachable by links.
+
+    Two rows link when den * |A & B| >= num * |A | B| for their sets of distinct ``width``-word runs over words in
+    which A-Z are lower-cased. A text with fewer words has the whole sequence as its only run; a null or blank text
+    has an empty set, links with nothing and is its own component. Repeated rows are rows of one class. A null key
+    is never the smallest; a component of null keys only has a null id. Other columns are not looked at.
+    """
+    found = _labelled(docs, text, key, width, num, den)
+    return found.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"),
+                        F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group the row with the smallest ``key`` stays (null keys last, then by a hash
+    of the text), and of equal rows one. Rows with an empty set are no copies of anything and all stay."""
+    found = stored(_labelled(docs, text, key, width, num, den), "groups")
+    first = found.filter("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")).alias("m"))
+    lead = first.select(F.col("m.doc_id").alias("_d"), F.col("m.tag").alias("_t"))
+    blank = found.filter("label IS NULL").select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")).distinct()
+    rows = docs.withColumn("_key", F.col(key).cast("bigint")).withColumn("_tag", F.xxhash64(F.col(text).cast("string")))
+    same = rows["_key"].eqNullSafe(F.col("_d")) & (rows["_tag"] == F.col("_t"))
+    once = rows.join(lead, same, "left_semi").dropDuplicates(["_key", "_tag"])
+    return once.unionByName(rows.join(blank, same, "left_semi")).select(docs.columns)
 
 
 def _few(lists: DataFrame, few: int, first: bool) -> DataFrame:
@@ -301,7 +315,8 @@ def _few(lists: DataFrame, few: int, first: bool) -> DataFrame:
     pairs = (others.select("gram", F.col("cls").alias("x"), F.col("n").alias("nx")).join(chosen, "gram").filter("x <> y")
              .groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("shared")))
     near = Window.partitionBy("x").orderBy(F.desc("shared"), F.xxhash64("y"), "y")
-    return pairs.withColumn("at", F.row_number().over(near)).filter(F.col("at") <= few)
+    chosen = pairs.withColumn("at", F.row_number().over(near)).filter(F.col("at") <= few)
+    return chosen.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min(F.least("nx", "ny")).alias("nx"), F.max(F.greatest("nx", "ny")).alias("ny"))
 
 
 def _all(lists: DataFrame) -> DataFrame:
