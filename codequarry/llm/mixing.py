@@ -55,33 +55,22 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def _hash(key: Column) -> Column:
-    """60 bits of a digest of the key."""
-    return F.conv(F.substring(F.md5(key.cast("string")), 1, BITS // 4), 16, 10).cast("bigint")
+    """60 bits of a digest of the key; a null key hashes like an empty one."""
+    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("bigint")
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """One row per input row: ``key``, size, source_size, target, taken.
-
-    ``taken`` is size times the whole repeats that the target holds (at most MOST), and once more for the documents
-    below the source's threshold: as many as fit in the rest of the target in hash order, so a source misses its target
-    by less than the documents of one hash value. Null or blank texts have size 0 and take 0. A null source is a source of its
-    own, the last; rows that share a key share a hash and go in or stay out together, null keys as well. Other columns
-    are not looked at. An empty table gives no rows.
-    """
-    prepared(docs.sparkSession)
-    rows = stored(docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), size_of(F.col(text).cast("string")).alias("size"))
-                  .withColumn("h", _hash(F.coalesce(F.col("key").cast("string"), F.lit("")))), "sizes")
+def _thresholds(rows: DataFrame) -> DataFrame:
+    """(source, source_size, target, repeats, threshold) from stored rows (source, size, h)."""
     goals = stored(targets(rows), "targets").withColumn("repeats", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
     # budget: what is left for one more time; start: hashes below it are in
     state = goals.select("source", (F.col("target") - F.col("repeats") * F.col("source_size")).alias("budget"), F.lit(0).cast("bigint").alias("start"))
-    shift = BITS
-    while shift > 0:
-        shift -= LEVEL_BITS
-        inside = F.col("h").bitwiseAND(F.lit((1 << (shift + LEVEL_BITS)) - 1)) if shift + LEVEL_BITS < BITS else F.col("h")
+    for shift in range(BITS - LEVEL_BITS, -1, -LEVEL_BITS):
+        above = shift + LEVEL_BITS
         part = rows.select("source", "h", "size")
-        if shift + LEVEL_BITS < BITS:  # only documents of the bucket where the budget ends
-            part = _same_source(part, state).filter(F.shiftright("h", shift + LEVEL_BITS) == F.shiftright("start", shift + LEVEL_BITS)).select("source", "h", "size")
-        histogram = (part.groupBy("source", F.shiftright(inside, shift).alias("bucket")).agg(F.sum("size").alias("words")))
+        if above < BITS:  # only documents of the bucket where the budget ends
+            part = _same_source(part, state).filter(F.shiftright("h", above) == F.shiftright("start", above))
+        bucket = F.shiftright("h", shift).bitwiseAND(F.lit((1 << LEVEL_BITS) - 1))
+        histogram = part.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
         run = Window.partitionBy("source").orderBy("bucket")
         sums = _same_source(histogram.withColumn("upto", F.sum("words").over(run)), state)
         fits = F.col("upto") <= F.col("budget")
@@ -90,19 +79,46 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
                  .agg(F.max(F.when(fits, F.col("upto"))).alias("used"), F.min(F.when(~fits, F.col("bucket"))).alias("bucket")))
         found = found.select("source", (F.col("budget") - F.coalesce("used", F.lit(0))).alias("budget"),
                              (F.col("start") + F.shiftleft(F.coalesce("bucket", F.lit(1 << LEVEL_BITS)).cast("bigint"), shift)).alias("start"))
-        state = stored(_kept_states(found, state), "thresholds")
-    chosen = _same_source(rows, state.select("source", F.col("start").alias("threshold")))
-    out = _same_source(chosen, goals.select("source", "source_size", "target", "repeats"))
-    taken = F.col("size") * (F.col("repeats") + F.when((F.col("h") < F.col("threshold")) & (F.col("repeats") < MOST), 1).otherwise(0))
-    return out.select(F.col("key").alias(key), "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+        # a source that had no document left to divide keeps its state
+        names = found.select(F.col("source").alias("_f"))
+        state = stored(found.unionByName(state.join(names, F.col("source").eqNullSafe(F.col("_f")), "left_anti")), "thresholds")
+    return _same_source(goals, state.select("source", F.col("start").alias("threshold")))
+
+
+def _prepared_rows(docs: DataFrame, text: str, source: str, key: str) -> DataFrame:
+    return docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), size_of(F.col(text).cast("string")).alias("size"), _hash(F.col(key)).alias("h"))
+
+
+def _times() -> Column:
+    return (F.col("repeats") + F.when((F.col("h") < F.col("threshold")) & (F.col("repeats") < MOST), 1).otherwise(0)).cast("int")
+
+
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+    """One row per input row: ``key``, size, source_size, target, taken.
+
+    ``taken`` is size times the whole repeats that the target holds (at most MOST), and once more for the documents
+    below the source's threshold: as many as fit in the rest of the target in hash order, so a source misses its target
+    by less than the documents of one hash value. Null or blank texts have size 0 and take 0. A null source is a source of its
+    own, the last; rows that share a key share a hash and go in or stay out together, null keys as well. Other columns
+    are not looked at. An empty table gives no rows.
+    """
+    prepared(docs.sparkSession)
+    rows = stored(_prepared_rows(docs, text, source, key), "sizes")
+    out = _same_source(rows, _thresholds(rows))
+    return out.select(F.col("key").alias(key), "size", "source_size", "target", (F.col("size") * _times()).cast("bigint").alias("taken"))
+
+
+def resample(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it. Texts without words weigh nothing and stay once."""
+    prepared(docs.sparkSession)
+    goals = _thresholds(stored(_prepared_rows(docs, text, source, key), "sizes"))
+    held = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(source).cast("string").alias("source"), size_of(F.col(text).cast("string")).alias("size"), _hash(F.col(key)).alias("h"))
+    times = F.when(F.col("size") > 0, _times()).otherwise(1)
+    copies = _same_source(held, goals).select("row", F.explode(F.array_repeat(F.lit(1), times)))
+    return copies.select("row.*")
 
 
 def _same_source(left: DataFrame, right: DataFrame) -> DataFrame:
     right = right.withColumnRenamed("source", "_s")
     return left.join(right, left["source"].eqNullSafe(right["_s"])).drop("_s")
 
-
-def _kept_states(found: DataFrame, state: DataFrame) -> DataFrame:
-    """The new states, and the old one of a source that had no document left to divide."""
-    names = found.select(F.col("source").alias("_f"))
-    return found.unionByName(state.join(names, F.col("source").eqNullSafe(F.col("_f")), "left_anti"))
