@@ -34,7 +34,23 @@ def idle_sessions(spark, sf_dir):
     return calls.idle_sessions(e, 3600)
 
 
-@query()
+_OPS = """o AS (SELECT event_type AS tenant, event_id AS id, epoch_us(ts) AS us, user_id AS s,
+   CASE WHEN event_id % 5 = 0 THEN 'create' WHEN event_id % 25 = 4 THEN 'destroy' ELSE 'touch' END AS op,
+   row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events)"""
+
+
+@query(f"""WITH RECURSIVE {_OPS},
+ r AS (SELECT DISTINCT tenant, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS BIGINT) AS evicted,
+   CAST([] AS STRUCT(s BIGINT, us BIGINT)[]) AS live FROM o
+  UNION ALL SELECT tenant, n, id,
+   CASE WHEN op = 'create' THEN 'created' WHEN NOT known THEN 'unknown' WHEN op = 'touch' THEN 'touched' ELSE 'destroyed' END,
+   CASE WHEN op = 'create' AND NOT known AND len(l) >= 10 THEN l[1].s END,
+   CASE WHEN op <> 'create' AND NOT known THEN l
+    ELSE list_concat(list_filter(CASE WHEN NOT known AND len(l) >= 10 THEN l[2:] ELSE l END, lambda x: x.s <> s),
+     CASE WHEN op = 'destroy' THEN CAST([] AS STRUCT(s BIGINT, us BIGINT)[]) ELSE [{{'s': CAST(s AS BIGINT), 'us': CAST(us AS BIGINT)}}] END) END
+  FROM (SELECT *, len(list_filter(l, lambda x: x.s = s)) > 0 AS known FROM
+   (SELECT o.tenant, o.n, o.id, o.op, o.s, o.us, list_filter(r.live, lambda x: o.us - x.us <= 21600000000) AS l FROM r JOIN o ON o.tenant = r.tenant AND o.n = r.n + 1)))
+SELECT tenant, id, outcome, evicted, CAST(len(live) AS INTEGER) AS active FROM r WHERE n > 0""")
 def session_cap(spark, sf_dir):
     e, k = table(spark, sf_dir, "events"), F.col("event_id")
     ops = e.select(F.col("event_type").alias("tenant"), "ts", k.alias("id"),

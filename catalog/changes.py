@@ -25,13 +25,14 @@ def _edits(df):
     return on_file.unionByName(on_new)
 
 
+ROOT = "/srv/code"
 _SENS = f"({sql_matches(chr(34) + 'name' + chr(34), _WRITE_SENSITIVE)} AND name NOT IN {TEMPLATES})"
 _EDITS = """edits AS (SELECT repo, path, doc_id, CASE WHEN doc_id % 4 = 0 THEN 'create' WHEN doc_id % 4 = 1 THEN 'append' WHEN doc_id % 9 = 8 THEN 'patch' ELSE 'overwrite' END AS mode,
   concat('edit ', doc_id, chr(10)) AS content, CASE doc_id % 6 WHEN 0 THEN sha256(content) WHEN 1 THEN repeat('0', 64) WHEN 2 THEN 'xyz' END AS expected_sha256, doc_id % 2 = 0 AS allow_sensitive, content AS before FROM files
  UNION ALL SELECT repo, CASE doc_id % 5 WHEN 0 THEN '.git/' WHEN 1 THEN '../' ELSE 'new/' END || path, doc_id, 'create', content, NULL, false, NULL FROM files)"""
 _PLAN = _EDITS + f""", named AS (SELECT *, string_split(path, '/')[-1] AS name, CASE WHEN mode = 'append' THEN before || content ELSE content END AS after FROM edits),
  plan AS (SELECT repo, path, mode, before IS NOT NULL AS existed_before, before, after, CASE
-   WHEN path LIKE '../%' THEN 'filePath must stay inside the target directory'
+   WHEN path LIKE '../%' THEN 'the path leads out of the repository'
    WHEN path LIKE '.git/%' THEN 'writes into VCS metadata or the state directory are not allowed'
    WHEN NOT allow_sensitive AND {_SENS} THEN 'target matches a sensitive-file convention; allow_sensitive overrides'
    WHEN mode = 'patch' THEN 'mode must be one of: create, overwrite, append'
@@ -43,7 +44,7 @@ _PLAN = _EDITS + f""", named AS (SELECT *, string_split(path, '/')[-1] AS name,
 def _plan(spark, sf_dir, reuse=False):
     """``reuse``: the plan is needed more than once, so it is stored instead of joined again."""
     df = files(spark, sf_dir)
-    plan = changes.write_plan(_edits(df), df)
+    plan = changes.write_plan(_edits(df), df, ROOT)
     return df, materialize(plan) if reuse else plan
 
 
@@ -73,7 +74,7 @@ def bulk_replace(spark, sf_dir):
     df = files(spark, sf_dir)
     edits = df.select("repo", "path", F.lit(" the ").alias("find"), F.lit(" THE ").alias("replace"),
                       F.lit(1).alias("expected_occurrences"), F.lit(True).alias("allow_sensitive"))
-    return changes.replace_plan(edits, df).select("repo", "path", "occurrences", "reject_reason", "sha256_after")
+    return changes.replace_plan(edits, df, ROOT).select("repo", "path", "occurrences", "reject_reason", "sha256_after")
 
 
 _LOG = f"""ops AS (SELECT repo, concat('20240501T100000Z-', left(sha256(concat_ws(chr(1), 'batch-1', repo, path)), 32)) AS change_id, 0 AS op_idx, 'write_file' AS operation, path,
@@ -114,7 +115,7 @@ def _rollback(spark, sf_dir):
     after = changes.apply_plan(df, plan)
     # as if created files had meanwhile been removed again in one top-level folder
     after = after.filter(~F.col("path").startswith("new/docs/"))
-    return after, changes.rollback_plan(ops, backups, after)
+    return after, changes.rollback_plan(ops, backups, after, root=ROOT)
 
 
 @query(f"""WITH {FILES}, {_PLAN}, {_LOG} SELECT repo, path, change_id, CASE WHEN existed_before THEN 'restore-original' ELSE 'delete-created-file' END AS plan,

@@ -89,7 +89,7 @@ def manifest_errors(spark, sf_dir):
     return deps.parse_errors(deps.parsed_manifests(manifests(spark, sf_dir)))
 
 
-@query(f"WITH {_EXPECTED} SELECT repo, file AS manifest, pos, 'library' AS type, name, version, coalesce(scope, 'required') AS scope, ecosystem FROM d WHERE pos < 200")
+@query(f"WITH {_EXPECTED} SELECT repo, file AS manifest, pos, 'library' AS type, name, version, coalesce(scope, 'required') AS scope, ecosystem FROM d")
 def sbom_components(spark, sf_dir):
     return deps.sbom_components(deps.parsed_manifests(manifests(spark, sf_dir)))
 

@@ -28,31 +28,29 @@ _SKIPPED = r"\.(png|jpg|jpeg|gif|bmp|ico|svg|webp|woff|woff2|ttf|eot|pyc|pyo|cla
  regexp_matches(path, '(^|/)(\\.git|\\.sdlc)(/|$)') AS is_protected,
  regexp_matches(lower({_NAME}), '.{_SKIPPED}') AS entropy_skipped FROM files""")
 def path_flags(spark, sf_dir):
-    return inventory.path_flags(files(spark, sf_dir, content=False))
+    return inventory.path_flags(files(spark, sf_dir))
 
 
 @query(f"""WITH {SEEN}, r AS (SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY wk, path) AS pos FROM seen)
 SELECT * FROM r WHERE pos <= 25""")
 def sample_walk_order(spark, sf_dir):
-    return inventory.sample(files(spark, sf_dir, content=False), 25)
+    return inventory.sample(files(spark, sf_dir), 25)
 
 
 _MEMBERS = SEEN + ", tagged AS (" + " UNION ALL ".join(
-    f"SELECT repo, '{n}' AS category, path, wk FROM seen WHERE {sql}" for n, sql in _RULES.items()) + """),
- placed AS (SELECT *, row_number() OVER (PARTITION BY repo, category ORDER BY wk, path) AS pos FROM tagged),
- members AS (SELECT * FROM placed WHERE category NOT IN ('tests', 'infrastructure', 'sensitive') OR pos <= CASE category WHEN 'sensitive' THEN 20 ELSE 50 END)"""
+    f"SELECT repo, '{n}' AS category, path, wk FROM seen WHERE {sql}" for n, sql in _RULES.items()) + """), members AS (SELECT * FROM tagged)"""
 
 
 @query(f"WITH {_MEMBERS} SELECT repo, category, path FROM members")
 def snapshot_members(spark, sf_dir):
-    return inventory.snapshot_members(files(spark, sf_dir, content=False))
+    return inventory.snapshot_members(files(spark, sf_dir))
 
 
 @query(f"""WITH {SEEN} SELECT repo, count(*) AS file_count, count(*) FILTER (WHERE contains(path, chr(65533))) AS non_utf8_paths,
- {', '.join((f"least(count(*) FILTER (WHERE {sql}), {dict(tests=50, infrastructure=50, sensitive=20)[n]})" if n in ('tests', 'infrastructure', 'sensitive') else f"count(*) FILTER (WHERE {sql})") + f" AS {n}_count" for n, sql in _RULES.items())},
+ {', '.join(f"count(*) FILTER (WHERE {sql}) AS {n}_count" for n, sql in _RULES.items())},
  false AS sample_limit_reached FROM seen GROUP BY repo""")
 def repo_snapshot(spark, sf_dir):
-    return inventory.snapshot_counts(files(spark, sf_dir, content=False))
+    return inventory.snapshot_counts(files(spark, sf_dir))
 
 
 @query(f"""WITH {SEEN}, r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY wk, path) AS pos FROM seen),
@@ -60,7 +58,7 @@ def repo_snapshot(spark, sf_dir):
 SELECT repo, count(*) AS file_count, {', '.join(f"coalesce(string_agg(path, '|' ORDER BY wk, path) FILTER (WHERE {sql}), '') AS {n}" for n, sql in _RULES.items())},
  count(*) >= 40 AS sample_limit_reached FROM s GROUP BY repo""")
 def repo_snapshot_sampled(spark, sf_dir):
-    snap = inventory.repo_snapshot(files(spark, sf_dir, content=False), max_files=40)
+    snap = inventory.repo_snapshot(files(spark, sf_dir), max_files=40)
     return snap.select("repo", "file_count", *[F.array_join(n, "|").alias(n) for n in inventory.CATEGORIES],
                        "sample_limit_reached")
 
@@ -71,7 +69,7 @@ _LANG = """CASE WHEN lower(regexp_extract(name, '^.+(\\.[^.]+)$', 1)) IN ('.py')
  WHEN lower(regexp_extract(name, '^.+(\\.[^.]+)$', 1)) IN ('.yaml', '.yml') THEN 'YAML'
  WHEN lower(regexp_extract(name, '^.+(\\.[^.]+)$', 1)) = '.md' THEN 'Markdown' ELSE 'Other' END"""
 _STATS = SEEN + f""", lang AS (SELECT *, {_LANG} AS language FROM seen),
- sized AS (SELECT *, language <> 'Other' AND size_bytes <= 1048576 AS counted,
+ sized AS (SELECT *, language <> 'Other' AS counted,
    CASE WHEN content = '' THEN 0 ELSE length(content) - length(replace(content, chr(10), '')) + CASE WHEN right(content, 1) = chr(10) THEN 0 ELSE 1 END END AS n FROM lang),
  grouped AS (SELECT repo, language, count(*) AS files, CAST(coalesce(sum(n) FILTER (WHERE counted), 0) AS bigint) AS lines,
    count(*) FILTER (WHERE counted) AS counted_files, min((wk, path)) AS seen_at FROM sized GROUP BY repo, language),
@@ -97,15 +95,15 @@ _TREE = SEEN + """, parts AS (SELECT repo, path, string_split(path, '/') AS ps F
    (SELECT repo, ps, unnest(range(1, least(len(ps) - 1, {d} + 1) + 1)) AS i FROM parts))"""
 
 
-@query(f"WITH {_TREE.format(d=4)} SELECT * FROM tree")
+@query(f"WITH {_TREE.format(d=1000000)} SELECT * FROM tree")
 def directory_tree(spark, sf_dir):
-    return inventory.directory_tree(files(spark, sf_dir, content=False))
+    return inventory.directory_tree(files(spark, sf_dir))
 
 
 @query(f"""WITH {_TREE.format(d=1)}, r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY depth, replace(lower(path), '/', chr(1)), path) AS pos FROM tree)
 SELECT * FROM r WHERE pos <= 30""")
 def directory_tree_capped(spark, sf_dir):
-    return inventory.directory_tree(files(spark, sf_dir, content=False), max_depth=1, max_entries=30)
+    return inventory.directory_tree(files(spark, sf_dir), max_depth=1, max_entries=30)
 
 
 @query(f"""WITH {PIECES}, kept AS (SELECT repo, path, content, ls FROM arrays)
@@ -120,7 +118,7 @@ def line_counts(spark, sf_dir):
 
 # Unicode word edges for RE2: every character that is not a letter, digit or _ is doubled.
 _W = r"\p{L}\p{N}_"
-_METRICS = PIECES + rf""", base AS (SELECT *, CASE WHEN size_bytes = 0 THEN 'empty' WHEN size_bytes > 262144 THEN 'large' ELSE 'scanned' END AS state FROM arrays),
+_METRICS = PIECES + rf""", base AS (SELECT *, CASE WHEN size_bytes = 0 THEN 'empty' ELSE 'scanned' END AS state FROM arrays),
  marks AS (SELECT *, list_transform(ls, lambda x: upper(regexp_extract(x, '(?i)(TODO|FIXME|HACK|XXX|BUG)([^{_W}]|$)', 1))) AS ks,
    len(regexp_extract_all(regexp_replace(' ' || content || ' ', '([^{_W}])', '\1\1', 'g'), '[^{_W}](if|for|while|case|elif|else  if)[^{_W}]'))
    + len(regexp_extract_all(content, '&&|\|\|')) AS branches FROM base),
@@ -128,7 +126,7 @@ _METRICS = PIECES + rf""", base AS (SELECT *, CASE WHEN size_bytes = 0 THEN 'emp
    len(list_filter(ks, lambda k: k IN ('FIXME', 'BUG'))) AS fixme, len(list_filter(ls, lambda x: length(x) > 200)) AS long_lines, branches FROM marks WHERE state = 'scanned'
    UNION ALL SELECT repo, path, wk, size_bytes, state, NULL, NULL, NULL, NULL, NULL, NULL FROM base WHERE state <> 'scanned'),
  agg AS (SELECT repo, count(*) AS file_count, count(*) FILTER (WHERE state = 'scanned') AS files_scanned, CAST(coalesce(sum(todo), 0) AS bigint) AS todo_count,
-   CAST(coalesce(sum(fixme), 0) AS bigint) AS fixme_count, count(*) FILTER (WHERE state = 'large') AS large_files, CAST(coalesce(sum(long_lines), 0) AS bigint) AS long_lines,
+   CAST(coalesce(sum(fixme), 0) AS bigint) AS fixme_count, count(*) FILTER (WHERE size_bytes > 262144) AS large_files, CAST(coalesce(sum(long_lines), 0) AS bigint) AS long_lines,
    count(*) FILTER (WHERE state = 'empty') AS empty_files, 0 AS binary_skipped, count(*) FILTER (WHERE branches > 30 AND lines < 200) AS dense_files FROM fm GROUP BY repo),
  scored AS (SELECT *, greatest(0, 100 - least(20, todo_count // 2) - least(20, fixme_count * 3) - least(15, large_files * 2)
    - least(10, long_lines // 20) - least(15, dense_files * 2)) AS health_score FROM agg)"""
@@ -166,7 +164,7 @@ def path_containment(spark, sf_dir):
     k = F.col("page_id")
     p = F.concat(F.when(k % 4 == 0, "").when(k % 4 == 1, "../").when(k % 4 == 2, "a/b/../").otherwise("./x/../../"), tail,
                  F.when(k % 3 == 0, "/../..").otherwise(""))
-    return table(spark, sf_dir, "pages").select("page_id", p.alias("p"), paths.is_within_root(p).alias("inside"))
+    return table(spark, sf_dir, "pages").select("page_id", p.alias("p"), paths.is_within_root(p, "/srv/code").alias("inside"))
 
 
 @query("""WITH v AS (SELECT p_partkey, concat(p_size, '.', p_partkey % 100, CASE p_partkey % 5 WHEN 0 THEN '' ELSE concat('.', p_partkey % 7) END,

@@ -29,7 +29,7 @@ def _signal_sql(cap=None):
     return f"""{_FINDINGS}{picked}, {_TREE}, found AS (SELECT repo, count(*) AS n FROM findings f WHERE EXISTS (SELECT 1 FROM {src} p WHERE p.repo = f.repo AND p.path = f.file) GROUP BY repo),
  docs AS (SELECT repo, bool_or(path = 'README.md') AS has_readme, bool_or(path = 'CHANGELOG.md') AS has_changelog FROM files GROUP BY repo),
  sig AS (SELECT s.repo, count(*) AS file_count, {', '.join(f'count(*) FILTER (WHERE {sql}) AS {n}' for n, sql in _RULES.items())} FROM {src} s GROUP BY s.repo),
- full_sig AS (SELECT sig.* REPLACE (least(tests, 50) AS tests), has_readme, has_changelog, least(coalesce(found.n, 0), 500) AS secret_findings, coalesce(w.available, false) AS available, coalesce(w.repository, false) AS repository,
+ full_sig AS (SELECT sig.*, has_readme, has_changelog, coalesce(found.n, 0) AS secret_findings, coalesce(w.available, false) AS available, coalesce(w.repository, false) AS repository,
    w.changed_file_count, coalesce(w.diff_check_ok, false) AS diff_ok, {'false' if cap is None else f'file_count >= {cap}'} AS reached FROM sig JOIN docs USING (repo) LEFT JOIN found USING (repo) LEFT JOIN worktree w USING (repo)),
  checks AS (SELECT repo, 0 AS pos, 'inventory-completeness' AS id, CASE WHEN reached THEN 'warning' ELSE 'pass' END AS status FROM full_sig
   UNION ALL SELECT repo, 1, 'build-manifests', CASE WHEN manifests > 0 THEN 'pass' ELSE 'warning' END FROM full_sig
@@ -55,13 +55,13 @@ def _signal_sql(cap=None):
 
 @query(f"WITH {_signal_sql()} SELECT * FROM checks")
 def release_checks(spark, sf_dir):
-    rows = readiness.signals(files(spark, sf_dir, content=False), worktree=worktree(spark, sf_dir))
+    rows = readiness.signals(files(spark, sf_dir), worktree=worktree(spark, sf_dir))
     return readiness.readiness_checks(rows).select("repo", "pos", "id", "status")
 
 
 @query(f"WITH {_signal_sql()} SELECT repo, readiness_status AS status, passed, warnings, failed, unknown, CASE WHEN readiness_status IN ('blocked', 'needs-review') THEN 1 ELSE 0 END AS gate_exit FROM labelled")
 def release_readiness(spark, sf_dir):
-    rows = readiness.signals(files(spark, sf_dir, content=False), worktree=worktree(spark, sf_dir))
+    rows = readiness.signals(files(spark, sf_dir), worktree=worktree(spark, sf_dir))
     return readiness.release_readiness(rows, strict=True)
 
 

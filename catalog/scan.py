@@ -11,7 +11,7 @@ from .views import LINES, PIECES, SEEN, SENSITIVE_FILE, TEMPLATES, files, sql_fi
 NOTE = scan.SENSITIVE_NOTE
 _NAMED = f"({sql_matches('path', SENSITIVE_FILE)} AND lower(name) NOT IN {TEMPLATES})"
 _FINDINGS = LINES + f""", hits AS (
-  SELECT repo, path, wk, line, l, {sql_first_rule('l')} AS signature FROM lines WHERE NOT {_NAMED} AND size_bytes <= 1048576),
+  SELECT repo, path, wk, line, l, {sql_first_rule('l')} AS signature FROM lines WHERE NOT {_NAMED}),
  findings AS (
   SELECT repo, path AS file, wk, line, signature, left({sql_redact("trim(l, ' ' || chr(9))")}, 300) AS preview
   FROM hits WHERE signature IS NOT NULL
@@ -30,7 +30,7 @@ def secret_findings_capped(spark, sf_dir):
 
 
 @query(f"""WITH {_FINDINGS}, n AS (SELECT repo, count(*) AS c FROM findings GROUP BY repo)
-SELECT s.repo, count(*) FILTER (WHERE NOT {_NAMED} AND size_bytes <= 1048576) AS files_scanned, coalesce(max(n.c), 0) AS finding_count,
+SELECT s.repo, count(*) FILTER (WHERE NOT {_NAMED}) AS files_scanned, coalesce(max(n.c), 0) AS finding_count,
  false AS findings_limit_reached, CASE WHEN coalesce(max(n.c), 0) > 0 THEN 'warning' ELSE 'pass' END AS status
 FROM seen s LEFT JOIN n USING (repo) GROUP BY s.repo""")
 def secret_scan_summary(spark, sf_dir):
@@ -39,7 +39,7 @@ def secret_scan_summary(spark, sf_dir):
 
 @query(f"""WITH {_FINDINGS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY wk, file, line) AS pos FROM findings),
  stop AS (SELECT repo, wk, file FROM ranked WHERE pos = 5), n AS (SELECT repo, least(count(*), 5) AS c FROM findings GROUP BY repo)
-SELECT s.repo, count(*) FILTER (WHERE NOT {_NAMED} AND size_bytes <= 1048576
+SELECT s.repo, count(*) FILTER (WHERE NOT {_NAMED}
    AND (stop.wk IS NULL OR (s.wk, s.path) <= (stop.wk, stop.file))) AS files_scanned,
  coalesce(max(n.c), 0) AS finding_count, coalesce(max(n.c), 0) >= 5 AS findings_limit_reached,
  CASE WHEN coalesce(max(n.c), 0) > 0 THEN 'warning' ELSE 'pass' END AS status
@@ -70,7 +70,7 @@ def sarif_documents(spark, sf_dir):
 # neighbouring tokens do not share a delimiter; a leading space stands for the start of a line.
 _C = r"A-Za-z0-9+/=_\-.~"
 _IGNORED_EXT = r"\.(png|jpe?g|gif|bmp|ico|svg|webp|woff2?|ttf|eot|pyc|pyo|class|o|so|dll|lock|map|zip|tar|gz|bz2|xz|7z)$"
-_TOKENS = LINES + rf""", kept AS (SELECT * FROM lines WHERE size_bytes BETWEEN 1 AND 262144
+_TOKENS = LINES + rf""", kept AS (SELECT * FROM lines WHERE size_bytes > 0
    AND NOT regexp_matches(lower(name), '.{_IGNORED_EXT}')),
  runs AS (SELECT repo, path, wk, line, unnest(rs) AS r, unnest(range(0, len(rs))) AS tpos FROM (
    SELECT *, regexp_extract_all(regexp_replace(' ' || l || ' ', '([^{_C}])', '\1\1', 'g'), '[^{_C}][{_C}]+[^{_C}]') AS rs FROM kept)),
@@ -103,7 +103,7 @@ def entropy_findings(spark, sf_dir):
 
 
 @query(f"""WITH {_FIRST}, n AS (SELECT repo, count(*) AS c FROM firsts WHERE h >= 3.0 GROUP BY repo)
-SELECT s.repo, count(*) FILTER (WHERE size_bytes BETWEEN 1 AND 262144 AND NOT regexp_matches(lower(name), '.{_IGNORED_EXT}')) AS files_scanned,
+SELECT s.repo, count(*) FILTER (WHERE size_bytes > 0 AND NOT regexp_matches(lower(name), '.{_IGNORED_EXT}')) AS files_scanned,
  coalesce(max(n.c), 0) AS finding_count, false AS findings_limit_reached,
  CASE WHEN coalesce(max(n.c), 0) > 0 THEN 'warning' ELSE 'pass' END AS status
 FROM seen s LEFT JOIN n USING (repo) GROUP BY s.repo""")
@@ -113,16 +113,16 @@ def entropy_summary(spark, sf_dir):
 
 _PAT = r"(?i)password|https?://|\bthe (?:of|on)\b"
 _HITS = PIECES + rf""", hits AS (SELECT repo, path, wk, ls, unnest(list_filter(range(1, len(ls) + 1),
-  lambda i: regexp_matches(ls[i], '{_PAT}'))) AS line FROM arrays WHERE size_bytes <= 262144)"""
+  lambda i: regexp_matches(ls[i], '{_PAT}'))) AS line FROM arrays)"""
 
 
 def _shown(col: str) -> str:
-    return sql_redact(f"left({col}, 300)")
+    return f"left({sql_redact(col)}, 300)"
 
 
 _CONTEXT = f"""SELECT repo, path AS file, line, {_shown('ls[line]')} AS text,
  coalesce(CASE WHEN line > 2 THEN {_shown('ls[line - 2]')} || chr(10) ELSE '' END || CASE WHEN line > 1 THEN {_shown('ls[line - 1]')} ELSE '' END, '') AS before,
- coalesce(CASE WHEN line + 1 <= len(ls) THEN {_shown('ls[line + 1]')} ELSE '' END || CASE WHEN line + 2 <= len(ls) THEN chr(10) || {_shown('ls[line + 2]')} ELSE '' END, '') AS after"""
+ length({sql_redact('ls[line]')}) > 300 AS text_truncated, coalesce(CASE WHEN line + 1 <= len(ls) THEN {_shown('ls[line + 1]')} ELSE '' END || CASE WHEN line + 2 <= len(ls) THEN chr(10) || {_shown('ls[line + 2]')} ELSE '' END, '') AS after"""
 
 
 def _joined(found):
@@ -142,6 +142,6 @@ def search_top_matches(spark, sf_dir):
 
 @query(f"""WITH {_HITS}, n AS (SELECT repo, count(*) AS c FROM hits GROUP BY repo)
 SELECT s.repo, count(*) AS files_searched, coalesce(max(n.c), 0) AS match_count, false AS results_limit_reached
-FROM seen s LEFT JOIN n USING (repo) WHERE size_bytes <= 262144 GROUP BY s.repo""")
+FROM seen s LEFT JOIN n USING (repo) GROUP BY s.repo""")
 def search_summary(spark, sf_dir):
     return scan.search_summary(files(spark, sf_dir), _PAT)

@@ -9,8 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.sources.tables import spread
-
 from .registry import table
 
 _NAME = """CASE doc_id % 11 WHEN 0 THEN 'package.json' WHEN 1 THEN 'requirements.txt' WHEN 2 THEN 'yarn.lock'
@@ -45,10 +43,8 @@ def _files_select(dialect: str, source: str) -> str:
             f"CAST({d['bytes']}(concat(text, {last})) AS bigint) AS size_bytes FROM {source}")
 
 
-def files(spark: SparkSession, sf_dir: str, content: bool = True) -> DataFrame:
-    """``content=False`` is for queries that look at paths only."""
-    documents = table(spark, sf_dir, "documents")
-    return files_from(spark, spread(documents, "doc_id") if content else documents)
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files_from(spark, table(spark, sf_dir, "documents"))
 
 
 def files_from(spark: SparkSession, documents: DataFrame) -> DataFrame:

@@ -114,7 +114,7 @@ def _normal_parts(path: Column) -> Column:
         .otherwise(F.concat(acc, F.array(x))))
 
 
-def is_within_root(path: Column, root: str = "/root/repo") -> Column:
+def is_within_root(path: Column, root: str) -> Column:
     """Does the path, taken from ``root`` unless absolute, stay inside it once dots are resolved?"""
     base = [p for p in root.split("/") if p]
     full = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(root + "/"), path))

@@ -4,6 +4,8 @@ separators U+001C-U+001F counted as white space, and Python's group and end-of-t
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ _INSIDE = {r"\s": rf"\s{_EXTRA_SPACE}", r"\w": _WORD}
 
 def jvm(pattern: str, ignore_case: bool = False, flags: str = "") -> str:
     """Translate a Python regex into the Java dialect with Python's meaning."""
-    pattern = pattern.replace("(?P<", "(?<").replace(r"\Z", r"\z")
+    pattern = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern).replace("(?P<", "(?<").replace(r"\Z", r"\z")
     out, in_class, i = [], False, 0
     while i < len(pattern):
         ch = pattern[i]

@@ -29,9 +29,10 @@ def replaced_count(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit("�"), F.lit("")))).cast("int")
 
 
-def is_binary(content: Column) -> Column:
-    """NUL, or more than 30 % control bytes, in the sniffed head of the file."""
-    head = F.decode(F.substring(content.cast("binary"), 1, rules.SNIFF_BYTES), "ISO-8859-1")
+def is_binary(content: Column, head_bytes: int | None = None) -> Column:
+    """NUL, or more than 30 % control bytes, in the file, or in its first ``head_bytes`` if a number is given."""
+    raw = content.cast("binary")
+    head = F.decode(raw if head_bytes is None else F.substring(raw, 1, head_bytes), "ISO-8859-1")
 
     def verdict(h):
         control = F.length(F.regexp_replace(h, r"[^\x00-\x08\x0e-\x1f]", ""))

@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params
@@ -73,14 +74,31 @@ def tail(log: DataFrame, n: int = 50) -> DataFrame:
     return top_n(entries, ["repo"], [F.desc("pos")], n, ["pos"], rank="back")
 
 
+RESERVED = ("seq", "timestampUtc", "prevHash", "entryHash")
+
+
+def _acceptable(record: Column) -> Column:
+    """A JSON object without a repeated key and without the names that the log itself writes."""
+    value = F.try_parse_json(record)
+    clash = reduce(lambda a, b: a | b, [F.try_variant_get(value, f"$.{name}", "variant").isNotNull() for name in RESERVED])
+    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT") & ~clash, F.lit(False))
+
+
+def rejected(records: DataFrame) -> DataFrame:
+    """The records that ``append`` passes over."""
+    return records.filter(~_acceptable(F.col("record")))
+
+
 def append(records: DataFrame, tails: DataFrame | None = None) -> DataFrame:
     """Chain records(repo, ord, timestamp_utc, record) onto each repo's log.
 
     ``record`` is the JSON text of an object; ``tails(repo, n_entries, last_hash)`` is the state of
     the logs so far. Every hash needs the one before it, so a repo's records form one ordered
     stream; all parsing and canonical text is prepared in parallel first, and the fold only
-    splices, hashes and passes rows on, holding one state per repo. Returns (repo, pos, raw)."""
+    splices, hashes and passes rows on, holding one state per repo. Records that cannot be logged are
+    passed over; ``rejected`` lists them. Returns (repo, pos, raw)."""
     c = F.col
+    records = records.filter(_acceptable(c("record")))
     mark = F.concat(F.lit("@"), F.sha2("record", 256))
     fields = F.concat(F.lit('{"prevHash":"'), mark, F.lit('p","seq":"'), mark, F.lit('s","timestampUtc":"'), c("timestamp_utc"), F.lit('"'))
     inner = F.regexp_replace("record", r"(?s)^\s*\{\s*|\s*\}\s*\z", "")

@@ -19,7 +19,7 @@ KEY = ["repo", "path"]
 
 
 def _guard(path: Column, allow_sensitive: Column, root: str) -> Column:
-    return (F.when(~paths.is_within_root(path, root), "filePath must stay inside the target directory")
+    return (F.when(~paths.is_within_root(path, root), "the path leads out of the repository")
             .when(paths.is_protected(path), "writes into VCS metadata or the state directory are not allowed")
             .when(~F.coalesce(allow_sensitive, F.lit(False)) & paths.is_write_sensitive(path),
                   "target matches a sensitive-file convention; allow_sensitive overrides"))
@@ -38,7 +38,7 @@ def _with_current(edits: DataFrame, files: DataFrame) -> DataFrame:
     return _one_per_path(edits).join(named, KEY, "left")
 
 
-def write_plan(edits: DataFrame, files: DataFrame, root: str = "/root/repo") -> DataFrame:
+def write_plan(edits: DataFrame, files: DataFrame, root: str) -> DataFrame:
     """edits(repo, path, mode, content, expected_sha256, allow_sensitive) against the current files."""
     c = F.col
     joined = _with_current(edits, files)
@@ -68,7 +68,7 @@ def occurrences(body: Column, find: Column) -> Column:
     return ((F.octet_length(body) - F.octet_length(F.replace(body, find, F.lit("")))) / F.octet_length(find)).cast("int")
 
 
-def replace_plan(edits: DataFrame, files: DataFrame, root: str = "/root/repo") -> DataFrame:
+def replace_plan(edits: DataFrame, files: DataFrame, root: str) -> DataFrame:
     """edits(repo, path, find, replace, expected_occurrences, allow_sensitive): exact replacement, refused
     unless ``find`` occurs exactly as often as stated."""
     c, limit = F.col, rules.MAX_WRITE_BYTES
@@ -83,7 +83,7 @@ def replace_plan(edits: DataFrame, files: DataFrame, root: str = "/root/repo") -
         F.when(F.octet_length("find") > limit, f"find exceeds the {limit}-byte limit"),
         F.when(~expected.between(1, 10_000), "expectedOccurrences must be between 1 and 10000"),
         F.when(c("edits_of_path") > 1, "the batch names this path more than once"),
-        F.when(c("before").isNull(), "target does not exist as a regular file"),
+        F.when(c("before").isNull(), "there is no such file"),
         F.when((F.octet_length("before") > limit) | ~F.is_valid_utf8(body), "target is not manageable UTF-8 text"),
         F.when(c("occurrences") != expected, F.concat(
             F.lit("expected "), expected.cast("string"), F.lit(" occurrence(s) of 'find' but found "),
@@ -178,7 +178,7 @@ def change_paths(ops: DataFrame, changes: DataFrame) -> DataFrame:
 # --- rollback ---------------------------------------------------------------------------
 
 def rollback_plan(ops: DataFrame, backups: DataFrame, files: DataFrame, wanted: DataFrame | None = None,
-                  root: str = "/root/repo") -> DataFrame:
+                  *, root: str) -> DataFrame:
     """What undoing the wanted change sets (repo, change_id; all if None) does to each path.
     Undoing runs newest first, so the state before the oldest operation on a path is what remains."""
     chosen = ops if wanted is None else ops.join(wanted.select("repo", "change_id"), ["repo", "change_id"], "left_semi")
@@ -189,7 +189,7 @@ def rollback_plan(ops: DataFrame, backups: DataFrame, files: DataFrame, wanted:
     joined = first.join(payload, ["repo", "change_id", "path"], "left").join(here, KEY, "left")
     c = F.col
     reason = F.coalesce(
-        F.when(~paths.is_within_root(c("path"), root), "filePath must stay inside the target directory"),
+        F.when(~paths.is_within_root(c("path"), root), "the path leads out of the repository"),
         F.when(paths.is_protected(c("path")), "writes into VCS metadata or the state directory are not allowed"),
         F.when(c("existed_before") & c("restored").isNull(), "backup payload is missing; cannot complete a safe rollback"))
     action = (F.when(c("existed_before"), "restored").when(c("present"), "deleted-created-file").otherwise("already-absent"))

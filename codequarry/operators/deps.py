@@ -45,12 +45,14 @@ def package_json(body: Column) -> Column:
     parsed = F.from_json(body, shape)
 
     def section(row, name):
-        return F.transform(F.map_entries(row[name]), lambda e: F.struct(
-            e["key"].alias("name"), F.coalesce(e["value"], F.lit("None")).alias("version"), F.lit(name).alias("scope")))
+        # a repeated key keeps its first place and its last value
+        return let(F.map_entries(row[name]), lambda pairs: F.transform(F.array_distinct(F.transform(pairs, lambda e: e["key"])), lambda key: F.struct(
+            key.alias("name"), F.coalesce(F.element_at(F.filter(pairs, lambda e: e["key"] == key), -1)["value"], F.lit("None")).alias("version"),
+            F.lit(name).alias("scope"))))
 
     rows = let(parsed, lambda row: F.flatten(F.array(*[
         F.coalesce(section(row, s), F.array().cast(DEPS)) for s in SECTIONS])))
-    return F.when(F.schema_of_variant(F.try_parse_json(body)).startswith("OBJECT"), rows).cast(DEPS)
+    return F.when(F.from_json(body, "MAP<STRING,STRING>").isNotNull(), rows).cast(DEPS)
 
 
 def requirements_txt(body: Column) -> Column:
@@ -115,7 +117,7 @@ def parse_errors(parsed: DataFrame) -> DataFrame:
 
 def dependencies(parsed: DataFrame, max_per_manifest: int | None = None) -> DataFrame:
     """repo, file, ecosystem, pos, name, version, scope in manifest order."""
-    params.int_in(max_per_manifest, 1, 2_000, "max_per_manifest")
+    params.int_in(max_per_manifest, 1, params.NO_LIMIT, "max_per_manifest")
     rows = parsed.select("repo", "file", "ecosystem", F.posexplode("deps").alias("pos", "d"))
     if max_per_manifest is not None:
         rows = rows.filter(F.col("pos") < max_per_manifest)
@@ -132,7 +134,7 @@ def manifest_summary(parsed: DataFrame, max_per_manifest: int | None = None) ->
 
 def dependency_inventory(parsed: DataFrame, max_per_manifest: int | None = None) -> DataFrame:
     """Per repo: manifests, errors, all dependencies, and distinct ecosystem:name of the kept ones."""
-    params.int_in(max_per_manifest, 1, 2_000, "max_per_manifest")
+    params.int_in(max_per_manifest, 1, params.NO_LIMIT, "max_per_manifest")
     kept = F.col("deps") if max_per_manifest is None else F.slice("deps", 1, max_per_manifest)
     keys = F.transform(kept, lambda d: F.concat(F.col("ecosystem"), F.lit(":"), F.lower(d["name"])))
     rows = parsed.select("repo", F.coalesce(F.size("deps"), F.lit(0)).alias("n"), F.col("deps").isNull().alias("bad"),
@@ -144,7 +146,7 @@ def dependency_inventory(parsed: DataFrame, max_per_manifest: int | None = None)
         F.count_distinct("key").alias("unique_dependencies"))
 
 
-def sbom_components(parsed: DataFrame, max_per_manifest: int = 200) -> DataFrame:
+def sbom_components(parsed: DataFrame, max_per_manifest: int | None = None) -> DataFrame:
     """Component rows of the bill of materials."""
     rows = dependencies(parsed, max_per_manifest)
     return rows.select("repo", F.col("file").alias("manifest"), "pos", F.lit("library").alias("type"), "name", "version",

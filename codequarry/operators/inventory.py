@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import params, rules
 from ..functions import grades, paths, text
 from ..functions.regex import let
-from ..plans.corpus import inventory, readable, walk_order
+from ..plans.corpus import inventory, readable, too_large, walk_order
 from ..plans.topn import top_n
 
 CATEGORIES = {
@@ -48,42 +48,42 @@ def sanitize_paths(files: DataFrame) -> DataFrame:
             .withColumn("path", F.make_valid_utf8("path")))
 
 
-def snapshot_members(files: DataFrame, max_files: int | None = None) -> DataFrame:
-    """repo, category, path in long form. Three categories are capped in walk order, as fixed by
-    their rule; the others are whole."""
+def snapshot_members(files: DataFrame, max_files: int | None = None, caps: dict[str, int] | None = None) -> DataFrame:
+    """repo, category, path in long form. ``caps`` may bound single categories, in walk order."""
+    caps = caps or {}
     p = F.col("path")
     seen = inventory(files.select("repo", "path"), max_files)
     found = F.array_compact(F.array(*[F.when(rule(p), F.lit(name)) for name, rule in CATEGORIES.items()]))
     rows = seen.select("repo", "path", "walk_key", F.explode(found).alias("category"))
-    capped = F.col("category").isin(list(rules.CATEGORY_CAPS))
+    if not caps:
+        return rows.select("repo", "category", "path")
+    capped = F.col("category").isin(list(caps))
     cap_of = F.lit(0)
-    for name, cap in rules.CATEGORY_CAPS.items():
+    for name, cap in caps.items():
         cap_of = F.when(F.col("category") == name, F.lit(cap)).otherwise(cap_of)
-    firsts = top_n(rows.filter(capped), ["repo", "category"], walk_order(), max(rules.CATEGORY_CAPS.values()), ["path"])
+    firsts = top_n(rows.filter(capped), ["repo", "category"], walk_order(), max(caps.values()), ["path"])
     kept = firsts.filter(F.col("pos") <= cap_of).drop("pos")
     return rows.filter(~capped).unionByName(kept).select("repo", "category", "path")
 
 
 def snapshot_counts(files: DataFrame, max_files: int | None = None) -> DataFrame:
-    """Per repo: files, files per category (after the category caps) and the limit flag."""
+    """Per repo: files, files per category and the limit flag."""
     p = F.col("path")
     seen = inventory(files.select("repo", "path"), max_files)
 
-    def members(name, rule):
-        n = F.count_if(rule(p))
-        return (F.least(n, F.lit(rules.CATEGORY_CAPS[name])) if name in rules.CATEGORY_CAPS else n).alias(f"{name}_count")
-
     out = seen.groupBy("repo").agg(
         F.count("*").alias("file_count"), F.count_if(p.contains("�")).alias("non_utf8_paths"),
-        *[members(n, r) for n, r in CATEGORIES.items()])
+        *[F.count_if(rule(p)).alias(f"{name}_count") for name, rule in CATEGORIES.items()])
     reached = F.lit(False) if max_files is None else F.col("file_count") >= max_files
     return out.withColumn("sample_limit_reached", reached)
 
 
-def repo_snapshot(files: DataFrame, max_files: int = 250, listing: DataFrame | None = None) -> DataFrame:
+def repo_snapshot(files: DataFrame, max_files: int = 250, listing: DataFrame | None = None,
+                  caps: dict[str, int] | None = None) -> DataFrame:
     """One row per repo with the category lists. The lists are arrays, so a sample size is
     required and bounds them; ``snapshot_members`` serves the whole corpus."""
-    params.int_in(max_files, 1, rules.MAX_FILES, "max_files", optional=False)
+    params.int_in(max_files, 1, params.NO_LIMIT, "max_files", optional=False)
+    caps = caps or {}
     p = F.col("path")
     seen = inventory(files.select("repo", "path"), max_files)
     place = F.struct("walk_key", "path")
@@ -91,7 +91,7 @@ def repo_snapshot(files: DataFrame, max_files: int = 250, listing: DataFrame | N
     def members(name, rule):
         rows = F.array_sort(F.collect_list(F.when(rule(p), place)))
         names = F.transform(rows, lambda r: r["path"])
-        return (F.slice(names, 1, rules.CATEGORY_CAPS[name]) if name in rules.CATEGORY_CAPS else names).alias(name)
+        return (F.slice(names, 1, caps[name]) if name in caps else names).alias(name)
 
     out = seen.groupBy("repo").agg(F.count("*").alias("file_count"), F.count_if(p.contains("�")).alias("non_utf8_paths"),
                                    *[members(n, r) for n, r in CATEGORIES.items()])
@@ -117,15 +117,17 @@ def with_language(files: DataFrame) -> DataFrame:
             .drop("suffix", "language_by_suffix"))
 
 
-def language_stats(files: DataFrame, max_files: int | None = None, max_file_bytes: int = rules.MIB) -> DataFrame:
+def language_stats(files: DataFrame, max_files: int | None = None, max_file_bytes: int | None = None) -> DataFrame:
     """Per repo and language: files, lines, shares and rank (most lines, then files, then first seen)."""
-    params.file_bytes(max_file_bytes, 4 * rules.MIB)
+    params.file_bytes(max_file_bytes)
     counted = (F.col("language") != "Other") & readable(max_file_bytes)
-    per_file = with_language(inventory(files, max_files)).withColumn("counted", counted)
     body = F.make_valid_utf8(F.col("content").cast("string"))
+    # a number per file goes into the aggregate, so that no sort ever carries contents
+    per_file = (with_language(inventory(files, max_files)).withColumn("counted", counted)
+                .withColumn("n_lines", F.when(F.col("counted"), text.line_count(body))).drop("content"))
     stats = per_file.groupBy("repo", "language").agg(
         F.count("*").alias("files"),
-        F.coalesce(F.sum(F.when(F.col("counted"), text.line_count(body))), F.lit(0)).alias("lines"),
+        F.coalesce(F.sum("n_lines"), F.lit(0)).alias("lines"),
         F.count_if("counted").alias("counted_files"), F.min(F.struct("walk_key", "path")).alias("seen_at"))
     repo = Window.partitionBy("repo")  # at most one row per known language
     ranked = repo.orderBy(F.desc("lines"), F.desc("files"), "seen_at")
@@ -145,24 +147,26 @@ def language_summary(stats: DataFrame) -> DataFrame:
 
 # --- tree -------------------------------------------------------------------------------
 
-def directory_tree(files: DataFrame, max_depth: int = 4, max_entries: int | None = None, include_files: bool = True,
+def directory_tree(files: DataFrame, max_depth: int | None = None, max_entries: int | None = None, include_files: bool = True,
                    include_dirs: bool = True, listing: DataFrame | None = None) -> DataFrame:
     """repo, path, type, depth. Directories come from the file paths (distinct prefixes, merged
-    before the shuffle); a listing adds empty ones. Capped output is in breadth-first order."""
-    params.int_in(max_depth, 1, 10, "max_depth", optional=False)
-    params.int_in(max_entries, 1, 2_000, "max_entries")
+    before the shuffle); a listing adds empty ones. Without limits the tree is whole; capped output is in
+    breadth-first order, and ``tree_limits`` tells what a limit left out."""
+    params.int_in(max_depth, 1, params.NO_LIMIT, "max_depth")
+    params.int_in(max_entries, 1, params.NO_LIMIT, "max_entries")
     seen = files.select("repo", "path").filter(paths.not_ignored(F.col("path")))
     level = paths.depth(F.col("path"))
+    deepest = F.lit(2**31 - 2 if max_depth is None else min(max_depth, 2**31 - 2))
     parts = []
     if include_files:
-        parts.append(seen.filter(level <= max_depth).select("repo", "path", F.lit("file").alias("type")))
+        parts.append(seen.filter(level <= deepest).select("repo", "path", F.lit("file").alias("type")))
     if include_dirs:
-        steps = F.least(level, F.lit(max_depth + 1))
+        steps = F.least(level, deepest + 1)
         prefixes = F.when(level > 0, F.transform(
             F.sequence(F.lit(1), steps), lambda i: F.array_join(F.slice(F.split("path", "/"), 1, i), "/")))
         dirs = seen.select("repo", F.explode(prefixes).alias("path"))
         if listing is not None:
-            named = listing.filter((F.col("entry_type") == "dir") & paths.not_ignored(F.col("path")) & (level <= max_depth))
+            named = listing.filter((F.col("entry_type") == "dir") & paths.not_ignored(F.col("path")) & (level <= deepest))
             dirs = dirs.unionByName(named.select("repo", "path"))
         parts.append(dirs.distinct().select("repo", "path", F.lit("directory").alias("type")))
     if not parts:
@@ -175,13 +179,24 @@ def directory_tree(files: DataFrame, max_depth: int = 4, max_entries: int | None
     return top_n(tree, ["repo"], [F.col("depth"), F.col("_key"), F.col("path")], max_entries, ["path"]).drop("_key")
 
 
+def tree_limits(files: DataFrame, max_depth: int | None = None, max_entries: int | None = None) -> DataFrame:
+    """Per repo: entries of the whole tree, those below ``max_depth``, and whether ``max_entries`` cuts the rest."""
+    whole = directory_tree(files)
+    deep = F.lit(False) if max_depth is None else F.col("depth") > max_depth + F.when(F.col("type") == "directory", 1).otherwise(0)
+    out = whole.groupBy("repo").agg(F.count("*").alias("entries"), F.count_if(deep).alias("depth_limited_count"))
+    left = F.col("entries") - F.col("depth_limited_count")
+    return out.withColumn("entry_limit_reached", F.lit(False) if max_entries is None else left > max_entries)
+
+
 # --- metrics ----------------------------------------------------------------------------
 
-def file_metrics(files: DataFrame, max_files: int | None = None, max_file_bytes: int = rules.SEARCH_FILE_BYTES) -> DataFrame:
-    """Per file: state (scanned, empty, large, binary), markers, long lines and branch words."""
+def file_metrics(files: DataFrame, max_files: int | None = None, max_file_bytes: int | None = None,
+                 large_bytes: int = rules.SEARCH_FILE_BYTES) -> DataFrame:
+    """Per file: state (scanned, empty, large, binary), markers, long lines and branch words. Files above ``large_bytes`` count as
+    large and are scanned all the same; above a given ``max_file_bytes`` they are not, and their state says so."""
     params.file_bytes(max_file_bytes)
     size = F.col("size_bytes")
-    state = (F.when(size == 0, "empty").when(size > max_file_bytes, "large")
+    state = (F.when(size == 0, "empty").when(too_large(max_file_bytes), "large")
              .when(text.is_binary(F.col("content")), "binary").otherwise("scanned"))
     body = F.col("body")
 
@@ -197,7 +212,7 @@ def file_metrics(files: DataFrame, max_files: int | None = None, max_file_bytes:
             .withColumn("body", F.when(F.col("state") == "scanned", text.text_of(F.col("content"))))
             .withColumn("m", F.when(body.isNotNull(), let(text.lines(body), measures)))
             .withColumn("branches", text.branch_count(body))
-            .select("repo", "path", "walk_key", "size_bytes", "state", "m.*", "branches")
+            .select("repo", "path", "walk_key", "size_bytes", "state", (too_large(max_file_bytes) | (size > large_bytes)).alias("large"), "m.*", "branches")
             .withColumn("dense", (F.col("branches") > 30) & (F.col("lines") < 200)))
 
 
@@ -207,7 +222,7 @@ def code_metrics(per_file: DataFrame) -> DataFrame:
     out = per_file.groupBy("repo").agg(
         F.count("*").alias("file_count"), F.count_if(F.col("state") == "scanned").alias("files_scanned"),
         total("todo").alias("todo_count"), total("fixme").alias("fixme_count"),
-        F.count_if(F.col("state") == "large").alias("large_files"), total("long_lines").alias("long_lines"),
+        F.count_if("large").alias("large_files"), total("long_lines").alias("long_lines"),
         F.count_if(F.col("state") == "empty").alias("empty_files"),
         F.count_if(F.col("state") == "binary").alias("binary_skipped"), F.count_if("dense").alias("dense_files"))
     score = grades.health_score(*[F.col(c) for c in
@@ -223,7 +238,7 @@ def top_todo_files(per_file: DataFrame, n: int = 20) -> DataFrame:
 
 
 def large_files(per_file: DataFrame) -> DataFrame:
-    return per_file.filter(F.col("state") == "large").select("repo", F.col("path").alias("file"), F.col("size_bytes").alias("bytes"))
+    return per_file.filter("large").select("repo", F.col("path").alias("file"), F.col("size_bytes").alias("bytes"))
 
 
 def complexity_hints(per_file: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from ..plans.corpus import exploded, inventory, readable, walk_order, walk_posit
 from ..plans.topn import top_n, until_nth
 from ..session import materialize
 
-SENSITIVE_NOTE = "File path matches a sensitive-location convention; contents not opened."
+SENSITIVE_NOTE = "Reported by its path alone: a name that usually holds secrets is never opened."
 _HIT = "array<struct<line:int,signature:string,preview:string>>"
 
 
@@ -31,7 +31,7 @@ def _line_hits(content: Column) -> Column:
     return F.when(text.has_secret_hint(body), hits).otherwise(F.array().cast(_HIT))
 
 
-def with_secret_hits(seen: DataFrame, max_file_bytes: int = rules.MIB) -> DataFrame:
+def with_secret_hits(seen: DataFrame, max_file_bytes: int | None = None) -> DataFrame:
     """Adds ``opened`` and ``hits``. Files with a sensitive name yield one finding without a line
     and are never opened."""
     named = paths.is_sensitive_file(F.col("path"))
@@ -43,11 +43,11 @@ def with_secret_hits(seen: DataFrame, max_file_bytes: int = rules.MIB) -> DataFr
                         .otherwise(F.array().cast(_HIT))))
 
 
-def secret_findings(files: DataFrame, max_files: int | None = None, max_file_bytes: int = rules.MIB,
+def secret_findings(files: DataFrame, max_files: int | None = None, max_file_bytes: int | None = None,
                     max_findings: int | None = None) -> DataFrame:
     """repo, file, line, signature, preview (plus ``pos`` when capped)."""
     params.file_bytes(max_file_bytes)
-    params.int_in(max_findings, 1, 5_000, "max_findings")
+    params.int_in(max_findings, 1, params.NO_LIMIT, "max_findings")
     scanned = with_secret_hits(inventory(files, max_files), max_file_bytes)
     found = exploded(scanned, ["repo", "path", "walk_key"], F.col("hits")).select("repo", "path", "walk_key", "item.*")
     if max_findings is not None:
@@ -55,12 +55,12 @@ def secret_findings(files: DataFrame, max_files: int | None = None, max_file_byt
     return found.drop("walk_key").withColumnRenamed("path", "file")
 
 
-def secret_scan(files: DataFrame, max_files: int | None = None, max_file_bytes: int = rules.MIB,
+def secret_scan(files: DataFrame, max_files: int | None = None, max_file_bytes: int | None = None,
                 max_findings: int | None = None) -> DataFrame:
     """Per repo: status, files_scanned, finding_count, findings_limit_reached. With a cap, files
     after the one in which the cap is reached do not count as scanned."""
     params.file_bytes(max_file_bytes)
-    params.int_in(max_findings, 1, 5_000, "max_findings")
+    params.int_in(max_findings, 1, params.NO_LIMIT, "max_findings")
     per_file = (with_secret_hits(inventory(files, max_files), max_file_bytes)
                 .select("repo", "path", "walk_key", F.col("opened").cast("int").alias("opened"),
                         F.size("hits").alias("n_hits")))
@@ -84,12 +84,12 @@ def _rollup(per_file: DataFrame, cap: int | None) -> DataFrame:
 
 # --- entropy ----------------------------------------------------------------------------
 
-def _entropy_files(files: DataFrame, max_files: int | None, max_file_bytes: int) -> DataFrame:
+def _entropy_files(files: DataFrame, max_files: int | None, max_file_bytes: int | None) -> DataFrame:
     ok = ~paths.entropy_skipped(F.col("path")) & (F.col("size_bytes") > 0) & readable(max_file_bytes)
     return inventory(files, max_files).withColumn("opened", ok)
 
 
-def token_occurrences(files: DataFrame, max_files: int | None = None, max_file_bytes: int = rules.SEARCH_FILE_BYTES,
+def token_occurrences(files: DataFrame, max_files: int | None = None, max_file_bytes: int | None = None,
                       min_token_length: int = 16, keep: list[str] | None = None) -> DataFrame:
     """Every candidate token with its place and measures; the token itself is dropped at once."""
     params.file_bytes(max_file_bytes)
@@ -110,13 +110,13 @@ def token_occurrences(files: DataFrame, max_files: int | None = None, max_file_b
                     text.shannon_entropy(token).alias("entropy_bits"), F.length(token).alias("length")))
 
 
-def entropy_findings(files: DataFrame, max_files: int | None = None, max_file_bytes: int = rules.SEARCH_FILE_BYTES,
+def entropy_findings(files: DataFrame, max_files: int | None = None, max_file_bytes: int | None = None,
                      entropy_threshold: float = 4.5, min_token_length: int = 16,
                      max_findings: int | None = None) -> DataFrame:
     """First occurrence of each distinct token per repo at or above the threshold. Entropy depends
     on the token alone, so filtering first keeps the same rows and shuffles far fewer."""
     threshold = params.number_in(entropy_threshold, 2.0, 8.0, "entropy_threshold")
-    params.int_in(max_findings, 1, 5_000, "max_findings")
+    params.int_in(max_findings, 1, params.NO_LIMIT, "max_findings")
     high = token_occurrences(files, max_files, max_file_bytes, min_token_length).filter(F.col("entropy_bits") >= threshold)
     first = high.groupBy("repo", "token_hash").agg(F.min(F.struct(
         "walk_key", "path", "line", "token_pos", "token_preview", "entropy_bits", "length")).alias("f"))
@@ -132,7 +132,7 @@ def entropy_findings(files: DataFrame, max_files: int | None = None, max_file_by
                         text.round_to(F.col("entropy_bits"), 3).alias("entropy"), "length", "token_hash")
 
 
-def entropy_scan(files: DataFrame, max_files: int | None = None, max_file_bytes: int = rules.SEARCH_FILE_BYTES,
+def entropy_scan(files: DataFrame, max_files: int | None = None, max_file_bytes: int | None = None,
                  entropy_threshold: float = 4.5, min_token_length: int = 16,
                  max_findings: int | None = None) -> DataFrame:
     """Per repo: status, files_scanned, finding_count, findings_limit_reached."""
@@ -157,7 +157,7 @@ def entropy_scan(files: DataFrame, max_files: int | None = None, max_file_bytes:
 # --- search -----------------------------------------------------------------------------
 
 def _searched(files: DataFrame, pattern: str, file_pattern: str | None, max_files: int | None,
-              max_file_bytes: int, context_lines: int) -> DataFrame:
+              max_file_bytes: int | None, context_lines: int) -> DataFrame:
     params.pattern(files.sparkSession, pattern, "pattern")
     params.file_bytes(max_file_bytes)
     params.int_in(context_lines, 0, 10, "context_lines", optional=False)
@@ -180,11 +180,13 @@ def _searched(files: DataFrame, pattern: str, file_pattern: str | None, max_file
 
 def search_code(files: DataFrame, pattern: str, file_pattern: str | None = None, max_results: int | None = None,
                 context_lines: int = 1, max_files: int | None = None,
-                max_file_bytes: int = rules.SEARCH_FILE_BYTES, redact_secrets: bool = True) -> DataFrame:
-    """repo, file, line, text, before, after: matching lines with context, cut and then redacted."""
-    params.int_in(max_results, 1, 500, "max_results")
+                max_file_bytes: int | None = None, redact_secrets: bool = True) -> DataFrame:
+    """repo, file, line, text, before, after: matching lines with context, masked and only then cut; ``text_truncated``
+    tells that a line was longer than what is shown."""
+    params.int_in(max_results, 1, params.NO_LIMIT, "max_results")
     params.flag(redact_secrets, "redact_secrets")
-    shown = (lambda c: text.redact(text.preview(c))) if redact_secrets else text.preview
+    masked = text.redact if redact_secrets else (lambda c: c)
+    shown = lambda c: text.preview(masked(c))
     base = ["repo", "path", "walk_key"]
     found = exploded(_searched(files, pattern, file_pattern, max_files, max_file_bytes, context_lines), base,
                      F.col("hits")).select(*base, "item.*")
@@ -192,13 +194,14 @@ def search_code(files: DataFrame, pattern: str, file_pattern: str | None = None,
         found = top_n(found, ["repo"], [*walk_order(), F.col("line")], max_results, ["path", "line"])
     rank = ["pos"] if max_results is not None else []
     return found.select("repo", F.col("path").alias("file"), "line", shown(F.col("text")).alias("text"),
-                        F.transform("before", shown).alias("before"), F.transform("after", shown).alias("after"), *rank)
+                        F.transform("before", shown).alias("before"), F.transform("after", shown).alias("after"),
+                        (F.length(masked(F.col("text"))) > rules.LINE_PREVIEW).alias("text_truncated"), *rank)
 
 
 def search_summary(files: DataFrame, pattern: str, file_pattern: str | None = None, max_results: int | None = None,
-                   max_files: int | None = None, max_file_bytes: int = rules.SEARCH_FILE_BYTES) -> DataFrame:
+                   max_files: int | None = None, max_file_bytes: int | None = None) -> DataFrame:
     """Per repo: files_searched, match_count, results_limit_reached."""
-    params.int_in(max_results, 1, 500, "max_results")
+    params.int_in(max_results, 1, params.NO_LIMIT, "max_results")
     per_file = (_searched(files, pattern, file_pattern, max_files, max_file_bytes, 0)
                 .select("repo", "path", "walk_key", F.col("opened").cast("int").alias("opened"),
                         F.coalesce(F.size("hits"), F.lit(0)).alias("n_hits")))

@@ -36,10 +36,14 @@ def walk_position() -> Column:
     return F.struct("walk_key", "path")
 
 
-def readable(max_file_bytes: int) -> Column:
-    """Present, small enough and not binary. The size test comes first, as the scan can use it."""
-    return ((F.col("size_bytes") <= max_file_bytes) & F.col("content").isNotNull()
-            & ~text.is_binary(F.col("content")))
+def readable(max_file_bytes: int | None = None) -> Column:
+    """Present, not larger than a given limit and not binary. The size test comes first, as the scan can use it."""
+    ok = F.col("content").isNotNull() & ~text.is_binary(F.col("content"))
+    return ok if max_file_bytes is None else (F.col("size_bytes") <= max_file_bytes) & ok
+
+
+def too_large(max_file_bytes: int | None = None) -> Column:
+    return F.lit(False) if max_file_bytes is None else F.col("size_bytes") > max_file_bytes
 
 
 def exploded(df: DataFrame, keep: list[str], items: Column) -> DataFrame:

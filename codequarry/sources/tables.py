@@ -8,21 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import paths
 
 
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """Even out a plain table scan that has too few splits to occupy the cluster (one large row
-    group is read by one task). Such a table is small; a table with enough splits is returned as
-    it is and its contents are not moved."""
-    slots = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= 2 * slots:
-        return scan
-    return scan.repartition(2 * slots, *keys)
-
-
-def files(spark: SparkSession, path: str, even: bool = False) -> DataFrame:
+def files(spark: SparkSession, path: str) -> DataFrame:
     """The files table; columns an operator does not use are never read."""
     df = spark.read.parquet(path)
-    if even:
-        df = spread(df, "repo", "path")
     missing = {"repo", "path", "content"} - set(df.columns)
     if missing:
         raise ValueError(f"files table lacks {sorted(missing)}")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from codequarry.operators import changes, merge
 
+ROOT = "/srv/code"
 NOW = F.lit("2024-05-01 10:00:00").cast("timestamp")
 EDIT = "repo string, path string, mode string, content string, expected_sha256 string, allow_sensitive boolean"
 
@@ -29,17 +30,17 @@ def test_write_modes_and_guards(spark, files):
         ("sub/.sdlc/x", "create", "x", None, True), (".env", "create", "x", None, False), ("x/.env", "create", "x", None, True), (".env.example", "create", "x", None, False),
         ("bin", "overwrite", "x", None, False), ("big", "overwrite", "x", None, False), ("m", "patch", "x", None, False), ("n", "create", None, None, False),
         ("h", "create", "x", "ABC", False), ("log2", "append", "only", None, False), ("huge", "create", "é" * 600_000, None, False),
-        ("twice", "overwrite", "2", None, False), ("twice", "overwrite", "3", None, False)), df)
+        ("twice", "overwrite", "2", None, False), ("twice", "overwrite", "3", None, False)), df, ROOT)
     got = {r.path: r.reject_reason for r in plan.collect()}
     accepted = {p for p, reason in got.items() if reason is None}
     assert accepted == {"a.txt", "log.txt", "notes.md", "x/.env", ".env.example", "log2"}
-    for path, word in {"k.txt": "already exists", "../evil.txt": "inside", ".git/config": "metadata", "sub/.sdlc/x": "metadata", ".env": "sensitive",
+    for path, word in {"k.txt": "already exists", "../evil.txt": "leads out", ".git/config": "metadata", "sub/.sdlc/x": "metadata", ".env": "sensitive",
                        "bin": "not UTF-8", "big": "manageable size", "m": "mode must", "n": "string", "h": "hex", "huge": "limit", "twice": "more than once"}.items():
         assert word in got[path], path
     after = changes.apply_plan(df.filter("path NOT IN ('bin', 'big')"), plan)
     assert content(after) == {"a.txt": "new", "log.txt": "first\nsecond\n", "notes.md": "alpha\n", "x/.env": "x", ".env.example": "x",
                               "log2": "only", "k.txt": "k", "twice": "1"}
-    wrong = changes.write_plan(edits(spark, ("a.txt", "overwrite", "n", sha("other"), False)), df).first()
+    wrong = changes.write_plan(edits(spark, ("a.txt", "overwrite", "n", sha("other"), False)), df, ROOT).first()
     assert "does not match" in wrong.reject_reason and wrong.sha256_before == sha("old")
 
 
@@ -47,37 +48,37 @@ def test_replace_checks_occurrences(spark, files):
     df = files(("r", "app.txt", "v=1\nother\n"), ("r", "aaa", "aaaa"), ("r", "data.json", '{"key": "hello"}\n'))
     schema = "repo string, path string, find string, replace string, expected_occurrences int, allow_sensitive boolean"
     rows = [("r", "app.txt", "v=1", "v=2", 5, False), ("r", "aaa", "aa", "b", 2, False), ("r", "data.json", "hello", "", None, False), ("r", "none", "a", "b", 1, False)]
-    plan = changes.replace_plan(spark.createDataFrame(rows, schema), df)
+    plan = changes.replace_plan(spark.createDataFrame(rows, schema), df, ROOT)
     got = {r.path: (r.occurrences, r.reject_reason, r.after) for r in plan.collect()}
     assert got["app.txt"][:2] == (1, "expected 5 occurrence(s) of 'find' but found 1; no changes made")
-    assert got["aaa"] == (2, None, "bb") and got["data.json"] == (1, None, '{"key": ""}\n') and "does not exist" in got["none"][1]
+    assert got["aaa"] == (2, None, "bb") and got["data.json"] == (1, None, '{"key": ""}\n') and "no such file" in got["none"][1]
 
 
 def test_rollback_undoes_an_applied_batch(spark, files):
     df = files(("r", "config.txt", "original"), ("r", "keep", "k"))
-    plan = changes.write_plan(edits(spark, ("config.txt", "overwrite", "changed", None, False), ("new/x", "create", "n", None, False)), df)
+    plan = changes.write_plan(edits(spark, ("config.txt", "overwrite", "changed", None, False), ("new/x", "create", "n", None, False)), df, ROOT)
     ops, backups = changes.change_log(plan, "b1", NOW, digits=8)
     assert {len(r.change_id) for r in ops.collect()} == {len("20240501T100000Z-") + 8}
     after = changes.apply_plan(df, plan)
     assert content(after) == {"config.txt": "changed", "new/x": "n", "keep": "k"}
-    undo = changes.rollback_plan(ops, backups, after)
+    undo = changes.rollback_plan(ops, backups, after, root=ROOT)
     assert {r.path: r.applied for r in undo.collect()} == {"config.txt": "restored", "new/x": "deleted-created-file"}
     assert content(changes.apply_rollback(after, undo)) == content(df)
     one = ops.filter("path = 'new/x'")
-    assert content(changes.apply_rollback(after, changes.rollback_plan(ops, backups, after, one))) == {"config.txt": "changed", "keep": "k"}
-    lost = changes.rollback_plan(ops, backups.limit(0), after)
+    assert content(changes.apply_rollback(after, changes.rollback_plan(ops, backups, after, one, root=ROOT))) == {"config.txt": "changed", "keep": "k"}
+    lost = changes.rollback_plan(ops, backups.limit(0), after, root=ROOT)
     assert "backup payload is missing" in lost.filter("path = 'config.txt'").first().reject_reason
 
 
 def test_rollback_of_two_changes_ends_before_the_first(spark, files):
     v0 = files(("r", "f", "0"))
-    p1 = changes.write_plan(edits(spark, ("f", "overwrite", "1", None, False)), v0)
+    p1 = changes.write_plan(edits(spark, ("f", "overwrite", "1", None, False)), v0, ROOT)
     o1, b1 = changes.change_log(p1, "one", NOW)
     v1 = changes.apply_plan(v0, p1)
-    p2 = changes.write_plan(edits(spark, ("f", "overwrite", "2", None, False)), v1)
+    p2 = changes.write_plan(edits(spark, ("f", "overwrite", "2", None, False)), v1, ROOT)
     o2, b2 = changes.change_log(p2, "two", F.lit("2024-05-02").cast("timestamp"))
     ops, backups, v2 = o1.unionByName(o2), b1.unionByName(b2), changes.apply_plan(v1, p2)
-    assert content(changes.apply_rollback(v2, changes.rollback_plan(ops, backups, v2))) == {"f": "0"}
+    assert content(changes.apply_rollback(v2, changes.rollback_plan(ops, backups, v2, root=ROOT))) == {"f": "0"}
     assert [r.operation_count for r in changes.newest_changes(ops).orderBy("pos").collect()] == [1, 1]
     newest = changes.newest_changes(ops, 1)
     assert newest.first().change_id.startswith("20240502") and changes.change_paths(ops, newest).count() == 1
@@ -106,4 +107,4 @@ def test_merge(files):
 
 def test_digits_range(spark, files):
     with pytest.raises(ValueError):
-        changes.change_log(changes.write_plan(edits(spark, ("a", "create", "x", None, False)), files(("r", "z", ""))), "b", NOW, digits=7)
+        changes.change_log(changes.write_plan(edits(spark, ("a", "create", "x", None, False)), files(("r", "z", "")), ROOT), "b", NOW, digits=7)

@@ -11,20 +11,19 @@ def test_sample_and_limit_flag(files):
     for n, reached in ((3, True), (4, False)):
         snap = inventory.repo_snapshot(df, max_files=n).first()
         assert (snap.file_count, snap.sample_limit_reached) == (3, reached)
-    with pytest.raises(ValueError):
-        inventory.repo_snapshot(df, max_files=2001)
+    assert inventory.repo_snapshot(df, max_files=2001).first().file_count == 3
     with pytest.raises(ValueError):
         inventory.repo_snapshot(df, max_files=None)
 
 
 def test_category_caps(files):
     df = files(*[("r", f"tests/t{i:03d}.py", "") for i in range(60)], *[("r", f"secrets/s{i}", "") for i in range(25)], ("r", "poetry.lock", ""))
-    snap = inventory.repo_snapshot(df, max_files=200).first()
+    snap = inventory.repo_snapshot(df, max_files=200, caps={"tests": 50, "sensitive": 20}).first()
     assert (len(snap.tests), len(snap.sensitive), snap.tests[0], snap.manifests, snap.lockfiles) == (50, 20, "tests/t000.py", ["poetry.lock"], ["poetry.lock"])
     counts = inventory.snapshot_counts(df).first()
-    assert (counts.tests_count, counts.sensitive_count, counts.manifests_count) == (50, 20, 1)
+    assert (counts.tests_count, counts.sensitive_count, counts.manifests_count) == (60, 25, 1)
     members = {r.category: r.n for r in inventory.snapshot_members(df).groupBy("category").agg(F.count("*").alias("n")).collect()}
-    assert members == {"tests": 50, "sensitive": 20, "manifests": 1, "lockfiles": 1}
+    assert members == {"tests": 60, "sensitive": 25, "manifests": 1, "lockfiles": 1}
 
 
 def test_languages(files):
@@ -51,6 +50,9 @@ def test_metrics(files):
 
 def test_tree(files, spark):
     df = files(("r", "b/c/d/e.txt", ""), ("r", "a.txt", ""), ("r", "B/x", ""), ("r", "dist/x", ""))
+    assert ("b/c/d/e.txt", "file", 3) in {(r.path, r.type, r.depth) for r in inventory.directory_tree(df).collect()}
+    cut = inventory.tree_limits(df, max_depth=1, max_entries=4).first()
+    assert (cut.entries, cut.depth_limited_count, cut.entry_limit_reached) == (7, 1, True)
     tree = {(r.path, r.type, r.depth) for r in inventory.directory_tree(df, max_depth=1).collect()}
     assert tree == {("a.txt", "file", 0), ("b", "directory", 0), ("B", "directory", 0), ("b/c", "directory", 1), ("B/x", "file", 1)}
     assert [r.path for r in inventory.directory_tree(df, max_entries=4).orderBy("pos").collect()] == ["a.txt", "B", "b", "b/c"]
@@ -72,7 +74,7 @@ def test_reads(files, spark):
     whole = {r.path: r for r in reading.read_files(df, max_lines=2).collect()}["a/t.txt"]
     assert (whole.content, whole.truncated_lines, whole.lines_returned) == ("é" * 10 + "\nline2\r\n", True, 2)
     asked = spark.createDataFrame([("r", "a/t.txt"), ("r", "a/../bad"), ("r", "nope"), ("r", "../x"), ("r", " ")], "repo string, path string")
-    out = reading.batch_read(asked, df)
+    out = reading.batch_read(asked, df, "/root/repo")
     assert {r.requested: r.status for r in out.collect()} == {"a/t.txt": "ok", "a/../bad": "ok", "nope": "error", "../x": "error", " ": "error"}
     assert reading.batch_status(out).first().status == "partial"
     with pytest.raises(ValueError):
@@ -92,7 +94,7 @@ def test_readiness_and_risk(files, spark):
     assert risk["bare"] == (100, "F", "high", ["secret-findings", "readiness-failures", "missing-lockfile", "no-test-evidence",
                                                "no-ci-evidence", "dirty-working-tree", "no-readme"])
     checks = {r.id: (r.status, r.detail) for r in readiness.readiness_checks(rows).filter("repo = 'bare'").collect()}
-    assert checks["working-tree"] == ("warning", "Working tree has 3 changed path(s); confirm intended release contents.")
+    assert checks["working-tree"] == ("warning", "uncommitted paths: 3")
     assert checks["diff-whitespace"][0] == "fail" and len(checks) == 9
     nogit = readiness.signals(df)
     assert readiness.readiness_checks(nogit).filter("repo = 'ok' AND id = 'working-tree'").first().status == "unknown"

@@ -83,7 +83,7 @@ def test_walk_order(spark):
 def test_containment(spark):
     cases = ["a", "../x", "a/../../x", "a/../b", "./", "", "  ", "a\0b", "/etc/passwd", "/root/repo/x", "/root/repository", "x" * 4097, "..", "a/..", "../repo/a", "/root/repo/../repo/b"]
     df = spark.createDataFrame([(c,) for c in cases], "p string")
-    for p, v in df.select("p", paths.is_within_root(P)).collect():
+    for p, v in df.select("p", paths.is_within_root(P, "/root/repo")).collect():
         full = os.path.normpath(os.path.join("/root/repo", p))
         want = bool(p.strip()) and "\0" not in p and len(p) <= 4096 and os.path.commonpath(["/root/repo", full]) == "/root/repo"
         assert v == want, p

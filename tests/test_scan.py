@@ -34,8 +34,17 @@ def test_preview_is_redacted_before_it_is_cut(files):
     df = files(("r", "a", "x " * 145 + AKIA + " tail"))
     preview = scan.secret_findings(df).first().preview
     assert len(preview) == 300 and "AK" + "IA" not in preview
-    text = scan.search_code(df, "tail").first().text  # search cuts first
-    assert text == ("x " * 145 + AKIA)[:300]
+    shown = scan.search_code(df, "tail").first()
+    assert len(shown.text) == 300 and "AK" + "IA" not in shown.text and shown.text_truncated
+
+
+def test_whole_corpus_by_default(files):
+    df = files(("r", "big.txt", "a\n" * 700_000 + AKIA), ("r", "late.bin", b"x" * 20_000 + b"\0"))
+    assert [r.line for r in scan.secret_findings(df).collect()] == [700_001]
+    assert scan.secret_scan(df).first().files_scanned == 1
+    assert scan.secret_scan(df, max_file_bytes=2 * 1_048_576).first().finding_count == 1
+    assert scan.search_summary(df, r"(?P<x>A)KI(?P<y>A).*").first().match_count == 1
+    assert scan.search_summary(files(("r", "f", "abab\nabba")), r"(?P<p>ab)(?P=p)").first().match_count == 1
 
 
 def build(files, seed):
@@ -131,7 +140,7 @@ def test_context_is_clipped(files):
     lambda d: scan.search_code(d, "("), lambda d: scan.search_code(d, ""), lambda d: scan.search_code(d, "a" * 501),
     lambda d: scan.search_code(d, "a", context_lines=11), lambda d: scan.search_code(d, "a", max_results=0),
     lambda d: scan.search_code(d, "a", max_results=True), lambda d: scan.search_code(d, "a", redact_secrets=1),
-    lambda d: scan.secret_findings(d, max_findings=5001), lambda d: scan.secret_findings(d, max_files=2001),
+    lambda d: scan.secret_findings(d, max_findings=0), lambda d: scan.secret_findings(d, max_files=0),
     lambda d: scan.entropy_findings(d, entropy_threshold=1.9), lambda d: scan.entropy_findings(d, entropy_threshold="x"),
     lambda d: scan.entropy_findings(d, min_token_length=7), lambda d: scan.secret_findings(d, max_file_bytes=10)])
 def test_bad_parameters(files, call):
