@@ -95,12 +95,12 @@ def _same(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
 def _disclosing(rows: DataFrame, held: DataFrame, base: DataFrame, threshold: float, support: int) -> DataFrame:
     entity = F.concat("kind", F.lit(":"), F.when(F.col("kind") == "email", F.lower("value")).otherwise(_digits(F.col("value"))))
     where = base.select("doc_id", "tag", entity.alias("entity")).distinct()
-    terms = F.transform(F.col(TERM), lambda p: F.lower(p["value"]))
     # copies and near copies of a document tend to share the least hash of three words in a row, and are one witness
-    n = F.size(terms)
-    sketch = F.when(n > 2, F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.xxhash64(
-        F.try_element_at(terms, i), F.try_element_at(terms, i + 1), F.try_element_at(terms, i + 2))))).otherwise(F.col("tag"))
-    contexts = _same(where, held.select("doc_id", "tag", sketch.alias("sketch"), F.array_distinct(terms).alias("terms")))
+    triples = F.transform(F.arrays_zip(F.col("terms").alias("a"), F.slice("terms", F.lit(2), F.size("terms")).alias("b"), F.slice("terms", F.lit(3), F.size("terms")).alias("c")),
+                          lambda t: F.when(t["c"].isNotNull(), F.xxhash64(t["a"], t["b"], t["c"])))
+    terms = F.transform(F.col(TERM), lambda p: F.lower(p["value"]))
+    lower = held.select("doc_id", "tag", terms.alias("terms"))
+    contexts = _same(where, lower.select("doc_id", "tag", F.coalesce(F.array_min(triples), F.col("tag")).alias("sketch"), F.array_distinct("terms").alias("terms")))
     often = where.groupBy("entity").agg(F.count("*").alias("n_entity"))
     pairs = (contexts.join(often.filter(F.col("n_entity") >= support), "entity").select("entity", "n_entity", "sketch", F.explode("terms").alias("term"))
              .groupBy("entity", "term", "n_entity", "sketch").agg(F.count("*").alias("c"))
