@@ -1,10 +1,11 @@
 """Byte-level BPE as a finite-state transducer, and its streaming inverse.
 
 A sequence of tokens is what merging by rank gives exactly when each two neighbours, merged alone, stay as they
-are. So the merges compile into a transducer over bytes: a state holds every way to go on, as (last whole token,
-place in the trie of token bytes, tokens not yet certain). Its subset form is built lazily, one transition when it is
-first taken. A token leaves as soon as all remaining ways agree on it, at most one token's length later. Tables are
-bounded: a full one is emptied and filled again.
+are. So every prefix of a piece has one last token: of the tokens that end there, the one that may follow the last token of the
+prefix before it. That makes encoding a finite-state transducer over bytes. Its state is the longest end of what was read
+that begins some token, with the last tokens of the prefixes in that reach; the merges are compiled into
+deterministic transitions lazily, each when it is first taken. A token leaves as soon as every prefix still in reach goes through it,
+so that lookahead is bounded. Tables are bounded: a full one is emptied and filled again.
 
 Decoding joins token bytes and cuts them where a character of UTF-8 is complete, so that ids may arrive in pieces.
 """
@@ -28,7 +29,7 @@ from .common import memo, prepared
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _COARSE = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 _LETTERS = re.compile(r" ?[^\W\d_]+")
-MOST_STATES, MOST_CHUNKS, LONGEST_CHUNK = 100_000, 300_000, 40
+MOST_STATES, MOST_PAIRS, MOST_CHUNKS, LONGEST_CHUNK, LOOKAHEAD = 80_000, 300_000, 150_000, 40, 256
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -50,79 +51,120 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.size_of = {rank: len(token) for token, rank in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
-        self.token_at: list[int | None] = [None]
+        self.token_at: dict[int, int] = {}
+        self.depth = [0]
         for token, rank in ranks.items():
             node = 0
             for b in token:
-                node = self.children[node].setdefault(b, len(self.children))
-                if node == len(self.token_at):
+                up = node
+                node = self.children[up].setdefault(b, len(self.children))
+                if node == len(self.depth):
                     self.children.append({})
-                    self.token_at.append(None)
+                    self.depth.append(self.depth[up] + 1)
             self.token_at[node] = rank
+        # of each node, the longest proper end of its bytes that is a node too
+        self.shorter = [0] * len(self.depth)
+        level = list(self.children[0].values())
+        while level:
+            deeper = []
+            for up in level:
+                for b, node in self.children[up].items():
+                    self.shorter[node] = self._extend(self.shorter[up], b)
+                    deeper.append(node)
+            level = deeper
+        self._endings: dict[int, list[int]] = {}
         self._fits: dict[tuple, bool] = {}
         self._reset()
 
     def _reset(self):
-        start = ((None, 0, ()),)
+        start = (0, (None,))
         self.states = [start]
         self.number = {start: 0}
-        self.moves: list[dict[int, tuple[tuple, int]]] = [{}]
-        self.ends: list[tuple | None] = [None]
+        self.moves: list[dict[int, tuple[int, int]]] = [{}]
+
+    def _extend(self, node: int, byte: int) -> int:
+        while byte not in self.children[node]:
+            if node == 0:
+                return 0
+            node = self.shorter[node]
+        return self.children[node][byte]
+
+    def _tokens_ending(self, node: int) -> list[int]:
+        """Tokens that the bytes of a node end in, the longest first."""
+        found = self._endings.get(node)
+        if found is None:
+            found, at = [], node
+            while at:
+                if at in self.token_at:
+                    found.append(self.token_at[at])
+                at = self.shorter[at]
+            self._endings[node] = found
+        return found
 
     def fits(self, left: int | None, right: int) -> bool:
         """Two tokens may stand side by side if merging their bytes gives them back."""
         known = self._fits.get((left, right))
         if known is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > MOST_PAIRS:
                 self._fits.clear()
             both = ([] if left is None else [left]) + [right]
             known = self._fits[left, right] = merged(self.ranks, b"".join(self.bytes_of[t] for t in both)) == both
         return known
 
-    def _step(self, state: int, byte: int) -> tuple[tuple, int]:
-        ways = []
-        for last, node, waiting in self.states[state]:
-            if (child := self.children[node].get(byte)) is not None:
-                ways.append((last, child, waiting))
-            token = self.token_at[node]
-            if token is not None and (first := self.children[0].get(byte)) is not None and self.fits(last, token):
-                ways.append((token, first, waiting + (token,)))
-        if not ways:
-            raise ValueError(f"the vocabulary has no token for byte {byte}")
-        sure = 0
-        for same in zip(*(w[2] for w in ways)):
-            if any(t != same[0] for t in same):
+    def _step(self, state: int, byte: int) -> tuple[int, int]:
+        """(next state, last token of the longer prefix)."""
+        node, lasts = self.states[state]
+        node = self._extend(node, byte)
+        for token in self._tokens_ending(node):
+            if self.fits(lasts[-self.size_of[token]], token):
                 break
-            sure += 1
-        out = ways[0][2][:sure]
-        ways = tuple((last, node, waiting[sure:]) for last, node, waiting in ways)
-        to = self.number.get(ways)
+        else:
+            raise ValueError(f"the vocabulary has no token for byte {byte}")
+        key = (node, (*lasts, token)[-1 - self.depth[node]:])
+        to = self.number.get(key)
         if to is None:
-            to = self.number[ways] = len(self.states)
-            self.states.append(ways)
+            to = self.number[key] = len(self.states)
+            self.states.append(key)
             self.moves.append({})
-            self.ends.append(None)
-        move = self.moves[state][byte] = (out, to)
+        move = self.moves[state][byte] = (to, token)
         return move
 
-    def _end(self, state: int) -> tuple:
-        for last, node, waiting in self.states[state]:
-            token = self.token_at[node]
-            if token is not None and self.fits(last, token):
-                self.ends[state] = waiting + (token,)
-                return self.ends[state]
-        raise ValueError("no sequence of tokens spells the piece")
+    def _path(self, lasts: list[int], end: int) -> list[int]:
+        out = []
+        while end:
+            out.append(lasts[end - 1])
+            end -= self.size_of[out[-1]]
+        out.reverse()
+        return out
+
+    def _certain(self, lasts: list[int], reach: int) -> int:
+        """The last position that the path of every prefix in reach goes through."""
+        n = len(lasts)
+        ways = {n}
+        at = n
+        while at:
+            at -= self.size_of[lasts[at - 1]]
+            ways.add(at)
+        least = n
+        for end in range(max(1, n - reach), n):
+            while end not in ways:
+                end -= self.size_of[lasts[end - 1]]
+            least = min(least, end)
+        return least
 
     def stream(self, data: Iterable[int]) -> Iterator[int]:
-        """Token ids of one piece, each as soon as it is certain."""
-        state, any_byte = 0, False
+        """Token ids of one piece, in portions: each LOOKAHEAD bytes, all that are certain."""
+        state, lasts = 0, []
         for byte in data:
-            any_byte = True
-            out, state = self.moves[state].get(byte) or self._step(state, byte)
-            yield from out
-        if any_byte:
-            yield from self.ends[state] or self._end(state)
+            state, last = self.moves[state].get(byte) or self._step(state, byte)
+            lasts.append(last)
+            if len(lasts) % LOOKAHEAD == 0:
+                cut = self._certain(lasts, self.depth[self.states[state][0]])
+                yield from self._path(lasts, cut)
+                del lasts[:cut]
+        yield from self._path(lasts, len(lasts))
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)  # a piece that is a token is never split
@@ -130,31 +172,56 @@ class Transducer:
             return [whole]
         if len(self.states) > MOST_STATES:
             self._reset()
-        return list(self.stream(piece))
+        if len(piece) >= LOOKAHEAD:
+            return list(self.stream(piece))
+        state, lasts, moves = 0, [], self.moves
+        for byte in piece:
+            state, last = moves[state].get(byte) or self._step(state, byte)
+            lasts.append(last)
+        return self._path(lasts, len(lasts))
+
+
+class _Recent(dict):
+    """A lookup table of two generations: when the younger is full it becomes the older, so what is in use stays. One entry
+    is ``made`` where there is none; keys longer than LONGEST_CHUNK are not kept."""
+
+    def __init__(self, made, most: int):
+        super().__init__()
+        self.made, self.most, self.older = made, most, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.made(key)
+        if len(key) <= LONGEST_CHUNK:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
 
-class Encoder(dict):
+class Encoder:
     """Texts to ids. A chunk is a run without white space and the space before it, or white space; no match of the pattern
-    crosses its edge. Known chunks are looked up; the keys of this dict are at most MOST_CHUNKS."""
+    crosses its edge. Chunks and pieces that were met lately are looked up, in tables of at most 2 and 6 times MOST_CHUNKS."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        super().__init__()
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"(?!\S)", f"(?![^{SPACE}])").replace(r"\s", f"[{SPACE}]"))
+        self.chunks = _Recent(self._chunk, MOST_CHUNKS)
+        self.pieces = _Recent(self._piece, 3 * MOST_CHUNKS)
 
-    def __missing__(self, chunk: str) -> bytes:
-        pieces = [chunk] if _LETTERS.fullmatch(chunk) and chunk.lstrip(" ").isalpha() else self.pattern.findall(chunk)
-        ids = [i for piece in pieces for i in self.transducer.encode(piece.encode())]
-        packed = np.array(ids, "<u4").tobytes()
-        if len(chunk) <= LONGEST_CHUNK:
-            if len(self) >= MOST_CHUNKS:
-                self.clear()
-            self[chunk] = packed
-        return packed
+    def _piece(self, piece: str) -> bytes:
+        return np.array(self.transducer.encode(piece.encode()), "<u4").tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        if _LETTERS.fullmatch(chunk) and chunk.lstrip(" ").isalpha():
+            return self.pieces[chunk]
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(chunk)))
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        return b"".join(map(self.__getitem__, _COARSE.findall(text))) if text else b""
+        return b"".join(map(self.chunks.__getitem__, _COARSE.findall(text))) if text else b""
 
 
 # Bytes that must follow each lead byte of UTF-8; others stand alone or are errors that the codec replaces.
