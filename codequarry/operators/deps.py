@@ -63,8 +63,8 @@ def requirements_txt(body: Column) -> Column:
 
 def pyproject_toml(body: Column) -> Column:
     body = F.regexp_replace(body, r"\r\n?", "\n")
-    listed = extract(body, r"^\[project\].*?^dependencies\s*=\s*\[(.*?)\]", 1, flags="ms")
-    poetry = extract(body, r"^\[tool\.poetry\.dependencies\](.*?)(?=^\[|\Z)", 1, flags="ms")
+    listed = extract(body, rules.PYPROJECT_DEPENDENCIES, 1, flags="ms")
+    poetry = extract(body, rules.POETRY_DEPENDENCIES, 1, flags="ms")
     table = _pairs(poetry, r"^([A-Za-z0-9_.-]+)\s*=\s*[\"']?([^\s\"']+)", lambda v: v)
     return F.concat(_pairs(listed, r"[\"']([A-Za-z0-9_.-]+)([^\"']*)[\"']", _none_if_empty),
                     F.filter(table, lambda d: F.lower(d["name"]) != "python"))

@@ -105,7 +105,7 @@ def repo_snapshot(files: DataFrame, max_files: int = 250, listing: DataFrame | N
 
 def language_table(spark) -> DataFrame:
     """The fixed extension table (64 rows)."""
-    rows = ", ".join(f"('{s}', '{lang}')" for lang, exts in rules.LANGUAGES.items() for s in exts)
+    rows = ", ".join(f"('{s}', '{lang}')" for s, lang in rules.LANGUAGES.items())
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(suffix, language_by_suffix)")
 
 

@@ -16,7 +16,6 @@ from ..functions.regex import extract, matches
 
 MANIFEST = ".codex-plugin/plugin.json"
 SKILLS, COMMANDS = "skills/", "scripts/commands/"
-SKIPPED_COMMAND = "plugin_preflight.ps1"
 CONTRACT_FIELDS = ["schemaVersion", "name", "version", "summary"]
 
 
@@ -96,7 +95,7 @@ def skills(files: DataFrame) -> DataFrame:
     p = F.col("path")
     found = files.filter(p.startswith(SKILLS) & (paths.base_name(p) == "SKILL.md") & paths.not_ignored(p))
     body = _universal(F.col("content"))
-    front = r"\A---\s*\r?\n(?P<body>.*?)\r?\n---"
+    front = rules.FRONT_MATTER
     listed = found.select("repo", "path", body.alias("body")).withColumn(
         "front", F.when(matches(F.col("body"), front, flags="s"), extract(F.col("body"), front, 1, flags="s")))
     name, description = r"^name:\s*[\"']?(?P<name>[a-z0-9-]+)[\"']?\s*$", r"^description:\s*[\"']?(?P<description>.+?)[\"']?\s*$"
@@ -157,7 +156,7 @@ def _contract_findings(files: DataFrame, found: DataFrame) -> DataFrame:
 
 def _command_findings(files: DataFrame) -> DataFrame:
     p = F.col("path")
-    code = files.filter(p.startswith(COMMANDS) & (paths.base_name(p) != SKIPPED_COMMAND) & (F.col("size_bytes") <= rules.MIB))
+    code = files.filter(p.startswith(COMMANDS))
     body = _universal(F.col("content"))
     ids = F.concat(
         F.transform(text.all_rules(body, rules.DANGEROUS_COMMANDS), lambda x: F.struct(x.alias("id"), F.lit(None).cast("string").alias("detail"))),

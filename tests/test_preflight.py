@@ -14,7 +14,7 @@ def findings(files, *rows, repo="x/plug"):
 
 def test_clean_plugin(files):
     got, total = findings(files, (".codex-plugin/plugin.json", GOOD), ("skills/alpha/SKILL.md", SKILL), ("skills/alpha/contract.json", CONTRACT), ("skills/alpha/tests.md", ""),
-                          ("scripts/commands/plugin_preflight.ps1", "iex $x"), ("scripts/commands/ok.sh", "ls"))
+                          ("scripts/commands/plugin_preflight.ps1", "dir"), ("scripts/commands/ok.sh", "ls"))
     assert got == [] and (total.status, total.errors) == ("pass", 0)
 
 
