@@ -44,7 +44,7 @@ def _scan(width):
     """Per document its set size and class; besides, n-grams that recur within about two million n-grams."""
 
     def run(batches):
-        held, size = [], 0
+        held, size, met = [], 0, set()
 
         def recurring():
             grams, seen = np.unique(np.concatenate(held), return_counts=True)
@@ -58,12 +58,15 @@ def _scan(width):
             ns, keys = [], []
             for grams in _sets(batch, width):
                 ns.append(len(grams))
-                keys.append(_class_key(grams))
-                held.append(grams)
-                size += len(grams)
+                key = _class_key(grams)
+                keys.append(key)
+                if key not in met:  # copies say nothing of what different texts share
+                    held.append(grams)
+                    size += len(grams)
+                    met.add(key)
                 if size > 2_000_000:
                     yield recurring()
-                    held, size = [], 0
+                    held, size, met = [], 0, set()
             k = len(ns)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()),
@@ -238,6 +241,7 @@ def _labelled(docs: DataFrame, text: str, key: str, width: int, num: int, den: i
     blocks = partitions(spark, total, _BLOCK)
     dealt = texts.mapInArrow(_deal(order, width, num, den, blocks), "block bigint, cls binary, n binary, k binary, grams binary")
     entries = stored(dealt.repartition(blocks, "block").mapInArrow(_meet(order), "gram bigint, cls binary, n bigint"), "entries")
+    entries = stored(_able(entries, num, den), "able")
 
     involved = entries.groupBy("cls").agg(F.lit(1))
     bits = bytearray(FILTER_BITS // 8)
@@ -303,6 +307,22 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", width: in
     return once.unionByName(rows.join(blank, same, "left_semi")).select(docs.columns)
 
 
+def _able(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Entries of classes that may link with something. Of two sets that link, the one whose leading columns end earlier has all
+    those it shares among the other's, so they share at least ceil(num (a + b) / (num + den)) - ceil(num max(a, b) / den) + 1 leading
+    columns for sizes a and b. A class can share no more than it has entries. One with enough for a partner of its own size stays;
+    one with fewer stays if a column holds a class of a size for which the entries of both are enough."""
+    d = entries.groupBy("cls", "n").agg(F.count("*").alias("d"))
+    need = lambda a, b: f"(ceil({num} * ({a} + {b}) / {num + den}) - ceil({num} * greatest({a}, {b}) / {den}) + 1)"
+    d = stored(d.withColumn("high", F.expr(f"d >= {need('n', 'n')}")), "counts")
+    low = entries.join(d.filter("NOT high").select("cls", "d"), "cls").select(F.col("gram").alias("gx"), F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"))
+    every = entries.join(d.select("cls", "d"), "cls")
+    met = F.expr(f"gx = gram AND x <> cls AND {den} * least(n, nx) >= {num} * greatest(n, nx) AND least(d, dx) >= {need('n', 'nx')}")
+    able = d.filter("high").select("cls").union(low.join(every, met).select(F.col("x").alias("cls")).distinct())
+    left = entries.join(able, "cls", "left_semi")
+    return left.join(left.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram"), "gram", "left_semi")
+
+
 def _few(lists: DataFrame, few: int, first: bool) -> DataFrame:
     """Pairs of each class outside its columns' middle groups with the ``few`` members it shares most columns with, out
     of ``few`` that a hash picks from each middle group."""
