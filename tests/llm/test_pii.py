@@ -56,8 +56,8 @@ def test_random_marks(spark, tmp_path):
     pieces = ["a@b.c", "@", ".", "..", "x_%+-", "1.2.3.4", "255", "256", "4111 1111 1111 1111", "4111111111111111", "-", " ", "+1 (555) 123-4567", "+", "(", ")", "é", "\U0001F600",
               "\n", "0", "00", "é@b.co", "A.b-c@d-e.f.g", "999.1.1.1", "_", "5500-0000-0000-0004", "+49", "7", "word"]
     rows = [(i, "".join(rng.choice(pieces) for _ in range(rng.randint(0, 25)))) for i in range(3000)]
-    rows += rows[:10] + [(None, "null key a@b.cd"), (None, None), (5000, None), (5001, ""), (5002, "1" * 100_000), (5003, "a" * 100_000 + "@b.c"), (5004, "1.2.3.4 " * 10_000),
-                         (5005, "+1" + " " * 50_000 + "2"), (5, "same id 10.0.0.1"), (5006, "a" * 60_000)]
+    rows += rows[:10] + [(None, "null key a@b.cd"), (None, None), (5000, None), (5001, ""), (5002, "1" * 4_000), (5003, "a" * 100_000 + "@b.c"), (5004, "1.2.3.4 " * 10_000),
+                         (5005, "+1" + " " * 50_000 + "2"), (5, "same id 10.0.0.1"), (5006, "a" * 4_000)]
     check(rows, run(spark, rows, tmp_path))
 
 
