@@ -117,32 +117,63 @@ def _index(held, probes: int | None):
     return run
 
 
+HELD = 200_000  # rows of a task that wait to be combined
+
+
+def _best(query, tag, vec, score, k):
+    """The best k candidates of each query, each candidate once, ties to the smaller id."""
+    by = np.lexsort((-score, vec, tag, query))
+    query, tag, vec, score = query[by], tag[by], vec[by], score[by]
+    first = np.r_[True, (query[1:] != query[:-1]) | (tag[1:] != tag[:-1]) | (vec[1:] != vec[:-1])]
+    query, tag, vec, score = query[first], tag[first], vec[first], score[first]
+    by = np.lexsort((vec, -score, tag, query))
+    query, tag, vec, score = query[by], tag[by], vec[by], score[by]
+    starts = np.flatnonzero(np.r_[True, (query[1:] != query[:-1]) | (tag[1:] != tag[:-1])])
+    near = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)])) < k
+    return query[near], tag[near], vec[near], score[near]
+
+
 def _rerank(k: int):
+    """Exact scores of a leaf's rows for its queries. What a task finds is combined before it leaves: a query's best k of all
+    leaves that the task has met."""
+
+    def leaf(row):
+        q_ids, q_tags, q = matrix(row, "<f8", "q_")
+        ids, _, x = matrix(row, "<f8")
+        size = np.sqrt((x * x).sum(axis=1))
+        once = len(np.unique(ids)) == len(ids)
+        for i in range(len(q)):
+            # sums run along a row in one fixed order, so equal vectors have equal scores
+            score = (x * q[i]).sum(axis=1) / (size * np.sqrt((q[i] * q[i]).sum()))
+            score[ids == q_ids[i]] = -np.inf
+            near = np.flatnonzero(score > -np.inf)
+            if once and len(near) > 4 * k:
+                near = near[score[near] >= np.partition(score[near], len(near) - k)[len(near) - k]]
+            yield np.full(len(near), q_ids[i]), np.full(len(near), q_tags[i]), ids[near], score[near]
+
     def run(batches):
+        held, size = [], 0
+
+        def combined():
+            best = _best(*(np.concatenate(c) for c in zip(*held)), k)
+            return [best], len(best[0])
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], ["query_id", "tag", "vec_id", "score"])
+
         for batch in batches:
-            out = [[], [], [], []]
             for row in batch.to_pylist():
-                q_ids, q_tags, q = matrix(row, "<f8", "q_")
-                ids, _, x = matrix(row, "<f8")
-                size = np.sqrt((x * x).sum(axis=1))
-                once = len(np.unique(ids)) == len(ids)
-                for i in range(len(q)):
-                    # sums run along a row in one fixed order, so equal vectors have equal scores
-                    score = (x * q[i]).sum(axis=1) / (size * np.sqrt((q[i] * q[i]).sum()))
-                    score[ids == q_ids[i]] = -np.inf
-                    if len(ids) > 4 * k and once:
-                        least = np.partition(score, len(ids) - k)[len(ids) - k]
-                        near = np.flatnonzero(score >= least)
-                    else:
-                        near = np.arange(len(ids))
-                    near = near[np.lexsort((ids[near], -score[near]))]
-                    if not once:
-                        near = near[np.sort(np.unique(ids[near], return_index=True)[1])]
-                    near = near[:k][score[near[:k]] > -np.inf]
-                    for column, values in zip(out, (np.repeat(q_ids[i], len(near)), np.repeat(q_tags[i], len(near)), ids[near], score[near])):
-                        column.append(values)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "tag", "vec_id", "score"])
+                for found in leaf(row):
+                    held.append(found)
+                    size += len(found[0])
+                    if size > HELD:
+                        held, size = combined()
+                        if size > HELD // 2:  # more queries than fit: these rows go as they are
+                            yield out()
+                            held, size = [], 0
+        if held:
+            held, size = combined()
+            yield out()
 
     return run
 
