@@ -2,9 +2,11 @@
 
 Pattern matches are the protected entities. Over the whole corpus, co-occurrence tells how much a word reveals of an entity:
 the share of the entity's information that the word carries, PMI(entity; word) / IC(entity), with IC = -log p and p the share of
-documents. It is 1 for a word found only next to the entity. Words above ``threshold``, seen with the entity in
-``support`` documents that are no copies of each other, are spans too in the entity's documents. Sanitising generalises matches to their
-kind and takes disclosing words out.
+documents. It is 1 for a word found only next to the entity. Words above ``threshold`` are spans too in the entity's documents, if
+they were seen with the entity in ``support`` documents that are no copies of each other, or if chance would hardly bring so many
+together (``CHANCE``). Most entities stand in one or two documents, so what they share is scored as well: the e-mail domain, the
+network, the first digits, the parts of the name in an address. One document is no evidence for any of its many words, but it is for
+the one word that the address itself names. Sanitising generalises matches to their kind and takes disclosing words out.
 
 Everything is built-in expressions. Matches and the text between them come out of one anchored pattern, so that positions are running
 sums of lengths.
@@ -29,6 +31,9 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 WORD = r"\p{L}{4,}"
 TERM = "term"
+# a word counts as disclosing if so many documents together have at most this probability, over all words tried for a group
+CHANCE = 0.01
+NAME, OUTSIDE = "name:", "outside"
 
 
 def _digits(value: Column) -> Column:
@@ -76,8 +81,9 @@ def spans(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: f
     may = F.lit(False)
     for kind in KINDS:
         may = may | t.rlike(HINTS[kind])
-    found = rows.filter(may).select("doc_id", "tag", *(_matches(t, PATTERNS[k], HINTS[k]).alias(k) for k in KINDS), _matches(t, WORD).alias(TERM))
-    held = stored(found.groupBy("doc_id", "tag").agg(*(F.first(c).alias(c) for c in (*KINDS, TERM))), "entities")
+    found = rows.filter(may).select("doc_id", "tag", *(_matches(t, PATTERNS[k], HINTS[k]).alias(k) for k in KINDS), _matches(t, WORD).alias(TERM),
+                                    F.regexp_extract_all(F.lower(_outside(t)), F.lit(WORD), F.lit(0)).alias(OUTSIDE))
+    held = stored(found.groupBy("doc_id", "tag").agg(*(F.first(c).alias(c) for c in (*KINDS, TERM, OUTSIDE))), "entities")
     kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("pairs")) for k in KINDS))
     by_kind = held.select("doc_id", "tag", F.explode(kinds).alias("k")).select("doc_id", "tag", "k.kind", "k.pairs").filter(F.size("pairs") > 0)
     base = stored(_placed(by_kind).filter(_holds(F.col("kind"), F.col("value"))), "base")
@@ -92,26 +98,65 @@ def _same(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     return out.drop("_d", "_t") if how in ("inner", "left") else out
 
 
+def _outside(text: Column) -> Column:
+    """The text without its e-mails, the only matches with letters: a name inside an address is no evidence of the name."""
+    return F.when(text.rlike(HINTS["email"]), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+
+
+def _groups(kind: Column, value: Column) -> Column:
+    """What an entity is counted under: itself, and what it shares with others."""
+    low, digits = F.lower(value), _digits(value)
+    entity = F.concat(kind, F.lit(":"), F.when(kind == "email", low).otherwise(digits))
+    parts = F.regexp_extract_all(F.substring_index(low, "@", 1), F.lit(WORD), F.lit(0))
+    shared = (F.when(kind == "email", F.concat(F.array(F.concat(F.lit("domain:"), F.substring_index(low, "@", -1))),
+                                               F.transform(parts, lambda p: F.concat(F.lit(NAME), p))))
+              .when(kind == "ip", F.array(F.concat(F.lit("net:"), F.substring_index(value, ".", 3))))
+              .when(kind == "card", F.array(F.concat(F.lit("issuer:"), F.substring(digits, 1, 6))))
+              .otherwise(F.array(F.concat(F.lit("area:"), F.substring(digits, 1, 4)))))
+    return F.concat(F.array(entity), shared)
+
+
+def _ways(n: Column, k: Column) -> Column:
+    """Upper bound of the logarithm of n over k."""
+    x = lambda v: F.when(v > 0, v * F.log(v.cast("double"))).otherwise(0.0)
+    return x(n) - x(k) - x(n - k)
+
+
 def _disclosing(rows: DataFrame, held: DataFrame, base: DataFrame, threshold: float, support: int) -> DataFrame:
-    entity = F.concat("kind", F.lit(":"), F.when(F.col("kind") == "email", F.lower("value")).otherwise(_digits(F.col("value"))))
-    where = base.select("doc_id", "tag", entity.alias("entity")).distinct()
+    where = base.select("doc_id", "tag", F.explode(_groups(F.col("kind"), F.col("value"))).alias("group")).distinct()
     # copies and near copies of a document tend to share the least hash of three words in a row, and are one witness
     triples = F.transform(F.arrays_zip(F.col("terms").alias("a"), F.slice("terms", F.lit(2), F.size("terms")).alias("b"), F.slice("terms", F.lit(3), F.size("terms")).alias("c")),
                           lambda t: F.when(t["c"].isNotNull(), F.xxhash64(t["a"], t["b"], t["c"])))
-    terms = F.transform(F.col(TERM), lambda p: F.lower(p["value"]))
-    lower = held.select("doc_id", "tag", terms.alias("terms"))
-    contexts = _same(where, lower.select("doc_id", "tag", F.coalesce(F.array_min(triples), F.col("tag")).alias("sketch"), F.array_distinct("terms").alias("terms")))
-    often = where.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = (contexts.join(often.filter(F.col("n_entity") >= support), "entity").select("entity", "n_entity", "sketch", F.explode("terms").alias("term"))
-             .groupBy("entity", "term", "n_entity", "sketch").agg(F.count("*").alias("c"))
-             .groupBy("entity", "term", "n_entity").agg(F.sum("c").alias("n_both"), F.count("*").alias("witnesses")).filter(F.col("witnesses") >= support))
-    everywhere = (rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(WORD), F.lit(0)))).alias("term"))
+    lower = held.select("doc_id", "tag", F.col(OUTSIDE).alias("terms"))
+    lower = lower.select("doc_id", "tag", F.coalesce(F.array_min(triples), F.col("tag")).alias("sketch"), F.array_distinct("terms").alias("terms"))
+    often = where.groupBy("group").agg(F.count("*").alias("n_group"))
+    # words of a group of one document are never told from chance, but for the name itself
+    named = F.array_intersect("terms", F.array(F.expr(f"substring(group, {len(NAME) + 1})")))
+    tried = F.when(F.col("n_group") > 1, F.col("terms")).when(F.col("group").startswith(NAME), named).otherwise(F.array().cast("array<string>"))
+    asked = where.join(often, "group").filter((F.col("n_group") > 1) | F.col("group").startswith(NAME))
+    contexts = stored(_same(asked, lower).select("doc_id", "tag", "group", "n_group", "sketch", tried.alias("terms")).filter(F.size("terms") > 0), "contexts")
+    words = contexts.groupBy("group").agg(F.first("n_group").alias("n_group"), F.sum(F.size("terms")).alias("n_tried"))
+    pairs = (contexts.select("group", "sketch", F.explode("terms").alias("term"))
+             .groupBy("group", "term", "sketch").agg(F.count("*").alias("c"))
+             .groupBy("group", "term").agg(F.sum("c").alias("n_both"), F.count("*").alias("witnesses")))
+    is_name = F.col("group") == F.concat(F.lit(NAME), F.col("term"))
+    everywhere = (rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(_outside(F.col("t"))), F.lit(WORD), F.lit(0)))).alias("term"))
                   .groupBy("term").agg(F.count("*").alias("n_term")))
     total = rows.agg(F.count("*").cast("double").alias("total"))
-    p_entity = F.col("n_entity") / F.col("total")
-    pmi = F.log((F.col("n_both") / F.least("n_term", "total")) / p_entity)
-    strong = pairs.join(everywhere, "term").join(F.broadcast(total)).filter((p_entity < 1) & (pmi / -F.log(p_entity) >= threshold)).select("entity", "term")
-    reveals = where.join(strong, "entity").select("doc_id", "tag", "term").distinct()
+    p_group = F.col("n_group") / F.col("total")
+    pmi = F.log((F.col("n_both") / F.least("n_term", "total")) / p_group)
+    # a word is tried because a document of the group has it, so that one says nothing; a name is tried because of the address
+    given = F.when(is_name, 0).otherwise(1)
+    k = F.col("witnesses") - given
+    n = k + F.greatest(F.col("n_term") - F.col("n_both"), F.lit(0))
+    chance = F.when(is_name, 0.0).otherwise(F.log(F.col("n_tried").cast("double"))) + _ways(n, k) + k * F.log(p_group)
+    entity = F.substring_index("group", ":", 1).isin(*KINDS)
+    sure = (entity & (F.col("witnesses") >= support)) | (chance <= F.log(F.lit(CHANCE)))
+    strong = (pairs.filter(is_name | (F.col("witnesses") > 1)).join(words, "group").join(everywhere, "term").join(F.broadcast(total))
+              .filter((p_group < 1) & (pmi / -F.log(p_group) >= threshold) & sure).select("group", "term"))
+    # by group and word: every document of a group times every word of it would be far more
+    reveals = stored(contexts.select("doc_id", "tag", "group", F.explode("terms").alias("term")).join(strong, ["group", "term"])
+                     .select("doc_id", "tag", "term").distinct(), "reveals")
     mine = reveals.groupBy("doc_id", "tag").agg(F.collect_set("term").alias("mine"))
     items = _same(held.select("doc_id", "tag", F.lit(TERM).alias("kind"), F.col(TERM).alias("pairs")), mine)
     # running sums need every word; then only the disclosing ones stay, outside the pattern matches

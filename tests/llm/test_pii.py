@@ -85,6 +85,35 @@ def test_words_that_disclose(spark):
     assert "Quixotica" not in clean[0] and "<email>" in clean[0] and "@" not in clean[0] and clean[100] == rows[12][1] and "<ip>" in clean[400]
 
 
+def test_words_that_disclose_rare_entities(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    text = lambda n=40: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(0, f"{text()} Quixotica {text()} quixotica.7@mail.example.com")]  # one document, and the address names the word
+    rows += [(10 + i, f"{text()} Zanzibar {text()} u{i}@hidden.example.org {text()} odd{'klmnopqr'[i] * 4}") for i in range(8)]  # one domain, eight addresses
+    rows += [(20, f"{text()} common {text()} common.3@mail.example.com"), (21, f"only.me.onlyname@x.example.com {text()}")]
+    rows += [(100 + i, f"{text()} common") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    of = dict(rows)
+    got = {r.doc_id: {of[r.doc_id][s.start:s.end] for s in r.spans if s.kind == "term"} for r in pii.find(df).collect()}
+    assert got[0] == {"Quixotica"} and all(got[10 + i] == {"Zanzibar"} for i in range(8))
+    assert not any(v for k, v in got.items() if k >= 20)
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert "Quixotica" not in clean[0] and all(clean[k] == of[k] for k in of if k >= 100)
+
+
+def test_driver_documents_have_disclosing_words(spark):
+    of = dict(duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.1/documents.parquet'").fetchall())
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.spans for r in pii.find(docs).collect()}
+    terms = {k: [of[k][s.start:s.end] for s in v if s.kind == "term"] for k, v in got.items()}
+    # names that stand outside their addresses in at most two documents, counted on their own
+    assert {w.lower() for v in terms.values() for w in v} >= {"desleleenpa", "reenorin", "isthhend", "anesntes", "leouanoiier"}
+    assert all(base(of[k]) for k, v in terms.items() if v)
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert all(clean[k] == of[k] for k in of if not base(of[k]))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert pii.find(df).count() == 0 and pii.sanitise(df).count() == 0
