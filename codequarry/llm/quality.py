@@ -90,7 +90,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     """Learn from labelled documents for which ``trains`` holds.
 
     The sample is bounded: of each class the DICTIONARY_DOCS + CALIBRATION_DOCS keys of least hash, SAMPLE_CHUNKS chunks of each for
-    the dictionaries and whole texts for the calibration. Keys that are null, or labelled null or both ways, are left
+    the dictionaries and whole texts for the calibration. There each class weighs as much as all its labels do, so that the share of
+    good ones does not depend on the bounds. Keys that are null, or labelled null or both ways, are left
     out; of documents that share a key, one text counts. Without labels of both classes every score is 1.
     """
     prepared(docs.sparkSession)
@@ -100,6 +101,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     chosen = [[r.k for r in votes.filter(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(most).collect()] for y in (0, 1)]
     if not chosen[0] or not chosen[1]:
         return Model(b"", b"", [0.0] * 5, [1.0] * 5, [50.0, 0, 0, 0, 0])
+    eligible = votes.join(docs.select(F.col(key).cast("bigint").alias("k")).distinct(), "k")  # labels without a document are no part of the share
+    counted = {r.y: r.n for r in eligible.groupBy("y").agg(F.count("*").alias("n")).collect()}
     place = [(k, y, i) for y in (0, 1) for i, k in enumerate(chosen[y])]
     split = [min(DICTIONARY_DOCS, -(-len(c) // 2)) for c in chosen]
     spark = docs.sparkSession
@@ -128,20 +131,23 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     rest.sort(key=lambda r: (r.y, r.at))
     if len({r.y for r in rest}) < 2:
         return Model(good, bad, [0.0] * 5, [1.0] * 5, [0.0, 20.0, 0, 0, 0])
-    # classes keep the share that they have among all labels, as far as the bounds allow
-    return _calibrated(good, bad, np.array([r.s for r in rest]), np.array([r.y for r in rest], float))
+    y = np.array([r.y for r in rest])
+    # classes keep the share that they have among all labels, however many of each are sampled; the weights add up to the sample
+    weight = np.array([counted[0] / (y == 0).sum(), counted[1] / (y == 1).sum()])[y]
+    return _calibrated(good, bad, np.array([r.s for r in rest]), y.astype(float), weight * len(y) / weight.sum())
 
 
-def _calibrated(good: bytes, bad: bytes, sizes: np.ndarray, y: np.ndarray) -> Model:
+def _calibrated(good: bytes, bad: bytes, sizes: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Model:
     x = _features(sizes)
-    mean, scale = x.mean(axis=0), x.std(axis=0)
+    mean = np.average(x, axis=0, weights=weight)
+    scale = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=weight))
     mean[0], scale[0] = 0, 1
     scale[scale == 0] = 1
     z, w = (x - mean) / scale, np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        curve = z.T @ (z * (p * (1 - p))[:, None]) + 0.01 * np.eye(len(w))
-        w += np.linalg.solve(curve, z.T @ (y - p) - 0.01 * w)
+        curve = z.T @ (z * (weight * p * (1 - p))[:, None]) + 0.01 * np.eye(len(w))
+        w += np.linalg.solve(curve, z.T @ (weight * (y - p)) - 0.01 * w)
     return Model(good, bad, mean.tolist(), scale.tolist(), w.tolist())
 
 

@@ -47,3 +47,14 @@ def test_no_labels_and_no_documents(small):
     docs, labels = small
     assert {r.predicted for r in quality.scored(docs, labels.limit(0)).collect()} == {1}
     assert quality.scored(docs.limit(0), labels).count() == 0
+
+
+def test_bounds_do_not_move_the_share(spark, monkeypatch):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
+    rate = lambda model: quality.score(docs, model).selectExpr("avg(score)", "avg(CAST(score < 0.5 AS INT))").first()
+    monkeypatch.setattr(quality, "DICTIONARY_DOCS", 150)
+    whole = rate(quality.fit(docs, labels))
+    monkeypatch.setattr(quality, "CALIBRATION_DOCS", 190)  # as many good ones as bad ones
+    bounded = rate(quality.fit(docs, labels))
+    assert abs(whole[0] - bounded[0]) < 0.01 and abs(whole[1] - bounded[1]) < 0.01, (whole, bounded)
