@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, forest, mixing, ngram_join, pii, quality, substring_dedup, token_files, topk
+from . import bpe, forest, licenses, mixing, ngram_join, pii, quality, substring_dedup, token_files, topk
 from .common import table
 
 QUERIES: dict = {}
@@ -96,6 +96,17 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(F.encode(pii.listed(base), "UTF-8"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
+@query(r"""WITH k(known, license) AS (VALUES """ + ", ".join(f"('{k}', '{v}')" for k, v in licenses.KNOWN.items()) + r"""),
+ d AS (SELECT row_number() OVER () AS i, doc_id, list_filter(string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)),
+   lambda x: NOT regexp_matches(x, '^[\x20\x09#*/;-]*(copyright|\(c\)|©)[^\n]*[0-9]{4}')) AS ls FROM documents),
+ c AS (SELECT i, doc_id, ls, sha256(trim(regexp_replace(array_to_string(ls, chr(10)), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g'))) AS digest FROM d),
+ l AS (SELECT DISTINCT i, license FROM (SELECT i, sha256(trim(regexp_replace(unnest(ls), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g'))) AS known FROM c) JOIN k USING (known)),
+ g AS (SELECT i, string_agg(license, ',' ORDER BY license) AS line_licenses FROM l GROUP BY i)
+SELECT doc_id, digest, license AS whole_license, coalesce(line_licenses, '') AS line_licenses FROM c LEFT JOIN k ON k.known = c.digest LEFT JOIN g USING (i)""")
+def op3_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query()
 def op4_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5)
