@@ -33,3 +33,26 @@ def memo(name: str) -> dict:
     so their modules' globals do not last."""
     holder = sys.modules.setdefault("codequarry_memo", types.ModuleType("codequarry_memo"))
     return holder.__dict__.setdefault(name, {})
+
+
+class Scratch:
+    """Stored tables of one operator that are deleted as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._paths = spark, {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self._spark, name)
+        df.write.parquet(path)
+        out = self._spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            if held := self._paths.pop(id(t), None):
+                path = self._spark._jvm.org.apache.hadoop.fs.Path(held[1])
+                path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def clear(self) -> None:
+        self.drop(*(df for df, _ in list(self._paths.values())))

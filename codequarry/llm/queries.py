@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, forest, licenses, mixing, ngram_join, pii, quality, substring_dedup, token_files, topk
+from . import bpe, forest, licenses, mixing, ngram_join, pii, quality, simhash, substring_dedup, token_files, topk
 from .common import table
 
 QUERIES: dict = {}
@@ -120,3 +120,8 @@ def op4_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query()
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
