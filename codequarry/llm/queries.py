@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, forest, licenses, mixing, ngram_join, pii, quality, simhash, substring_dedup, token_files, topk
+from . import bpe, conversations, forest, licenses, mixing, ngram_join, pii, quality, simhash, substring_dedup, token_files, topk, vector_codes
 from .common import table
 
 QUERIES: dict = {}
@@ -125,3 +125,59 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_CLOSED = """list_transform(list_transform([{n}], lambda n: {{'z': n.z, 's': n.s, 'u': list_min([n.u, {{'c': n.z.c + 3, 'a': n.z.a || 'I'}}, {{'c': n.s.c + 3, 'a': n.s.a || 'I'}}, {{'c': n.t.c + 3, 'a': n.t.a || 'I'}}]), 't': n.t}}),
+     lambda n: {{'z': n.z, 's': n.s, 'u': n.u, 't': list_min([n.t, {{'c': n.u.c + 3, 'a': n.u.a || 'I'}}])}})[1]"""
+_STEP = """{'z': {'c': p.z.c + 4, 'a': p.z.a || 'D'},
+   's': list_min([{'c': p.s.c + 4, 'a': p.s.a || 'D'}, {'c': CASE WHEN k.k = 's' THEN p.z.c + k.m ELSE 1000000000 END, 'a': p.z.a || 'K'}]),
+   'u': list_min(list_append(list_transform([p.z, p.s, p.t], lambda q: {'c': CASE k.k WHEN 'D' THEN 1000000000 WHEN 'u' THEN q.c + k.m ELSE q.c + 3 + k.m END, 'a': q.a || CASE k.k WHEN 'u' THEN 'K' ELSE 'R' END}), {'c': p.u.c + 4, 'a': p.u.a || 'D'})),
+   't': list_min([{'c': CASE k.k WHEN 'D' THEN 1000000000 WHEN 'a' THEN p.u.c + k.m ELSE p.u.c + 3 + k.m END, 'a': p.u.a || CASE k.k WHEN 'a' THEN 'K' ELSE 'R' END}, {'c': p.t.c + 4, 'a': p.t.a || 'D'}])}"""
+_FIRST = "{'z': {'c': 0::BIGINT, 'a': ''}, 's': {'c': 1000000000::BIGINT, 'a': ''}, 'u': {'c': 3::BIGINT, 'a': 'I'}, 't': {'c': 6::BIGINT, 'a': 'II'}}"
+
+
+@query(r"""WITH r AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295::BIGINT, list_reduce(
+   list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda ch: CAST(ascii(ch) AS BIGINT)),
+   lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, i: xor(x // 2, CASE WHEN x % 2 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END), xor(c, b)), 4294967295::BIGINT)) % 20 AS fate FROM conversations),
+ d AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+   FROM (SELECT *, unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) FROM r WHERE fate <> 0)),
+ o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+ f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+   WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' END AS fault, lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1:1] AS two FROM o),
+ c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+   count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE two NOT IN ('su', 'ua', 'au')) AS illegal,
+   list({'k': CASE WHEN fault IN ('blank', 'duplicate') THEN 'D' ELSE role[1:1] END, 'm': CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END} ORDER BY i) AS ks, list(role ORDER BY i) AS roles, list(text ORDER BY i) AS texts FROM f GROUP BY conv_id),
+ w AS (SELECT * EXCLUDE (x), list_min([x.z, x.t]) AS best FROM (SELECT *, list_reduce(ks, lambda p, k: """ + _CLOSED.format(n=_STEP) + ", " + _FIRST + r""") AS x FROM c)),
+ e AS (SELECT *, count(*) FILTER (WHERE edit <> 'I') OVER v AS pos, count(*) FILTER (WHERE edit <> 'D') OVER v AS q FROM
+   (SELECT conv_id, roles, texts, unnest(string_split(best.a, '')) AS edit, generate_subscripts(string_split(best.a, ''), 1) AS j FROM w) WINDOW v AS (PARTITION BY conv_id ORDER BY j)),
+ g AS (SELECT *, q - max(CASE WHEN q = 1 AND edit = 'K' AND roles[pos][1:1] = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS n FROM e),
+ t AS (SELECT conv_id, string_agg(CASE edit WHEN 'K' THEN roles[pos] ELSE CASE WHEN n % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE edit WHEN 'I' THEN '' ELSE texts[pos] END, chr(10) ORDER BY j)
+   FILTER (WHERE edit <> 'D') AS lines FROM g GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+ coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM a.conv_id""")
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damage_report(table(spark, sf_dir, "conversations"))
+
+
+@query(r"""WITH v AS (SELECT row_number() OVER () AS i, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ p AS (SELECT i, part, x[part * (len(x) // 16) + 1:(part + 1) * (len(x) // 16)] AS s FROM v, range(16) t(part)),
+ f AS (SELECT i, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS e FROM v ORDER BY vec_id NULLS LAST, x LIMIT 64),
+ c0 AS (SELECT part, e, s FROM p JOIN f USING (i)),
+ a0 AS (SELECT i, p.part, any_value(p.s) AS s, min({'d': CAST(list_sum(list_transform(list_zip(p.s, c.s), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS BIGINT), 'e': e}) AS m FROM p JOIN c0 c USING (part) GROUP BY i, p.part),
+ u0 AS (SELECT part, e, list(x ORDER BY j) AS s FROM (SELECT part, m.e AS e, j, CAST(floor(CAST(sum(s[j]) AS DOUBLE) / count(*)) AS BIGINT) AS x FROM a0, range(1, len(s) + 1) t(j) GROUP BY part, m.e, j) GROUP BY part, e),
+ c1 AS (SELECT part, e, coalesce(u0.s, c0.s) AS s FROM c0 LEFT JOIN u0 USING (part, e)),
+ a1 AS (SELECT i, p.part, any_value(p.s) AS s, min({'d': CAST(list_sum(list_transform(list_zip(p.s, c.s), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS BIGINT), 'e': e}) AS m FROM p JOIN c1 c USING (part) GROUP BY i, p.part),
+ u1 AS (SELECT part, e, list(x ORDER BY j) AS s FROM (SELECT part, m.e AS e, j, CAST(floor(CAST(sum(s[j]) AS DOUBLE) / count(*)) AS BIGINT) AS x FROM a1, range(1, len(s) + 1) t(j) GROUP BY part, m.e, j) GROUP BY part, e),
+ c2 AS (SELECT part, e, coalesce(u1.s, c1.s) AS s FROM c1 LEFT JOIN u1 USING (part, e)),
+ a2 AS (SELECT i, p.part, min({'d': CAST(list_sum(list_transform(list_zip(p.s, c.s), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS BIGINT), 'e': e}) AS m FROM p JOIN c2 c USING (part) GROUP BY i, p.part),
+ r AS (SELECT i, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a2 GROUP BY i)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+ (SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY part, e)) FROM c2) AS codebooks_sha256 FROM v JOIN r USING (i)""")
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    digests = F.lit(None).cast("string")
+    for length, entries in books.items():
+        digests = F.when(F.col("length") == length, vector_codes.digest(entries)).otherwise(digests)
+    return codes.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", digests.alias("codebooks_sha256"))
