@@ -1,29 +1,128 @@
-"""Canonical form and hashing of audit entries."""
+"""Canonical form and hashing of audit entries.
+
+The canonical form is JSON as Python's ``json`` module prints it: keys in order of code points, no spaces, raw Unicode, integers of any size
+digit by digit, other numbers as the shortest text that reads back as the same double. Built-in functions cannot give it: variants
+turn ``1.0`` and ``1e22`` into decimals, the JVM of Java 17 does not print the shortest digits, and maps order keys by UTF-16. So one
+Arrow pass takes each line apart once, and everything after it works on short typed columns.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
+import json
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 GENESIS = "GENESIS"
-_HEX = [f"{hi}{lo}" for hi in "01" for lo in "ABCDEF"]
 
 
-def canonical(variant: Column, drop: str | None = None) -> Column:
-    """Sorted keys, no spaces, raw Unicode, control characters as lower-case escapes."""
-    body = variant
-    if drop is not None:
-        body = F.map_filter(variant.cast("map<string,variant>"), lambda k, v: k != drop)
-    out = F.to_json(body, {"ignoreNullFields": "false"})
-    lowered = reduce(lambda acc, h: F.regexp_replace(
-        acc, r"(?<!\\)((?:\\\\)*)\\u00" + h, r"$1\\u00" + h.lower()), _HEX, out)
-    return F.when(out.rlike(r"\\u00[01][A-F]"), lowered).otherwise(out)
+def loads(text: str):
+    """The JSON value of ``text``; ValueError if it is none. A repeated key has its last value."""
+    try:
+        return json.loads(text)
+    except RecursionError as exc:
+        raise ValueError("nested too deeply") from exc
+
+
+def dumps(value) -> str:
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def entry_hash(previous: str | None, body: str) -> str:
+    return hashlib.sha256(f"{previous or GENESIS}|{body}".encode()).hexdigest()
+
+
+def _canonical(texts: pa.Array) -> pa.Array:
+    def one(text):
+        try:
+            return None if text is None else dumps(loads(text)).encode().decode()
+        except ValueError:  # no JSON, or a lone surrogate, which has no bytes
+            return None
+
+    return pa.array([one(t) for t in texts.to_pylist()], pa.string())
+
+
+def canonical(text: str | Column) -> Column:
+    """The canonical form of a JSON text; null where the text is null or no JSON."""
+    return F.arrow_udf(_canonical, StringType())(text)
+
+
+ENTRY = [("raw", pa.string()), ("corrupt", pa.bool_()), ("seq", pa.int64()), ("names", pa.string()), ("hash", pa.string()), ("sound", pa.bool_())]
+
+
+def entry(line: str):
+    """(raw, corrupt, seq, names, hash, sound) of a log line, or None where there is no entry: blank lines and JSON that is no object.
+
+    ``names`` and ``hash`` are prevHash and entryHash as JSON, null if absent or null; ``seq`` is null if it is no whole number; ``sound``
+    says whether the hash fits the body and the predecessor that the entry names."""
+    line = line.strip()
+    if not line:
+        return None
+    try:
+        found = loads(line)
+    except ValueError:
+        return line, True, None, None, None, False
+    if not isinstance(found, dict):
+        return None
+    seq, names, stored = found.get("seq"), found.get("prevHash"), found.pop("entryHash", None)
+    try:
+        own = entry_hash(names, dumps(found)) if names is None or isinstance(names, str) else None
+        shown = [None if v is None else dumps(v) for v in (names, stored)]
+        "".join(s for s in shown if s).encode()
+    except ValueError:
+        own, shown = None, [None, None]
+    whole = isinstance(seq, (int, float)) and abs(seq) < 1 << 62 and seq == int(seq)
+    return line, bool(found.get("corrupt")), int(seq) if whole else None, *shown, own is not None and stored == own
+
+
+def entries(log: DataFrame) -> DataFrame:
+    """log(repo, pos, raw) -> repo, pos and the columns of ``entry``, in one pass, for tables and streams."""
+    names = ["repo", "pos", *(n for n, _ in ENTRY)]
+
+    def run(batches):
+        for batch in batches:
+            found = [entry(line or "") for line in batch.column("raw").to_pylist()]
+            keep = pa.array([f is not None for f in found], pa.bool_())
+            columns = list(zip(*(f for f in found if f is not None))) or [()] * len(ENTRY)
+            yield pa.RecordBatch.from_arrays([batch.column("repo").filter(keep), batch.column("pos").filter(keep),
+                                              *(pa.array(c, t) for c, (_, t) in zip(columns, ENTRY))], names)
+
+    types = dict(log.dtypes)
+    return log.select("repo", "pos", "raw").mapInArrow(
+        run, f"repo {types['repo']}, pos {types['pos']}, raw string, corrupt boolean, seq bigint, names string, hash string, sound boolean")
+
+
+# fixed values: the names that a log writes itself
+RESERVED = ("seq", "timestampUtc", "prevHash", "entryHash")
+
+
+def record_parts(text: str | None, timestamp: str | None):
+    """(inner, head, mid, rest): the record's members as they are logged, and the canonical body around the values of prevHash and seq. None
+    where the record cannot be logged: no JSON object, a name that the log writes, no UTF-8."""
+    try:
+        record = loads(text or "")
+        if not isinstance(record, dict) or any(name in record for name in RESERVED):
+            return None
+        inner = json.dumps(record, separators=(",", ":"), ensure_ascii=False)[1:-1]
+        record["timestampUtc"] = timestamp
+        shown = {name: f"{dumps(name)}:{dumps(value)}" for name, value in record.items()} | {"prevHash": '"prevHash":\0', "seq": '"seq":\0'}
+        head, mid, rest = ("{" + ",".join(shown[name] for name in sorted(shown)) + "}").split("\0")
+        (inner + head + mid + rest).encode()
+    except ValueError:
+        return None
+    return inner, head, mid, rest
+
+
+def _loggable(records: pa.Array) -> pa.Array:
+    return pa.array([record_parts(r, "") is not None for r in records.to_pylist()], pa.bool_())
 
 
-def chain_hash(previous: Column, body: Column) -> Column:
-    return F.sha2(F.concat(F.coalesce(F.nullif(previous, F.lit("")), F.lit(GENESIS)), F.lit("|"), body), 256)
+def loggable(record: str | Column) -> Column:
+    """Whether a record can be logged."""
+    return F.arrow_udf(_loggable, BooleanType())(record)
 
 
 def json_field(variant: Column, name: str) -> Column:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Iterator
-from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params
@@ -16,29 +14,6 @@ from ..functions import audit as fa
 from ..plans.topn import top_n
 
 
-def parse_entries(log: DataFrame) -> DataFrame:
-    """log(repo, pos, raw) -> entries(repo, pos, raw, v, corrupt). Blank lines and valid JSON that
-    is no object vanish; unparsable lines stay as corrupt entries."""
-    raw = F.btrim("raw")
-    parsed = log.filter(raw != "").select("repo", "pos", raw.alias("raw"), F.try_parse_json(raw).alias("v"))
-    flagged = fa.json_field(F.col("v"), "corrupt")
-    corrupt = F.col("v").isNull() | (flagged.isNotNull() & ~flagged.isin("false", "0", '""', "[]", "{}"))
-    is_object = F.schema_of_variant("v").startswith("OBJECT")
-    return parsed.filter(F.col("v").isNull() | is_object).withColumn("corrupt", corrupt)
-
-
-def _row_checks(entries: DataFrame) -> DataFrame:
-    """What an entry shows by itself: does its hash fit its body and the predecessor it names? The
-    body ends here; only short columns go on."""
-    v = F.col("v")
-    seq = fa.json_field(v, "seq")
-    own = fa.chain_hash(fa.string_field(v, "prevHash"), fa.canonical(v, drop="entryHash"))
-    return entries.select(
-        "repo", "pos", F.when(seq.rlike("^[0-9]+$"), seq.try_cast("bigint")).alias("seq"),
-        fa.json_field(v, "prevHash").alias("names"), fa.json_field(v, "entryHash").alias("hash"),
-        (~F.col("corrupt") & F.coalesce(fa.string_field(v, "entryHash") == own, F.lit(False))).alias("sound"))
-
-
 def verify(log: DataFrame, chunk: int = 100_000) -> DataFrame:
     """Per repo: entry_count, first_invalid_seq, chain_valid, status.
 
@@ -50,7 +25,7 @@ def verify(log: DataFrame, chunk: int = 100_000) -> DataFrame:
     params.int_in(chunk, 1, 10_000_000, "chunk", optional=False)
     c = F.col
     inside = Window.partitionBy("repo", "range").orderBy("pos")
-    rows = _row_checks(parse_entries(log)).withColumn("range", F.floor(c("pos") / chunk))
+    rows = fa.entries(log).drop("raw").withColumn("sound", c("sound") & ~c("corrupt")).withColumn("range", F.floor(c("pos") / chunk))
     rows = (rows.withColumn("k", F.row_number().over(inside)).withColumn("before", F.lag("hash").over(inside))
             .withColumn("base", c("seq") - c("k")).withColumn("base1", F.first("base").over(inside)))
     wrong = ~c("sound") | ((c("k") > 1) & ~c("names").eqNullSafe(c("before"))) | c("base").isNull() | ~c("base").eqNullSafe(c("base1"))
@@ -70,23 +45,13 @@ def verify(log: DataFrame, chunk: int = 100_000) -> DataFrame:
 def tail(log: DataFrame, n: int = 50) -> DataFrame:
     """The last entries of each log, ``back`` = 1 for the newest."""
     params.int_in(n, 1, 1_000, "n", optional=False)
-    entries = parse_entries(log).select("repo", "pos", "raw", "corrupt")
+    entries = fa.entries(log).select("repo", "pos", "raw", "corrupt")
     return top_n(entries, ["repo"], [F.desc("pos")], n, ["pos"], rank="back")
 
 
-RESERVED = ("seq", "timestampUtc", "prevHash", "entryHash")
-
-
-def _acceptable(record: Column) -> Column:
-    """A JSON object without a repeated key and without the names that the log itself writes."""
-    value = F.try_parse_json(record)
-    clash = reduce(lambda a, b: a | b, [F.try_variant_get(value, f"$.{name}", "variant").isNotNull() for name in RESERVED])
-    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT") & ~clash, F.lit(False))
-
-
 def rejected(records: DataFrame) -> DataFrame:
-    """The records that ``append`` passes over."""
-    return records.filter(~_acceptable(F.col("record")))
+    """The records that ``append`` passes over: no JSON object, or one that brings a name which the log writes itself."""
+    return records.filter(~fa.loggable("record"))
 
 
 def append(records: DataFrame, tails: DataFrame | None = None) -> DataFrame:
@@ -97,49 +62,47 @@ def append(records: DataFrame, tails: DataFrame | None = None) -> DataFrame:
     stream; all parsing and canonical text is prepared in parallel first, and the fold only
     splices, hashes and passes rows on, holding one state per repo. Records that cannot be logged are
     passed over; ``rejected`` lists them. Returns (repo, pos, raw)."""
-    c = F.col
-    records = records.filter(_acceptable(c("record")))
-    mark = F.concat(F.lit("@"), F.sha2("record", 256))
-    fields = F.concat(F.lit('{"prevHash":"'), mark, F.lit('p","seq":"'), mark, F.lit('s","timestampUtc":"'), c("timestamp_utc"), F.lit('"'))
-    inner = F.regexp_replace("record", r"(?s)^\s*\{\s*|\s*\}\s*\z", "")
-    whole = F.concat(fields, F.when(inner == "", "").otherwise(F.concat(F.lit(","), inner)), F.lit("}"))
-    body = fa.canonical(F.parse_json(whole))
-    at_prev, at_seq = F.concat(F.lit('"'), mark, F.lit('p"')), F.concat(F.lit('"'), mark, F.lit('s"'))
-    after = F.split_part(body, at_prev, F.lit(2))
-    ready = records.select(
-        "repo", "ord", "timestamp_utc", inner.alias("inner"), F.split_part(body, at_prev, F.lit(1)).alias("head"),
-        F.split_part(after, at_seq, F.lit(1)).alias("mid"), F.split_part(after, at_seq, F.lit(2)).alias("rest"))
+    types = dict(records.dtypes)
+    ready = records.select("repo", "ord", "timestamp_utc", "record").mapInArrow(
+        _prepare, f"repo {types['repo']}, ord {types['ord']}, stamp string, inner string, head string, mid string, rest string")
     if tails is not None:
         ready = ready.join(tails.select("repo", "n_entries", "last_hash"), "repo", "left")
     else:
         ready = ready.withColumn("n_entries", F.lit(0)).withColumn("last_hash", F.lit(None).cast("string"))
     ready = ready.withColumn("n_entries", F.coalesce("n_entries", F.lit(0)).cast("bigint"))
     ordered = ready.repartition("repo").sortWithinPartitions("repo", "ord")
-    return ordered.mapInPandas(_chain, "repo string, pos bigint, raw string")
+    return ordered.mapInArrow(_chain, f"repo {types['repo']}, pos bigint, raw string")
+
+
+def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        stamps = batch.column("timestamp_utc").to_pylist()
+        parts = [fa.record_parts(r, t) for r, t in zip(batch.column("record").to_pylist(), stamps)]
+        keep = pa.array([p is not None for p in parts], pa.bool_())
+        columns = list(zip(*((json.dumps(t, ensure_ascii=False), *p) for t, p in zip(stamps, parts) if p is not None))) or [()] * 5
+        yield pa.RecordBatch.from_arrays([batch.column("repo").filter(keep), batch.column("ord").filter(keep), *(pa.array(c, pa.string()) for c in columns)],
+                                         ["repo", "ord", "stamp", "inner", "head", "mid", "rest"])
 
 
-def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     repo, n, last = object(), 0, None
     for batch in batches:
-        out = []
-        for row in batch.itertuples(index=False):
-            if row.repo != repo:
-                repo, n, last = row.repo, int(row.n_entries), row.last_hash
+        pos, raw = [], []
+        for name, _, stamp, inner, head, mid, rest, n_entries, last_hash in zip(*(c.to_pylist() for c in batch.columns)):
+            if name != repo:
+                repo, n, last = name, n_entries, last_hash
             n += 1
             prev = json.dumps(last)
-            body = f"{row.head}{prev}{row.mid}{n}{row.rest}"
-            digest = hashlib.sha256(f"{last or 'GENESIS'}|{body}".encode()).hexdigest()
-            comma = "," if row.inner else ""
-            out.append((repo, n, f'{{"seq":{n},"timestampUtc":"{row.timestamp_utc}","prevHash":{prev}{comma}{row.inner},"entryHash":"{digest}"}}'))
-            last = digest
-        yield pd.DataFrame(out, columns=["repo", "pos", "raw"])
+            last = fa.entry_hash(last, f"{head}{prev}{mid}{n}{rest}")
+            pos.append(n)
+            raw.append(f'{{"seq":{n},"timestampUtc":{stamp},"prevHash":{prev}{"," if inner else ""}{inner},"entryHash":"{last}"}}')
+        yield pa.RecordBatch.from_arrays([batch.column("repo"), pa.array(pos, pa.int64()), pa.array(raw, pa.string())], ["repo", "pos", "raw"])
 
 
 def log_state(log: DataFrame) -> DataFrame:
     """repo, n_entries, last_hash: what ``append`` needs to continue the logs."""
-    e = parse_entries(log)
-    last = F.max(F.struct("pos", F.when(~F.col("corrupt"), fa.string_field(F.col("v"), "entryHash")).alias("h")))
-    return e.groupBy("repo").agg(F.count("*").alias("n_entries"), last.alias("l")).select("repo", "n_entries", F.col("l.h").alias("last_hash"))
+    last = F.max(F.struct("pos", F.when(~F.col("corrupt"), F.from_json(F.concat(F.lit('{"h":'), "hash", F.lit("}")), "h string")["h"]).alias("h")))
+    return fa.entries(log).groupBy("repo").agg(F.count("*").alias("n_entries"), last.alias("l")).select("repo", "n_entries", F.col("l.h").alias("last_hash"))
 
 
 def latest_sessions(sessions: DataFrame) -> DataFrame:

@@ -34,7 +34,3 @@ def files(spark):
         return df.selectExpr("*", "cast(octet_length(content) as bigint) AS size_bytes")
 
     return build
-
-
-def rows(df):
-    return [tuple(r) for r in df.collect()]

@@ -17,7 +17,7 @@ def python_verify(lines):
             continue
         try:
             parsed = json.loads(line)
-        except json.JSONDecodeError:
+        except ValueError:
             parsed = {"corrupt": True}
         if isinstance(parsed, dict):
             entries.append(parsed)
@@ -91,10 +91,43 @@ def test_tampering_is_found_where_python_finds_it(spark, seed):
         assert (r.entry_count, r.first_invalid_seq) == python_verify(lines)
 
 
+NUMBERS = ["1.0", "1e22", "1E+22", "1e-07", "0.0000001", "-0", "-0.0", "0.30000000000000004", "2.2250738585072014e-308", "5e-324", "8.41e21", "1.7976931348623157e308",
+           "123456789012345678901234567890", "100000000000000000000.0", "1e16", "9007199254740993.0", "1e400", "0.1000000000000000055511151231257827"]
+
+
 def test_canonical_form(spark):
-    for value in RECORDS:
-        df = spark.createDataFrame([(json.dumps(value),)], "t string").select(fa.canonical(F.parse_json("t")).alias("c"))
-        assert df.first().c == json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    texts = [json.dumps(v) for v in RECORDS] + NUMBERS + [f'{{"b": [{n}, {{"z": {n}, "a": null}}]}}' for n in NUMBERS]
+    texts += ['{"\uff5e": 1, "\U0001f600": 2, "z": 3, "\u00e9": 4}', '{"a": 1, "b": 2, "a": 3}', '[NaN, -Infinity]', ' {"a" : "\\u0041\\ud83d\\ude00\\/"} ', "[" * 500 + "]" * 500]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fa.canonical("t").alias("c"))
+    for r in df.collect():
+        assert r.c == json.dumps(json.loads(r.t), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    bad = ["", "{", "{'a': 1}", '"\\ud800"', "01", "[" * 200_000, None]
+    assert {r.c for r in spark.createDataFrame([(t,) for t in bad], "t string").select(fa.canonical("t").alias("c")).collect()} == {None}
+
+
+ODD = ['{"n": %s, "\uff5e": {"\U0001f600": %s, "\ue000": [%s]}, "\U0001f600": "x"}' % (n, n, n) for n in NUMBERS]
+
+
+def test_odd_numbers_and_keys_verify(spark):
+    """Chains of numbers that are no decimals and of keys beyond the first plane."""
+    df = spark.createDataFrame([("a", i, "t", r) for i, r in enumerate(ODD)], "repo string, ord long, timestamp_utc string, record string").repartition(3)
+    lines = by_repo(audit.append(df))["a"]
+    assert python_verify(lines) == (len(ODD), None)
+    check = lambda ls: audit.verify(spark.createDataFrame([("a", i, x) for i, x in enumerate(ls)], "repo string, pos long, raw string"), chunk=5).first()
+    assert check(lines).chain_valid
+    for old, new, same in (('"n":1.0,', '"n":1.00,', True), ('"n":1e+22,', '"n":1E22,', True), ('"n":1.0,', '"n":1,', False), ('"n":1e-07,', '"n":1.1e-07,', False),
+                           ('"seq":1,', '"seq":1.0,', False), ('0.30000000000000004', '0.3', False)):
+        changed = [x.replace(old, new) for x in lines]
+        assert changed != lines and (check(changed).first_invalid_seq is None) == same
+        assert (check(changed).entry_count, check(changed).first_invalid_seq) == python_verify(changed)
+
+
+def test_records_that_cannot_be_logged(spark):
+    records = ["", "[]", "{", '{"seq": 1}', '{"a": 1, "prevHash": null}', '{"a": "\\ud800"}', '{"a": 1, "a": 2}', "{}", None, '{"entryHash": "x"}']
+    df = spark.createDataFrame([("a", i, "t", r) for i, r in enumerate(records)], "repo string, ord long, timestamp_utc string, record string")
+    lines = by_repo(audit.append(df))["a"]
+    assert [json.loads(x).get("a") for x in lines] == [2, None] and python_verify(lines) == (2, None)
+    assert sorted(r.ord for r in audit.rejected(df).collect()) == [0, 1, 2, 3, 4, 5, 8, 9]
 
 
 def test_tail_and_sessions(spark):

@@ -2,7 +2,7 @@ import json
 
 from codequarry.operators import deps
 from codequarry.sinks import documents
-from conftest import rows
+from frames import rows
 
 
 def parse(files, name, content):

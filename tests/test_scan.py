@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codequarry import rules
 from codequarry.operators import scan
-from conftest import rows
+from frames import rows
 
 AKIA = "AK" + "IA" + "ABCDEFGHIJKLMNOP"
 
