@@ -17,12 +17,12 @@ def _calls(spark, sf_dir):
 
 @query(f"WITH {_LIMIT} SELECT key, id, us, window_start, row_number() OVER (PARTITION BY key, window_start ORDER BY us, id) <= 3 AS allowed FROM r")
 def rate_limit(spark, sf_dir):
-    return calls.rate_limit(_calls(spark, sf_dir), limit=3, window_seconds=3600, range_windows=48)
+    return calls.rate_limit(_calls(spark, sf_dir), limit=3, window_seconds=3600)
 
 
 @query(f"WITH {_LIMIT} SELECT DISTINCT key, window_start AS start FROM r")
 def rate_limit_windows(spark, sf_dir):
-    return calls.window_openings(_calls(spark, sf_dir), window_seconds=3600, range_windows=48)
+    return calls.window_openings(_calls(spark, sf_dir), window_seconds=3600)
 
 
 @query("""WITH e AS (SELECT user_id AS session_id, epoch_us(ts) AS us FROM events),

@@ -78,21 +78,26 @@ def entry(line: str):
     return line, bool(found.get("corrupt")), int(seq) if whole else None, *shown, own is not None and stored == own
 
 
-def entries(log: DataFrame) -> DataFrame:
-    """log(repo, pos, raw) -> repo, pos and the columns of ``entry``, in one pass, for tables and streams."""
-    names = ["repo", "pos", *(n for n, _ in ENTRY)]
+def entries(log: DataFrame, every_line: bool = False) -> DataFrame:
+    """log(repo, pos, raw) -> repo, pos, next if the log has it, and the columns of ``entry``, in one pass, for tables and streams. With
+    ``every_line`` lines without an entry stay, with nulls."""
+    types = dict(log.dtypes)
+    places = [c for c in ("repo", "pos", "next") if c in types]
+    names = [*places, *(n for n, _ in ENTRY)]
+    nothing = (None,) * len(ENTRY)
 
     def run(batches):
         for batch in batches:
             found = [entry(line or "") for line in batch.column("raw").to_pylist()]
+            if every_line:
+                found = [f or nothing for f in found]
             keep = pa.array([f is not None for f in found], pa.bool_())
             columns = list(zip(*(f for f in found if f is not None))) or [()] * len(ENTRY)
-            yield pa.RecordBatch.from_arrays([batch.column("repo").filter(keep), batch.column("pos").filter(keep),
-                                              *(pa.array(c, t) for c, (_, t) in zip(columns, ENTRY))], names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(keep) for c in places), *(pa.array(c, t) for c, (_, t) in zip(columns, ENTRY))], names)
 
-    types = dict(log.dtypes)
-    return log.select("repo", "pos", "raw").mapInArrow(
-        run, f"repo {types['repo']}, pos {types['pos']}, raw string, corrupt boolean, seq bigint, names string, hash string, sound boolean")
+    schema = ", ".join(f"{c} {types[c]}" for c in places)
+    return log.select(*places, "raw").mapInArrow(
+        run, f"{schema}, raw string, corrupt boolean, seq bigint, names string, hash string, sound boolean")
 
 
 # fixed values: the names that a log writes itself

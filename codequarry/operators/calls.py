@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params
+from ..plans.skew import matched, matched_hot
 from ..plans.topn import top_n
+from ..session import stored
 
 
 def micros(ts: str | Column) -> Column:
@@ -26,86 +27,73 @@ def bucket(us: Column, width: int) -> Column:
 # --- rate limit -------------------------------------------------------------------------
 #
 # A key's window opens at its first call and lasts ``width``; the first call at or after its end
-# opens the next one. Each opening depends on the one before, but only through the end of the
-# window that is open when a time range begins. So the chain of a key is cut into time ranges:
-# every range works out, in parallel, where it would leave off for each way of entering it; a
-# short ordered pass links the ranges; then every range lists its openings. Only distinct
-# instants take part, never the calls, and no key is gathered in one place.
-
-
-def window_openings(calls: DataFrame, window_seconds: float = 60.0, range_windows: int = 512) -> DataFrame:
-    """key, start (µs): every moment at which a window opens."""
+# opens the next one. So every distinct instant has one successor, the next instant at least ``width``
+# later, and the openings are what the successors lead to from a key's first instant. They are
+# found by pointer doubling over tables: level k holds the pointers over 2**k windows, of just those
+# instants to which pointers of the level before lead; then marks go down the levels, each adding
+# what lies half as far. Rows are keyed by (key, instant), so a key that is busy in one hour is
+# spread like many keys, and no key or range is ever a group.
+
+
+def _successors(instants: DataFrame, width: int) -> DataFrame:
+    """key, us, next: the first instant of the key at least ``width`` later, if there is one.
+
+    Instants and the times ``width`` after them are sorted together into ranges of about equal numbers of rows, whatever the keys. A
+    range looks ahead within itself; what it cannot see is the first instant of the key in a later range, one row a range."""
+    spark = instants.sparkSession
+    both = (instants.select("key", "us", F.col("us").alias("at"), F.lit(1).alias("real"))
+            .union(instants.select("key", "us", F.col("us") + width, F.lit(0))))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * instants.count() // RANGE_ROWS))
+    placed = stored(both.repartitionByRange(ranges, "key", "at").withColumn("range", F.spark_partition_id()), "ranges")
+    ahead = Window.partitionBy("range", "key").orderBy(F.desc("at"), F.desc("real")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = placed.withColumn("next", F.last(F.when(F.col("real") == 1, F.col("at")), ignorenulls=True).over(ahead)).filter("real = 0")
+    first = placed.groupBy("range", "key").agg(F.min(F.when(F.col("real") == 1, F.col("at"))).alias("first"))
+    later = Window.partitionBy("key").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)  # of one row a range
+    beyond = first.withColumn("later", F.last("first", ignorenulls=True).over(later)).filter("later IS NOT NULL").select("range", "key", "later")
+    # a key goes on in a later range at most once a range, so these rows are no more than the ranges
+    found = matched(seen, F.broadcast(beyond), ["range", "key"], "left")
+    return found.select("key", "us", F.coalesce("next", "later").alias("next")).filter("next IS NOT NULL")
+
+
+RANGE_ROWS = 1_000_000
+
+
+def window_openings(calls: DataFrame, window_seconds: float = 60.0) -> DataFrame:
+    """key, start (µs): every moment at which a window opens; calls without a time open none."""
     width = int(params.number_in(window_seconds, 0.001, 10 ** 9, "window_seconds") * 1_000_000)
-    span = width * range_windows
-    us = micros("ts")
-    instants = calls.select("key", us.alias("us")).distinct().withColumn("range", bucket(F.col("us"), span))
-
-    def leave(key, pdf):
-        t = np.sort(pdf["us"].to_numpy())
-        after = np.searchsorted(t, t + width)
-        last = np.where(after < len(t), after, np.arange(len(t)))  # one step; the last opening stays
-        while True:  # double the steps until every instant points at its last opening
-            further = last[last]
-            if np.array_equal(further, last):
-                break
-            last = further
-        n = int(np.searchsorted(t, key[1] * span + width)) + 1  # ways in: first window's worth of instants
-        enter, exit_at = t[:n], t[last[:n]]
-        keep = np.append(exit_at[1:] != exit_at[:-1], True)  # entries that end alike need only the last
-        return pd.DataFrame({"key": [key[0]], "range": [key[1]], "enter": [enter[keep].tolist()], "leave": [exit_at[keep].tolist()]})
-
-    kind = dict(calls.dtypes)["key"]
-    ways = instants.groupBy("key", "range").applyInPandas(
-        leave, f"key {kind}, range bigint, enter array<bigint>, leave array<bigint>")
-
-    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, start = object(), None
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if row.key != key:
-                    key, start = row.key, None
-                out.append((row.key, row.range, start))
-                i = 0 if start is None else int(np.searchsorted(row.enter, start + width))
-                if i < len(row.enter):
-                    start = int(row.leave[i])
-            yield pd.DataFrame({"key": [r[0] for r in out], "range": [r[1] for r in out],
-                                "open": pd.Series([r[2] for r in out], dtype=object)})
-
-    links = ways.repartition("key").sortWithinPartitions("key", "range").mapInPandas(
-        link, f"key {kind}, range bigint, open bigint")
-
-    def openings(key, pdf):
-        t = np.sort(pdf["us"].to_numpy())
-        entered = pdf["open"].iloc[0]
-        i = 0 if pd.isna(entered) else int(np.searchsorted(t, int(entered) + width))
-        starts = []
-        while i < len(t):
-            starts.append(int(t[i]))
-            i = int(np.searchsorted(t, t[i] + width))
-        if not starts:  # the range lies inside a window that opened earlier
-            return pd.DataFrame()
-        return pd.DataFrame({"key": [key[0]] * len(starts), "start": starts})
-
-    return instants.join(links, ["key", "range"]).groupBy("key", "range").applyInPandas(
-        openings, f"key {kind}, start bigint")
-
-
-def rate_limit(calls: DataFrame, limit: int = 60, window_seconds: float = 60.0, range_windows: int = 512) -> DataFrame:
+    instants = stored(calls.select("key", micros("ts").alias("us")).filter("us IS NOT NULL").distinct(), "instants")
+    heads = instants.groupBy("key").agg(F.min("us").alias("us"))
+    levels = [stored(_successors(instants, width), "successors")]
+    while True:
+        last = levels[-1]
+        led_to = last.select("key", F.col("next").alias("us")).union(heads).distinct()
+        once = matched(led_to, last, ["key", "us"]).select("key", F.col("us").alias("from"), F.col("next").alias("us"))
+        twice = stored(matched(once, last, ["key", "us"]).select("key", F.col("from").alias("us"), "next"), "successors")
+        if not matched(heads, twice, ["key", "us"], "left_semi").limit(1).count():
+            break  # no key has that many windows
+        levels.append(twice)
+    marks = heads
+    for level in reversed(levels):
+        marks = matched(marks, level, ["key", "us"], "left").select("key", F.explode(F.array("us", "next")).alias("us")).filter("us IS NOT NULL")
+    return marks.select("key", F.col("us").alias("start"))
+
+
+def rate_limit(calls: DataFrame, limit: int = 60, window_seconds: float = 60.0) -> DataFrame:
     """calls(key, ts, id) -> key, id, us, window_start, allowed. Rejected calls use up nothing
     further, so the first ``limit`` calls of a window are the allowed ones; they are found by a
-    bounded selection, and every call is compared with the last of them."""
+    bounded selection, and every call is compared with the last of them. Which window a call belongs to is
+    worked out once and stored. Calls without a time are left out."""
     params.int_in(limit, 1, 1_000_000, "limit", optional=False)
     width = int(window_seconds * 1_000_000)
-    opened = window_openings(calls, window_seconds, range_windows)
+    opened = window_openings(calls, window_seconds)
     first = bucket(F.col("start"), width)
-    reach = opened.select("key", "start", F.explode(F.array(first, first + 1)).alias("slot"))  # a window touches two slots
-    placed = (calls.select("key", "id", micros("ts").alias("us")).withColumn("slot", bucket(F.col("us"), width))
-              .join(reach, ["key", "slot"]).filter((F.col("us") >= F.col("start")) & (F.col("us") < F.col("start") + width))
-              .drop("slot"))
+    reach = stored(opened.select("key", "start", F.explode(F.array(first, first + 1)).alias("slot")), "openings")  # a window touches two slots
+    timed = calls.select("key", "id", micros("ts").alias("us")).filter("us IS NOT NULL").withColumn("slot", bucket(F.col("us"), width))
+    placed = stored(matched_hot(timed, reach, ["key", "slot"]).filter((F.col("us") >= F.col("start")) & (F.col("us") < F.col("start") + width))
+                    .drop("slot"), "placed")
     allowed = top_n(placed, ["key", "start"], [F.col("us"), F.col("id")], limit, ["id"], rank="n")
     last = allowed.filter(F.col("n") == limit).select("key", "start", F.struct("us", "id").alias("last"))
-    return placed.join(last, ["key", "start"], "left").select(
+    return matched_hot(placed, last, ["key", "start"], "left").select(
         "key", "id", "us", F.col("start").alias("window_start"),
         (F.col("last").isNull() | (F.struct("us", "id") <= F.col("last"))).alias("allowed"))
 

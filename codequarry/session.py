@@ -16,6 +16,8 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # caps go up to 5,000 rows per repo; above the default of 1,000 no early per-task cut happens
     "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
+    # maps and lists of stream state live outside the heap
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -2,40 +2,76 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import audit as fa
-from ..operators.audit import parse_entries
-
-
-def verify(log: DataFrame) -> DataFrame:
-    """Streaming log(repo, pos, raw), lines of a repo in order across triggers -> repo, position, ok.
-
-    The hash of every entry over the predecessor it names is computed in parallel; the state only
-    checks that it names the right one: (entries so far, last hash, first bad position)."""
-    v = F.col("v")
-    e = parse_entries(log).select(
-        "repo", "pos", "corrupt", fa.json_field(v, "seq").alias("seq"), fa.json_field(v, "prevHash").alias("prev"),
-        fa.json_field(v, "entryHash").alias("hash"),
-        fa.string_field(v, "entryHash").eqNullSafe(
-            fa.chain_hash(fa.string_field(v, "prevHash"), fa.canonical(v, drop="entryHash"))).alias("sound"))
-
-    def step(key, frames, state: GroupState):
-        n, last, bad = state.get if state.exists else (0, None, None)
-        out = []
-        for r in pd.concat(list(frames), ignore_index=True).sort_values("pos").itertuples(index=False):
-            n += 1
-            ok = not r.corrupt and r.seq == str(n) and r.prev == last and bool(r.sound)
-            last = r.hash
-            bad = n if bad is None and not ok else bad
-            out.append((key[0], n, bool(ok), bad))
-        state.update((n, last, bad))
-        yield pd.DataFrame({"repo": [o[0] for o in out], "position": [o[1] for o in out], "ok": [o[2] for o in out],
-                            "first_invalid_seq": pd.Series([o[3] for o in out], dtype=object)})
-
-    return e.groupBy("repo").applyInPandasWithState(
-        step, "repo string, position bigint, ok boolean, first_invalid_seq bigint",
-        "n bigint, last string, bad bigint", "append", GroupStateTimeout.NoTimeout)
+
+_ROW = "next bigint, corrupt boolean, seq bigint, names string, hash string, sound boolean"
+OUT = "repo {repo}, position bigint, ok boolean, first_invalid_seq bigint"
+
+
+def _or_none(value):
+    return None if value is None or pd.isna(value) else value
+
+
+class ChainCheck(StatefulProcessor):
+    """Lines of one log, in whatever order they come. A line whose predecessor has not come yet waits in a map state; a line that came
+    before is passed over. The value state is where the log stands: the position expected next, entries so far, last hash, first bad
+    position, lines that wait."""
+
+    def __init__(self, start: int):
+        self.start = start
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.at = handle.getValueState("at", "expected bigint, n bigint, last string, bad bigint, waiting bigint")
+        self.waiting = handle.getMapState("waiting", "pos bigint", _ROW)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        expected, n, last, bad, waiting = self.at.get() if self.at.exists() else (self.start, 0, None, None, 0)
+        for frame in rows:
+            out = []
+            for pos, *row in frame[["pos", "next", "corrupt", "seq", "names", "hash", "sound"]].sort_values("pos").itertuples(index=False):
+                row = tuple(map(_or_none, row))
+                if pos > expected and not (waiting and self.waiting.containsKey((int(pos),))):
+                    self.waiting.updateValue((int(pos),), (int(row[0]), *_plain(row[1:])))
+                    waiting += 1
+                while pos == expected:
+                    expected, corrupt, seq, names, own, sound = row
+                    if corrupt is not None:  # else the line is no entry
+                        n += 1
+                        ok = bool(sound) and not corrupt and seq == n and names == last
+                        last, bad = own, n if bad is None and not ok else bad
+                        out.append((key[0], n, ok, bad))
+                    if waiting and self.waiting.containsKey((int(expected),)):
+                        pos, row = expected, self.waiting.getValue((int(expected),))
+                        self.waiting.removeKey((int(expected),))
+                        waiting -= 1
+            if out:
+                yield pd.DataFrame({"repo": [o[0] for o in out], "position": [o[1] for o in out], "ok": [o[2] for o in out],
+                                    "first_invalid_seq": pd.Series([o[3] for o in out], dtype="Int64")})
+        self.at.update((int(expected), n, last, bad, waiting))
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(row):
+    corrupt, seq, names, own, sound = row
+    return None if corrupt is None else bool(corrupt), None if seq is None else int(seq), names, own, None if sound is None else bool(sound)
+
+
+def verify(log: DataFrame, start: int = 1) -> DataFrame:
+    """Streaming log(repo, pos, raw) -> repo, position, ok, first_invalid_seq for each entry, once all lines before it have come.
+
+    ``pos`` is the line's number, from ``start``; with a column ``next``, the position of the line that follows, any rising positions will do
+    (byte offsets from 0). Lines may come in any order and more than once over any number of triggers. The hash of every entry over
+    the predecessor it names is computed in parallel; the state only checks that it names the right one, and rows are taken one by one,
+    so a log that is a whole trigger is never held. Needs the RocksDB state store, which ``session.configure`` sets."""
+    repo = dict(log.dtypes)["repo"]
+    e = fa.entries(log if "next" in log.columns else log.selectExpr("*", "pos + 1 AS next"), every_line=True).drop("raw")
+    return e.groupBy("repo").transformWithStateInPandas(
+        statefulProcessor=ChainCheck(start), outputStructType=OUT.format(repo=repo), outputMode="Append", timeMode="None")

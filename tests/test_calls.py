@@ -21,7 +21,7 @@ def at(seconds):
 def sequential(events, limit, window):
     """(allowed ids) the way one process counts."""
     state, out = {}, {}
-    for key, t, i in sorted(events, key=lambda e: (e[0], e[1], e[2])):
+    for key, t, i in sorted(events, key=lambda e: (str(e[0]), e[1], e[2])):
         start, n = state.get(key, (None, 0))
         if start is None or t - start >= window:
             start, n = t, 0
@@ -30,14 +30,15 @@ def sequential(events, limit, window):
     return out
 
 
-@pytest.mark.parametrize("seed,limit,window,span", [(1, 3, 10, 1), (2, 1, 7, 2), (3, 5, 60, 3), (4, 2, 1, 512), (5, 60, 60, 1)])
-def test_rate_limit(spark, seed, limit, window, span):
+@pytest.mark.parametrize("seed,limit,window,rows", [(1, 3, 10, 1_000_000), (2, 1, 7, 20), (3, 5, 60, 10), (4, 2, 1, 50), (5, 60, 60, 7)])
+def test_rate_limit(spark, monkeypatch, seed, limit, window, rows):
+    monkeypatch.setattr(calls, "RANGE_ROWS", rows)
     rnd = random.Random(seed)
-    keys = ["hot"] * 6 + ["b", "c"]
+    keys = ["hot"] * 6 + ["b", None]
     events = [(rnd.choice(keys), rnd.choice([rnd.randrange(600), rnd.randrange(40), 100]), i) for i in range(700)]
     df = table(spark, [(k, at(t), i) for k, t, i in events], "key string, ts timestamp, id long")
     got = {r.id: (r.window_start // 1_000_000 - int(START.timestamp()), r.allowed)
-           for r in calls.rate_limit(df, limit, float(window), range_windows=span).collect()}
+           for r in calls.rate_limit(df, limit, float(window)).collect()}
     assert got == sequential(events, limit, window)
 
 
@@ -46,6 +47,21 @@ def test_fourth_of_four_calls_is_refused(spark):
     assert [r.allowed for r in calls.rate_limit(df, 3, 60.0).orderBy("id").collect()] == [True, True, True, False]
 
 
+def test_one_key_in_one_hour_is_spread(spark, monkeypatch):
+    """No range holds more than its share of a key, calls crowd in a few windows, and calls without a time are left out."""
+    monkeypatch.setattr(calls, "RANGE_ROWS", 200)
+    from codequarry.plans import skew
+    monkeypatch.setattr(skew, "SHARE", 50)
+    events = [("one", (i * 7919 % 3_600_000) / 1000 if i % 3 else 1.5, i) for i in range(4000)]
+    df = table(spark, [(k, START + timedelta(milliseconds=round(t * 1000)), i) for k, t, i in events] + [("one", None, 9999)], "key string, ts timestamp, id long")
+    got = {r.id: (r.window_start / 1e6 - START.timestamp(), r.allowed) for r in calls.rate_limit(df, 10, 1.0).collect()}
+    want = {i: (round(s, 6), ok) for i, (s, ok) in sequential([(k, round(t * 1000), i) for k, t, i in events], 10, 1000).items()}
+    assert {i: (round(s * 1000), ok) for i, (s, ok) in got.items()} == want
+    instants = df.selectExpr("key", "unix_micros(ts) AS us").distinct().filter("us IS NOT NULL")
+    sizes = calls._successors(instants, 1_000_000)
+    assert sizes.count() == sum(t + 1000 <= max(round(e[1] * 1000) for e in events) for t in {round(e[1] * 1000) for e in events})
+
+
 def test_window_starts_at_the_first_call(spark):
     df = table(spark, [("t", at(s), s) for s in (50, 70, 109, 110)], "key string, ts timestamp, id long")
     assert [r.start // 1_000_000 - int(START.timestamp()) for r in calls.window_openings(df, 60.0).orderBy("start").collect()] == [50, 110]

@@ -79,6 +79,27 @@ def test_audit(spark, replay):
     assert {r.first_invalid_seq for r in got if r.repo == "b" and r.position >= 17} == {17}
 
 
+def test_audit_of_lines_out_of_order(spark, replay):
+    """Every line in any trigger, some twice, blank lines and other JSON between, positions as byte offsets."""
+    records = spark.createDataFrame([(r, i, "t", f'{{"op":{i},"x":1e22}}') for r in "ab" for i in range(120)], "repo string, ord long, timestamp_utc string, record string")
+    rows, at = [], {}
+    for r in sorted(audit.append(records).collect()):
+        for raw in ([r.raw.replace('"op":60,', '"op":61,')] if r.repo == "b" else [r.raw, "", "[1]"]):
+            pos = at.get(r.repo, 0)
+            at[r.repo] = pos + len(raw) + 1
+            rows.append((r.repo, pos, at[r.repo], raw))
+    want = [(r.repo, r.entry_count, r.first_invalid_seq) for r in audit.verify(spark.createDataFrame(rows, "repo string, pos long, next long, raw string")).collect()]
+    assert sorted(want) == [("a", 120, None), ("b", 120, 61)]
+    rnd = random.Random(2)
+    again = rows + rnd.sample(rows, 60)
+    rnd.shuffle(again)
+    parts = [spark.createDataFrame(again[i::5], "repo string, pos long, next long, raw string") for i in range(5)]
+    got = replay(parts, lambda s: stream_audit.verify(s, start=0), "disorder").collect()
+    assert sorted((r.repo, r.position) for r in got) == [(r, i + 1) for r in "ab" for i in range(120)]
+    assert [(r.repo, r.position) for r in got if not r.ok] == [("b", 61)]
+    assert {r.first_invalid_seq for r in got if r.repo == "b" and r.position > 60} == {61}
+
+
 def test_scans(spark, replay, files):
     key = "AK" + "IA" + "ABCDEFGHIJKLMNOP"
     token = "Q1w2E3r4T5y6U7i8O9p0AsDfGhJkLzXc"
