@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import OrderedDict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,55 +31,116 @@ def bucket(us: Column, width: int) -> Column:
 # --- rate limit -------------------------------------------------------------------------
 #
 # A key's window opens at its first call and lasts ``width``; the first call at or after its end
-# opens the next one. So every distinct instant has one successor, the next instant at least ``width``
-# later, and the openings are what the successors lead to from a key's first instant. They are
-# found by pointer doubling over tables: level k holds the pointers over 2**k windows, of just those
-# instants to which pointers of the level before lead; then marks go down the levels, each adding
-# what lies half as far. Rows are keyed by (key, instant), so a key that is busy in one hour is
-# spread like many keys, and no key or range is ever a group.
-
-
-def _successors(instants: DataFrame, width: int) -> DataFrame:
-    """key, us, next: the first instant of the key at least ``width`` later, if there is one.
-
-    Instants and the times ``width`` after them are sorted together into ranges of about equal numbers of rows, whatever the keys. A
-    range looks ahead within itself; what it cannot see is the first instant of the key in a later range, one row a range."""
-    spark = instants.sparkSession
-    both = (instants.select("key", "us", F.col("us").alias("at"), F.lit(1).alias("real"))
-            .union(instants.select("key", "us", F.col("us") + width, F.lit(0))))
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * instants.count() // RANGE_ROWS))
+# opens the next one. The distinct instants are sorted and cut into runs of bounded length, whatever
+# the keys. A run works out where it would be left for every instant at which it may be entered;
+# instants that leave it alike are one entry. Between the runs a pointer leads from each way out to
+# the next: it is found by sorting the ways out among the entries, and followed by doubling over
+# tables. Level k holds the pointers over 2**k runs, of just those ways out that level k - 1 leads
+# to; then marks go down the levels, each adding what lies half as far. A run that is entered lists
+# its openings. Pointers are rows keyed by (key, instant): a key that is busy in one hour is many
+# runs and many pointers, on all tasks, and no key or range of time is ever a group.
+
+RUN_INSTANTS = 100_000
+TASK_ROWS = 1_000_000
+
+
+def _runs(width: int):
+    """Sorted (key, us) -> key, run, times and entries (at, exit), a run at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made, held = TaskContext.get().partitionId(), 0, []
+
+        def packed(key, kind):
+            nonlocal made
+            t = np.concatenate(held)
+            held.clear()
+            after = np.searchsorted(t, t + width)
+            last = np.where(after < len(t), after, np.arange(len(t)))  # one step; the last opening stays
+            while not np.array_equal(further := last[last], last):
+                last = further
+            enter, leave = t[:np.searchsorted(t, t[0] + width) + 1], t[last][:np.searchsorted(t, t[0] + width) + 1]
+            keep = np.append(leave[1:] != leave[:-1], True)  # entries that leave alike need only the last
+            made += 1
+            return pa.RecordBatch.from_arrays(
+                [pa.array([key], kind), pa.array([part << 32 | made], pa.int64()), pa.array([t.astype("<i8").tobytes()], pa.binary()),
+                 pa.array([enter[keep]], pa.list_(pa.int64())), pa.array([leave[keep]], pa.list_(pa.int64()))], ["key", "run", "times", "at", "exit"])
+
+        key, kind = None, None
+        for batch in batches:
+            keys, us = batch.column(0), batch.column(1).to_numpy()
+            kind, codes = keys.type, keys.dictionary_encode().indices.fill_null(-1).to_numpy()
+            for a, z in itertools.pairwise([0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(us)] if len(us) else [0]):
+                mine = keys[a].as_py()
+                if held and mine != key:
+                    yield packed(key, kind)
+                key = mine
+                for i in range(a, z, RUN_INSTANTS):
+                    if held and sum(map(len, held)) + min(z, i + RUN_INSTANTS) - i > RUN_INSTANTS:
+                        yield packed(key, kind)
+                    held.append(us[i:min(z, i + RUN_INSTANTS)])
+        if held:
+            yield packed(key, kind)
+
+    return run
+
+
+def _pointers(entries: DataFrame, width: int) -> DataFrame:
+    """key, us (a way out), next (the way out of the run entered next), run (which one that is), if there is one.
+
+    Entries and the ends of the windows that the ways out opened are sorted together into ranges of about equal numbers of rows. A range
+    looks ahead within itself; what it cannot see is the first entry of the key in a later range, one row a range."""
+    none = F.lit(None).cast("bigint")
+    ends = entries.select("key", F.col("exit").alias("us")).distinct().select("key", (F.col("us") + width).alias("at"), "us", F.lit(None).cast("struct<exit:bigint,run:bigint>"))
+    both = entries.select("key", "at", none.alias("us"), F.struct("exit", "run").alias("to")).union(ends)
+    ranges = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * entries.count() // TASK_ROWS))
     placed = stored(both.repartitionByRange(ranges, "key", "at").withColumn("range", F.spark_partition_id()), "ranges")
-    ahead = Window.partitionBy("range", "key").orderBy(F.desc("at"), F.desc("real")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = placed.withColumn("next", F.last(F.when(F.col("real") == 1, F.col("at")), ignorenulls=True).over(ahead)).filter("real = 0")
-    first = placed.groupBy("range", "key").agg(F.min(F.when(F.col("real") == 1, F.col("at"))).alias("first"))
+    ahead = Window.partitionBy("range", "key").orderBy(F.desc("at"), F.col("us").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = placed.withColumn("next", F.last("to", ignorenulls=True).over(ahead)).filter("us IS NOT NULL")
+    first = placed.groupBy("range", "key").agg(F.min_by("to", F.when(F.col("us").isNull(), F.col("at"))).alias("first"))
     later = Window.partitionBy("key").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)  # of one row a range
     beyond = first.withColumn("later", F.last("first", ignorenulls=True).over(later)).filter("later IS NOT NULL").select("range", "key", "later")
     # a key goes on in a later range at most once a range, so these rows are no more than the ranges
-    found = matched(seen, F.broadcast(beyond), ["range", "key"], "left")
-    return found.select("key", "us", F.coalesce("next", "later").alias("next")).filter("next IS NOT NULL")
+    found = matched(seen, F.broadcast(beyond), ["range", "key"], "left").select("key", "us", F.coalesce("next", "later").alias("next"))
+    return found.filter("next IS NOT NULL").select("key", "us", F.col("next.exit").alias("next"), F.col("next.run").alias("run"))
+
 
+def _openings(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, times, end in zip(*(batch.column(c).to_pylist() for c in ("key", "times", "end"))):
+                t, found = np.frombuffer(times, "<i8"), []
+                i = int(np.searchsorted(t, end))
+                while i < len(t):
+                    found.append(t[i])
+                    i = int(np.searchsorted(t, t[i] + width))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), batch.column("key").type), pa.array(found, pa.int64())], ["key", "start"])
 
-RANGE_ROWS = 1_000_000
+    return run
 
 
 def window_openings(calls: DataFrame, window_seconds: float = 60.0) -> DataFrame:
     """key, start (µs): every moment at which a window opens; calls without a time open none."""
     width = int(params.number_in(window_seconds, 0.001, 10 ** 9, "window_seconds") * 1_000_000)
-    instants = stored(calls.select("key", micros("ts").alias("us")).filter("us IS NOT NULL").distinct(), "instants")
-    heads = instants.groupBy("key").agg(F.min("us").alias("us"))
-    levels = [stored(_successors(instants, width), "successors")]
-    while True:
+    kind = dict(calls.dtypes)["key"]
+    instants = calls.select("key", micros("ts").alias("us")).filter("us IS NOT NULL").distinct()
+    tasks = max(int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-calls.count() // TASK_ROWS))
+    ordered = instants.repartitionByRange(tasks, "key", "us").sortWithinPartitions("key", "us")
+    runs = stored(ordered.mapInArrow(_runs(width), f"key {kind}, run bigint, times binary, at array<bigint>, exit array<bigint>"), "runs")
+    entries = stored(runs.select("key", "run", F.explode(F.arrays_zip("at", "exit")).alias("e")).select("key", "run", "e.at", "e.exit"), "entries")
+    heads = stored(entries.groupBy("key").agg(F.min_by(F.struct("exit", "run"), "at").alias("h"), F.lit(-(1 << 62)).alias("end"))
+                   .select("key", F.col("h.exit").alias("us"), F.col("h.run").alias("run"), "end"), "heads")
+    pointers = stored(_pointers(entries, width), "pointers")
+    levels, starts = [pointers.select("key", "us", "next")], heads.select("key", "us")
+    while matched(starts, levels[-1], ["key", "us"], "left_semi").limit(1).count():  # until no key goes on so far
         last = levels[-1]
-        led_to = last.select("key", F.col("next").alias("us")).union(heads).distinct()
+        led_to = last.select("key", F.col("next").alias("us")).union(starts).distinct()
         once = matched(led_to, last, ["key", "us"]).select("key", F.col("us").alias("from"), F.col("next").alias("us"))
-        twice = stored(matched(once, last, ["key", "us"]).select("key", F.col("from").alias("us"), "next"), "successors")
-        if not matched(heads, twice, ["key", "us"], "left_semi").limit(1).count():
-            break  # no key has that many windows
-        levels.append(twice)
-    marks = heads
+        levels.append(stored(matched(once, last, ["key", "us"]).select("key", F.col("from").alias("us"), "next"), "pointers"))
+    marks = starts
     for level in reversed(levels):
         marks = matched(marks, level, ["key", "us"], "left").select("key", F.explode(F.array("us", "next")).alias("us")).filter("us IS NOT NULL")
-    return marks.select("key", F.col("us").alias("start"))
+    entered = matched(marks, pointers, ["key", "us"]).select("key", "run", (F.col("us") + width).alias("end")).union(heads.select("key", "run", "end"))
+    return matched(runs.select("key", "run", "times"), entered, ["key", "run"]).mapInArrow(_openings(width), f"key {kind}, start bigint")
 
 
 def rate_limit(calls: DataFrame, limit: int = 60, window_seconds: float = 60.0) -> DataFrame:
