@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from codequarry.operators import audit, changes
-from codequarry.session import materialize
+from codequarry.session import materialize, new_path
+from codequarry.streaming import audit as stream_audit
+from codequarry.streaming.run import finished
 
 from .changes import STAMP, _PLAN, _plan, _rollback
 from .registry import query, table
@@ -83,3 +85,52 @@ def audit_of_changes(spark, sf_dir):
     writes = materialize(audit.append(changes.audit_records(_plan(spark, sf_dir)[1], "batch-1", at)))
     undone = audit.append(changes.rollback_records(_rollback(spark, sf_dir)[1], at), audit.log_state(writes))
     return audit.verify(writes.unionByName(undone), chunk=100)
+
+
+# numbers as they come, and as they are logged
+_NUMBERS = [("1.00", "1.0"), ("1E22", "1e+22"), ("0.0000001", "1e-07"), ("0.30000000000000004", "0.30000000000000004"), ("-0.0", "-0.0"),
+            ("12345678901234567890123", "12345678901234567890123"), ("5e-324", "5e-324")]
+_NUMBER = "CASE event_id % 7 " + " ".join(f"WHEN {i} THEN '{shown}'" for i, (_, shown) in enumerate(_NUMBERS)) + " END"
+_VALUE = "coalesce(CAST(value AS VARCHAR), 'null')"
+_NUMBER_CHAIN = f"""RECURSIVE parts AS (SELECT event_type AS repo, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n,
+   concat(',"timestampUtc":"', strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), '"') AS t, concat(',"～":{{"ratio":', {_NUMBER}, ',"😀":', {_VALUE}, '}},"😀":', event_id) AS sorted,
+   concat(',"😀":', event_id, ',"～":{{"😀":', {_VALUE}, ',"ratio":', {_NUMBER}, '}}') AS given FROM events),
+ chain AS (SELECT repo, n, 'null' AS prev, sha256(concat('GENESIS|', '{{"prevHash":null,"seq":1', t, sorted, '}}')) AS h FROM parts WHERE n = 1
+  UNION ALL SELECT p.repo, p.n, concat('"', c.h, '"'), sha256(concat(c.h, '|{{"prevHash":"', c.h, '","seq":', p.n, t, sorted, '}}')) FROM chain c JOIN parts p ON p.repo = c.repo AND p.n = c.n + 1),
+ log AS (SELECT repo, n AS pos, concat('{{"seq":', n, t, ',"prevHash":', prev, given, ',"entryHash":"', h, '"}}') AS raw FROM chain JOIN parts USING (repo, n))"""
+
+
+def _number_log(spark, sf_dir):
+    """Entries with numbers that are no decimals, and with keys whose order differs between code points and UTF-16."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    number = F.element_at(F.array(*(F.lit(given) for given, _ in _NUMBERS)), (k % 7 + 1).cast("int"))
+    record = F.concat(F.lit('{"😀": '), k.cast("string"), F.lit(', "～": {"😀": '), F.coalesce(F.col("value").cast("string"), F.lit("null")),
+                      F.lit(', "ratio": '), number, F.lit("}}"))
+    return audit.append(e.select(F.col("event_type").alias("repo"), k.alias("ord"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp_utc"), record.alias("record")))
+
+
+@query(f"WITH {_NUMBER_CHAIN} SELECT repo, pos, raw FROM log")
+def audit_build_numbers(spark, sf_dir):
+    return _number_log(spark, sf_dir)
+
+
+@query("""WITH n AS (SELECT event_type AS repo, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events),
+ b AS (SELECT repo, count(*) AS c, min(n) FILTER (WHERE n % 90 = 0 AND repo <> 'view') AS bad FROM n GROUP BY repo)
+SELECT repo, c AS entry_count, bad AS first_invalid_seq, bad IS NULL AS chain_valid, CASE WHEN bad IS NULL THEN 'ok' ELSE 'fail' END AS status FROM b""")
+def audit_verify_numbers(spark, sf_dir):
+    """One digit more in some numbers breaks a chain; the same number in other digits does not."""
+    bad = (F.col("pos") % 90 == 0) & (F.col("repo") != "view")
+    raw = F.when(bad, F.regexp_replace("raw", '("ratio":-?)', "$11")).otherwise(F.replace(F.replace("raw", F.lit('"ratio":1.0}'), F.lit('"ratio": 10E-1}')), F.lit("1e+22"), F.lit("10.0e21")))
+    return audit.verify(_number_log(spark, sf_dir).withColumn("raw", raw), chunk=500)
+
+
+@query("""WITH n AS (SELECT event_type AS repo, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS position FROM events)
+SELECT repo, position, repo = 'view' OR position % 97 <> 0 AS ok, CASE WHEN repo <> 'view' AND position >= 97 THEN CAST(97 AS bigint) END AS first_invalid_seq FROM n""")
+def audit_stream(spark, sf_dir):
+    """The continuous check over a log that arrives in files by hash, so that most lines come before their predecessors."""
+    bad = (F.col("pos") % 97 == 0) & (F.col("repo") != "view")
+    log = audit.append(records(spark, sf_dir)).withColumn("raw", F.when(bad, F.regexp_replace("raw", '"bytesAfter":', '"bytesAfter":1')).otherwise(F.col("raw")))
+    path = new_path(spark, "arriving-log")
+    log.repartition(6, F.xxhash64("pos")).write.parquet(path)
+    arriving = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    return finished(stream_audit.verify(arriving), "audit-stream")
