@@ -1,6 +1,8 @@
 import os
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from codequarry.operators import inventory, scan
 from codequarry.sources import corpus, tables
@@ -48,6 +50,35 @@ def test_ingest_then_query(spark, tmp_path):
     assert tables.skill_documents(df).count() == 0
 
 
+def test_flat_folder_and_large_files(spark, tmp_path):
+    """One folder of many files and some large ones: reading is spread by bytes, large files come in pieces that add up."""
+    root = tmp_path / "flat"
+    root.mkdir()
+    for i in range(3000):
+        (root / f"f{i}.txt").write_bytes(b"x" * (i % 7))
+    big = bytes(range(256)) * 4000
+    for name in ("big1", "big2"):
+        (root / name).write_bytes(big)
+    (root / "edge").write_bytes(b"y" * 100_000)  # exactly one piece
+    listing = corpus.scan(spark, {"r": str(root)}, min_partitions=8, piece_bytes=100_000)
+    files = corpus.files_of(listing)
+    assert files.count() == 3003 and files.filter("content IS NULL").count() == 2
+    assert files.filter("path = 'edge'").first().content == b"y" * 100_000
+    assert {(r.path, r.n) for r in files.groupBy("path").count().withColumnRenamed("count", "n").filter("n <> 1").collect()} == set()
+    for name in ("big1", "big2"):
+        parts = sorted((r.offset, bytes(r.content)) for r in corpus.pieces_of(listing).filter(f"path = '{name}'").collect())
+        assert len(parts) == 11 and b"".join(p for _, p in parts) == big
+    loads = [r[0] for r in listing.filter("entry_type = 'file'").groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length("content"))).select(F.col("sum(octet_length(content))")).collect()]
+    assert len(loads) >= 4 and max(loads) < 0.6 * sum(loads)
+
+
+def test_folder_that_cannot_be_read(spark, tmp_path, monkeypatch):
+    found = list(next(corpus._listed({"r": str(tmp_path)})(iter([pa.RecordBatch.from_pydict({"repo": ["r"], "place": [b"gone"]})]))).to_pylist())
+    assert [(r["path"], r["entry_type"]) for r in found] == [("gone", "unreadable_dir")]
+    read = next(corpus._reader({"r": str(tmp_path)})(iter([pa.RecordBatch.from_pydict({"repo": ["r"], "place": [b"gone"], "offset": [0], "length": [5]})])))
+    assert read.column("content").to_pylist() == [None]
+
+
 @pytest.mark.parametrize("roots", [{}, {"r": "/nowhere/at/all"}, {"r": "/"}, {"r": __file__}, {"r": ""}])
 def test_bad_roots(spark, roots):
     with pytest.raises(Exception):
