@@ -5,30 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import params
 from ..functions import audit as fa
 from ..functions import text
+from . import lines
 
-LINE_KEYS = ["file", "block"]
+def _named(lines_df: DataFrame, repo_pattern: str) -> DataFrame:
+    return lines_df.select(F.regexp_extract("file", repo_pattern, 1).alias("repo"), "file", "pos", "next", "raw")
 
 
-def read_lines(spark: SparkSession, path, repo_pattern: str) -> DataFrame:
-    """repo, file, pos, raw: the lines of text files in order. ``repo_pattern`` takes the repo from
-    the file path (group 1).
+def read_lines(spark: SparkSession, path, repo_pattern: str, split_bytes: int = 64 << 20) -> DataFrame:
+    """repo, file, pos, next, raw: the lines of text files. ``pos`` is the byte at which a line starts and ``next`` the one after its
+    end, whatever the splits. ``repo_pattern`` takes the repo from the file path (group 1)."""
+    return _named(lines.read(spark, path, split_bytes), repo_pattern)
 
-    A big file is read in blocks by many tasks. ``pos`` is the block's start plus the line's number
-    in the block; a line has at least one byte, so the order of the file is kept."""
-    raw = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("n"), F.col("value").alias("raw"))
-    first = raw.groupBy(*LINE_KEYS).agg(F.min("n").alias("n0"))
-    return raw.join(first, LINE_KEYS).select(
-        F.regexp_extract("file", repo_pattern, 1).alias("repo"), "file",
-        (F.col("block") + F.col("n") - F.col("n0")).alias("pos"), text.text_of(F.col("raw")).alias("raw"))
 
+def stream_lines(spark: SparkSession, path, repo_pattern: str, split_bytes: int = 64 << 20) -> DataFrame:
+    """The same as a stream of what is added to the files; a last line waits for its end."""
+    return _named(lines.stream(spark, path, split_bytes), repo_pattern)
 
-def audit_log(spark: SparkSession, path, repo_pattern: str) -> DataFrame:
+
+def audit_log(spark: SparkSession, path, repo_pattern: str, split_bytes: int = 64 << 20) -> DataFrame:
     """log(repo, pos, raw) for the audit operators; nothing is dropped here, so corrupt lines count."""
-    return read_lines(spark, path, repo_pattern).select("repo", "pos", "raw")
+    return read_lines(spark, path, repo_pattern, split_bytes).select("repo", "pos", "raw")
 
 
 def session_records(lines: DataFrame) -> DataFrame:
@@ -40,13 +39,14 @@ def session_records(lines: DataFrame) -> DataFrame:
                          ).filter("session_id IS NOT NULL")
 
 
-def commit_records(lines: DataFrame) -> DataFrame:
+def commit_records(lines: DataFrame, subject_chars: int | None = None) -> DataFrame:
     """commits(repo, hash, author, email, ts, subject) from fields parted by U+001F; lines with fewer
-    than five fields are dropped, subjects cut to 200 characters."""
+    than five fields are dropped. ``subject_chars`` cuts subjects; None leaves them whole."""
+    params.int_in(subject_chars, 1, params.NO_LIMIT, "subject_chars")
     f = F.split("raw", "\u001f")
     return lines.withColumn("f", f).filter(F.size("f") >= 5).select(
         "repo", F.col("f")[0].alias("hash"), F.col("f")[1].alias("author"), F.col("f")[2].alias("email"),
-        F.try_to_timestamp(F.col("f")[3]).alias("ts"), F.left(F.col("f")[4], F.lit(200)).alias("subject"))
+        F.try_to_timestamp(F.col("f")[3]).alias("ts"), (F.col("f")[4] if subject_chars is None else F.left(F.col("f")[4], F.lit(subject_chars))).alias("subject"))
 
 
 def change_records(lines: DataFrame) -> DataFrame:

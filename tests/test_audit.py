@@ -138,19 +138,62 @@ def test_tail_and_sessions(spark):
     assert {r.session_id: r.status for r in audit.latest_sessions(df).collect()} == {"s1": "destroyed", "s2": "active"}
 
 
-def test_log_files_keep_their_order(spark, tmp_path):
-    lines = by_repo(chain(spark, [("a", i, {"op": i}) for i in range(300)]))["a"]
-    for repo in ("a", "b"):
+@pytest.mark.parametrize("split", [1, 37, 4000, 1 << 20])
+def test_log_files_at_any_split(spark, tmp_path, split):
+    """One scan, no join, and positions as a sequential read has them."""
+    entries = by_repo(chain(spark, [("a", i, {"op": i}) for i in range(40)]))["a"]
+    texts = {"a": "\n".join(entries) + "\n", "b": "\r\n".join(entries), "c": "x\r\ry\n\n\xff".encode("latin1").decode("latin1"), "d": ""}
+    want = []
+    for repo, content in texts.items():
         (tmp_path / repo).mkdir()
-        (tmp_path / repo / "audit.jsonl").write_text("\n".join(lines) + "\n")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")  # many blocks per file
-    try:
-        log = logs.audit_log(spark, str(tmp_path / "*" / "audit.jsonl"), r"/([^/]+)/audit\.jsonl$")
-        got = by_repo(log)
-        assert got == {"a": lines, "b": lines}
-        assert all(r.chain_valid and r.entry_count == 300 for r in audit.verify(log, chunk=500).collect())
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        raw = content.encode("latin1")
+        (tmp_path / repo / "audit.jsonl").write_bytes(raw)
+        at = 0
+        for piece in raw.splitlines(keepends=True):
+            want.append((repo, at, at + len(piece), piece.rstrip(b"\r\n").decode("utf-8", "replace")))
+            at += len(piece)
+    if split == 1:
+        want = [w for w in want if w[0] in "cd"]
+    pattern = str(tmp_path / "*" / "audit.jsonl") if split > 1 else [str(tmp_path / r / "audit.jsonl") for r in "cd"]
+    df = logs.read_lines(spark, pattern, r"/([^/]+)/audit\.jsonl$", split)
+    assert "Join" not in df._jdf.queryExecution().toString() and "Exchange" not in df._jdf.queryExecution().toString()
+    assert sorted((r.repo, r.pos, r.next, r.raw) for r in df.collect()) == sorted(want)
+    if split > 1:
+        log = logs.audit_log(spark, pattern, r"/([^/]+)/audit\.jsonl$", split)
+        assert {r.repo: (r.chain_valid, r.entry_count) for r in audit.verify(log, chunk=500).collect() if r.repo in "ab"} == {"a": (True, 40), "b": (True, 40)}
+
+
+def test_lines_hold_for_any_chunk(monkeypatch):
+    import re
+
+    from codequarry.sources import lines
+    rng = random.Random(3)
+    for _ in range(400):
+        monkeypatch.setattr(lines, "CHUNK", rng.choice([1, 2, 3, 7, 50]))
+        data = b"".join(rng.choice([b"a", b"bc", b"\n", b"\r", b"\r\n", b"x" * 9, "é".encode()]) for _ in range(rng.randint(0, 30)))
+        want, at = [], 0
+        for m in re.finditer(rb"\r\n|\n|\r", data):
+            want.append((at, m.end(), data[at:m.start()]))
+            at = m.end()
+        want += [(at, len(data), data[at:])] if at < len(data) else []
+        for split in (1, 2, 5, 1000):
+            got = [x for a in range(0, len(data), split)
+                   for x in lines.lines(lambda o, n: data[o:o + n] if n > 0 else b"", a, min(a + split, len(data)), len(data))]
+            assert got == want
+
+
+def test_log_stream_takes_what_was_added(spark, tmp_path):
+    path = tmp_path / "a.log"
+    seen = []
+    for i, added in enumerate([b"one\ntw", b"o\n", b"", b"three\nfour"]):
+        with open(path, "ab") as handle:
+            handle.write(added)
+        stream = logs.stream_lines(spark, str(tmp_path / "*.log"), r"/(\w+)\.log$", split_bytes=3)
+        query = (stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+                 .trigger(availableNow=True).start())
+        query.awaitTermination(120)
+        seen = sorted((r.pos, r.next, r.raw) for r in spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect())
+    assert seen == [(0, 4, "one"), (4, 8, "two"), (8, 14, "three")]
 
 
 def test_history_and_session_logs(spark, tmp_path):
@@ -158,7 +201,9 @@ def test_history_and_session_logs(spark, tmp_path):
     (tmp_path / "r.log").write_text(f"h1{us}A{us}A@x{us}2024-01-02T03:04:05+02:00{us}{'s' * 250}\nshort{us}line\nh2{us}B{us}a@X{us}bad{us}t{us}extra\n")
     (tmp_path / "r.names").write_text("b.txt\n\n a.txt \nb.txt\nc.txt\n")
     (tmp_path / "r.sessions").write_text('{"sessionId":"s","status":"active","createdAtUtc":"t"}\nnot json\n\n{"sessionId":"s","status":"destroyed"}\n')
-    commits = logs.commit_records(logs.read_lines(spark, str(tmp_path / "r.log"), r"/(\w+)\.log$"))
+    read = logs.read_lines(spark, str(tmp_path / "r.log"), r"/(\w+)\.log$")
+    assert sorted(len(r.subject) for r in logs.commit_records(read).collect()) == [1, 250]
+    commits = logs.commit_records(read, subject_chars=200)
     got = {r.hash: (r.repo, r.email, len(r.subject), str(r.ts)) for r in commits.collect()}
     assert got == {"h1": ("r", "A@x", 200, "2024-01-02 01:04:05"), "h2": ("r", "a@X", 1, "None")}
     from codequarry.operators import history
