@@ -34,7 +34,10 @@ class Ranges(InputPartition):
 
 
 def _opened(path: str):
-    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith(("file:", "/")) else os.path.abspath(path))
+    """The file system and the place in it of a plain path, of ``file:`` in any form, or of an address that Arrow knows."""
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
 
 
 def _pattern(path: str) -> re.Pattern:
