@@ -16,8 +16,11 @@ Shards hold ascending document ids, in the order of their numbers; a shard is cl
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import struct
+import unicodedata
 import uuid
 from collections.abc import Iterator
 
@@ -32,7 +35,7 @@ from .common import memo, new_path, prepared
 MAGIC, BLOCK, PERCENTILE = b"PFORTOK1", 4096, 98.0
 _FOOTER = "<7Q8s"
 _HEAD = "<QHBxI"  # least value, values, width, outliers
-MOST_WORDS, LONGEST_WORD = 500_000, 40
+MOST_WORDS, LONGEST_WORD, GROUP = 400_000, 40, 1 << 20
 
 
 def pack(values: np.ndarray, percentile: float = PERCENTILE) -> bytes:
@@ -108,44 +111,96 @@ class Shard:
         return np.concatenate(parts)
 
 
-# letters, then ASCII marks other than the apostrophe: two pre-tokens of any vocabulary that parts letters from marks
+# letters, then ASCII marks other than the apostrophe: two pre-tokens of a vocabulary that parts letters from marks
 _PARTS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]+)")
+# fixed values: the steps of vocabularies whose texts are their words, one after the other
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+          {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+
+
+def by_words(definition: str) -> bool:
+    """Whether a tokenizer's definition is known to encode a text word by word: it composes, lower-cases and splits in the way given above, and
+    the strings of its added tokens hold ``<|`` and no white space."""
+    d = json.loads(definition)
+    added = [t["content"] for t in d.get("added_tokens") or []]
+    return ((d.get("normalizer") or {}).get("normalizers") == _NORMAL and (d.get("pre_tokenizer") or {}).get("pretokenizers") == _SPLIT
+            and d.get("post_processor") is None and not d.get("truncation") and not d.get("padding")
+            and d["model"].get("type") == "BPE" and not d["model"].get("dropout")
+            and all("<|" in t and not re.search(r"\s", t) for t in added))
 
 
 class Words(dict):
-    """Ids of words by the tokenizers library; known words are looked up. The normaliser and the pre-tokeniser of a
-    lower-casing vocabulary that drops white space never join characters across it, so a text is its words, one after the other,
-    and a word that ends in marks is its letters and its marks. Both tables are bounded."""
+    """Ids of words by the tokenizers library; known words are looked up, unknown ones encoded together. The steps of ``by_words`` vocabularies
+    never join characters across white space, so a text is its words; and a word of plain letters that ends in ASCII marks is its letters and its
+    marks. Plain are letters below U+0530 that stay letters when they are composed and lower-cased: not so U+0130, which ends in a mark.
+    Texts of any other vocabulary are encoded whole. Both tables are bounded."""
 
     def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(definition)
+        self.by_words = by_words(definition)
         self.stems: dict[str, bytes] = {}
 
-    def _found(self, stem: str) -> bytes:
-        packed = self.stems.get(stem)
-        if packed is None:
-            packed = np.array(self.tokenizer.encode(stem, add_special_tokens=False).ids, "<u4").tobytes()
-            if len(stem) <= LONGEST_WORD:
-                if len(self.stems) >= MOST_WORDS:
-                    self.stems.clear()
-                self.stems[stem] = packed
-        return packed
-
-    def __missing__(self, word: str) -> bytes:
-        plain = word.lower() if word.isascii() and "<|" not in word else word
-        parts = _PARTS.fullmatch(plain)
-        packed = self._found(parts[1]) + self._found(parts[2]) if parts else self._found(plain)
-        if len(word) <= LONGEST_WORD:
-            if len(self) >= MOST_WORDS:
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _stems(word: str) -> tuple[str, ...]:
+        if word.isascii():
+            if "<|" in word:
+                return (word,)
+            word = word.lower()
+        if parts := _PARTS.fullmatch(word):
+            stem = parts[1]
+            if stem.isascii() or max(stem) < "\u0530" and unicodedata.normalize("NFC", stem).lower().isalnum():
+                return stem, parts[2]
+        return (word,)
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that are not in the table; those of usual length go into it."""
+        parts = {w: self._stems(w) for w in words}
+        new = list({s for p in parts.values() for s in p if s not in self.stems})
+        met = dict(zip(new, self._encoded(new)))
+        found = {w: b"".join([met[s] if s in met else self.stems[s] for s in p]) for w, p in parts.items()}
+        self.stems.update((s, ids) for s, ids in met.items() if len(s) <= LONGEST_WORD)
+        self.update((w, ids) for w, ids in found.items() if len(w) <= LONGEST_WORD)
+        if len(self.stems) > MOST_WORDS:
+            self.stems.clear()
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, packed. Words are gathered over about a MB at a time, in the middle of a text if it is long."""
+        if not self.by_words:
+            return [ids for t in texts for ids in self._encoded([t])]
+        out, group, size = [b""] * len(texts), [], 0
+
+        def done():
+            new = set().union(*(words for _, words in group)).difference(self)
+            found = self._learn(new) if new else {}
+            for row, words in group:
+                out[row] += b"".join([self[w] if w in self else found[w] for w in words] if found else map(self.__getitem__, words))
+            group.clear()
+            if len(self) > MOST_WORDS:
                 self.clear()
-            self[word] = packed
-        return packed
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        for row, text in enumerate(texts):
+            text, at = text.replace("\n", " "), 0
+            while at < len(text):
+                end = len(text)
+                if end - at > GROUP and (cut := text.find(" ", at + GROUP)) >= 0:
+                    end = cut
+                group.append((row, text[at:end].split(" ")))
+                size += end - at
+                at = end + 1
+                if size > GROUP:
+                    done()
+                    size = 0
+        done()
+        return out
 
 
 def _whole(definition: str) -> Words:
@@ -200,8 +255,8 @@ def write(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int = 1, te
             return pa.RecordBatch.from_pydict({"shard": [part], "part": [done], "file": [name], "n_docs": [len(doc_ids)], "n_ids": [size]})
 
         for batch in batches:
-            for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = words.encode(content or "") + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode([t or "" for t in batch.column(1).to_pylist()])):
+                ids += end
                 doc_ids.append(doc_id)
                 packed.append(ids)
                 size += len(ids) // 4

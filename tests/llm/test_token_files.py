@@ -1,3 +1,5 @@
+import json
+import random
 import struct
 import zlib
 
@@ -58,6 +60,46 @@ def test_edges(spark, tmp_path):
     assert empty.count() == 0 and token_files.read(empty, str(tmp_path / "b")).count() == 0
 
 
+LIBRARY = Tokenizer.from_file(PATH)
+with open(PATH, encoding="utf-8") as handle:
+    DEFINITION = handle.read()
+
+
+def ids_of(packed):
+    return np.frombuffer(packed, "<u4").tolist()
+
+
+def test_random_texts_with_marks():
+    """Letters that compose, decompose or lower-case into marks, before and after marks."""
+    rng = random.Random(11)
+    alphabet = "abZİıßẞÅǅé́̇क़निΣςѮѯ0²Ⅷ½!.,'-_()<>|«»日本🙂\u0870\uA7C0\u0344\u0149 \n\t\x1c\u00a0"
+    words = token_files.Words(DEFINITION)
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12))) for _ in range(40_000)] + ["İ)", "İ*** x", "\u0958!!", "<|endoftext|>", "a<|b|>c <|startoftext|>!"]
+    for got, text in zip(words.encode(texts), texts):
+        assert ids_of(got) == LIBRARY.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_tables_are_bounded_and_long_texts_are_cut_at_spaces(monkeypatch):
+    monkeypatch.setattr(token_files, "MOST_WORDS", 60)
+    monkeypatch.setattr(token_files, "GROUP", 100)
+    rng = random.Random(12)
+    words = token_files.Words(DEFINITION)
+    texts = [" ".join("".join(rng.choice("abcé.,") for _ in range(rng.randint(1, 60))) for _ in range(rng.randint(0, 80))) for _ in range(60)]
+    for got, text in zip(words.encode(texts), texts):
+        assert ids_of(got) == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_other_vocabularies_are_encoded_whole():
+    d = json.loads(DEFINITION)
+    assert token_files.by_words(DEFINITION)
+    d["normalizer"] = {"type": "Sequence", "normalizers": [{"type": "Replace", "pattern": {"String": " "}, "content": "_"}]}
+    other = json.dumps(d)
+    assert not token_files.by_words(other)
+    texts = ["a b  c", "It's \n x", "", "İ) y"]
+    got = token_files.Words(other).encode(texts)
+    assert [ids_of(g) for g in got] == [Tokenizer.from_str(other).encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_query(spark):
     rows = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()
     got = queries.QUERIES["op6_token_files"](spark, "/root/testdata/sf0.01").collect()
