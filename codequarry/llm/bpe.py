@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import pairwise
 
@@ -29,7 +30,10 @@ from .common import memo, prepared
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _COARSE = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 _LETTERS = re.compile(r" ?[^\W\d_]+")
-MOST_STATES, MOST_PAIRS, MOST_CHUNKS, LONGEST_CHUNK, LOOKAHEAD = 80_000, 300_000, 150_000, 40, 256
+MOST_STATES, MOST_PAIRS, MOST_CHUNKS, LONGEST_CHUNK, LOOKAHEAD = 120_000, 300_000, 150_000, 40, 256
+
+
+PART = 1 << 20  # characters or ids of a text that are taken apart at once
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -52,28 +56,22 @@ class Transducer:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.size_of = {rank: len(token) for token, rank in ranks.items()}
-        self.children: list[dict[int, int]] = [{}]
+        self.child: dict[int, int] = {}  # of node << 8 | byte
         self.token_at: dict[int, int] = {}
-        self.depth = [0]
+        self.depth = array("H", [0])
         for token, rank in ranks.items():
             node = 0
             for b in token:
                 up = node
-                node = self.children[up].setdefault(b, len(self.children))
+                node = self.child.setdefault(up << 8 | b, len(self.depth))
                 if node == len(self.depth):
-                    self.children.append({})
                     self.depth.append(self.depth[up] + 1)
             self.token_at[node] = rank
-        # of each node, the longest proper end of its bytes that is a node too
-        self.shorter = [0] * len(self.depth)
-        level = list(self.children[0].values())
-        while level:
-            deeper = []
-            for up in level:
-                for b, node in self.children[up].items():
-                    self.shorter[node] = self._extend(self.shorter[up], b)
-                    deeper.append(node)
-            level = deeper
+        # of each node, the longest proper end of its bytes that is a node too; nodes by depth, so that the shorter ones are known
+        self.shorter = array("I", bytes(4 * len(self.depth)))
+        for edge in sorted(self.child, key=lambda e: self.depth[e >> 8]):
+            if up := edge >> 8:
+                self.shorter[self.child[edge]] = self._extend(self.shorter[up], edge & 255)
         self._endings: dict[int, list[int]] = {}
         self._fits: dict[tuple, bool] = {}
         self._reset()
@@ -85,11 +83,11 @@ class Transducer:
         self.moves: list[dict[int, tuple[int, int]]] = [{}]
 
     def _extend(self, node: int, byte: int) -> int:
-        while byte not in self.children[node]:
+        while (to := self.child.get(node << 8 | byte)) is None:
             if node == 0:
                 return 0
             node = self.shorter[node]
-        return self.children[node][byte]
+        return to
 
     def _tokens_ending(self, node: int) -> list[int]:
         """Tokens that the bytes of a node end in, the longest first."""
@@ -203,13 +201,14 @@ class _Recent(dict):
 
 class Encoder:
     """Texts to ids. A chunk is a run without white space and the space before it, or white space; no match of the pattern
-    crosses its edge. Chunks and pieces that were met lately are looked up, in tables of at most 2 and 6 times MOST_CHUNKS."""
+    crosses its edge. Chunks and pieces that were met lately are looked up, in tables of at most 2 and 4 times MOST_CHUNKS entries
+    of LONGEST_CHUNK characters and their ids."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"(?!\S)", f"(?![^{SPACE}])").replace(r"\s", f"[{SPACE}]"))
         self.chunks = _Recent(self._chunk, MOST_CHUNKS)
-        self.pieces = _Recent(self._piece, 3 * MOST_CHUNKS)
+        self.pieces = _Recent(self._piece, 2 * MOST_CHUNKS)
 
     def _piece(self, piece: str) -> bytes:
         return np.array(self.transducer.encode(piece.encode()), "<u4").tobytes()
@@ -221,7 +220,11 @@ class Encoder:
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        return b"".join(map(self.chunks.__getitem__, _COARSE.findall(text))) if text else b""
+        if not text:
+            return b""
+        if len(text) <= PART:
+            return b"".join(map(self.chunks.__getitem__, _COARSE.findall(text)))
+        return b"".join([self.chunks[m[0]] for m in _COARSE.finditer(text)])  # chunks of a long text are met one by one
 
 
 # Bytes that must follow each lead byte of UTF-8; others stand alone or are errors that the codec replaces.
@@ -295,6 +298,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
     return docs.withColumn(out, ids(F.col(text).cast("string")))
 
 
+def _spelled(tokens: list[bytes], packed: bytes | None, portion: int = 8192) -> str:
+    """The text of packed ids, decoded by portions."""
+    numbers, decoder = np.frombuffer(packed or b"", "<u4"), Decoder(tokens)
+    parts = [decoder.feed(numbers[i:i + portion].tolist()) for i in range(0, len(numbers), portion)]
+    return "".join([*parts, decoder.finish()])
+
+
 def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded", portion: int = 8192) -> DataFrame:
     """All columns and ``out``, the text that the ids spell; null ids give the empty text. ``portion`` ids are held decoded
     at a time. Bytes that are no UTF-8 become U+FFFD."""
@@ -304,11 +314,25 @@ def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decod
     def spelled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens = _token_list(ranks.value)
         for column in batches:
-            texts = []
-            for packed in column.to_pylist():
-                numbers, decoder = np.frombuffer(packed or b"", "<u4"), Decoder(tokens)
-                parts = [decoder.feed(numbers[i:i + portion].tolist()) for i in range(0, len(numbers), portion)]
-                texts.append("".join([*parts, decoder.finish()]))
-            yield pa.array(texts, pa.string())
+            yield pa.array((_spelled(tokens, packed.as_py(), portion) for packed in column), pa.string())
 
     return docs.withColumn(out, spelled(F.col(ids)))
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
+    """All columns and ``ids`` and ``decoded``, as ``encode`` and then ``decode`` give them, by one worker a core and row by row, so
+    that one vocabulary and one text are held. The two columns replace columns of these names."""
+    ranks = _vocabulary(ranks_path, prepared(docs.sparkSession))
+
+    @F.arrow_udf("struct<ids: binary, decoded: string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, tokens = _encoder(ranks.value, pattern), _token_list(ranks.value)
+        for column in batches:
+            ids, texts = [], []
+            for t in column:
+                ids.append(encoder.encode(t.as_py()))
+                texts.append(_spelled(tokens, ids[-1]))
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["ids", "decoded"])
+
+    done = docs.drop("ids", "decoded").withColumn("_both", both(F.col(text).cast("string")))
+    return done.select("*", "_both.ids", "_both.decoded").drop("_both")

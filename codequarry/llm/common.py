@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from codequarry.session import new_path, shared_dir, stored  # noqa: F401
 
 # Batches sent to Python stay small although single texts may be long.
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def prepared(spark: SparkSession) -> SparkSession:

@@ -82,9 +82,21 @@ def test_columns_and_nulls(spark):
     df = spark.createDataFrame([(1, None, "k", "old"), (2, "", None, "old"), (3, "Hi there", "k", None), (3, "Hi there", "k", None)], "doc_id int, text string, decoded string, ids string")
     rows = bpe.decode(bpe.encode(df, PATH, public_tokenizers.PATTERN), PATH).orderBy("doc_id").collect()
     assert [r.decoded for r in rows] == ["", "", "Hi there", "Hi there"] and ids_of(rows[2].ids) == LIBRARY.encode_ordinary("Hi there")
+    both = bpe.round_trip(df, PATH, public_tokenizers.PATTERN).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.decoded, r.ids) for r in both] == [(r.doc_id, r.decoded, r.ids) for r in rows]
     assert bpe.encode(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
 
 
+def test_long_texts(spark, monkeypatch):
+    """Texts far longer than a portion, in one chunk and in many."""
+    monkeypatch.setattr(bpe, "PART", 1000)
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("aeinrst é") for _ in range(60_000)), "word " * 40_000, "x" * 30_000, "🙂" * 20_000]
+    rows = bpe.round_trip(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), PATH, public_tokenizers.PATTERN).collect()
+    for r in rows:
+        assert r.decoded == texts[r.doc_id] and ids_of(r.ids) == LIBRARY.encode_ordinary(texts[r.doc_id])
+
+
 def test_query(spark):
     rows = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()
     want = set()
