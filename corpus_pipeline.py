@@ -42,10 +42,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: doc_id, n_tokens, ids_sha256 and round_trip, whether decoding the ids gives the text back."""
     path = public_tokenizers.path(VOCABULARY)
-    text = F.coalesce("text", F.lit(""))
-    ids = bpe.encode(docs.select("doc_id", text.alias("text")), path, public_tokenizers.PATTERN)
-    return bpe.decode(ids, path).select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-                                        (F.col("decoded") == F.col("text")).alias("round_trip"))
+    both = bpe.round_trip(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), path, public_tokenizers.PATTERN)
+    return both.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
 STAGES = [
