@@ -7,7 +7,7 @@ factored against all of them: a phrase that an earlier document has is one facto
 go on inside a phrase that as a whole is new; these phrases are checked window by window against the windows of all others.
 Windows found either way are joined to spans, and their words go.
 
-A window is 64 bits of hash of its words; phrases are compared by 128 bits.
+A window is compared by 64 bits of hash of its words and by its anchor, 64 bits of another hash of some of them; phrases by 128 bits.
 """
 
 from __future__ import annotations
@@ -60,13 +60,13 @@ def _bit(anchor: np.ndarray) -> np.ndarray:
 
 
 def _phrases(bits, width, seed):
-    """(doc_id, tag, at, digest, windows) of phrases whose anchor may recur."""
+    """(doc_id, tag, at, anchor, digest, windows) of phrases whose anchor may recur."""
 
     def run(batches):
         known = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
             ids, tags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = {"doc_id": [], "tag": [], "at": [], "digest": [], "windows": []}
+            out = {"doc_id": [], "tag": [], "at": [], "anchor": [], "digest": [], "windows": []}
             for row, words, _, _ in hashed_words(batch.column(2)):
                 if len(words) < width or ids[row] is None:
                     continue
@@ -84,10 +84,11 @@ def _phrases(bits, width, seed):
                             out["doc_id"].append(ids[row])
                             out["tag"].append(tags[row])
                             out["at"].append(c)
-                            out["digest"].append(hashlib.blake2b(data, digest_size=16).digest())
+                            out["anchor"].append(int(anchor[a].view(np.int64)))
+                            out["digest"].append(hashlib.blake2b(data + anchor[a].tobytes(), digest_size=16).digest())
                             out["windows"].append(data)
             yield pa.RecordBatch.from_pydict(out, pa.schema(
-                [("doc_id", pa.int64()), ("tag", pa.int64()), ("at", pa.int64()), ("digest", pa.binary()), ("windows", pa.binary())]))
+                [("doc_id", pa.int64()), ("tag", pa.int64()), ("at", pa.int64()), ("anchor", pa.int64()), ("digest", pa.binary()), ("windows", pa.binary())]))
 
     return run
 
@@ -106,8 +107,8 @@ def duplicate_windows(docs: DataFrame, width: int = 50, seed: int = SEED) -> Dat
         bits[(bucket - 1) * 4096:bucket * 4096] = piece
     held = spark.sparkContext.broadcast(bytes(bits))  # FILTER_BITS / 8 bytes, whatever the data
 
-    phrases = stored(docs.select("doc_id", "tag", "text").mapInArrow(_phrases(held, width, seed), "doc_id bigint, tag bigint, at bigint, digest binary, windows binary"), "phrases")
-    reference = stored(phrases.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("windows").alias("windows")), "reference")
+    phrases = stored(docs.select("doc_id", "tag", "text").mapInArrow(_phrases(held, width, seed), "doc_id bigint, tag bigint, at bigint, anchor bigint, digest binary, windows binary"), "phrases")
+    reference = stored(phrases.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("anchor").alias("anchor"), F.min("windows").alias("windows")), "reference")
 
     # phrases that are new as a whole: which of their windows stand in another phrase of an earlier document?
     @F.arrow_udf("array<bigint>")
@@ -116,9 +117,9 @@ def duplicate_windows(docs: DataFrame, width: int = 50, seed: int = SEED) -> Dat
             found = [np.frombuffer(v, np.int64) for v in column.to_pylist()]
             yield pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
 
-    single = reference.select("digest", "first", F.posexplode(numbers("windows")).alias("i", "w"))
-    earliest = single.groupBy("w").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most").select("w", "least")
-    inside = (single.join(earliest, "w").filter("least < first").groupBy("digest").agg(F.array_sort(F.collect_set("i")).alias("inside")))
+    single = reference.select("digest", "first", "anchor", F.posexplode(numbers("windows")).alias("i", "w"))
+    earliest = single.groupBy("w", "anchor").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most").select("w", "anchor", "least")
+    inside = (single.join(earliest, ["w", "anchor"]).filter("least < first").groupBy("digest").agg(F.array_sort(F.collect_set("i")).alias("inside")))
     index = reference.select("digest", "first", (F.octet_length("windows") / 8).cast("int").alias("size")).join(inside, "digest", "left")
 
     factors = phrases.select("doc_id", "tag", "at", "digest").join(index, "digest")

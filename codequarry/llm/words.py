@@ -14,6 +14,7 @@ from .common import memo
 SEGMENT = 1 << 20
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_STEP = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -24,15 +25,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _byte_values() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A value for each byte, the same with A-Z as a-z, and which bytes are white space."""
-    held = memo("byte values")
+    """The code of each byte, the same with A-Z as a-z, and which bytes are white space."""
+    held = memo("byte codes")
     if not held:
-        values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-        lowered = values.copy()
-        lowered[65:91] = values[97:123]
+        codes = np.arange(256, dtype=np.uint64)
+        lowered = codes.copy()
+        lowered[65:91] = codes[97:123]
         space = np.zeros(256, bool)
         space[[9, 10, 11, 12, 13, 32]] = True
-        held["all"] = values, lowered, space
+        held["all"] = codes, lowered, space
     return held["all"]
 
 
@@ -58,8 +59,10 @@ def _segments(raw: np.ndarray, first: int, last: int, space: np.ndarray):
 
 
 def _hash_words(raw: np.ndarray, edges: np.ndarray, lower: bool):
-    """Word hashes, word starts and ends of raw, where a new document begins at each edge."""
-    values, lowered, space = _byte_values()
+    """Word hashes, word starts and ends of raw, where a new document begins at each edge. A word's hash is the sum of a mixed value
+    for each (byte, place in the word), mixed again with its length: no two places have values that depend on each other, as the
+    powers of a polynomial do."""
+    codes, lowered, space = _byte_values()
     n = len(raw)
     solid = ~space[raw]
     before = np.empty(n, bool)
@@ -72,10 +75,17 @@ def _hash_words(raw: np.ndarray, edges: np.ndarray, lower: bool):
     after[:-1] = solid[1:]
     after[edges[edges > 0] - 1] = False
     ends = np.flatnonzero(solid & ~after) + 1
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((lowered if lower else values)[raw] * _power(_BASE, n), out=total[1:])
-    h = (total[ends] - total[starts]) * _power(_INVERSE, n)[starts]
-    return mix(h + (ends - starts).astype(np.uint64)), starts, ends
+    if len(starts) == 0:
+        return np.zeros(0, np.uint64), starts, ends
+    lengths = ends - starts
+    total = np.zeros(len(starts) + 1, np.uint64)
+    np.cumsum(lengths, out=total[1:])
+    place = np.arange(int(total[-1]), dtype=np.uint64) - np.repeat(total[:-1], lengths)
+    values = mix(((lowered if lower else codes)[raw[solid]] | place << np.uint64(8)) * np.uint64(_BASE) + np.uint64(1))
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=sums[1:])
+    at = total.astype(np.int64)
+    return mix(sums[at[1:]] - sums[at[:-1]] + lengths.astype(np.uint64) * np.uint64(_STEP[1])), starts, ends
 
 
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -116,9 +126,6 @@ def hashed_words(texts: pa.Array, lower: bool = False):
         row = stop
 
 
-_STEP = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
-
-
 def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
     """Sorted distinct hashes of all runs of ``width`` words; a shorter text is one run, an empty one none."""
     n = len(words)

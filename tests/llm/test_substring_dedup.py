@@ -68,3 +68,11 @@ def test_query(spark):
     rows = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()
     got = queries.QUERIES["op9_substring_dedup"](spark, "/root/testdata/sf0.01").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_words_that_polynomials_confuse(spark):
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate(str.maketrans("ab", "ba"))
+    two, rest = one.translate(str.maketrans("ab", "ba")), " ".join(f"y{i}" for i in range(60))
+    check(spark, [(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{one} {rest}")])
