@@ -4,11 +4,12 @@ Documents are rows, n-grams are columns. The columns are dealt into hash blocks;
 slice of the incidence matrix with itself, that is, it brings together the documents of each column. Only
 columns a pair of sets of these sizes must share are kept: with similarity t or more, two sets share one of the
 first n - ceil(t n) + 1 columns under any common order, so each document enters only these, rarest first.
-Full overlaps are then counted for candidate pairs whose sizes allow the bound.
 
-Groups, not all pairs, are wanted. Sets that are equal are one class. A first pass compares each class
-with a few others of its columns; classes joined by links collapse into one group, and columns with a single group
-left are done. What remains is compared completely, so that no link between different texts is lost.
+Groups, not all pairs, are wanted. Sets that are equal are one class. Two first passes compare each class with one other
+for each of its least n-grams; classes joined by links collapse into one group, and columns with a single group left are
+done. What remains is multiplied out: the overlaps of each pair of classes are counted over their leading columns, pairs with fewer
+than sets of these sizes must share there are discarded, and the full sets are compared for the others, so that no link
+between different texts is lost.
 """
 
 from __future__ import annotations
@@ -17,15 +18,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, prepared, stored
+from .common import Scratch, partitions, prepared, stored
+from .graph import components, named
 from .words import hashed_words, mix, shingles
 
 HINTS = 1 << 18  # most frequent n-grams that order the columns; the order decides speed only, never a result
 FILTER_BITS = 1 << 24  # bitmap of classes to fetch; when it fills up, more sets are moved, none is lost
-_BLOCK = 2_000_000
+_BLOCK = 700_000  # n-grams that a task holds at once
+LEAST = 6  # least n-grams by which classes are first brought together
 
 
 def _class_key(grams: np.ndarray) -> bytes | None:
@@ -37,11 +40,11 @@ def _sets(batch, width):
         yield shingles(words, width)
 
 
-_SCAN = "doc_id bigint, tag bigint, n bigint, cls binary, gram bigint, seen bigint"
+_SCAN = "doc_id bigint, tag bigint, n bigint, cls binary, least array<bigint>, gram bigint, seen bigint"
 
 
 def _scan(width):
-    """Per document its set size and class; besides, n-grams that recur within about two million n-grams."""
+    """Per document its set size and class; besides, its least n-grams; besides, n-grams that recur within _BLOCK n-grams."""
 
     def run(batches):
         held, size, met = [], 0, set()
@@ -51,26 +54,27 @@ def _scan(width):
             often = seen >= 2
             k = int(often.sum())
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()),
-                 pa.array(grams[often].view(np.int64)), pa.array(seen[often])], ["doc_id", "tag", "n", "cls", "gram", "seen"])
+                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64())),
+                 pa.array(grams[often].view(np.int64)), pa.array(seen[often])], ["doc_id", "tag", "n", "cls", "least", "gram", "seen"])
 
         for batch in batches:
-            ns, keys = [], []
+            ns, keys, least = [], [], []
             for grams in _sets(batch, width):
                 ns.append(len(grams))
                 key = _class_key(grams)
                 keys.append(key)
+                least.append(grams[:LEAST].view(np.int64).tolist())
                 if key not in met:  # copies say nothing of what different texts share
                     held.append(grams)
                     size += len(grams)
                     met.add(key)
-                if size > 2_000_000:
+                if size > _BLOCK:
                     yield recurring()
                     held, size, met = [], 0, set()
             k = len(ns)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()),
-                 pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], ["doc_id", "tag", "n", "cls", "gram", "seen"])
+                [batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array(least, pa.list_(pa.int64())),
+                 pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], ["doc_id", "tag", "n", "cls", "least", "gram", "seen"])
         if held:
             yield recurring()
 
@@ -81,6 +85,11 @@ def _prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
+def _alone(n: int, num: int, den: int) -> bool:
+    """Whether a set of this size links with equal ones only: with one n-gram more or less on either side the bound fails."""
+    return den * n < num * (n + 1) and den * (n - 1) < num * n
+
+
 def _rarity(grams, order):
     hints, seen = order
     if len(hints) == 0:
@@ -100,7 +109,7 @@ def _deal(order, width, num, den, blocks):
             parts, seen = [], set()
             for grams in _sets(batch, width):
                 key = _class_key(grams)
-                if key is None or key in seen:
+                if key is None or key in seen or _alone(len(grams), num, den):
                     continue
                 seen.add(key)
                 often = _rarity(grams, hints)
@@ -206,28 +215,12 @@ def _linked(num, den):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of every node of ``edges(x, y)``: the label is the smallest node reachable. Least labels are passed
-    along edges and then followed once, until nothing changes; each round is a stored table."""
-    both = stored(edges.select("x", "y").union(edges.select("y", "x")).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("x").alias("node")).agg(F.least(F.col("x"), F.min("y")).alias("label")), "labels")
-    while True:
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        near = (both.join(labels.select(F.col("node").alias("y"), F.col("label").alias("other")), "y")
-                .groupBy(F.col("x").alias("node")).agg(F.min("other").alias("other")))
-        far = labels.join(jump, "label").join(near, "node")
-        new = stored(far.select("node", F.least("next", "other").alias("new"), "label"), "labels")
-        moved = new.filter(F.col("new") != F.col("label")).limit(1).count()
-        labels = new.select("node", F.col("new").alias("label"))
-        if not moved:
-            return labels
-
-
 def _labelled(docs: DataFrame, text: str, key: str, width: int, num: int, den: int) -> DataFrame:
     """(doc_id, tag, n, cls, label, component_id) of every row; ``tag`` is a hash of the text, ``label`` names the group and is
     null, like ``component_id``, for an empty set."""
     spark = prepared(docs.sparkSession)
     texts = docs.select(F.col(text).cast("string").alias("text"))
+    scratch = Scratch(spark)
     scan = stored(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("tag"), F.col(text).cast("string").alias("text"))
                   .mapInArrow(_scan(width), _SCAN), "scan")
     rows = scan.filter("n IS NOT NULL").select("doc_id", "tag", "n", "cls")
@@ -240,8 +233,9 @@ def _labelled(docs: DataFrame, text: str, key: str, width: int, num: int, den: i
     total = rows.agg(F.sum(F.expr(f"n - ({num} * n) div {den} + 1"))).first()[0] or 0
     blocks = partitions(spark, total, _BLOCK)
     dealt = texts.mapInArrow(_deal(order, width, num, den, blocks), "block bigint, cls binary, n binary, k binary, grams binary")
-    entries = stored(dealt.repartition(blocks, "block").mapInArrow(_meet(order), "gram bigint, cls binary, n bigint"), "entries")
-    entries = stored(_able(entries, num, den), "able")
+    met = scratch.put(dealt.repartition(blocks, "block").mapInArrow(_meet(order), "gram bigint, cls binary, n bigint"), "entries")
+    entries = scratch.put(_able(met, num, den), "able")
+    scratch.drop(met)
 
     involved = entries.groupBy("cls").agg(F.lit(1))
     bits = bytearray(FILTER_BITS // 8)
@@ -250,35 +244,33 @@ def _labelled(docs: DataFrame, text: str, key: str, width: int, num: int, den: i
     for bucket, piece in position.groupBy(F.expr("bitmap_bucket_number(b)")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))")).collect():
         bits[(bucket - 1) * 4096:bucket * 4096] = piece
     wanted = spark.sparkContext.broadcast(bytes(bits))
-    sets = stored(texts.mapInArrow(_fetch(wanted, width), "cls binary, grams binary").groupBy("cls").agg(F.min("grams").alias("grams")), "sets")
+    sets = scratch.put(texts.mapInArrow(_fetch(wanted, width), "cls binary, grams binary").groupBy("cls").agg(F.min("grams").alias("grams")), "sets")
 
     def links(pairs):
+        """Of pairs (x, y) of classes, each there once, those that link."""
         x = sets.select(F.col("cls").alias("x"), F.col("grams").alias("gx"))
         y = sets.select(F.col("cls").alias("y"), F.col("grams").alias("gy"))
-        return stored(pairs.join(x, "x").join(y, "y").select("x", "y", "gx", "gy")
-                      .mapInArrow(_linked(num, den), "x binary, y binary"), "links")
-
-    fits = F.expr(f"{den} * least(nx, ny) >= {num} * greatest(nx, ny)")
-    found, label = None, None
-    for few in (1, 6, 8, None):
-        lists = entries if label is None else entries.join(label.withColumnRenamed("node", "cls"), "cls", "left")
-        lists = lists.withColumn("grp", F.col("cls") if label is None else F.coalesce("label", "cls"))
-        # the group with most entries of a column stands in the middle; entries of other groups look for links
-        middle = (lists.groupBy("gram", "grp").agg(F.count("*").alias("c"))
-                  .groupBy("gram").agg(F.max(F.struct("c", "grp")).alias("m"), F.count("*").alias("groups"), F.sum("c").alias("size"))
-                  .filter("groups > 1").select("gram", F.col("m.grp").alias("mid"), "size"))
-        lists = stored(lists.join(middle, "gram"), "lists")
-        pairs = _few(lists, few, label is None) if few else _all(lists)
-        pairs = pairs.filter(f"{den} * least(nx, ny) >= {num} * greatest(nx, ny)")
-        new = links(pairs.select("x", "y"))
-        found = new if found is None else found.union(new)
-        label = components(found)
-    classes = rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"))
+        return scratch.put(pairs.join(x, "x").join(y, "y").select("x", "y", "gx", "gy").mapInArrow(_linked(num, den), "x binary, y binary"), "links")
+
+    fits = f"{den} * least(nx, ny) >= {num} * greatest(nx, ny)"
+    least = scan.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("n").alias("n"), F.min("least").alias("least"))
+    least = scratch.put(least.join(involved.select("cls"), "cls", "left_semi").select("cls", "n", F.explode("least").alias("gram")), "least")
+    found = links(_stars(least, None).filter(fits).select("x", "y").distinct())
+    label = components(found)
+    again = links(_stars(least, label).filter(fits).select("x", "y").distinct())
+    found = scratch.put(found.union(again), "links")
+    label = components(found)
+    found = found.union(links(_products(entries, label, fits, num, den)))
+    label = components(found)
+    scratch.clear()
+    classes = rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     classes = classes.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     classes = stored(classes, "classes")
     smallest = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = classes.select("cls", "label").join(smallest, "label").select("cls", "label", "component_id")
-    return rows.join(named, "cls", "left").select("doc_id", "tag", "n", "cls", "label", "component_id")
+    names = stored(classes.withColumnRenamed("n", "copies").join(smallest, "label").select("cls", F.col("copies").alias("n"), "label", "component_id"), "names")
+    texts_of = named(rows.filter("cls IS NOT NULL"), names, "cls")
+    blank = rows.filter("cls IS NULL").withColumn("label", F.lit(None).cast("binary")).withColumn("component_id", F.lit(None).cast("bigint"))
+    return texts_of.unionByName(blank).select("doc_id", "tag", "n", "cls", "label", "component_id")
 
 
 def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -323,28 +315,33 @@ def _able(entries: DataFrame, num: int, den: int) -> DataFrame:
     return left.join(left.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram"), "gram", "left_semi")
 
 
-def _few(lists: DataFrame, few: int, first: bool) -> DataFrame:
-    """Pairs of each class outside its columns' middle groups with the ``few`` members it shares most columns with, out
-    of ``few`` that a hash picks from each middle group."""
-    picks = [F.xxhash64("cls", F.lit(i)) for i in range(few)]
-    core = lists if first else lists.filter("grp = mid")
-    least = core.groupBy("gram").agg(F.array(*(F.min(h) for h in picks)).alias("least"))
-    chosen = (core.join(least, "gram").filter(F.arrays_overlap(F.array(*picks), "least"))
-              .select("gram", F.col("cls").alias("y"), F.col("n").alias("ny")))
-    others = lists if first else lists.filter("grp <> mid")
-    pairs = (others.select("gram", F.col("cls").alias("x"), F.col("n").alias("nx")).join(chosen, "gram").filter("x <> y")
-             .groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("shared")))
-    near = Window.partitionBy("x").orderBy(F.desc("shared"), F.xxhash64("y"), "y")
-    chosen = pairs.withColumn("at", F.row_number().over(near)).filter(F.col("at") <= few)
-    return chosen.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min(F.least("nx", "ny")).alias("nx"), F.max(F.greatest("nx", "ny")).alias("ny"))
-
-
-def _all(lists: DataFrame) -> DataFrame:
-    """Every pair of classes of one column in different groups. Members are packed in slices of about a thousand, so
-    that a long column is neither one row nor one task."""
-    members = (lists.withColumn("slice", F.pmod(F.xxhash64("cls"), F.expr("size div 1000 + 1"))).groupBy("gram", "slice")
-               .agg(F.collect_list(F.struct(F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("grp").alias("gy"))).alias("ys")))
-    mine = lists.filter("grp <> mid").select("gram", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("grp").alias("gx"))
-    near = mine.join(members, "gram").select("x", "nx", F.expr("filter(ys, p -> p.gy <> gx)").alias("ys"))
-    met = near.groupBy("x", "nx").agg(F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys"))
-    return met.select("x", "nx", F.explode("ys").alias("p")).select("x", "nx", "p.y", "p.ny")
+def _stars(least: DataFrame, label: DataFrame | None) -> DataFrame:
+    """(x, nx, y, ny): each class with the centre of each of its least n-grams, the class that a hash picks. With labels, only classes of
+    other groups than the centre's."""
+    rows = least if label is None else least.join(label.withColumnRenamed("node", "cls"), "cls", "left")
+    rows = rows.withColumn("grp", F.col("cls") if label is None else F.coalesce("label", "cls"))
+    hashed = F.xxhash64("cls", F.lit(0 if label is None else 1))
+    centre = rows.groupBy("gram").agg(F.min_by(F.struct("cls", "n", "grp"), hashed).alias("y"), F.min("grp").alias("a"), F.max("grp").alias("b")).filter("a <> b").drop("a", "b")
+    met = rows.join(centre, "gram").filter("grp <> y.grp")
+    first = F.col("cls") < F.col("y.cls")
+    side = lambda own, other: F.when(first, own).otherwise(other)
+    return met.select(side(F.col("cls"), F.col("y.cls")).alias("x"), side(F.col("n"), F.col("y.n")).alias("nx"),
+                      side(F.col("y.cls"), F.col("cls")).alias("y"), side(F.col("y.n"), F.col("n")).alias("ny"))
+
+
+def _products(entries: DataFrame, label: DataFrame, fits: str, num: int, den: int) -> DataFrame:
+    """Pairs (x, y) of classes in different groups that share as many leading columns as sets that link must: each column is
+    multiplied with itself, and the products are counted by pair. The group with most entries of a column stands in the middle, so that a
+    column of one group and a few strays costs as many products as it has strays and members, not their square."""
+    lists = entries.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("label", "cls"))
+    middle = (lists.groupBy("gram", "grp").agg(F.count("*").alias("c")).groupBy("gram")
+              .agg(F.max(F.struct("c", "grp")).alias("m"), F.count("*").alias("groups")).filter("groups > 1").select("gram", F.col("m.grp").alias("mid")))
+    lists = stored(lists.join(middle, "gram").select("gram", "cls", "n", "grp", (F.col("grp") == F.col("mid")).alias("inner")), "lists")
+    mine = lists.filter("NOT inner").select("gram", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("grp").alias("gx"))
+    theirs = lists.select("gram", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("grp").alias("gy"), "inner")
+    both = mine.join(theirs, "gram").filter(f"gx <> gy AND (inner OR x < y) AND {fits}")
+    first = F.col("x") < F.col("y")
+    side = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+    ordered = both.select(side("x", "y").alias("x"), side("y", "x").alias("y"), side("nx", "ny").alias("nx"), side("ny", "nx").alias("ny"))
+    need = f"ceil({num} * (nx + ny) / {num + den}) - ceil({num} * greatest(nx, ny) / {den}) + 1"
+    return ordered.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("shared")).filter(f"shared >= {need}").select("x", "y")

@@ -82,6 +82,26 @@ def test_chains_of_near_copies(spark, seed):
     check(spark, rows)
 
 
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_words_that_polynomials_confuse(spark):
+    one = thue_morse(1024)
+    two = one.translate(str.maketrans("ab", "ba"))
+    check(spark, [(1, one), (2, two), (3, one + " x"), (4, two + " x"), (5, one + " b c d e f"), (6, two + " b c d e f")])
+
+
+def test_small_sets(spark):
+    """Sets of three n-grams link with equal ones only, one of four with one of five."""
+    words = [f"u{i}" for i in range(12)]
+    rows = [(10 * n + k, " ".join(words[k:k + n])) for n in range(3, 11) for k in range(3)]
+    check(spark, rows)
+
+
 def test_driver_documents(spark):
     rows = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()
     check(spark, rows)
