@@ -17,11 +17,11 @@ Shards hold ascending document ids, in the order of their numbers; a shard is cl
 from __future__ import annotations
 
 import json
-import os
 import re
 import struct
 import unicodedata
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +35,7 @@ from .common import memo, new_path, prepared
 MAGIC, BLOCK, PERCENTILE = b"PFORTOK1", 4096, 98.0
 _FOOTER = "<7Q8s"
 _HEAD = "<QHBxI"  # least value, values, width, outliers
-MOST_WORDS, LONGEST_WORD, GROUP = 400_000, 40, 1 << 20
+MOST_WORDS, LONGEST_WORD, GROUP = 500_000, 40, 1 << 20
 
 
 def pack(values: np.ndarray, percentile: float = PERCENTILE) -> bytes:
@@ -130,77 +130,82 @@ def by_words(definition: str) -> bool:
             and all("<|" in t and not re.search(r"\s", t) for t in added))
 
 
+def _byte_signs() -> dict[int, str]:
+    """The sign by which a byte-level vocabulary writes each byte: its own where Latin-1 has a visible one, else those from U+0100 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(seen)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Words(dict):
-    """Ids of words by the tokenizers library; known words are looked up, unknown ones encoded together. The steps of ``by_words`` vocabularies
-    never join characters across white space, so a text is its words; and a word of plain letters that ends in ASCII marks is its letters and its
-    marks. Plain are letters below U+0530 that stay letters when they are composed and lower-cased: not so U+0130, which ends in a mark.
-    Texts of any other vocabulary are encoded whole. Both tables are bounded."""
+    """Ids of words by the tokenizers library; known words are looked up. The steps of ``by_words`` vocabularies never join characters across
+    white space, so a text is its words; and a word of plain letters that ends in ASCII marks is its letters and its marks. Plain are
+    letters below U+0530 that stay letters when they are composed and lower-cased: not so U+0130, which ends in a mark. Plain letters
+    and marks alone are one pre-token, which the library's model takes as it is; anything else goes through all its steps. Texts of any
+    other vocabulary are encoded whole. Both tables are bounded."""
 
     def __init__(self, definition: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(definition)
+        self.model = self.tokenizer.model
         self.by_words = by_words(definition)
-        self.stems: dict[str, bytes] = {}
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.signs = _byte_signs()
+        self.pieces: dict[str, bytes] = {}
+
+    def _through(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _single(self, pretoken: str) -> bytes:
+        """Ids of a piece that is known to be one pre-token in its normal form."""
+        packed = self.pieces.get(pretoken)
+        if packed is None:
+            signs = pretoken if pretoken.isascii() else "".join([self.signs[b] for b in pretoken.encode()])
+            packed = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+            if len(pretoken) <= LONGEST_WORD:
+                if len(self.pieces) >= MOST_WORDS:
+                    self.pieces.clear()
+                self.pieces[pretoken] = packed
+        return packed
 
     @staticmethod
-    def _stems(word: str) -> tuple[str, ...]:
-        if word.isascii():
-            if "<|" in word:
-                return (word,)
-            word = word.lower()
-        if parts := _PARTS.fullmatch(word):
-            stem = parts[1]
-            if stem.isascii() or max(stem) < "\u0530" and unicodedata.normalize("NFC", stem).lower().isalnum():
-                return stem, parts[2]
-        return (word,)
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words that are not in the table; those of usual length go into it."""
-        parts = {w: self._stems(w) for w in words}
-        new = list({s for p in parts.values() for s in p if s not in self.stems})
-        met = dict(zip(new, self._encoded(new)))
-        found = {w: b"".join([met[s] if s in met else self.stems[s] for s in p]) for w, p in parts.items()}
-        self.stems.update((s, ids) for s, ids in met.items() if len(s) <= LONGEST_WORD)
-        self.update((w, ids) for w, ids in found.items() if len(w) <= LONGEST_WORD)
-        if len(self.stems) > MOST_WORDS:
-            self.stems.clear()
-        return found
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, packed. Words are gathered over about a MB at a time, in the middle of a text if it is long."""
-        if not self.by_words:
-            return [ids for t in texts for ids in self._encoded([t])]
-        out, group, size = [b""] * len(texts), [], 0
-
-        def done():
-            new = set().union(*(words for _, words in group)).difference(self)
-            found = self._learn(new) if new else {}
-            for row, words in group:
-                out[row] += b"".join([self[w] if w in self else found[w] for w in words] if found else map(self.__getitem__, words))
-            group.clear()
-            if len(self) > MOST_WORDS:
+    def _plain(letters: str) -> str | None:
+        """The normal form of plain letters."""
+        if letters.isascii():
+            return letters.lower() if letters.isalpha() else None
+        if max(letters) >= "\u0530" or "\u03a3" in letters:  # capital sigma: its small form depends on who asks
+            return None
+        normal = unicodedata.normalize("NFC", letters).lower()
+        return normal if normal.isalpha() and max(normal) < "\u0530" else None
+
+    def __missing__(self, word: str) -> bytes:
+        if not word:
+            packed = b""
+        elif normal := self._plain(word):
+            packed = self._single(normal)
+        elif (parts := _PARTS.fullmatch(word)) and "<|" not in parts[2] and (normal := self._plain(parts[1])):
+            packed = self._single(normal) + self._single(parts[2])
+        else:
+            packed = self._through(word)
+        if len(word) <= LONGEST_WORD:
+            if len(self) >= MOST_WORDS:
                 self.clear()
+            self[word] = packed
+        return packed
 
-        for row, text in enumerate(texts):
-            text, at = text.replace("\n", " "), 0
-            while at < len(text):
-                end = len(text)
-                if end - at > GROUP and (cut := text.find(" ", at + GROUP)) >= 0:
-                    end = cut
-                group.append((row, text[at:end].split(" ")))
-                size += end - at
-                at = end + 1
-                if size > GROUP:
-                    done()
-                    size = 0
-        done()
-        return out
+    def encode(self, text: str) -> bytes:
+        """Packed ids of a text; a long one is cut at spaces."""
+        if not self.by_words:
+            return self._through(text)
+        text, out, at = text.replace("\n", " "), [], 0
+        while at < len(text):
+            end = len(text)
+            if end - at > GROUP and (cut := text.find(" ", at + GROUP)) >= 0:
+                end = cut
+            out += map(self.__getitem__, text[at:end].split(" "))
+            at = end + 1
+        return b"".join(out)
 
 
 def _whole(definition: str) -> Words:
@@ -255,8 +260,8 @@ def write(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int = 1, te
             return pa.RecordBatch.from_pydict({"shard": [part], "part": [done], "file": [name], "n_docs": [len(doc_ids)], "n_ids": [size]})
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode([t or "" for t in batch.column(1).to_pylist()])):
-                ids += end
+            for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = words.encode(content or "") + end
                 doc_ids.append(doc_id)
                 packed.append(ids)
                 size += len(ids) // 4
