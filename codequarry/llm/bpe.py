@@ -30,7 +30,7 @@ from .common import memo, prepared
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _COARSE = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 _LETTERS = re.compile(r" ?[^\W\d_]+")
-MOST_STATES, MOST_PAIRS, MOST_CHUNKS, LONGEST_CHUNK, LOOKAHEAD = 120_000, 300_000, 150_000, 40, 256
+MOST_STATES, MOST_PAIRS, MOST_CHUNKS, LONGEST_CHUNK, LOOKAHEAD = 250_000, 300_000, 150_000, 40, 256
 
 
 PART = 1 << 20  # characters or ids of a text that are taken apart at once
@@ -40,12 +40,12 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines()) if token}
 
 
-def merged(ranks: dict[bytes, int], piece: bytes) -> list[int]:
-    """Merge the pair of least rank, leftmost first, until none is left; for short pieces."""
+def merged(ranks: dict[bytes, int], piece: bytes, below: int = 1 << 40) -> list[int]:
+    """Merge the pair of least rank, leftmost first, until none is left with a rank below ``below``; for short pieces."""
     parts = [piece[i:i + 1] for i in range(len(piece))]
     while len(parts) > 1:
         rank, at = min((ranks.get(a + b, 1 << 40), i) for i, (a, b) in enumerate(pairwise(parts)))
-        if rank == 1 << 40:
+        if rank >= below:
             break
         parts[at:at + 2] = [parts[at] + parts[at + 1]]
     return [ranks[p] for p in parts]
@@ -73,7 +73,8 @@ class Transducer:
             if up := edge >> 8:
                 self.shorter[self.child[edge]] = self._extend(self.shorter[up], edge & 255)
         self._endings: dict[int, list[int]] = {}
-        self._fits: dict[tuple, bool] = {}
+        self._fits: dict[int, bool] = {}
+        self._split: dict[int, tuple[int, int] | None] = {}
         self._reset()
 
     def _reset(self):
@@ -101,14 +102,47 @@ class Transducer:
             self._endings[node] = found
         return found
 
+    def _halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge gives this one; None for a single byte."""
+        if token not in self._split:
+            data = self.bytes_of[token]
+            parts = merged(self.ranks, data, token) if len(data) > 1 else []
+            self._split[token] = (parts[0], parts[1]) if len(parts) == 2 else None
+        return self._split[token]
+
+    def _meet(self, left: int, right: int) -> bool:
+        """Whether merging the bytes of two tokens gives the two back. Merges inside either come in the order of their ranks, so the seam is
+        looked at under ever smaller halves, the one that was merged last taken apart first; a merge over the seam that comes
+        before the next one inside would have won."""
+        before = 1 << 40
+        while True:
+            over = self.ranks.get(self.bytes_of[left] + self.bytes_of[right])
+            if over is not None and over < before:
+                return False
+            # of equal ranks the left one merges first, and then the seam comes after it
+            if left > right:
+                half, before, first = self._halves(left), left, True
+            else:
+                half, before, first = self._halves(right), right + 1, False
+            if half is None:  # a byte; the other side may still be taken apart
+                other = right if first else left
+                half = self._halves(other)
+                if half is None:
+                    return True
+                first, before = not first, other + (1 if first else 0)
+            if first:
+                left = half[1]
+            else:
+                right = half[0]
+
     def fits(self, left: int | None, right: int) -> bool:
         """Two tokens may stand side by side if merging their bytes gives them back."""
-        known = self._fits.get((left, right))
+        key = ~right if left is None else left << 32 | right
+        known = self._fits.get(key)
         if known is None:
             if len(self._fits) > MOST_PAIRS:
                 self._fits.clear()
-            both = ([] if left is None else [left]) + [right]
-            known = self._fits[left, right] = merged(self.ranks, b"".join(self.bytes_of[t] for t in both)) == both
+            known = self._fits[key] = merged(self.ranks, self.bytes_of[right]) == [right] if left is None else self._meet(left, right)
         return known
 
     def _step(self, state: int, byte: int) -> tuple[int, int]:
