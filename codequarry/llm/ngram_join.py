@@ -8,8 +8,8 @@ first n - ceil(t n) + 1 columns under any common order, so each document enters
 Groups, not all pairs, are wanted. Sets that are equal are one class. Two first passes compare each class with one other
 for each of its least n-grams; classes joined by links collapse into one group, and columns with a single group left are
 done. What remains is multiplied out: the overlaps of each pair of classes are counted over their leading columns, pairs with fewer
-than sets of these sizes must share there are discarded, and the full sets are compared for the others, so that no link
-between different texts is lost.
+than sets of these sizes must share there are discarded, and the full sets are compared for the others, the likeliest links
+first, until no pair of different groups is left, so that no link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, partitions, prepared, stored
@@ -260,8 +260,10 @@ def _labelled(docs: DataFrame, text: str, key: str, width: int, num: int, den: i
     again = links(_stars(least, label).filter(fits).select("x", "y").distinct())
     found = scratch.put(found.union(again), "links")
     label = components(found)
-    found = found.union(links(_products(entries, label, fits, num, den)))
-    label = components(found)
+    pairs = scratch.put(_products(entries, label, fits, num, den), "pairs")
+    for few in (1, 4, None):  # likeliest links first: what they join need not be compared any more
+        found = scratch.put(found.union(links(_apart(pairs, label, few))), "links")
+        label = components(found)
     scratch.clear()
     classes = rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     classes = classes.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
@@ -344,4 +346,16 @@ def _products(entries: DataFrame, label: DataFrame, fits: str, num: int, den: in
     side = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
     ordered = both.select(side("x", "y").alias("x"), side("y", "x").alias("y"), side("nx", "ny").alias("nx"), side("ny", "nx").alias("ny"))
     need = f"ceil({num} * (nx + ny) / {num + den}) - ceil({num} * greatest(nx, ny) / {den}) + 1"
-    return ordered.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("shared")).filter(f"shared >= {need}").select("x", "y")
+    counted = ordered.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("shared")).filter(f"shared >= {need}")
+    return counted.select("x", "y", (F.col("shared") / F.greatest("nx", "ny")).alias("share"))
+
+
+def _apart(pairs: DataFrame, label: DataFrame, few: int | None) -> DataFrame:
+    """Pairs (x, y) of different groups; with ``few``, for each class only so many of those with which it shares most columns."""
+    known = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    left = (pairs.join(known("x"), "x", "left").join(known("y"), "y", "left")
+            .select("x", "y", "share", F.coalesce("lx", "x").alias("gx"), F.coalesce("ly", "y").alias("gy")).filter("gx <> gy"))
+    if few is not None:
+        of = lambda c: Window.partitionBy(c).orderBy(F.desc("share"), "x", "y")
+        left = left.withColumn("a", F.row_number().over(of("x"))).withColumn("b", F.row_number().over(of("y"))).filter((F.col("a") <= few) | (F.col("b") <= few))
+    return left.select("x", "y")
