@@ -182,22 +182,26 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id"
     """(query_id, rank, vec_id, score): for each row that the condition ``queries`` picks, the ``k`` other rows of largest cosine that
     the forest finds (all candidates if there are fewer), nearest first, ties to the smaller key.
 
-    The forest is fitted on the SAMPLE rows of least key hash and indexes every row. Vectors that are null, empty, zero or hold null or
-    non-finite components take no part, nor do rows with a null key or vectors of another length than most of the sample. Rows
-    that share a key count once for a query, with their best score, and are no candidates of their key's query; one key with two vectors
+    A forest is fitted for each vector length on the SAMPLE rows of least key hash that have it, and indexes every row of that length; vectors
+    of different lengths have no cosine. Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
+    rows with a null key. Rows that share a key count once for a query, with their best score, and are no candidates of their key's query; one key with two vectors
     has two lists. Other columns are not looked at.
     """
     spark = prepared(vectors.sparkSession)
     rows = vectors.select(F.col(key).cast("bigint").alias("id"), usable(F.col(vector)).alias("x"), F.coalesce(queries, F.lit(False)).alias("q")).filter("id IS NOT NULL AND x IS NOT NULL")
     rows = stored(rows.withColumn("tag", F.xxhash64("x")), "vectors")
-    sample = [r.x for r in rows.orderBy(F.xxhash64("id", "tag"), "id").limit(SAMPLE).select("x").collect()]
-    result = "query_id bigint, rank int, vec_id bigint, score double"
-    if not sample:
-        return spark.createDataFrame([], result)
-    sizes = [len(x) for x in sample]
-    width = max(set(sizes), key=lambda n: (sizes.count(n), n))
-    unit = _unit(np.array([x for x in sample if len(x) == width]))
-    total = rows.count()
+    sizes = rows.groupBy(F.size("x").alias("width")).agg(F.count("*").alias("n")).orderBy("width").collect()
+    found = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    for r in sizes:
+        same = rows if len(sizes) == 1 else rows.filter(F.size("x") == r["width"])
+        found = found.union(_of_length(same, r["width"], r["n"], k, probe_share))
+    return found
+
+
+def _of_length(rows: DataFrame, width: int, total: int, k: int, probe_share: float) -> DataFrame:
+    """``nearest`` among the ``total`` rows (id, tag, x, q) of one length."""
+    spark = rows.sparkSession
+    unit = _unit(np.array([r.x for r in rows.orderBy(F.xxhash64("id", "tag"), "id").limit(SAMPLE).select("x").collect()]))
     depth = max(0, min(int(np.ceil(np.log2(max(total / LEAF_ROWS, 1)))), int(np.log2(max(len(unit) / MIN_SAMPLE, 1)))))
     n_leaves = 1 << depth
     held = spark.sparkContext.broadcast((fit(unit, depth), n_leaves, width))  # TREES * n_leaves directions, bounded by the sample
