@@ -9,7 +9,7 @@ from codequarry.streaming.run import finished
 
 from .changes import STAMP, _PLAN, _plan, _rollback
 from .registry import query, table
-from .views import FILES
+from .views import FILES, ingested
 
 _RECORDS = """records AS (SELECT event_type AS repo, event_id AS ord, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS t, user_id FROM events),
  numbered AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ord) AS n FROM records)"""
@@ -30,9 +30,14 @@ def records(spark, sf_dir):
                     F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp_utc"), record.alias("record"))
 
 
+def stored_log(spark, sf_dir):
+    """The log of all events, as it lies in storage when it is verified."""
+    return ingested(spark, sf_dir, "event-log", lambda: audit.append(records(spark, sf_dir)))
+
+
 def tampered(spark, sf_dir):
     """The same log with one digit changed in some entries, one line cut, and stray lines added."""
-    log = audit.append(records(spark, sf_dir))
+    log = stored_log(spark, sf_dir)
     k = F.col("pos")
     raw = (F.when((k % 97 == 0) & (F.col("repo") != "view"), F.regexp_replace("raw", '"bytesAfter":', '"bytesAfter":1'))
            .when((k == 50) & (F.col("repo") == "click"), F.left("raw", F.lit(40))).otherwise(F.col("raw")))
@@ -47,7 +52,7 @@ def audit_build(spark, sf_dir):
 
 @query("SELECT event_type AS repo, count(*) AS entry_count, CAST(NULL AS bigint) AS first_invalid_seq, true AS chain_valid, 'ok' AS status FROM events GROUP BY event_type")
 def audit_verify(spark, sf_dir):
-    return audit.verify(audit.append(records(spark, sf_dir)), chunk=500)
+    return audit.verify(stored_log(spark, sf_dir), chunk=500)
 
 
 @query(f"""WITH {_RECORDS}, n AS (SELECT repo, count(*) AS c FROM numbered GROUP BY repo),
@@ -59,7 +64,7 @@ def audit_verify_tampered(spark, sf_dir):
 
 @query(f"WITH {_CHAIN}, r AS (SELECT repo, pos, raw, row_number() OVER (PARTITION BY repo ORDER BY pos DESC) AS back FROM log) SELECT * FROM r WHERE back <= 50")
 def audit_tail(spark, sf_dir):
-    return audit.tail(audit.append(records(spark, sf_dir)), 50).drop("corrupt")
+    return audit.tail(stored_log(spark, sf_dir), 50).drop("corrupt")
 
 
 _SESSIONS = """sessions AS (SELECT concat('src', conv_id % 20) AS repo, conv_id AS session_id, turn AS pos, CASE WHEN role = 'user' THEN 'active' ELSE 'destroyed' END AS status, length(text) AS size FROM conversations)"""
@@ -129,7 +134,7 @@ SELECT repo, position, repo = 'view' OR position % 97 <> 0 AS ok, CASE WHEN repo
 def audit_stream(spark, sf_dir):
     """The continuous check over a log that arrives in files by hash, so that most lines come before their predecessors."""
     bad = (F.col("pos") % 97 == 0) & (F.col("repo") != "view")
-    log = audit.append(records(spark, sf_dir)).withColumn("raw", F.when(bad, F.regexp_replace("raw", '"bytesAfter":', '"bytesAfter":1')).otherwise(F.col("raw")))
+    log = stored_log(spark, sf_dir).withColumn("raw", F.when(bad, F.regexp_replace("raw", '"bytesAfter":', '"bytesAfter":1')).otherwise(F.col("raw")))
     path = new_path(spark, "arriving-log")
     log.repartition(6, F.xxhash64("pos")).write.parquet(path)
     arriving = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(path)

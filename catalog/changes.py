@@ -33,12 +33,12 @@ _EDITS = """edits AS (SELECT repo, path, doc_id, CASE WHEN doc_id % 4 = 0 THEN '
 _PLAN = _EDITS + f""", named AS (SELECT *, string_split(path, '/')[-1] AS name, CASE WHEN mode = 'append' THEN before || content ELSE content END AS after FROM edits),
  plan AS (SELECT repo, path, mode, before IS NOT NULL AS existed_before, before, after, CASE
    WHEN path LIKE '../%' THEN 'the path leads out of the repository'
-   WHEN path LIKE '.git/%' THEN 'writes into VCS metadata or the state directory are not allowed'
-   WHEN NOT allow_sensitive AND {_SENS} THEN 'target matches a sensitive-file convention; allow_sensitive overrides'
-   WHEN mode = 'patch' THEN 'mode must be one of: create, overwrite, append'
-   WHEN expected_sha256 = 'xyz' THEN 'expectedSha256 must be a lowercase hex SHA-256 digest'
-   WHEN mode = 'create' AND before IS NOT NULL THEN 'mode ''create'' refused: target already exists'
-   WHEN before IS NOT NULL AND expected_sha256 <> sha256(before) THEN 'expectedSha256 does not match the current file; refusing to write over unknown changes' END AS reject_reason FROM named)"""
+   WHEN path LIKE '.git/%' THEN 'version control and state folders are closed to writes'
+   WHEN NOT allow_sensitive AND {_SENS} THEN 'the name is one of sensitive files; allow_sensitive lets it through'
+   WHEN mode = 'patch' THEN 'unknown mode; there are create, overwrite and append'
+   WHEN expected_sha256 = 'xyz' THEN 'the expected digest is no SHA-256 in lower-case hex'
+   WHEN mode = 'create' AND before IS NOT NULL THEN 'nothing is created: the file is already there'
+   WHEN before IS NOT NULL AND expected_sha256 <> sha256(before) THEN 'the file has changed since the expected digest was taken' END AS reject_reason FROM named)"""
 
 
 def _plan(spark, sf_dir, reuse=False):
@@ -65,7 +65,7 @@ def write_apply(spark, sf_dir):
 
 
 _REPLACE = """counted AS (SELECT *, (length(content) - length(replace(content, ' the ', ''))) // 5 AS n FROM files),
- plan AS (SELECT repo, path, n AS occurrences, CASE WHEN n <> 1 THEN concat('expected 1 occurrence(s) of ''find'' but found ', n, '; no changes made') END AS reject_reason,
+ plan AS (SELECT repo, path, n AS occurrences, CASE WHEN n <> 1 THEN concat('occurs ', n, ' times, not 1') END AS reject_reason,
    replace(content, ' the ', ' THE ') AS after FROM counted)"""
 
 

@@ -126,18 +126,18 @@ _CONTEXT = f"""SELECT repo, path AS file, line, {_shown('ls[line]')} AS text,
 
 
 def _joined(found):
-    return found.withColumn("before", F.array_join("before", "\n")).withColumn("after", F.array_join("after", "\n"))
+    return found.drop("before_truncated", "after_truncated").withColumn("before", F.array_join("before", "\n")).withColumn("after", F.array_join("after", "\n"))
 
 
 @query(f"WITH {_HITS} {_CONTEXT} FROM hits")
 def search_context(spark, sf_dir):
-    return _joined(scan.search_code(files(spark, sf_dir), _PAT, context_lines=2))
+    return _joined(scan.search_code(files(spark, sf_dir), _PAT, context_lines=2, line_chars=300))
 
 
 @query(f"""WITH {_HITS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY wk, path, line) AS pos FROM hits
   WHERE regexp_matches(path, '\\.(py|go|md)$')) {_CONTEXT}, pos FROM ranked WHERE pos <= 10""")
 def search_top_matches(spark, sf_dir):
-    return _joined(scan.search_code(files(spark, sf_dir), _PAT, file_pattern=r"\.(py|go|md)$", max_results=10, context_lines=2))
+    return _joined(scan.search_code(files(spark, sf_dir), _PAT, file_pattern=r"\.(py|go|md)$", max_results=10, context_lines=2, line_chars=300))
 
 
 @query(f"""WITH {_HITS}, n AS (SELECT repo, count(*) AS c FROM hits GROUP BY repo)

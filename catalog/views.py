@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codequarry.session import new_path
+
 from .registry import table
 
 _NAME = """CASE doc_id % 11 WHEN 0 THEN 'package.json' WHEN 1 THEN 'requirements.txt' WHEN 2 THEN 'yarn.lock'
@@ -43,8 +45,23 @@ def _files_select(dialect: str, source: str) -> str:
             f"CAST({d['bytes']}(concat(text, {last})) AS bigint) AS size_bytes FROM {source}")
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def ingested(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """What ``make`` derives from the driver tables, written once in a session as an operator's input table would be. Row groups are small, so
+    that work on contents is spread over tasks however the driver's files are cut."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = new_path(spark, name)
+        make().write.option("parquet.block.size", 2 << 20).parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files_from(spark, table(spark, sf_dir, "documents"))
+    """Every document as a file, ingested."""
+    return ingested(spark, sf_dir, "files", lambda: files_from(spark, table(spark, sf_dir, "documents")))
 
 
 def files_from(spark: SparkSession, documents: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def verify(log: DataFrame, chunk: int = 100_000) -> DataFrame:
 
 def tail(log: DataFrame, n: int = 50) -> DataFrame:
     """The last entries of each log, ``back`` = 1 for the newest."""
-    params.int_in(n, 1, 1_000, "n", optional=False)
+    params.int_in(n, 1, params.NO_LIMIT, "n", optional=False)
     entries = fa.entries(log).select("repo", "pos", "raw", "corrupt")
     return top_n(entries, ["repo"], [F.desc("pos")], n, ["pos"], rank="back")
 

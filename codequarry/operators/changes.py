@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import params, rules
+from .. import params
 from ..functions import paths, text
 from ..plans.topn import top_n
 
@@ -20,9 +20,9 @@ KEY = ["repo", "path"]
 
 def _guard(path: Column, allow_sensitive: Column, root: str) -> Column:
     return (F.when(~paths.is_within_root(path, root), "the path leads out of the repository")
-            .when(paths.is_protected(path), "writes into VCS metadata or the state directory are not allowed")
+            .when(paths.is_protected(path), "version control and state folders are closed to writes")
             .when(~F.coalesce(allow_sensitive, F.lit(False)) & paths.is_write_sensitive(path),
-                  "target matches a sensitive-file convention; allow_sensitive overrides"))
+                  "the name is one of sensitive files; allow_sensitive lets it through"))
 
 
 def _one_per_path(edits: DataFrame) -> DataFrame:
@@ -38,27 +38,33 @@ def _with_current(edits: DataFrame, files: DataFrame) -> DataFrame:
     return _one_per_path(edits).join(named, KEY, "left")
 
 
-def write_plan(edits: DataFrame, files: DataFrame, root: str) -> DataFrame:
-    """edits(repo, path, mode, content, expected_sha256, allow_sensitive) against the current files."""
+def _over(size: Column, limit: int | None) -> Column:
+    return F.lit(False) if limit is None else size > limit
+
+
+def write_plan(edits: DataFrame, files: DataFrame, root: str, max_bytes: int | None = None) -> DataFrame:
+    """edits(repo, path, mode, content, expected_sha256, allow_sensitive) against the current files. ``max_bytes`` refuses larger contents,
+    files and results; None takes any size."""
+    params.int_in(max_bytes, 1, params.NO_LIMIT, "max_bytes")
     c = F.col
     joined = _with_current(edits, files)
-    exists, limit = c("before").isNotNull(), rules.MAX_WRITE_BYTES
+    exists, limit = c("before").isNotNull(), max_bytes
     joined = joined.withColumn("existed_before", exists).withColumn(
         "after", F.when((c("mode") == "append") & exists, F.concat(c("before").cast("string"), c("content"))).otherwise(c("content")))
     reason = F.coalesce(
         _guard(c("path"), c("allow_sensitive"), root),
-        F.when(~c("mode").isin("create", "overwrite", "append"), "mode must be one of: create, overwrite, append"),
-        F.when(c("content").isNull(), "content must be a string"),
-        F.when(F.octet_length("content") > limit, f"content exceeds the {limit}-byte limit"),
+        F.when(~c("mode").isin("create", "overwrite", "append"), "unknown mode; there are create, overwrite and append"),
+        F.when(c("content").isNull(), "no content was given"),
+        F.when(_over(F.octet_length("content"), limit), f"the content has more than {limit} bytes"),
         F.when(c("expected_sha256").isNotNull() & ~c("expected_sha256").rlike(r"^[0-9a-f]{64}\z"),
-               "expectedSha256 must be a lowercase hex SHA-256 digest"),
+               "the expected digest is no SHA-256 in lower-case hex"),
         F.when(c("edits_of_path") > 1, "the batch names this path more than once"),
-        F.when((c("mode") == "create") & exists, "mode 'create' refused: target already exists"),
-        F.when(exists & (F.octet_length("before") > limit), "target exceeds the maximum manageable size"),
-        F.when(exists & ~F.is_valid_utf8(c("before").cast("string")), "target is not UTF-8 text; refusing to overwrite binary content"),
+        F.when((c("mode") == "create") & exists, "nothing is created: the file is already there"),
+        F.when(exists & _over(F.octet_length("before"), limit), f"the file has more than {limit} bytes"),
+        F.when(exists & ~F.is_valid_utf8(c("before").cast("string")), "the file is no UTF-8 text and stays as it is"),
         F.when(exists & c("expected_sha256").isNotNull() & (text.sha256(c("before")) != c("expected_sha256")),
-               "expectedSha256 does not match the current file; refusing to write over unknown changes"),
-        F.when(F.octet_length("after") > limit, "resulting content exceeds the maximum write size"))
+               "the file has changed since the expected digest was taken"),
+        F.when(_over(F.octet_length("after"), limit), f"the result would have more than {limit} bytes"))
     return _finished(joined.withColumn("reject_reason", reason).withColumn("operation", F.lit("write_file"))
                      .withColumn("occurrences", F.lit(None).cast("int")))
 
@@ -68,10 +74,11 @@ def occurrences(body: Column, find: Column) -> Column:
     return ((F.octet_length(body) - F.octet_length(F.replace(body, find, F.lit("")))) / F.octet_length(find)).cast("int")
 
 
-def replace_plan(edits: DataFrame, files: DataFrame, root: str) -> DataFrame:
+def replace_plan(edits: DataFrame, files: DataFrame, root: str, max_bytes: int | None = None) -> DataFrame:
     """edits(repo, path, find, replace, expected_occurrences, allow_sensitive): exact replacement, refused
-    unless ``find`` occurs exactly as often as stated."""
-    c, limit = F.col, rules.MAX_WRITE_BYTES
+    unless ``find`` occurs exactly as often as stated. ``max_bytes`` as for ``write_plan``."""
+    params.int_in(max_bytes, 1, params.NO_LIMIT, "max_bytes")
+    c, limit = F.col, max_bytes
     joined = _with_current(edits, files).withColumn("mode", F.lit("replace"))
     body, expected = c("before").cast("string"), F.coalesce("expected_occurrences", F.lit(1))
     found = F.when(F.octet_length("find") > 0, occurrences(body, c("find")))
@@ -79,16 +86,15 @@ def replace_plan(edits: DataFrame, files: DataFrame, root: str) -> DataFrame:
               .withColumn("after", F.replace(body, c("find"), F.coalesce("replace", F.lit("")))))
     reason = F.coalesce(
         _guard(c("path"), c("allow_sensitive"), root),
-        F.when(F.coalesce(F.octet_length("find"), F.lit(0)) == 0, "find must be a non-empty string"),
-        F.when(F.octet_length("find") > limit, f"find exceeds the {limit}-byte limit"),
-        F.when(~expected.between(1, 10_000), "expectedOccurrences must be between 1 and 10000"),
+        F.when(F.coalesce(F.octet_length("find"), F.lit(0)) == 0, "there is nothing to find"),
+        F.when(_over(F.octet_length("find"), limit), f"what to find has more than {limit} bytes"),
+        F.when(~expected.between(1, 10_000), "the expected number must lie between 1 and 10,000"),
         F.when(c("edits_of_path") > 1, "the batch names this path more than once"),
         F.when(c("before").isNull(), "there is no such file"),
-        F.when((F.octet_length("before") > limit) | ~F.is_valid_utf8(body), "target is not manageable UTF-8 text"),
+        F.when(_over(F.octet_length("before"), limit) | ~F.is_valid_utf8(body), "the file is too large or no UTF-8 text"),
         F.when(c("occurrences") != expected, F.concat(
-            F.lit("expected "), expected.cast("string"), F.lit(" occurrence(s) of 'find' but found "),
-            c("occurrences").cast("string"), F.lit("; no changes made"))),
-        F.when(F.octet_length("after") > limit, "resulting content exceeds the maximum write size"))
+            F.lit("occurs "), c("occurrences").cast("string"), F.lit(" times, not "), expected.cast("string"))),
+        F.when(_over(F.octet_length("after"), limit), f"the result would have more than {limit} bytes"))
     return _finished(joined.withColumn("reject_reason", reason).withColumn("operation", F.lit("replace_in_file")))
 
 
@@ -164,7 +170,7 @@ def _stamp(at: Column) -> Column:
 
 def newest_changes(ops: DataFrame, n: int = 100) -> DataFrame:
     """Per repo, the newest change sets by id, with their operation count."""
-    params.int_in(n, 1, 5_000, "n", optional=False)
+    params.int_in(n, 1, params.NO_LIMIT, "n", optional=False)
     sets = ops.groupBy("repo", "change_id").agg(F.min("created_at").alias("created_at"), F.count("*").alias("operation_count"))
     return top_n(sets, ["repo"], [F.desc("change_id")], n, ["change_id"])
 
@@ -190,8 +196,8 @@ def rollback_plan(ops: DataFrame, backups: DataFrame, files: DataFrame, wanted:
     c = F.col
     reason = F.coalesce(
         F.when(~paths.is_within_root(c("path"), root), "the path leads out of the repository"),
-        F.when(paths.is_protected(c("path")), "writes into VCS metadata or the state directory are not allowed"),
-        F.when(c("existed_before") & c("restored").isNull(), "backup payload is missing; cannot complete a safe rollback"))
+        F.when(paths.is_protected(c("path")), "version control and state folders are closed to writes"),
+        F.when(c("existed_before") & c("restored").isNull(), "there is no backup of the file to restore"))
     action = (F.when(c("existed_before"), "restored").when(c("present"), "deleted-created-file").otherwise("already-absent"))
     return joined.select(*KEY, "change_id", F.when(c("existed_before"), "restore-original").otherwise("delete-created-file").alias("plan"),
                          F.when(reason.isNull(), action).alias("applied"), "sha256_before", reason.alias("reject_reason"),

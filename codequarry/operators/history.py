@@ -11,7 +11,7 @@ from ..plans.topn import top_n
 
 def recent_commits(commits: DataFrame, max_commits: int = 20) -> DataFrame:
     """The newest commits of each repo with their rank."""
-    params.int_in(max_commits, 1, 100, "max_commits", optional=False)
+    params.int_in(max_commits, 1, params.NO_LIMIT, "max_commits", optional=False)
     return top_n(commits, ["repo"], [F.desc("ts"), F.col("hash")], max_commits, ["hash"])
 
 
@@ -26,7 +26,7 @@ def commit_summary(commits: DataFrame, max_commits: int | None = None) -> DataFr
 def churn(commits: DataFrame, commit_files: DataFrame, max_commits: int | None = None, top: int = 20) -> DataFrame:
     """Per repo, the files changed most often; ties go to the file seen first, newest commit first.
     ``commit_files.pos`` is the place of the file inside its commit."""
-    params.int_in(top, 1, 5_000, "top", optional=False)
+    params.int_in(top, 1, params.NO_LIMIT, "top", optional=False)
     chosen = commits if max_commits is None else recent_commits(commits, max_commits)
     named = commit_files.filter(F.trim("file") != "").select("repo", "hash", F.trim("file").alias("file"), "pos")
     changes = named.join(chosen.select("repo", "hash", "ts"), ["repo", "hash"])
@@ -38,7 +38,7 @@ def churn(commits: DataFrame, commit_files: DataFrame, max_commits: int | None =
 
 def churn_from_names(changes: DataFrame, top: int = 20) -> DataFrame:
     """The same ranking from a plain list of changed names (repo, pos, file), newest first."""
-    params.int_in(top, 1, 5_000, "top", optional=False)
+    params.int_in(top, 1, params.NO_LIMIT, "top", optional=False)
     counts = changes.groupBy("repo", "file").agg(F.count("*").alias("changes"), F.min("pos").alias("seen_at"))
     best = top_n(counts, ["repo"], [F.desc("changes"), F.col("seen_at"), F.col("file")], top, ["file"])
     return best.select("repo", "file", "changes", "pos")

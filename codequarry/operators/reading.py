@@ -35,7 +35,7 @@ def _read(content: Column, max_bytes: int | None, max_lines: int | None, redact:
     return F.when(text.is_binary(content), hidden).otherwise(let(body, shaped).cast(shape))
 
 
-def read_files(files: DataFrame, max_bytes: int | None = 65_536, max_lines: int | None = 2_000, redact_secrets: bool = True) -> DataFrame:
+def read_files(files: DataFrame, max_bytes: int | None = None, max_lines: int | None = None, redact_secrets: bool = True) -> DataFrame:
     """repo, path, size_bytes and the content within the limits (None: whole); binary files keep a null content."""
     params.int_in(max_bytes, 1, params.NO_LIMIT, "max_bytes")
     params.int_in(max_lines, 1, 2**31 - 1, "max_lines")

@@ -180,22 +180,30 @@ def _searched(files: DataFrame, pattern: str, file_pattern: str | None, max_file
 
 def search_code(files: DataFrame, pattern: str, file_pattern: str | None = None, max_results: int | None = None,
                 context_lines: int = 1, max_files: int | None = None,
-                max_file_bytes: int | None = None, redact_secrets: bool = True) -> DataFrame:
-    """repo, file, line, text, before, after: matching lines with context, masked and only then cut; ``text_truncated``
-    tells that a line was longer than what is shown."""
+                max_file_bytes: int | None = None, redact_secrets: bool = True, line_chars: int | None = None) -> DataFrame:
+    """repo, file, line, text, before, after: matching lines with context, masked, and whole unless ``line_chars`` cuts them;
+    ``text_truncated``, ``before_truncated`` and ``after_truncated`` tell which lines were longer than what is shown."""
     params.int_in(max_results, 1, params.NO_LIMIT, "max_results")
     params.flag(redact_secrets, "redact_secrets")
-    masked = text.redact if redact_secrets else (lambda c: c)
-    shown = lambda c: text.preview(masked(c))
+    params.int_in(line_chars, 1, params.NO_LIMIT, "line_chars")
+    masked = (lambda c: text.redact(c)) if redact_secrets else (lambda c: c)
+    cut = lambda c: c if line_chars is None else F.left(c, F.lit(line_chars))
+    longer = lambda c: F.lit(False) if line_chars is None else F.length(c) > line_chars
     base = ["repo", "path", "walk_key"]
     found = exploded(_searched(files, pattern, file_pattern, max_files, max_file_bytes, context_lines), base,
                      F.col("hits")).select(*base, "item.*")
     if max_results is not None:
         found = top_n(found, ["repo"], [*walk_order(), F.col("line")], max_results, ["path", "line"])
     rank = ["pos"] if max_results is not None else []
-    return found.select("repo", F.col("path").alias("file"), "line", shown(F.col("text")).alias("text"),
-                        F.transform("before", shown).alias("before"), F.transform("after", shown).alias("after"),
-                        (F.length(masked(F.col("text"))) > rules.LINE_PREVIEW).alias("text_truncated"), *rank)
+    # every line of a hit is masked once; what is shown of it and whether it is whole come from the masked line
+    lines = F.transform(F.concat(F.array("text"), "before", "after"), masked)
+    place = lambda a, n: F.slice("_lines", a, n)
+    before, after = place(F.lit(2), F.size("before")), place(F.size("before") + 2, F.size("after"))
+    found = found.withColumn("_lines", lines)
+    return found.select("repo", F.col("path").alias("file"), "line", cut(F.col("_lines")[0]).alias("text"),
+                        F.transform(before, cut).alias("before"), F.transform(after, cut).alias("after"),
+                        longer(F.col("_lines")[0]).alias("text_truncated"), F.transform(before, longer).alias("before_truncated"),
+                        F.transform(after, longer).alias("after_truncated"), *rank)
 
 
 def search_summary(files: DataFrame, pattern: str, file_pattern: str | None = None, max_results: int | None = None,

@@ -30,18 +30,26 @@ def test_write_modes_and_guards(spark, files):
         ("sub/.sdlc/x", "create", "x", None, True), (".env", "create", "x", None, False), ("x/.env", "create", "x", None, True), (".env.example", "create", "x", None, False),
         ("bin", "overwrite", "x", None, False), ("big", "overwrite", "x", None, False), ("m", "patch", "x", None, False), ("n", "create", None, None, False),
         ("h", "create", "x", "ABC", False), ("log2", "append", "only", None, False), ("huge", "create", "é" * 600_000, None, False),
-        ("twice", "overwrite", "2", None, False), ("twice", "overwrite", "3", None, False)), df, ROOT)
+        ("twice", "overwrite", "2", None, False), ("twice", "overwrite", "3", None, False)), df, ROOT, max_bytes=1 << 20)
     got = {r.path: r.reject_reason for r in plan.collect()}
     accepted = {p for p, reason in got.items() if reason is None}
     assert accepted == {"a.txt", "log.txt", "notes.md", "x/.env", ".env.example", "log2"}
-    for path, word in {"k.txt": "already exists", "../evil.txt": "leads out", ".git/config": "metadata", "sub/.sdlc/x": "metadata", ".env": "sensitive",
-                       "bin": "not UTF-8", "big": "manageable size", "m": "mode must", "n": "string", "h": "hex", "huge": "limit", "twice": "more than once"}.items():
+    for path, word in {"k.txt": "already there", "../evil.txt": "leads out", ".git/config": "closed", "sub/.sdlc/x": "closed", ".env": "sensitive",
+                       "bin": "no UTF-8", "big": "1048576 bytes", "m": "unknown mode", "n": "no content", "h": "hex", "huge": "1048576 bytes", "twice": "more than once"}.items():
         assert word in got[path], path
     after = changes.apply_plan(df.filter("path NOT IN ('bin', 'big')"), plan)
     assert content(after) == {"a.txt": "new", "log.txt": "first\nsecond\n", "notes.md": "alpha\n", "x/.env": "x", ".env.example": "x",
                               "log2": "only", "k.txt": "k", "twice": "1"}
     wrong = changes.write_plan(edits(spark, ("a.txt", "overwrite", "n", sha("other"), False)), df, ROOT).first()
-    assert "does not match" in wrong.reject_reason and wrong.sha256_before == sha("old")
+    assert "has changed" in wrong.reject_reason and wrong.sha256_before == sha("old")
+
+
+def test_any_size_unless_a_limit_is_given(spark, files):
+    df = files(("r", "big", "x" * 1_048_577))
+    edit = edits(spark, ("big", "append", "y" * 1_048_577, None, False))
+    assert changes.write_plan(edit, df, ROOT).first().bytes_after == 2 * 1_048_577
+    with pytest.raises(ValueError):
+        changes.write_plan(edit, df, ROOT, max_bytes=0)
 
 
 def test_replace_checks_occurrences(spark, files):
@@ -50,7 +58,7 @@ def test_replace_checks_occurrences(spark, files):
     rows = [("r", "app.txt", "v=1", "v=2", 5, False), ("r", "aaa", "aa", "b", 2, False), ("r", "data.json", "hello", "", None, False), ("r", "none", "a", "b", 1, False)]
     plan = changes.replace_plan(spark.createDataFrame(rows, schema), df, ROOT)
     got = {r.path: (r.occurrences, r.reject_reason, r.after) for r in plan.collect()}
-    assert got["app.txt"][:2] == (1, "expected 5 occurrence(s) of 'find' but found 1; no changes made")
+    assert got["app.txt"][:2] == (1, "occurs 1 times, not 5")
     assert got["aaa"] == (2, None, "bb") and got["data.json"] == (1, None, '{"key": ""}\n') and "no such file" in got["none"][1]
 
 
@@ -67,7 +75,7 @@ def test_rollback_undoes_an_applied_batch(spark, files):
     one = ops.filter("path = 'new/x'")
     assert content(changes.apply_rollback(after, changes.rollback_plan(ops, backups, after, one, root=ROOT))) == {"config.txt": "changed", "keep": "k"}
     lost = changes.rollback_plan(ops, backups.limit(0), after, root=ROOT)
-    assert "backup payload is missing" in lost.filter("path = 'config.txt'").first().reject_reason
+    assert "no backup" in lost.filter("path = 'config.txt'").first().reject_reason
 
 
 def test_rollback_of_two_changes_ends_before_the_first(spark, files):

@@ -34,8 +34,10 @@ def test_preview_is_redacted_before_it_is_cut(files):
     df = files(("r", "a", "x " * 145 + AKIA + " tail"))
     preview = scan.secret_findings(df).first().preview
     assert len(preview) == 300 and "AK" + "IA" not in preview
-    shown = scan.search_code(df, "tail").first()
+    shown = scan.search_code(df, "tail", line_chars=300).first()
     assert len(shown.text) == 300 and "AK" + "IA" not in shown.text and shown.text_truncated
+    whole = scan.search_code(df, "tail").first()
+    assert whole.text.endswith("tail") and "AK" + "IA" not in whole.text and not whole.text_truncated
 
 
 def test_whole_corpus_by_default(files):
