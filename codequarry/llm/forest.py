@@ -122,6 +122,8 @@ HELD = 200_000  # rows of a task that wait to be combined
 
 def _best(query, tag, vec, score, k):
     """The best k candidates of each query, each candidate once, ties to the smaller id."""
+    if len(query) == 0:  # a vector alone in its leaves
+        return query, tag, vec, score
     by = np.lexsort((-score, vec, tag, query))
     query, tag, vec, score = query[by], tag[by], vec[by], score[by]
     first = np.r_[True, (query[1:] != query[:-1]) | (tag[1:] != tag[:-1]) | (vec[1:] != vec[:-1])]
