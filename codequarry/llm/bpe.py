@@ -30,7 +30,7 @@ from .common import memo, prepared
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _COARSE = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 _LETTERS = re.compile(r" ?[^\W\d_]+")
-MOST_STATES, MOST_PAIRS, MOST_CHUNKS, LONGEST_CHUNK, LOOKAHEAD = 250_000, 300_000, 150_000, 40, 256
+MOST_STATES, MOST_PAIRS, MOST_CHUNKS, LONGEST_CHUNK, LOOKAHEAD = 250_000, 300_000, 300_000, 40, 256
 
 
 PART = 1 << 20  # characters or ids of a text that are taken apart at once
