@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +112,57 @@ def test_scans(spark, replay, files):
     timed = df.withColumn("arrived", F.lit(START))
     found = replay(slices(timed, "path", 3), stream_scan.entropy_findings, "tokens").collect()
     assert sorted((r.repo, r.length) for r in found) == [("r", 32), ("s", 32)]
+
+
+class Held(dict):
+    """A value or map state that counts how often it is asked."""
+
+    calls = 0
+
+    def exists(self):
+        return "value" in self
+
+    def get(self):
+        return self["value"]
+
+    def update(self, value):
+        self["value"] = value
+
+    def containsKey(self, key):
+        Held.calls += 1
+        return key in self
+
+    def getValue(self, key):
+        Held.calls += 1
+        return self[key]
+
+    def updateValue(self, key, value):
+        Held.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        Held.calls += 1
+        self.pop(key, None)
+
+
+def test_audit_asks_the_state_by_blocks():
+    """Shuffled lines over three triggers: all entries in order, with far fewer state calls than lines."""
+
+    class Handle:
+        def getValueState(self, *_):
+            return Held()
+
+        getMapState = getValueState
+
+    n, check = 50_000, stream_audit.ChainCheck(1)
+    check.init(Handle())
+    lines = [(i, i + 1, False, i, f'"{i - 1}"' if i > 1 else None, f'"{i}"', i != 40_000) for i in range(1, n + 1)]
+    random.Random(3).shuffle(lines)
+    lines += lines[:500]
+    Held.calls, got = 0, []
+    for part in (lines[0::3], lines[1::3], lines[2::3]):
+        frames = (pd.DataFrame(part[i:i + 9_000], columns=["pos", "next", "corrupt", "seq", "names", "hash", "sound"]) for i in range(0, len(part), 9_000))
+        for out in check.handleInputRows(("r",), frames, None):
+            got += zip(out["position"], out["ok"], out["first_invalid_seq"].fillna(0))
+    assert got == [(i, i != 40_000, 0 if i < 40_000 else 40_000) for i in range(1, n + 1)]
+    assert Held.calls < n / 50
