@@ -23,14 +23,16 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 SCHEMA = "file string, pos bigint, next bigint, raw string"
 CHUNK = 1 << 20
+#: a task takes one range up to so many tasks, then more of them, up to so many bytes
+TASKS, TASK_BYTES = 256, 64 << 20
 _END = re.compile(rb"\r\n|\n|\r")
 
 
 class Ranges(InputPartition):
-    """Byte ranges (file, first, last) that one task reads; ``size`` is where the files end for this read."""
+    """Spans (file, first, last, size) that one task reads in byte ranges of ``split``; ``size`` is where the files end for this read."""
 
-    def __init__(self, parts: list[tuple[str, int, int, int]]):
-        self.parts = parts
+    def __init__(self, parts: list[tuple[str, int, int, int]], split: int):
+        self.parts, self.split = parts, split
 
 
 def _opened(path: str):
@@ -75,9 +77,10 @@ def lines(read, first: int, last: int, size: int) -> Iterator[tuple[int, int, by
     held, base = b"", at  # bytes from ``base`` on
     start = 0 if first == 0 else None  # where the current line starts; None until a line start is known
     done = 0
+    step = last - at + 256  # a short range asks for little more than it is; a line that goes on, for twice as much each time
     while True:
-        more = read(base + len(held), min(CHUNK, size - base - len(held)))
-        held += more
+        more = read(base + len(held), min(CHUNK, step, size - base - len(held)))
+        held, step = held + more, max(last - base - len(held) - len(more), 2 * step)
         ended = not more
         for end in _END.finditer(held, done):
             if end.group() == b"\r" and end.end() == len(held) and not ended:
@@ -99,21 +102,34 @@ def lines(read, first: int, last: int, size: int) -> Iterator[tuple[int, int, by
             done = max(done, len(held) - 1)  # only a \r at the end is looked at again
 
 
-def _batches(parts: list[tuple[str, int, int, int]]) -> Iterator[pa.RecordBatch]:
+def _buffered(handle, end: int):
+    """``read(offset, n)`` for ranges up to ``end`` that follow on each other: the file is read in chunks, whatever the ranges ask for."""
+    base, held = 0, b""
+
+    def read(offset, n):
+        nonlocal base, held
+        if n <= 0:
+            return b""
+        if not base <= offset <= offset + n <= base + len(held):
+            base, held = offset, handle.read_at(max(n, min(CHUNK, end - offset + 256)), offset)
+        return held[offset - base:offset - base + n]
+
+    return read
+
+
+def _batches(parts: list[tuple[str, int, int, int]], split: int) -> Iterator[pa.RecordBatch]:
     rows, held = [], 0
     for path, first, last, size in parts:
         system, place = _opened(path)
         with system.open_input_file(place) as handle:
-
-            def read(offset, n):
-                return handle.read_at(n, offset) if n > 0 else b""  # noqa: B023
-
-            for pos, after, line in lines(read, first, last, size):
-                rows.append((path, pos, after, line.decode("utf-8", "replace")))
-                held += len(line) + 100
-                if held > 4 << 20:
-                    yield _batch(rows)
-                    rows, held = [], 0
+            read = _buffered(handle, min(last, size))
+            for at in range(first, last, split):
+                for pos, after, line in lines(read, at, min(at + split, last), size):
+                    rows.append((path, pos, after, line.decode("utf-8", "replace")))
+                    held += len(line) + 100
+                    if held > 4 << 20:
+                        yield _batch(rows)
+                        rows, held = [], 0
     if rows:
         yield _batch(rows)
 
@@ -123,17 +139,20 @@ def _batch(rows):
 
 
 def _packed(parts: list[tuple[str, int, int, int]], split: int) -> list[Ranges]:
-    """Ranges of at most ``split`` bytes, small files together."""
+    """Tasks of ranges of at most ``split`` bytes, small files together. Beyond ``TASKS`` ranges a task takes several that follow on each
+    other, so that short ranges do not make a task each."""
+    total = sum(last - first for _, first, last, _ in parts)
+    share = split * max(1, min(-(-total // (TASKS * split)), TASK_BYTES // split))
     out, held, load = [], [], 0
     for path, first, last, size in parts:
-        for a in range(first, last, split):
-            z = min(a + split, last)
-            if held and load + z - a > split:
-                out.append(Ranges(held))
+        for a in range(first, last, share):
+            z = min(a + share, last)
+            if held and load + z - a > share:
+                out.append(Ranges(held, split))
                 held, load = [], 0
             held.append((path, a, z, size))
             load += z - a
-    return out + ([Ranges(held)] if held else [])
+    return out + ([Ranges(held, split)] if held else [])
 
 
 class _Options:
@@ -152,10 +171,10 @@ class LinesReader(DataSourceReader, _Options):
         _Options.__init__(self, options)
 
     def partitions(self):
-        return _packed([(path, 0, size, size) for path, size in sorted(found(self.paths).items())], self.split) or [Ranges([])]
+        return _packed([(path, 0, size, size) for path, size in sorted(found(self.paths).items())], self.split) or [Ranges([], self.split)]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
-        yield from _batches(partition.parts)
+        yield from _batches(partition.parts, partition.split)
 
 
 class LinesStream(DataSourceStreamReader, _Options):
@@ -182,10 +201,10 @@ class LinesStream(DataSourceStreamReader, _Options):
         return 0
 
     def partitions(self, start: dict, end: dict):
-        return _packed([(path, start.get(path, 0), last, last) for path, last in sorted(end.items()) if last > start.get(path, 0)], self.split) or [Ranges([])]
+        return _packed([(path, start.get(path, 0), last, last) for path, last in sorted(end.items()) if last > start.get(path, 0)], self.split) or [Ranges([], self.split)]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
-        yield from _batches(partition.parts)
+        yield from _batches(partition.parts, partition.split)
 
     def commit(self, end: dict) -> None:
         pass

@@ -89,3 +89,29 @@ def test_table_contract(spark, tmp_path):
     spark.range(1).write.parquet(str(tmp_path / "t"))
     with pytest.raises(ValueError):
         tables.files(spark, str(tmp_path / "t"))
+
+
+def test_short_ranges_share_tasks_and_reads(tmp_path, monkeypatch):
+    """Ranges far shorter than a chunk: a bounded number of tasks, no more bytes read than there are, and every line once."""
+    from codequarry.sources import lines
+
+    data = b"".join(b"%d,%s\n" % (i, b"x" * (i % 50)) for i in range(60_000))
+    (tmp_path / "a.log").write_bytes(data)
+    reader = lines.LinesReader({"path": str(tmp_path / "a.log"), "splitbytes": "1000"})
+    tasks = reader.partitions()
+    assert len(data) > 1_500 * 1000 and len(tasks) <= lines.TASKS
+    asked, opened = [], lines._buffered
+
+    class Counting:
+        def __init__(self, handle):
+            self.handle = handle
+
+        def read_at(self, n, offset):
+            asked.append(n)
+            return self.handle.read_at(n, offset)
+
+    monkeypatch.setattr(lines, "_buffered", lambda handle, end: opened(Counting(handle), end))
+    got = [(r["pos"], r["next"], r["raw"]) for t in tasks for batch in reader.read(t) for r in batch.to_pylist()]
+    assert "".join(f"{raw}\n" for _, _, raw in got).encode() == data
+    assert [n for _, n, _ in got] == [p for p, _, _ in got[1:]] + [len(data)]
+    assert sum(asked) < 2 * len(data)
