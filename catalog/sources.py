@@ -16,10 +16,12 @@ from .registry import ORACLES, query, table
 from .views import FILES, files, files_from
 
 
-def _written(spark, rows, name, folder="repo"):
-    """One text file of ``line`` for each value of ``folder``, in the order of ``ord``; the folder they are in."""
+def _written(spark, rows, name, folder="repo", whole=False):
+    """Text files of ``line`` for each value of ``folder``, in the order of ``ord``; the folder they are in. ``whole``: one file each, for
+    positions in it; else a file for each range of ``ord``, so that no task sorts a whole folder."""
     path = new_path(spark, name)
-    rows.repartition(folder).sortWithinPartitions(folder, "ord").select(folder, F.col("line").alias("value")).write.partitionBy(folder).text(path)
+    dealt = rows.repartition(folder) if whole else rows.repartitionByRange(folder, "ord")
+    dealt.sortWithinPartitions(folder, "ord").select(folder, F.col("line").alias("value")).write.partitionBy(folder).text(path)
     return path
 
 
@@ -38,13 +40,13 @@ def _event_lines(spark, sf_dir):
 @query(f"WITH {_LINES} SELECT repo, next - size AS pos, next, raw FROM placed")
 def log_lines(spark, sf_dir):
     """Byte positions of every line of the log files, read in ranges of 5,000 bytes."""
-    path = _written(spark, _event_lines(spark, sf_dir), "event-log")
+    path = _written(spark, _event_lines(spark, sf_dir), "event-log", whole=True)
     return logs.read_lines(spark, f"{path}/repo=*/*.txt", _FOLDER, split_bytes=5_000).drop("file")
 
 
 @query(f"WITH {_LINES} SELECT repo, next - size AS pos, next, raw FROM placed")
 def log_stream(spark, sf_dir):
-    path = _written(spark, _event_lines(spark, sf_dir), "event-log")
+    path = _written(spark, _event_lines(spark, sf_dir), "event-log", whole=True)
     return finished(logs.stream_lines(spark, f"{path}/repo=*/*.txt", _FOLDER, split_bytes=20_000).drop("file"), "log-stream")
 
 

@@ -115,3 +115,12 @@ def test_short_ranges_share_tasks_and_reads(tmp_path, monkeypatch):
     assert "".join(f"{raw}\n" for _, _, raw in got).encode() == data
     assert [n for _, n, _ in got] == [p for p, _, _ in got[1:]] + [len(data)]
     assert sum(asked) < 2 * len(data)
+
+
+def test_log_files_are_spread_unless_whole(spark):
+    """Lines of one folder are sorted by several tasks; asked for whole, they are one file."""
+    from catalog.sources import _written
+
+    rows = spark.range(2_000_000).select(F.lit("a").alias("repo"), F.col("id").alias("ord"), F.concat(F.lit("line "), F.sha2(F.col("id").cast("string"), 256)).alias("line"))
+    names = {whole: spark.read.text(_written(spark, rows, "spread", whole=whole)).select(F.input_file_name()).distinct().count() for whole in (False, True)}
+    assert names[True] == 1 and names[False] > 1
