@@ -7,13 +7,18 @@ from codequarry import rules
 from codequarry.operators import preflight, scan
 
 from .registry import query, table
-from .views import SIGNATURES, sql_matches
+from .views import SIGNATURES, ingested, sql_matches
 
 MANIFEST = '{"name":"%s","version":"%s","interface":{"displayName":"D","shortDescription":"S","defaultPrompt":["a","b"%s]}}'
 CONTRACT = '{"schemaVersion":"1","name":"%s","version":"%s","summary":"s","toolsUsed":%s,"evalPrompts":["tests.md"%s]}'
 
 
 def plugin_files(spark, sf_dir):
+    """The files of all plugins, ingested."""
+    return ingested(spark, sf_dir, "plugin-files", lambda: _plugin_files(spark, sf_dir))
+
+
+def _plugin_files(spark, sf_dir):
     s, k = table(spark, sf_dir, "documents"), F.col("doc_id")
     given = F.coalesce("text", F.lit(""))
     name = F.concat(F.lit("plug"), k.cast("string"))

@@ -95,7 +95,7 @@ def first_rule(text: Column, signatures=rules.SECRET_SIGNATURES) -> Column:
 
 def all_rules(text: Column, signatures) -> Column:
     """Ids of every rule that matches, in rule order."""
-    found = F.array(*[F.when(matches(text, p, i), F.lit(name)) for name, p, i in signatures])
+    found = F.array(*[F.when(may_match(text, name) & matches(text, p, i), F.lit(name)) for name, p, i in signatures])
     return F.array_compact(found)
 
 

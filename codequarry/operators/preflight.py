@@ -13,6 +13,7 @@ from .. import rules
 from ..functions import paths, text
 from ..functions.audit import json_field
 from ..functions.regex import extract, matches
+from ..plans.corpus import exploded
 
 MANIFEST = ".codex-plugin/plugin.json"
 SKILLS, COMMANDS = "skills/", "scripts/commands/"
@@ -42,8 +43,8 @@ def _finding(condition: Column, severity: str, identifier: str, detail: Column |
 
 
 def _rows(df: DataFrame, findings: list[Column], file: Column) -> DataFrame:
-    return (df.select("repo", file.alias("file"), F.explode(F.array_compact(F.array(*findings))).alias("f"))
-            .select("repo", "f.severity", "f.id", "file", "f.detail"))
+    found = exploded(df.withColumn("file", file), ["repo", "file"], F.array_compact(F.array(*findings)))
+    return found.select("repo", "item.severity", "item.id", "file", "item.detail")
 
 
 def _universal(content: Column) -> Column:
@@ -156,13 +157,12 @@ def _contract_findings(files: DataFrame, found: DataFrame) -> DataFrame:
 
 def _command_findings(files: DataFrame) -> DataFrame:
     p = F.col("path")
-    code = files.filter(p.startswith(COMMANDS))
-    body = _universal(F.col("content"))
+    code, body = files.filter(p.startswith(COMMANDS)).select("repo", "path", _universal(F.col("content")).alias("body")), F.col("body")
     ids = F.concat(
         F.transform(text.all_rules(body, rules.DANGEROUS_COMMANDS), lambda x: F.struct(x.alias("id"), F.lit(None).cast("string").alias("detail"))),
         F.transform(text.all_rules(body, rules.SECRET_SIGNATURES), lambda x: F.struct(F.lit("potential-secret").alias("id"), x.alias("detail"))))
-    return code.select("repo", p.alias("file"), F.explode(ids).alias("f")).select(
-        "repo", F.lit("error").alias("severity"), "f.id", "file", "f.detail")
+    return exploded(code.withColumnRenamed("path", "file"), ["repo", "file"], ids).select(
+        "repo", F.lit("error").alias("severity"), "item.id", "file", "item.detail")
 
 
 def preflight_findings(files: DataFrame) -> DataFrame:

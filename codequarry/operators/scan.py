@@ -226,6 +226,5 @@ def redacted(files: DataFrame) -> DataFrame:
 
 def dangerous_commands(files: DataFrame) -> DataFrame:
     """repo, file and the id of every dangerous-command rule that its text matches."""
-    body = text.text_of(F.col("content"))
-    return files.select("repo", F.col("path").alias("file"),
-                        F.explode(text.all_rules(body, rules.DANGEROUS_COMMANDS)).alias("signature"))
+    named = files.select("repo", F.col("path").alias("file"), text.text_of(F.col("content")).alias("body"))
+    return exploded(named, ["repo", "file"], text.all_rules(F.col("body"), rules.DANGEROUS_COMMANDS)).withColumnRenamed("item", "signature")

@@ -49,3 +49,13 @@ def test_commands(files):
     got, _ = findings(files, (".codex-plugin/plugin.json", GOOD), ("skills/alpha/SKILL.md", SKILL), ("skills/alpha/contract.json", CONTRACT), ("skills/alpha/tests.md", ""),
                       ("scripts/commands/deep/a.ps1", f"iex {key}"), ("scripts/other/b.ps1", "iex"))
     assert got == [("error", "dynamic-code-execution", "scripts/commands/deep/a.ps1"), ("error", "potential-secret", "scripts/commands/deep/a.ps1")]
+
+
+def test_rules_run_once_a_text(files):
+    """The plans hold each rule once, over a text that is prepared once."""
+    from codequarry.operators import scan
+
+    df = files(("r", "scripts/commands/a.sh", "ls"))
+    for found in (preflight._command_findings(df), scan.dangerous_commands(df)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("-EncodedCommand") == 1 and plan.count("make_valid_utf8") + plan.count("makeValid") == 1
