@@ -126,7 +126,8 @@ def audit_verify_numbers(spark, sf_dir):
     """One digit more in some numbers breaks a chain; the same number in other digits does not."""
     bad = (F.col("pos") % 90 == 0) & (F.col("repo") != "view")
     raw = F.when(bad, F.regexp_replace("raw", '("ratio":-?)', "$11")).otherwise(F.replace(F.replace("raw", F.lit('"ratio":1.0}'), F.lit('"ratio": 10E-1}')), F.lit("1e+22"), F.lit("10.0e21")))
-    return audit.verify(_number_log(spark, sf_dir).withColumn("raw", raw), chunk=500)
+    log = ingested(spark, sf_dir, "number-log", lambda: _number_log(spark, sf_dir))
+    return audit.verify(log.withColumn("raw", raw), chunk=500)
 
 
 @query("""WITH n AS (SELECT event_type AS repo, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS position FROM events)

@@ -27,8 +27,9 @@ def loads(text: str):
         raise ValueError("nested too deeply") from exc
 
 
-def dumps(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+# made once: json.dumps makes an encoder a call
+dumps = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode
+as_given = json.JSONEncoder(separators=(",", ":"), ensure_ascii=False).encode
 
 
 def entry_hash(previous: str | None, body: str) -> str:
@@ -111,7 +112,7 @@ def record_parts(text: str | None, timestamp: str | None):
         record = loads(text or "")
         if not isinstance(record, dict) or any(name in record for name in RESERVED):
             return None
-        inner = json.dumps(record, separators=(",", ":"), ensure_ascii=False)[1:-1]
+        inner = as_given(record)[1:-1]
         record["timestampUtc"] = timestamp
         shown = {name: f"{dumps(name)}:{dumps(value)}" for name, value in record.items()} | {"prevHash": '"prevHash":\0', "seq": '"seq":\0'}
         head, mid, rest = ("{" + ",".join(shown[name] for name in sorted(shown)) + "}").split("\0")

@@ -63,7 +63,8 @@ def append(records: DataFrame, tails: DataFrame | None = None) -> DataFrame:
     splices, hashes and passes rows on, holding one state per repo. Records that cannot be logged are
     passed over; ``rejected`` lists them. Returns (repo, pos, raw)."""
     types = dict(records.dtypes)
-    ready = records.select("repo", "ord", "timestamp_utc", "record").mapInArrow(
+    # dealt out first, so that records in few and large parts of files are not prepared by few tasks
+    ready = records.select("repo", "ord", "timestamp_utc", "record").repartition("ord").mapInArrow(
         _prepare, f"repo {types['repo']}, ord {types['ord']}, stamp string, inner string, head string, mid string, rest string")
     if tails is not None:
         ready = ready.join(tails.select("repo", "n_entries", "last_hash"), "repo", "left")
@@ -79,23 +80,24 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stamps = batch.column("timestamp_utc").to_pylist()
         parts = [fa.record_parts(r, t) for r, t in zip(batch.column("record").to_pylist(), stamps)]
         keep = pa.array([p is not None for p in parts], pa.bool_())
-        columns = list(zip(*((json.dumps(t, ensure_ascii=False), *p) for t, p in zip(stamps, parts) if p is not None))) or [()] * 5
+        columns = list(zip(*((fa.as_given(t), *p) for t, p in zip(stamps, parts) if p is not None))) or [()] * 5
         yield pa.RecordBatch.from_arrays([batch.column("repo").filter(keep), batch.column("ord").filter(keep), *(pa.array(c, pa.string()) for c in columns)],
                                          ["repo", "ord", "stamp", "inner", "head", "mid", "rest"])
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    repo, n, last = object(), 0, None
+    repo, n, last, prev = object(), 0, None, "null"
     for batch in batches:
         pos, raw = [], []
         for name, _, stamp, inner, head, mid, rest, n_entries, last_hash in zip(*(c.to_pylist() for c in batch.columns)):
             if name != repo:
                 repo, n, last = name, n_entries, last_hash
+                prev = json.dumps(last)
             n += 1
-            prev = json.dumps(last)
             last = fa.entry_hash(last, f"{head}{prev}{mid}{n}{rest}")
             pos.append(n)
             raw.append(f'{{"seq":{n},"timestampUtc":{stamp},"prevHash":{prev}{"," if inner else ""}{inner},"entryHash":"{last}"}}')
+            prev = f'"{last}"'
         yield pa.RecordBatch.from_arrays([batch.column("repo"), pa.array(pos, pa.int64()), pa.array(raw, pa.string())], ["repo", "pos", "raw"])
 
 

@@ -212,3 +212,16 @@ def test_history_and_session_logs(spark, tmp_path):
     assert [(r.file, r.changes) for r in history.churn_from_names(names).orderBy("pos").collect()] == [("b.txt", 2), ("a.txt", 1), ("c.txt", 1)]
     sessions = logs.session_records(logs.read_lines(spark, str(tmp_path / "r.sessions"), r"/(\w+)\.sessions$"))
     assert [(r.session_id, r.status) for r in audit.latest_sessions(sessions).collect()] == [("s", "destroyed")]
+
+
+def test_records_are_dealt_out_before_they_are_prepared(spark):
+    df = spark.createDataFrame([("a", i, "t", f'{{"op":{i}}}') for i in range(9)], "repo string, ord long, timestamp_utc string, record string").coalesce(1)
+    plan = audit.append(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.rindex("RepartitionByExpression [ord") > plan.rindex("MapInArrow")
+
+
+def test_number_log_is_verified_from_storage(spark):
+    """Entries are not taken apart in the few tasks that chain them."""
+    from __spark_entry__ import SMOKE, queries
+
+    assert queries()["audit_verify_numbers"](spark, SMOKE)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
