@@ -101,6 +101,8 @@ def extend(records: DataFrame, path: str, expected: int | None = None) -> int:
     at = len(known) if expected is None else expected
     if at > len(known):
         raise ValueError("the log has no such version")
+    if at < len(known):
+        raise Conflict(path)  # known before anything is chained; a writer that commits meanwhile is found out below
     tails = None if at == 0 else spark.read.schema("repo string, n_entries bigint, last_hash string").parquet(f"{path}/{known[at - 1]['tails']}")
     place = f"tails-{uuid.uuid4().hex}"
     staged = f"staged-{uuid.uuid4().hex}"

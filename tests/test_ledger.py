@@ -44,3 +44,31 @@ def test_rows_that_were_not_committed_are_not_read(spark, tmp_path):
         ledger.append(df, path, 1)
     with pytest.raises(ValueError):
         ledger.append(df.drop("pos"), path, 1)
+
+
+def test_a_late_writer_chains_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    ledger.extend(records(spark, [("a", 1)]), path)
+    chained = []
+    monkeypatch.setattr(ledger.audit, "append", lambda *given: chained.append(given))
+    with pytest.raises(ledger.Conflict):
+        ledger.extend(records(spark, [("a", 2)]), path, expected=0)
+    assert not chained and ledger.version(spark, path) == 1
+
+
+def test_two_that_read_the_same_version(spark, tmp_path, monkeypatch):
+    """The other commits while this one chains: nothing of this one is left."""
+    path, append = str(tmp_path / "log"), audit.append
+    ledger.extend(records(spark, [("a", 1)]), path)
+
+    def overtaken(given, tails):
+        monkeypatch.setattr(ledger.audit, "append", append)
+        ledger.extend(records(spark, [("a", 2)]), path)
+        listed.extend(sorted(os.listdir(path)))
+        return append(given, tails)
+
+    listed = []
+    monkeypatch.setattr(ledger.audit, "append", overtaken)
+    with pytest.raises(ledger.Conflict):
+        ledger.extend(records(spark, [("a", 3)]), path)
+    assert sorted(os.listdir(path)) == listed and ledger.version(spark, path) == 2
