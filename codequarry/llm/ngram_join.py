@@ -7,9 +7,10 @@ first n - ceil(t n) + 1 columns under any common order, so each document enters
 
 Groups, not all pairs, are wanted. Sets that are equal are one class. Two first passes compare each class with one other
 for each of its least n-grams; classes joined by links collapse into one group, and columns with a single group left are
-done. What remains is multiplied out: the overlaps of each pair of classes are counted over their leading columns, pairs with fewer
-than sets of these sizes must share there are discarded, and the full sets are compared for the others, the likeliest links
-first, until no pair of different groups is left, so that no link between different texts is lost.
+done. What remains is multiplied out: the overlaps of each class with each other group are counted over their leading columns, then, where
+these are enough, with each class of the group; pairs with fewer than sets of these sizes must share there are discarded, and the full sets
+are compared for the others, the likeliest links first, until no pair of different groups is left, so that no link between different texts
+is lost.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, prepared, stored
+from .common import Scratch, bitmap, partitions, prepared, stored
 from .graph import components, named
 from .words import hashed_words, mix, shingles
 
 HINTS = 1 << 18  # most frequent n-grams that order the columns; the order decides speed only, never a result
 FILTER_BITS = 1 << 24  # bitmap of classes to fetch; when it fills up, more sets are moved, none is lost
 _BLOCK = 700_000  # n-grams that a task holds at once
+_COPIES = 100_000  # classes that a task remembers
 LEAST = 6  # least n-grams by which classes are first brought together
 
 
@@ -103,10 +105,12 @@ def _deal(order, width, num, den, blocks):
     partner search, so its entries are spread by document instead of meeting in one task."""
 
     def run(batches):
-        hints = order.value
+        hints, seen = order.value, set()
         for batch in batches:
             out = {"block": [], "cls": [], "n": [], "k": [], "grams": []}
-            parts, seen = [], set()
+            parts = []
+            if len(seen) > _COPIES:  # a class that is dealt again is met once all the same
+                seen.clear()
             for grams in _sets(batch, width):
                 key = _class_key(grams)
                 if key is None or key in seen or _alone(len(grams), num, den):
@@ -146,16 +150,25 @@ def _meet(order):
             ["gram", "cls", "n"])
 
     def run(batches):
-        hints = order.value
+        hints, dealt = order.value, set()
         held = []
         for batch in batches:
             for row in batch.to_pylist():
                 k = np.frombuffer(row["k"], np.uint32)
-                keys = np.repeat(np.frombuffer(row["cls"], np.uint64).reshape(-1, 2), k, axis=0)
+                own = np.frombuffer(row["cls"], np.uint64).reshape(-1, 2)
+                keys = np.repeat(own, k, axis=0)
                 ns, grams = np.repeat(np.frombuffer(row["n"], np.uint32), k), np.frombuffer(row["grams"], np.uint64)
                 known = _rarity(grams, hints) > 0
                 if known.any():
-                    yield entries(keys, ns, grams, known)
+                    # all known columns of a class are in this block: of its copies in other batches, one brings them
+                    at = np.repeat(np.arange(len(own)), k)
+                    new = np.zeros(len(own), bool)
+                    for i in np.unique(at[known]):
+                        key = own[i].tobytes()
+                        new[i] = key not in dealt
+                        dealt.add(key)
+                    if (once := known & new[at]).any():
+                        yield entries(keys, ns, grams, once)
                 held.append((keys[~known], ns[~known], grams[~known]))
         if not held:
             return
@@ -183,17 +196,37 @@ def _bit(key: bytes) -> int:
     return int.from_bytes(key[:8], "big", signed=True) % FILTER_BITS
 
 
+def _place(key: str):
+    """The column's bit as ``_bit`` has it."""
+    return F.pmod(F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("bigint"), F.lit(FILTER_BITS))
+
+
+def _picked(wanted):
+    """The stored sets that the bitmap lets through."""
+
+    def run(batches):
+        bits = np.frombuffer(wanted.value, np.uint8)
+        for batch in batches:
+            at = np.frombuffer(b"".join(k[:8] for k in batch.column(0).to_pylist()), ">i8").astype(np.int64) % FILTER_BITS
+            yield batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+
+    return run
+
+
 def _fetch(wanted, width):
-    """The sets of the classes that the bitmap lets through, once for each batch of documents."""
+    """The sets of the classes that the bitmap lets through, about once for each task."""
 
     def run(batches):
-        bits = wanted.value
+        bits, seen = wanted.value, set()
         for batch in batches:
             found = {}
+            if len(seen) > _COPIES:
+                seen.clear()
             for grams in _sets(batch, width):
                 key = _class_key(grams)
-                if key is not None and key not in found and bits[(b := _bit(key)) >> 3] >> (b & 7) & 1:
+                if key is not None and key not in seen and bits[(b := _bit(key)) >> 3] >> (b & 7) & 1:
                     found[key] = grams.tobytes()
+                    seen.add(key)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], ["cls", "grams"])
 
     return run
@@ -237,28 +270,33 @@ def _labelled(docs: DataFrame, text: str, key: str, width: int, num: int, den: i
     entries = scratch.put(_able(met, num, den), "able")
     scratch.drop(met)
 
-    involved = entries.groupBy("cls").agg(F.lit(1))
-    bits = bytearray(FILTER_BITS // 8)
-    bit = F.pmod(F.conv(F.hex(F.substring("cls", 1, 8)), 16, -10).cast("bigint"), F.lit(FILTER_BITS))
-    position = involved.select((bit + 1).alias("b"))
-    for bucket, piece in position.groupBy(F.expr("bitmap_bucket_number(b)")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))")).collect():
-        bits[(bucket - 1) * 4096:bucket * 4096] = piece
-    wanted = spark.sparkContext.broadcast(bytes(bits))
+    involved = scratch.put(entries.groupBy("cls").agg(F.count("*").alias("d")), "involved")
+    wanted = spark.sparkContext.broadcast(bitmap(involved.select(_place("cls")), FILTER_BITS))
     sets = scratch.put(texts.mapInArrow(_fetch(wanted, width), "cls binary, grams binary").groupBy("cls").agg(F.min("grams").alias("grams")), "sets")
 
+    tried = None
+
     def links(pairs):
-        """Of pairs (x, y) of classes, each there once, those that link."""
-        x = sets.select(F.col("cls").alias("x"), F.col("grams").alias("gx"))
-        y = sets.select(F.col("cls").alias("y"), F.col("grams").alias("gy"))
-        return scratch.put(pairs.join(x, "x").join(y, "y").select("x", "y", "gx", "gy").mapInArrow(_linked(num, den), "x binary, y binary"), "links")
+        """Of pairs (x, y) of classes, those that link; pairs that have been tried are left out. Only the sets of classes on a side are moved
+        to that side."""
+        nonlocal tried
+        pairs = pairs.select("x", "y").distinct()
+        pairs = scratch.put(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"), "tried")
+        tried = pairs if tried is None else tried.union(pairs)
+
+        def side(c):
+            bits = spark.sparkContext.broadcast(bitmap(pairs.select(_place(c)), FILTER_BITS))
+            return sets.mapInArrow(_picked(bits), "cls binary, grams binary").select(F.col("cls").alias(c), F.col("grams").alias(f"g{c}"))
+
+        met = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "gx", "gy")
+        return scratch.put(met.mapInArrow(_linked(num, den), "x binary, y binary"), "links")
 
     fits = f"{den} * least(nx, ny) >= {num} * greatest(nx, ny)"
     least = scan.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("n").alias("n"), F.min("least").alias("least"))
-    least = scratch.put(least.join(involved.select("cls"), "cls", "left_semi").select("cls", "n", F.explode("least").alias("gram")), "least")
-    found = links(_stars(least, None).filter(fits).select("x", "y").distinct())
+    least = scratch.put(least.join(involved, "cls").select("cls", "n", "least", (F.col("d") / F.col("n")).alias("share")), "least")
+    found = links(_stars(least, None).filter(fits))
     label = components(found)
-    again = links(_stars(least, label).filter(fits).select("x", "y").distinct())
-    found = scratch.put(found.union(again), "links")
+    found = scratch.put(found.union(links(_stars(least, label).filter(fits))), "links")
     label = components(found)
     pairs = scratch.put(_products(entries, label, fits, num, den), "pairs")
     for few in (1, 4, None):  # likeliest links first: what they join need not be compared any more
@@ -302,52 +340,60 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", width: in
 
 
 def _able(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Entries of classes that may link with something. Of two sets that link, the one whose leading columns end earlier has all
-    those it shares among the other's, so they share at least ceil(num (a + b) / (num + den)) - ceil(num max(a, b) / den) + 1 leading
-    columns for sizes a and b. A class can share no more than it has entries. One with enough for a partner of its own size stays;
-    one with fewer stays if a column holds a class of a size for which the entries of both are enough."""
+    """Entries of classes that may link with something. A class can share no more leading columns than it has entries. One with enough for
+    a partner of its own size stays; one with fewer stays if a column holds a class of a size for which the entries of both are enough."""
     d = entries.groupBy("cls", "n").agg(F.count("*").alias("d"))
-    need = lambda a, b: f"(ceil({num} * ({a} + {b}) / {num + den}) - ceil({num} * greatest({a}, {b}) / {den}) + 1)"
-    d = stored(d.withColumn("high", F.expr(f"d >= {need('n', 'n')}")), "counts")
+    d = stored(d.withColumn("high", F.expr(f"d >= {_need('n', 'n', num, den)}")), "counts")
     low = entries.join(d.filter("NOT high").select("cls", "d"), "cls").select(F.col("gram").alias("gx"), F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"))
     every = entries.join(d.select("cls", "d"), "cls")
-    met = F.expr(f"gx = gram AND x <> cls AND {den} * least(n, nx) >= {num} * greatest(n, nx) AND least(d, dx) >= {need('n', 'nx')}")
+    met = F.expr(f"gx = gram AND x <> cls AND {den} * least(n, nx) >= {num} * greatest(n, nx) AND least(d, dx) >= {_need('n', 'nx', num, den)}")
     able = d.filter("high").select("cls").union(low.join(every, met).select(F.col("x").alias("cls")).distinct())
-    left = entries.join(able, "cls", "left_semi")
-    return left.join(left.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram"), "gram", "left_semi")
+    return entries.join(able, "cls", "left_semi")
 
 
 def _stars(least: DataFrame, label: DataFrame | None) -> DataFrame:
-    """(x, nx, y, ny): each class with the centre of each of its least n-grams, the class that a hash picks. With labels, only classes of
-    other groups than the centre's."""
+    """(x, nx, y, ny): each class with the centre of each of its least n-grams. The centre is the class with most leading columns that
+    others share, for its size: of near copies the one with the fewest changes, which links with those that do not link with each other.
+    With labels, a hash picks it, and only classes of other groups than the centre's are met. Pairs with few least n-grams in common are left
+    to the products."""
     rows = least if label is None else least.join(label.withColumnRenamed("node", "cls"), "cls", "left")
-    rows = rows.withColumn("grp", F.col("cls") if label is None else F.coalesce("label", "cls"))
-    hashed = F.xxhash64("cls", F.lit(0 if label is None else 1))
-    centre = rows.groupBy("gram").agg(F.min_by(F.struct("cls", "n", "grp"), hashed).alias("y"), F.min("grp").alias("a"), F.max("grp").alias("b")).filter("a <> b").drop("a", "b")
-    met = rows.join(centre, "gram").filter("grp <> y.grp")
+    rows = rows.withColumn("grp", F.col("cls") if label is None else F.coalesce("label", "cls")).withColumn("gram", F.explode("least"))
+    rank = F.struct(-F.col("share"), F.xxhash64("cls")) if label is None else F.xxhash64("cls")
+    centre = (rows.groupBy("gram").agg(F.min_by(F.struct("cls", "n", "grp", F.col("least").alias("own")), rank).alias("y"), F.min("grp").alias("a"), F.max("grp").alias("b"))
+              .filter("a <> b").drop("a", "b"))
+    met = rows.join(centre, "gram").filter(f"grp <> y.grp AND size(array_intersect(least, y.own)) >= least(n, y.n, {LEAST // 2})")
     first = F.col("cls") < F.col("y.cls")
     side = lambda own, other: F.when(first, own).otherwise(other)
     return met.select(side(F.col("cls"), F.col("y.cls")).alias("x"), side(F.col("n"), F.col("y.n")).alias("nx"),
                       side(F.col("y.cls"), F.col("cls")).alias("y"), side(F.col("y.n"), F.col("n")).alias("ny"))
 
 
+def _need(a: str, b: str, num: int, den: int) -> str:
+    """Leading columns that linked sets of sizes ``a`` and ``b`` share at least. The one whose leading columns end earlier has all those it
+    shares among the other's: ceil(num (a + b) / (num + den)) - ceil(num max(a, b) / den) + 1 of them."""
+    return f"(ceil({num} * ({a} + {b}) / {num + den}) - ceil({num} * greatest({a}, {b}) / {den}) + 1)"
+
+
 def _products(entries: DataFrame, label: DataFrame, fits: str, num: int, den: int) -> DataFrame:
     """Pairs (x, y) of classes in different groups that share as many leading columns as sets that link must: each column is
-    multiplied with itself, and the products are counted by pair. The group with most entries of a column stands in the middle, so that a
-    column of one group and a few strays costs as many products as it has strays and members, not their square."""
-    lists = entries.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("label", "cls"))
-    middle = (lists.groupBy("gram", "grp").agg(F.count("*").alias("c")).groupBy("gram")
-              .agg(F.max(F.struct("c", "grp")).alias("m"), F.count("*").alias("groups")).filter("groups > 1").select("gram", F.col("m.grp").alias("mid")))
-    lists = stored(lists.join(middle, "gram").select("gram", "cls", "n", "grp", (F.col("grp") == F.col("mid")).alias("inner")), "lists")
-    mine = lists.filter("NOT inner").select("gram", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("grp").alias("gx"))
-    theirs = lists.select("gram", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("grp").alias("gy"), "inner")
-    both = mine.join(theirs, "gram").filter(f"gx <> gy AND (inner OR x < y) AND {fits}")
-    first = F.col("x") < F.col("y")
-    side = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
-    ordered = both.select(side("x", "y").alias("x"), side("y", "x").alias("y"), side("nx", "ny").alias("nx"), side("ny", "nx").alias("ny"))
-    need = f"ceil({num} * (nx + ny) / {num + den}) - ceil({num} * greatest(nx, ny) / {den}) + 1"
-    counted = ordered.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("shared")).filter(f"shared >= {need}")
-    return counted.select("x", "y", (F.col("shared") / F.greatest("nx", "ny")).alias("share"))
+    multiplied with itself, and the products are counted by pair. Before that each class of the smaller group is counted with the larger group as
+    a whole, one row a column whatever the group's size: a class that shares too few columns with all of the group's classes together
+    links with none of them."""
+    sizes = label.join(label.groupBy("label").agg(F.count("*").alias("weight")), "label").withColumnRenamed("node", "cls")
+    lists = entries.join(sizes, "cls", "left").select("gram", "cls", "n", F.coalesce("label", "cls").alias("grp"), F.coalesce("weight", F.lit(1)).alias("weight"))
+    several = lists.groupBy("gram").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).filter("a <> b").select("gram")
+    lists = stored(lists.join(several, "gram", "left_semi"), "lists")
+    mine = lists.select("gram", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("grp").alias("gx"), F.col("weight").alias("wx"))
+    whole = lists.groupBy("gram", "grp", "weight").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    beside = f"gx <> grp AND struct(wx, gx) < struct(weight, grp) AND {den} * high >= {num} * nx AND {num} * low <= {den} * nx"
+    near = mine.join(whole, "gram").filter(beside).groupBy("x", "nx", "grp").agg(F.count("*").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"))
+    near = near.withColumn("low", F.expr(f"greatest(low, ceil({num} * nx / {den}))")).withColumn("high", F.expr(f"least(high, floor({den} * nx / {num}))"))
+    # of all sizes between, the outermost need fewest columns, up to one by which the second term is rounded
+    near = near.filter(f"low <= high AND shared >= least({_need('nx', 'low', num, den)}, {_need('nx', 'high', num, den)}) - 1")
+    theirs = lists.select("gram", F.col("cls").alias("y"), F.col("n").alias("ny"), "grp")
+    both = mine.select("gram", "x", "nx").join(near.select("x", "grp"), "x").join(theirs, ["gram", "grp"]).filter(fits)
+    counted = both.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("shared")).filter(f"shared >= {_need('nx', 'ny', num, den)}")
+    return counted.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), (F.col("shared") / F.greatest("nx", "ny")).alias("share"))
 
 
 def _apart(pairs: DataFrame, label: DataFrame, few: int | None) -> DataFrame:

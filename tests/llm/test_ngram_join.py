@@ -105,3 +105,39 @@ def test_small_sets(spark):
 def test_driver_documents(spark):
     rows = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()
     check(spark, rows)
+
+
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    """Copies that link with their original only are one group before any column is multiplied out, and copies of one text, dealt in several
+    batches, bring each of their columns once."""
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(i, " ".join(base)) for i in range(40)]
+    for i in range(60):
+        words = list(base)
+        for k in rng.sample(range(10, 110, 10), 2):
+            words[k] = f"x{i}-{k}"
+        rows.append((5000 + i, " ".join(words)))
+    held, products = [], ngram_join._products
+
+    def watched(entries, label, *rest):
+        held.append((label.select("label").distinct().count(), entries.count() - entries.distinct().count()))
+        return products(entries, label, *rest)
+
+    monkeypatch.setattr(ngram_join, "_products", watched)
+    check(spark, rows)
+    assert held == [(1, 0)]
+
+
+def test_class_beside_a_whole_group(spark):
+    """A class that shares enough columns with a group as a whole only, and one that links with a member that is not the group's centre."""
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(200)]
+    rows = [(1, " ".join(base))]
+    for i in range(30):
+        words = list(base)
+        for k in range(3):
+            words[rng.randrange(200)] = f"x{i}-{k}"
+        rows.append((10 + i, " ".join(words)))
+    rows += [(100 + i, " ".join(base[:200 - 6 * i] + [f"y{i}-{k}" for k in range(4 * i)])) for i in range(1, 10)]
+    check(spark, rows)
