@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepared, stored
+from .common import bitmap, prepared, stored
 from .words import hashed_words, mix, runs
 
 SEED = 16  # words of the anchors that place the cuts
 LONGEST = 64  # windows of a phrase
+_COPIES = 200_000  # phrases that a task remembers
 FILTER_BITS = 1 << 26  # bitmap of anchors that recur; when it fills up, more phrases are looked up, none is lost
 
 
@@ -59,36 +60,54 @@ def _bit(anchor: np.ndarray) -> np.ndarray:
     return (anchor % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
+def _cut(words, known, width, seed):
+    """(place, anchor, digest, windows) of the phrases whose anchors the bitmap lets through."""
+    anchor = _anchors(words, width, seed)
+    bit = _bit(anchor)
+    found = known[bit >> 3] >> (bit & 7).astype(np.uint8) & 1
+    if not found.any():
+        return
+    windows = runs(words, width)
+    cuts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1], True])
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if found[a]:
+            for c in range(a, b, LONGEST):
+                data = windows[c:min(b, c + LONGEST)].tobytes()
+                yield c, int(anchor[a].view(np.int64)), hashlib.blake2b(data + anchor[a].tobytes(), digest_size=16).digest(), data
+
+
 def _phrases(bits, width, seed):
-    """(doc_id, tag, at, anchor, digest, windows) of phrases whose anchor may recur."""
+    """(doc_id, tag, at, size, anchor, digest) of phrases whose anchor may recur."""
 
     def run(batches):
         known = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
             ids, tags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = {"doc_id": [], "tag": [], "at": [], "anchor": [], "digest": [], "windows": []}
-            for row, words, _, _ in hashed_words(batch.column(2)):
-                if len(words) < width or ids[row] is None:
-                    continue
-                anchor = _anchors(words, width, seed)
-                bit = _bit(anchor)
-                recurs = known[bit >> 3] >> (bit & 7).astype(np.uint8) & 1
-                if not recurs.any():
-                    continue
-                windows = runs(words, width)
-                cuts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1], True])
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                    if recurs[a]:
-                        for c in range(a, b, LONGEST):
-                            data = windows[c:min(b, c + LONGEST)].tobytes()
-                            out["doc_id"].append(ids[row])
-                            out["tag"].append(tags[row])
-                            out["at"].append(c)
-                            out["anchor"].append(int(anchor[a].view(np.int64)))
-                            out["digest"].append(hashlib.blake2b(data + anchor[a].tobytes(), digest_size=16).digest())
-                            out["windows"].append(data)
-            yield pa.RecordBatch.from_pydict(out, pa.schema(
-                [("doc_id", pa.int64()), ("tag", pa.int64()), ("at", pa.int64()), ("anchor", pa.int64()), ("digest", pa.binary()), ("windows", pa.binary())]))
+            rows = [(ids[row], tags[row], at, len(data) // 8, anchor, digest) for row, words, _, _ in hashed_words(batch.column(2))
+                    if len(words) >= width and ids[row] is not None for at, anchor, digest, data in _cut(words, known, width, seed)]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+            columns = list(zip(*rows)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "tag", "at", "size", "anchor", "digest"])
+
+    return run
+
+
+def _windows(bits, width, seed):
+    """(digest, windows) of phrases whose anchor may stand in several phrases, about once for each task."""
+
+    def run(batches):
+        known, seen = np.frombuffer(bits.value, np.uint8), set()
+        for batch in batches:
+            found = {}
+            if len(seen) > _COPIES:
+                seen.clear()
+            for row, words, _, _ in hashed_words(batch.column(1)):
+                if len(words) >= width and batch.column(0)[row].is_valid:
+                    for _, _, digest, data in _cut(words, known, width, seed):
+                        if digest not in seen:
+                            seen.add(digest)
+                            found[digest] = data
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], ["digest", "windows"])
 
     return run
 
@@ -98,31 +117,34 @@ def duplicate_windows(docs: DataFrame, width: int = 50, seed: int = SEED) -> Dat
     doc_id. ``docs`` has doc_id, tag (which tells rows of one doc_id apart) and text."""
     spark = prepared(docs.sparkSession)
     seed = min(seed, width)
+    place = F.col("a").bitwiseAND(F.lit(FILTER_BITS - 1))
     anchors = docs.select("doc_id", "text").mapInArrow(_recurring(width, seed), "doc_id bigint, anchors array<bigint>")
     again = (anchors.select("doc_id", F.explode("anchors").alias("a")).groupBy("a")
              .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last"))
-    position = again.select((F.col("a").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1).alias("b"))
-    bits = bytearray(FILTER_BITS // 8)
-    for bucket, piece in position.groupBy(F.expr("bitmap_bucket_number(b)")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))")).collect():
-        bits[(bucket - 1) * 4096:bucket * 4096] = piece
-    held = spark.sparkContext.broadcast(bytes(bits))  # FILTER_BITS / 8 bytes, whatever the data
+    held = spark.sparkContext.broadcast(bitmap(again.select(place), FILTER_BITS))  # FILTER_BITS / 8 bytes, whatever the data
+
+    phrases = stored(docs.select("doc_id", "tag", "text").mapInArrow(_phrases(held, width, seed), "doc_id bigint, tag bigint, at int, size int, anchor bigint, digest binary"), "phrases")
+    reference = stored(phrases.groupBy("digest", "anchor", "size").agg(F.min("doc_id").alias("first")), "reference")
 
-    phrases = stored(docs.select("doc_id", "tag", "text").mapInArrow(_phrases(held, width, seed), "doc_id bigint, tag bigint, at bigint, anchor bigint, digest binary, windows binary"), "phrases")
-    reference = stored(phrases.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("anchor").alias("anchor"), F.min("windows").alias("windows")), "reference")
+    # phrases that are new as a whole: which of their windows stand in another phrase of an earlier document? Equal windows have equal anchors,
+    # so only phrases whose anchor another phrase has too are opened
+    mixed = stored(reference.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor"), "mixed")
+    several = spark.sparkContext.broadcast(bitmap(mixed.withColumnRenamed("anchor", "a").select(place), FILTER_BITS))
+    opened = docs.select("doc_id", "text").mapInArrow(_windows(several, width, seed), "digest binary, windows binary").groupBy("digest").agg(F.min("windows").alias("windows"))
 
-    # phrases that are new as a whole: which of their windows stand in another phrase of an earlier document?
     @F.arrow_udf("array<bigint>")
     def numbers(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             found = [np.frombuffer(v, np.int64) for v in column.to_pylist()]
             yield pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
 
-    single = reference.select("digest", "first", "anchor", F.posexplode(numbers("windows")).alias("i", "w"))
+    single = stored(reference.join(mixed, "anchor", "left_semi").select("digest", "first", "anchor").join(opened, "digest"), "opened")
+    single = single.select("digest", "first", "anchor", F.posexplode(numbers("windows")).alias("i", "w"))
     earliest = single.groupBy("w", "anchor").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most").select("w", "anchor", "least")
     inside = (single.join(earliest, ["w", "anchor"]).filter("least < first").groupBy("digest").agg(F.array_sort(F.collect_set("i")).alias("inside")))
-    index = reference.select("digest", "first", (F.octet_length("windows") / 8).cast("int").alias("size")).join(inside, "digest", "left")
+    index = reference.select("digest", "first").join(inside, "digest", "left")
 
-    factors = phrases.select("doc_id", "tag", "at", "digest").join(index, "digest")
+    factors = phrases.select("doc_id", "tag", F.col("at").cast("bigint").alias("at"), "size", "digest").join(index, "digest")
     whole = F.when(F.col("doc_id") > F.col("first"), F.array(F.struct(F.col("at").alias("at"), F.col("size").cast("bigint").alias("size"))))
     part = F.transform(F.coalesce("inside", F.array().cast("array<int>")), lambda i: F.struct((F.col("at") + i).alias("at"), F.lit(1).cast("bigint").alias("size")))
     return factors.select("doc_id", "tag", F.explode(F.coalesce(whole, part)).alias("f")).select("doc_id", "tag", "f.at", "f.size")

@@ -76,3 +76,16 @@ def test_words_that_polynomials_confuse(spark):
         one += one.translate(str.maketrans("ab", "ba"))
     two, rest = one.translate(str.maketrans("ab", "ba")), " ".join(f"y{i}" for i in range(60))
     check(spark, [(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{one} {rest}")])
+
+
+def test_phrases_without_variants_are_not_opened(spark, monkeypatch):
+    """Of whole copies no window is moved; with one changed word, only those of phrases around it."""
+    copied = " ".join(f"c{i}" for i in range(3000))
+    changed = " ".join(f"d{i}" for i in range(3000))
+    rows = [(1, copied), (2, copied), (3, changed), (4, changed.replace("d1500 ", "other "))]
+    tables, stored = {}, substring_dedup.stored
+    monkeypatch.setattr(substring_dedup, "stored", lambda df, name: tables.setdefault(name, stored(df, name)))
+    check(spark, rows)
+    assert "windows" not in tables["phrases"].columns + tables["reference"].columns
+    windows = tables["opened"].selectExpr("sum(octet_length(windows)) / 8").first()[0]
+    assert 100 <= windows < 600 < tables["reference"].selectExpr("sum(size)").first()[0]
