@@ -35,7 +35,7 @@ from .common import memo, new_path, prepared
 MAGIC, BLOCK, PERCENTILE = b"PFORTOK1", 4096, 98.0
 _FOOTER = "<7Q8s"
 _HEAD = "<QHBxI"  # least value, values, width, outliers
-MOST_WORDS, LONGEST_WORD, GROUP = 500_000, 40, 1 << 20
+MOST_WORDS, LONGEST_WORD, GROUP = 300_000, 40, 1 << 20
 
 
 def pack(values: np.ndarray, percentile: float = PERCENTILE) -> bytes:
@@ -69,8 +69,8 @@ def shard_bytes(doc_ids: list[int], counts: list[int], ids: np.ndarray) -> bytes
     zigzag = np.diff(np.array([d or 0 for d in doc_ids], np.int64), prepend=0)
     zigzag = ((zigzag << 1) ^ (zigzag >> 63)).view(np.uint64)
     out, starts, sizes, at = [MAGIC], [], [], len(MAGIC)
-    for values in (ids.astype(np.uint64), zigzag, np.array(counts, np.uint64)):
-        blocks = [pack(values[i:i + BLOCK]) for i in range(0, len(values), BLOCK)]
+    for values in (ids, zigzag, np.array(counts, np.uint64)):
+        blocks = [pack(values[i:i + BLOCK].astype(np.uint64)) for i in range(0, len(values), BLOCK)]
         for block in blocks:
             starts.append(at)
             at += len(block)
@@ -113,6 +113,7 @@ class Shard:
 
 # letters, then ASCII marks other than the apostrophe: two pre-tokens of a vocabulary that parts letters from marks
 _PARTS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]+)")
+_MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c not in "'_")
 # fixed values: the steps of vocabularies whose texts are their words, one after the other
 _NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 _SPLIT = [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
@@ -142,7 +143,8 @@ class Words(dict):
     white space, so a text is its words; and a word of plain letters that ends in ASCII marks is its letters and its marks. Plain are
     letters below U+0530 that stay letters when they are composed and lower-cased: not so U+0130, which ends in a mark. Plain letters
     and marks alone are one pre-token, which the library's model takes as it is; anything else goes through all its steps. Texts of any
-    other vocabulary are encoded whole. Both tables are bounded."""
+    other vocabulary are encoded whole. The table is bounded: a full one becomes the elder, from which words that are met again return, so
+    that frequent words stay and rare ones go."""
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
@@ -152,21 +154,29 @@ class Words(dict):
         self.model = self.tokenizer.model
         self.by_words = by_words(definition)
         self.signs = _byte_signs()
-        self.pieces: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
 
     def _through(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _keep(self, word: str, packed: bytes) -> bytes:
+        if len(word) <= LONGEST_WORD:
+            if len(self) >= MOST_WORDS:
+                self.elder = dict(self)
+                self.clear()
+            self[word] = packed
+        return packed
+
+    def _model(self, pretoken: str) -> bytes:
+        signs = pretoken if pretoken.isascii() else "".join([self.signs[b] for b in pretoken.encode()])
+        return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+
     def _single(self, pretoken: str) -> bytes:
         """Ids of a piece that is known to be one pre-token in its normal form."""
-        packed = self.pieces.get(pretoken)
+        packed = self.get(pretoken)
         if packed is None:
-            signs = pretoken if pretoken.isascii() else "".join([self.signs[b] for b in pretoken.encode()])
-            packed = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
-            if len(pretoken) <= LONGEST_WORD:
-                if len(self.pieces) >= MOST_WORDS:
-                    self.pieces.clear()
-                self.pieces[pretoken] = packed
+            packed = self.elder.get(pretoken)
+            return self._keep(pretoken, self._model(pretoken) if packed is None else packed)
         return packed
 
     @staticmethod
@@ -179,20 +189,23 @@ class Words(dict):
         normal = unicodedata.normalize("NFC", letters).lower()
         return normal if normal.isalpha() and max(normal) < "\u0530" else None
 
+    def _new(self, word: str) -> bytes:
+        core = word.rstrip(_MARKS)
+        if core.isascii() and core.isalpha():
+            normal, marks = core.lower(), word[len(core):]
+        elif normal := self._plain(word) if word else None:
+            marks = ""
+        elif parts := _PARTS.fullmatch(word):
+            normal, marks = self._plain(parts[1]), parts[2]
+        if not normal or "<|" in marks:
+            return self._through(word) if word else b""
+        if marks:
+            return self._single(normal) + self._single(marks)
+        return self._model(word) if normal == word else self._single(normal)
+
     def __missing__(self, word: str) -> bytes:
-        if not word:
-            packed = b""
-        elif normal := self._plain(word):
-            packed = self._single(normal)
-        elif (parts := _PARTS.fullmatch(word)) and "<|" not in parts[2] and (normal := self._plain(parts[1])):
-            packed = self._single(normal) + self._single(parts[2])
-        else:
-            packed = self._through(word)
-        if len(word) <= LONGEST_WORD:
-            if len(self) >= MOST_WORDS:
-                self.clear()
-            self[word] = packed
-        return packed
+        packed = self.elder.get(word)
+        return self._keep(word, self._new(word) if packed is None else packed)
 
     def encode(self, text: str) -> bytes:
         """Packed ids of a text; a long one is cut at spaces."""
@@ -255,8 +268,9 @@ def write(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int = 1, te
 
         def close():
             name = f"shard-{part:06d}-{done:06d}.pfor"
-            data = np.frombuffer(b"".join(packed), "<u4")
-            _publish(folder, name, shard_bytes(doc_ids, [len(p) // 4 for p in packed], data))
+            counts, data = [len(p) // 4 for p in packed], np.frombuffer(b"".join(packed), "<u4")
+            packed.clear()
+            _publish(folder, name, shard_bytes(doc_ids, counts, data))
             return pa.RecordBatch.from_pydict({"shard": [part], "part": [done], "file": [name], "n_docs": [len(doc_ids)], "n_ids": [size]})
 
         for batch in batches:

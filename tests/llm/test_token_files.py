@@ -104,3 +104,22 @@ def test_query(spark):
     rows = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()
     got = queries.QUERIES["op6_token_files"](spark, "/root/testdata/sf0.01").collect()
     assert sorted(map(tuple, got)) == expected(rows)
+
+
+def test_frequent_words_stay_in_one_small_table(monkeypatch):
+    words = token_files.Words(DEFINITION)
+    tables = [t for t in (words, *vars(words).values()) if isinstance(t, dict) and t is not words.signs]
+    assert len(tables) * token_files.MOST_WORDS <= 600_000  # entries that a Python worker holds
+    monkeypatch.setattr(token_files, "MOST_WORDS", 60)
+    rare = ["".join("abcdefghij"[int(d)] for d in str(i)) for i in range(100, 700)]
+    text, met, model = " ".join(f"{w} {w}! the" for w in rare), [], words.model
+
+    class Counted:
+        def tokenize(self, signs):
+            met.append(signs)
+            return model.tokenize(signs)
+
+    words.model = Counted()
+    assert ids_of(words.encode(text)) == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert met.count("the") == 1 and len(met) == len(set(met)) == len(rare) + 2
+    assert len(words) + len(words.elder) <= 120
