@@ -378,21 +378,38 @@ def _products(entries: DataFrame, label: DataFrame, fits: str, num: int, den: in
     """Pairs (x, y) of classes in different groups that share as many leading columns as sets that link must: each column is
     multiplied with itself, and the products are counted by pair. Before that each class of the smaller group is counted with the larger group as
     a whole, one row a column whatever the group's size: a class that shares too few columns with all of the group's classes together
-    links with none of them."""
-    sizes = label.join(label.groupBy("label").agg(F.count("*").alias("weight")), "label").withColumnRenamed("node", "cls")
-    lists = entries.join(sizes, "cls", "left").select("gram", "cls", "n", F.coalesce("label", "cls").alias("grp"), F.coalesce("weight", F.lit(1)).alias("weight"))
+    links with none of them. Of the other groups, columns of more than half of a group's classes count for all of its classes at first; only
+    the columns of fewer are multiplied out, and only of pairs that have enough so, it is looked up which of the former they lack."""
+    held = entries.select("cls", "n").distinct().join(label.withColumnRenamed("node", "cls"), "cls", "left")
+    held = stored(held.select("cls", "n", F.coalesce("label", "cls").alias("grp")), "held")
+    sizes = held.join(held.groupBy("grp").agg(F.count("*").alias("weight")), "grp").select("cls", "grp", "weight")
+    lists = entries.join(sizes, "cls").select("gram", "cls", "n", "grp", "weight")
     several = lists.groupBy("gram").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).filter("a <> b").select("gram")
     lists = stored(lists.join(several, "gram", "left_semi"), "lists")
     mine = lists.select("gram", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("grp").alias("gx"), F.col("weight").alias("wx"))
-    whole = lists.groupBy("gram", "grp", "weight").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    whole = lists.groupBy("gram", "grp", "weight").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("c"))
+    whole = whole.withColumn("most", F.expr("2 * c > weight"))
     beside = f"gx <> grp AND struct(wx, gx) < struct(weight, grp) AND {den} * high >= {num} * nx AND {num} * low <= {den} * nx"
-    near = mine.join(whole, "gram").filter(beside).groupBy("x", "nx", "grp").agg(F.count("*").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"))
+    some = lambda which: F.collect_list(F.when(F.expr(which), F.col("gram")))
+    near = mine.join(whole, "gram").filter(beside).groupBy("x", "nx", "grp").agg(
+        F.count("*").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"), F.count_if("most").alias("base"),
+        some("NOT most").alias("few"), some("most AND c < weight").alias("lacking"))
     near = near.withColumn("low", F.expr(f"greatest(low, ceil({num} * nx / {den}))")).withColumn("high", F.expr(f"least(high, floor({den} * nx / {num}))"))
     # of all sizes between, the outermost need fewest columns, up to one by which the second term is rounded
     near = near.filter(f"low <= high AND shared >= least({_need('nx', 'low', num, den)}, {_need('nx', 'high', num, den)}) - 1")
+    near = stored(near.select("x", "nx", "grp", "base", "few", "lacking"), "near")
+    need = _need("nx", "ny", num, den)
     theirs = lists.select("gram", F.col("cls").alias("y"), F.col("n").alias("ny"), "grp")
-    both = mine.select("gram", "x", "nx").join(near.select("x", "grp"), "x").join(theirs, ["gram", "grp"]).filter(fits)
-    counted = both.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("shared")).filter(f"shared >= {_need('nx', 'ny', num, den)}")
+    few = near.select("x", "nx", "base", "grp", F.explode("few").alias("gram")).join(theirs, ["gram", "grp"]).filter(fits)
+    few = few.groupBy("x", "nx", "y", "ny", "grp", "base").agg(F.count("*").alias("more")).filter(f"base + more >= {need}")
+    kinds = held.select("grp", F.col("n").alias("ny")).distinct()
+    base = near.select("x", "nx", "base", "grp").join(kinds, "grp").filter(f"{fits} AND base >= {need}")
+    base = base.join(held.select("grp", F.col("n").alias("ny"), F.col("cls").alias("y")), ["grp", "ny"]).withColumn("more", F.lit(0).cast("bigint"))
+    able = few.unionByName(base).groupBy("x", "nx", "y", "ny", "grp", "base").agg(F.sum("more").alias("more"))
+    able = stored(able, "able")
+    asked = able.select("x", "y", "grp").join(near.select("x", "grp", F.explode("lacking").alias("gram")), ["x", "grp"]).select("x", "y", "gram")
+    lack = asked.join(theirs.select("gram", "y"), ["gram", "y"], "left_anti").groupBy("x", "y").agg(F.count("*").alias("less"))
+    counted = able.join(lack, ["x", "y"], "left").withColumn("shared", F.expr("base + more - coalesce(less, 0)")).filter(f"shared >= {need}")
     return counted.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), (F.col("shared") / F.greatest("nx", "ny")).alias("share"))
 
 

@@ -141,3 +141,38 @@ def test_class_beside_a_whole_group(spark):
         rows.append((10 + i, " ".join(words)))
     rows += [(100 + i, " ".join(base[:200 - 6 * i] + [f"y{i}-{k}" for k in range(4 * i)])) for i in range(1, 10)]
     check(spark, rows)
+
+
+def _join_rows(plan):
+    """Rows that each join of an executed plan made."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _join_rows(plan.finalPhysicalPlan())
+    if name.endswith("QueryStageExec"):
+        return _join_rows(plan.plan())
+    own = [plan.metrics().apply("numOutputRows").value()] if "Join" in name else []
+    children = plan.children()
+    return own + [r for i in range(children.size()) for r in _join_rows(children.apply(i))]
+
+
+def test_products_with_a_large_group_are_counted_without_its_pairs(spark, monkeypatch):
+    """400 near copies in one group, each without some of 40 columns, and others with a part of them: pairs as by brute force, no join of
+    every other class with every copy."""
+    rng, n = random.Random(5), 200
+    sets = {f"c{i:03d}": set(range(40)) - set(rng.sample(range(40), rng.randint(0, 3))) for i in range(400)}
+    sets |= {f"s{i:02d}": set(rng.sample(range(40), rng.choice([14, 17, 18, 18, 18, 18, 19]))) | {1000 + i % 7, 2000 + i // 5} for i in range(60)}
+    label = {k: "c000" for k in sets if k[0] == "c"} | {"s00": "s00", "s01": "s00", "s02": "s00"}
+    sizes = {k: n + rng.randint(0, 1) for k in sets}
+    entries = spark.createDataFrame([(g, k.encode(), sizes[k]) for k, grams in sets.items() for g in grams], "gram bigint, cls binary, n bigint")
+    labels = spark.createDataFrame([(k.encode(), v.encode()) for k, v in label.items()], "node binary, label binary")
+    monkeypatch.setattr(ngram_join, "stored", lambda df, name="": df)  # one plan, to read its joins' rows
+    got = ngram_join._products(entries, labels, "100 * least(nx, ny) >= 80 * greatest(nx, ny)", 80, 100)
+    pairs = {(bytes(r.x).decode(), bytes(r.y).decode()): r.share for r in got.collect()}
+
+    def need(a, b):
+        return -(-80 * (a + b) // 180) - -(-80 * max(a, b) // 100) + 1
+
+    expected = {(x, y): len(sets[x] & sets[y]) / max(sizes[x], sizes[y]) for x in sets for y in sets if x < y and label.get(x, x) != label.get(y, y)
+                and len(sets[x] & sets[y]) >= need(sizes[x], sizes[y])}
+    assert pairs == expected and 100 < len(expected) < 10_000
+    assert max(_join_rows(got._jdf.queryExecution().executedPlan())) < 100_000  # 400 times the others times their columns would be 400,000
